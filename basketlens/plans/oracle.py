@@ -177,3 +177,151 @@ def pairs_directed(pattern: str, min_co_exclusive: int, limit: int) -> str:
         f"WHERE p1.product_name LIKE '%{pattern}%' OR p2.product_name LIKE '%{pattern}%'\n"
         f"ORDER BY lift DESC, product_1, product_2\nLIMIT {limit}")
     return with_fixture(body, select)
+
+
+DEPT_BASKETS = """db AS (
+    SELECT DISTINCT x.order_id, d.department
+    FROM f_prior x JOIN f_orders o ON x.order_id = o.order_id
+    JOIN f_products_clean p ON x.product_id = p.product_id
+    JOIN f_departments d ON p.department_id = d.department_id
+    WHERE o.eval_set = 'prior'),
+dtot AS (SELECT COUNT(DISTINCT order_id) AS b FROM db)"""
+
+DEPT_OF = """dep AS (
+    SELECT p.product_id, d.department FROM f_products_clean p
+    LEFT JOIN f_departments d ON p.department_id = d.department_id)"""
+
+HUNDRED = "CAST(100.0 AS DOUBLE)"
+
+
+def dept_sets(n: int, min_co: int, limit: int = 50) -> str:
+    depts = [f"dept_{i}" for i in range(1, n + 1)]
+    body = (DEPT_BASKETS + ",\n"
+            f"sets AS (\n    {self_join_sets(n, lines='db', key='department', having=f'>= {min_co}')})")
+    sel = ", ".join(f"i{i} AS dept_{i}" for i in range(1, n + 1))
+    select = (f"SELECT {sel}, co AS co_occurrence, {D('co')} * {HUNDRED} / {D('b')} AS support_pct\n"
+              f"FROM sets CROSS JOIN dtot\nORDER BY co_occurrence DESC, {', '.join(depts)}\nLIMIT {limit}")
+    return with_fixture(body, select)
+
+
+def dept_pairs_conf(min_co_exclusive: int, limit: int = 20) -> str:
+    body = (DEPT_BASKETS + ",\n"
+            f"sets AS (\n    {self_join_sets(2, lines='db', key='department', having=f'> {min_co_exclusive}')}),\n"
+            "hold AS (SELECT department, COUNT(DISTINCT order_id) AS h FROM db GROUP BY department)")
+    select = (
+        "SELECT i1 AS dept1, i2 AS dept2, co AS co_occurrence,\n"
+        f"  ({D('co')} / {D('b')}) * {HUNDRED} AS support_pct,\n"
+        f"  {D('co')} / {D('h')} AS confidence_dept1_to_dept2\n"
+        "FROM sets JOIN hold ON sets.i1 = hold.department CROSS JOIN dtot\n"
+        f"ORDER BY co_occurrence DESC, dept1, dept2\nLIMIT {limit}")
+    return with_fixture(body, select)
+
+
+def _names_depts(n: int) -> str:
+    j = "".join(f"\n  JOIN f_products p{i} ON sets.i{i} = p{i}.product_id" for i in range(1, n + 1))
+    j += "".join(f"\n  LEFT JOIN dep dp{i} ON sets.i{i} = dp{i}.product_id" for i in range(1, n + 1))
+    return j
+
+
+def temporal(n: int, min_count: int, limit: int = 200) -> str:
+    products = [f"product_{i}" for i in range(1, n + 1)]
+    body = (
+        "slots AS (\n"
+        "    SELECT order_id,\n"
+        "      CASE WHEN order_hour_of_day BETWEEN 6 AND 11 THEN 'Morning (6-11am)'\n"
+        "           WHEN order_hour_of_day BETWEEN 12 AND 17 THEN 'Afternoon (12-5pm)'\n"
+        "           WHEN order_hour_of_day BETWEEN 18 AND 21 THEN 'Evening (6-9pm)'\n"
+        "           ELSE 'Night (10pm-5am)' END AS time_period,\n"
+        "      CASE WHEN order_dow IN (0, 6) THEN 'Weekend' ELSE 'Weekday' END AS day_type\n"
+        "    FROM f_orders WHERE eval_set = 'prior'),\n"
+        "tl AS (SELECT x.order_id, x.product_id, s.time_period, s.day_type\n"
+        "       FROM f_prior x JOIN slots s ON x.order_id = s.order_id),\n"
+        f"sets AS (\n    {self_join_sets(n, lines='tl', having=f'>= {min_count}', extra_select='l1.time_period, l1.day_type, ', extra_group='l1.time_period, l1.day_type')}),\n"
+        + DEPT_OF)
+    sel = ", ".join(f"p{i}.product_name AS product_{i}" for i in range(1, n + 1))
+    dsel = ", ".join(f"dp{i}.department AS dept_{i}" for i in range(1, n + 1))
+    select = (f"SELECT sets.time_period, sets.day_type, {sel}, sets.co AS pattern_count, {dsel},\n"
+              "  sets.day_type || ' - ' || sets.time_period AS shopping_context\n"
+              f"FROM sets{_names_depts(n)}\n"
+              f"ORDER BY pattern_count DESC, time_period, day_type, {', '.join(products)}\nLIMIT {limit}")
+    return with_fixture(body, select)
+
+
+def sequential(min_count: int, limit: int = 100) -> str:
+    body = (
+        "pos AS (SELECT order_id, product_id, ROW_NUMBER() OVER (\n"
+        "          PARTITION BY order_id ORDER BY add_to_cart_order, product_id) AS position\n"
+        "        FROM f_prior),\n"
+        "seq AS (SELECT a.product_id AS f, b.product_id AS s, COUNT(*) AS sequence_count,\n"
+        "               AVG(a.position) AS a1, AVG(b.position) AS a2\n"
+        "        FROM pos a JOIN pos b ON a.order_id = b.order_id AND b.position = a.position + 1\n"
+        f"        GROUP BY a.product_id, b.product_id HAVING COUNT(*) >= {min_count}),\n"
+        "dims AS (SELECT p.product_id, p.product_name, d.department, a.aisle\n"
+        "         FROM f_products_clean p\n"
+        "         LEFT JOIN f_departments d ON p.department_id = d.department_id\n"
+        "         LEFT JOIN f_aisles a ON p.aisle_id = a.aisle_id)")
+    select = (
+        "SELECT d1.product_name AS first_product, d2.product_name AS second_product,\n"
+        "  sequence_count, a1 AS avg_first_pos, a2 AS avg_second_pos,\n"
+        "  d1.department AS first_dept, d2.department AS second_dept,\n"
+        "  d1.aisle AS first_aisle, d2.aisle AS second_aisle\n"
+        "FROM seq JOIN dims d1 ON seq.f = d1.product_id JOIN dims d2 ON seq.s = d2.product_id\n"
+        f"ORDER BY sequence_count DESC, first_product, second_product\nLIMIT {limit}")
+    return with_fixture(body, select)
+
+
+def reorder(n: int, min_count: int, limit: int = 100) -> str:
+    products = [f"product_{i}" for i in range(1, n + 1)]
+    body = ("rl AS (SELECT order_id, product_id FROM f_prior WHERE reordered = 1),\n"
+            f"sets AS (\n    {self_join_sets(n, lines='rl', having=f'>= {min_count}')}),\n" + DEPT_OF)
+    sel = ", ".join(f"p{i}.product_name AS product_{i}" for i in range(1, n + 1))
+    dsel = ", ".join(f"dp{i}.department AS dept_{i}" for i in range(1, n + 1))
+    if n == 2:
+        loyalty = ("CASE WHEN dp1.department = dp2.department THEN 'Same Department Loyalty'"
+                   " ELSE 'Cross Department Loyalty' END")
+    else:
+        loyalty = "'Multi-Product Loyalty'"
+    where = " AND ".join(f"dp{i}.department IS NOT NULL" for i in range(1, n + 1))
+    select = (f"SELECT {sel}, sets.co AS reorder_count, {dsel}, {loyalty} AS loyalty_type\n"
+              f"FROM sets{_names_depts(n)}\nWHERE {where}\n"
+              f"ORDER BY reorder_count DESC, {', '.join(products)}\nLIMIT {limit}")
+    return with_fixture(body, select)
+
+
+def cross_department(min_lift: float, min_count: int, limit: int = 100) -> str:
+    body = (
+        "pc AS (SELECT product_id, department_id FROM f_products_clean WHERE department_id IS NOT NULL),\n"
+        "sets AS (\n"
+        "    SELECT l1.product_id AS i1, l2.product_id AS i2, COUNT(DISTINCT l1.order_id) AS co\n"
+        "    FROM f_prior l1 JOIN f_prior l2 ON l1.order_id = l2.order_id AND l1.product_id < l2.product_id\n"
+        "    JOIN pc c1 ON l1.product_id = c1.product_id JOIN pc c2 ON l2.product_id = c2.product_id\n"
+        "    WHERE c1.department_id <> c2.department_id\n"
+        f"    GROUP BY l1.product_id, l2.product_id HAVING COUNT(DISTINCT l1.order_id) >= {min_count}),\n"
+        "sup AS (SELECT product_id, COUNT(DISTINCT order_id) AS s FROM f_prior GROUP BY product_id),\n"
+        "tot AS (SELECT COUNT(DISTINCT order_id) AS total FROM f_prior)")
+    lift = lift_sql("sets.co", "tot.total", ["s1.s", "s2.s"])
+    select = (
+        "SELECT d1.department AS department_1, d2.department AS department_2,\n"
+        "  p1.product_name AS product_1, p2.product_name AS product_2, sets.co AS pair_count,\n"
+        f"  {conf_sql('sets.co', ['s1.s'])} AS confidence, {lift} AS lift\n"
+        "FROM sets JOIN pc c1 ON sets.i1 = c1.product_id JOIN pc c2 ON sets.i2 = c2.product_id\n"
+        "  LEFT JOIN f_departments d1 ON c1.department_id = d1.department_id\n"
+        "  LEFT JOIN f_departments d2 ON c2.department_id = d2.department_id\n"
+        "  JOIN f_products p1 ON sets.i1 = p1.product_id JOIN f_products p2 ON sets.i2 = p2.product_id\n"
+        "  JOIN sup s1 ON sets.i1 = s1.product_id JOIN sup s2 ON sets.i2 = s2.product_id\n"
+        "  CROSS JOIN tot\n"
+        f"WHERE ROUND({lift}, 2) > {min_lift}\n"
+        f"ORDER BY lift DESC, product_1, product_2\nLIMIT {limit}")
+    return with_fixture(body, select)
+
+
+def pair_labels(min_co_exclusive: int, limit: int = 30) -> str:
+    body = (f"sets AS (\n    {self_join_sets(2, having=f'> {min_co_exclusive}')}),\n"
+            "tot AS (SELECT COUNT(DISTINCT order_id) AS total FROM f_prior)")
+    select = (
+        "SELECT p1.product_name || ' → ' || p2.product_name AS product_pair,\n"
+        f"  sets.co AS co_occurrence, {D('sets.co')} / {D('tot.total')} AS support\n"
+        "FROM sets JOIN f_products p1 ON sets.i1 = p1.product_id\n"
+        "  JOIN f_products p2 ON sets.i2 = p2.product_id CROSS JOIN tot\n"
+        f"ORDER BY co_occurrence DESC, product_pair\nLIMIT {limit}")
+    return with_fixture(body, select)

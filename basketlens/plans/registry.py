@@ -14,7 +14,7 @@ from typing import Callable, Dict, Optional, Tuple
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.dataset import Dataset
-from basketlens.operators import itemsets
+from basketlens.operators import departments, itemsets, patterns, views
 from basketlens.plans import oracle as O
 from basketlens.sources.tpch import from_tpch
 
@@ -79,6 +79,71 @@ def _top_support(ds):
     return itemsets.top(ds, 2, "support", 30, min_co=30, digits=RAW)
 
 
+# ----------------------------------------------------------------- O19, O20
+@register("dept_pairs", O.dept_sets(2, 1000))
+def _dept_pairs(ds):
+    return departments.associations(ds, 2, min_co=1000, digits=RAW)
+
+
+@register("dept_triplets", O.dept_sets(3, 100))
+def _dept_triplets(ds):
+    return departments.associations(ds, 3, min_co=100, digits=RAW)
+
+
+@register("dept_pairs_conf", O.dept_pairs_conf(1000))
+def _dept_pairs_conf(ds):
+    return departments.pairs_with_confidence(
+        ds, 1000, digits={"support_pct": RAW, "confidence": RAW})
+
+
+# ----------------------------------------------------------------- O24, O25, O27, O28
+@register("temporal_pairs", O.temporal(2, 10))
+def _temporal(ds):
+    return patterns.temporal(ds, 2, min_count=10)
+
+
+@register("sequential", O.sequential(5))
+def _sequential(ds):
+    return patterns.sequential(ds, min_count=5, digits=RAW)
+
+
+@register("reorder_pairs", O.reorder(2, 5))
+def _reorder(ds):
+    return patterns.reorder(ds, 2, min_count=5)
+
+
+@register("reorder_triplets", O.reorder(3, 2))
+def _reorder3(ds):
+    return patterns.reorder(ds, 3, min_count=2)
+
+
+@register("cross_department", O.cross_department(1.1, 30))
+def _cross(ds):
+    return patterns.cross_department(ds, min_lift=1.1, min_count=30,
+                                     digits={"confidence": RAW, "lift": RAW})
+
+
+# ----------------------------------------------------------------- O29, O30
+@register("pair_labels", O.pair_labels(60))
+def _pair_labels(ds):
+    return views.pair_labels(ds, 60, limit=30, digits=RAW, view=None)
+
+
+@register("assoc_view_2", O.assoc_view(2, 30, 30))
+def _assoc2(ds):
+    return views.associations(ds, 2, 30, min_co=30, digits=RAW, view=False)
+
+
+@register("assoc_view_3", O.assoc_view(3, 5, 30))
+def _assoc3(ds):
+    return views.associations(ds, 3, 30, min_co=5, digits=RAW, view=False)
+
+
+@register("assoc_view_4", O.assoc_view(4, 2, 30))
+def _assoc4(ds):
+    return views.associations(ds, 4, 30, min_co=2, digits=RAW, view=False)
+
+
 def queries() -> Dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 
