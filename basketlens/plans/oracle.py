@@ -325,3 +325,192 @@ def pair_labels(min_co_exclusive: int, limit: int = 30) -> str:
         "  JOIN f_products p2 ON sets.i2 = p2.product_id CROSS JOIN tot\n"
         f"ORDER BY co_occurrence DESC, product_pair\nLIMIT {limit}")
     return with_fixture(body, select)
+
+
+SIZE_CLASS = ("CASE WHEN total_items <= 5 THEN 'Small (1-5 items)'"
+              " WHEN total_items <= 15 THEN 'Medium (6-15 items)'"
+              " WHEN total_items <= 30 THEN 'Large (16-30 items)'"
+              " ELSE 'XLarge (30+ items)' END")
+
+
+def basket_composition(dirty: bool = True) -> str:
+    body = (
+        "valid AS (SELECT product_id, department_id, aisle_id FROM f_products\n"
+        "          WHERE TRY_CAST(department_id AS BIGINT) IS NOT NULL\n"
+        "            AND TRY_CAST(aisle_id AS BIGINT) IS NOT NULL),\n"
+        "bs AS (SELECT x.order_id, COUNT(DISTINCT x.product_id) AS total_items,\n"
+        "              COUNT(DISTINCT v.department_id) AS unique_departments,\n"
+        "              COUNT(DISTINCT v.aisle_id) AS unique_aisles\n"
+        "       FROM f_prior x JOIN f_orders o ON x.order_id = o.order_id\n"
+        "       JOIN valid v ON x.product_id = v.product_id\n"
+        "       WHERE o.eval_set = 'prior' GROUP BY x.order_id),\n"
+        f"sc AS (SELECT {SIZE_CLASS} AS basket_size, total_items, unique_departments, unique_aisles FROM bs)")
+    select = (
+        "SELECT basket_size, COUNT(*) AS basket_count, AVG(total_items) AS avg_items,\n"
+        "  AVG(unique_departments) AS avg_departments, AVG(unique_aisles) AS avg_aisles,\n"
+        f"  {r9('AVG(' + D('unique_aisles') + ' / ' + D('total_items') + ')')} AS diversity_ratio,\n"
+        f"  {D('COUNT(*)')} * {HUNDRED} / {D('SUM(COUNT(*)) OVER ()')} AS pct_of_total\n"
+        "FROM sc GROUP BY basket_size")
+    return with_fixture(body, select, dirty)
+
+
+def weekday() -> str:
+    names = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
+    case = " ".join(f"WHEN order_dow = {i} THEN '{n}'" for i, n in enumerate(names))
+    return with_fixture("", f"SELECT COUNT(order_id) AS total_orders, CASE {case} END AS day_of_week\n"
+                            "FROM f_orders GROUP BY order_dow ORDER BY order_dow")
+
+
+def hours() -> str:
+    return with_fixture("", "SELECT COUNT(order_id) AS total_orders, order_hour_of_day AS hour\n"
+                            "FROM f_orders GROUP BY order_hour_of_day ORDER BY order_hour_of_day")
+
+
+def top_departments(limit: int = 10, dirty: bool = True) -> str:
+    return with_fixture("", (
+        "SELECT d.department, COUNT(DISTINCT p.product_id) AS products\n"
+        "FROM f_products_clean p JOIN f_departments d ON d.department_id = p.department_id\n"
+        f"GROUP BY d.department ORDER BY products DESC, department LIMIT {limit}"), dirty)
+
+
+def quality(dirty: bool = True) -> str:
+    return with_fixture("", (
+        "SELECT COUNT(*) AS total_products,\n"
+        "  COUNT(CASE WHEN TRY_CAST(department_id AS BIGINT) IS NULL THEN 1 END) AS invalid_dept_ids,\n"
+        "  COUNT(CASE WHEN TRY_CAST(aisle_id AS BIGINT) IS NULL THEN 1 END) AS invalid_aisle_ids,\n"
+        "  COUNT(CASE WHEN TRY_CAST(department_id AS BIGINT) IS NOT NULL\n"
+        "              AND TRY_CAST(aisle_id AS BIGINT) IS NOT NULL THEN 1 END) AS valid_products\n"
+        "FROM f_products"), dirty)
+
+
+def baskets_by_name() -> str:
+    return with_fixture("", (
+        "SELECT x.order_id, array_to_string(list_sort(list(DISTINCT p.product_name)), '|') AS items\n"
+        "FROM f_prior x JOIN f_products p ON x.product_id = p.product_id GROUP BY x.order_id"))
+
+
+def market_baskets() -> str:
+    return with_fixture("", (
+        "SELECT x.order_id, o.user_id,\n"
+        "  string_agg(p.product_name, '|' ORDER BY x.add_to_cart_order, x.product_id) AS products,\n"
+        "  string_agg(CAST(x.product_id AS VARCHAR), ',' ORDER BY x.add_to_cart_order, x.product_id)"
+        " AS product_ids,\n"
+        "  COUNT(*) AS basket_size\n"
+        "FROM f_orders o JOIN f_prior x ON o.order_id = x.order_id\n"
+        "JOIN f_products p ON x.product_id = p.product_id\n"
+        "WHERE o.eval_set = 'prior' GROUP BY x.order_id, o.user_id HAVING COUNT(*) >= 2"))
+
+
+TX = """tx AS (SELECT x.order_id FROM f_prior x JOIN f_orders o ON x.order_id = o.order_id
+       WHERE o.eval_set = 'prior' GROUP BY x.order_id HAVING COUNT(*) >= 2)"""
+
+
+def transactions() -> str:
+    return with_fixture(TX, (
+        "SELECT x.order_id, array_to_string(list_sort(list(DISTINCT CAST(x.product_id AS VARCHAR))), ',')"
+        " AS items\nFROM f_prior x JOIN tx ON x.order_id = tx.order_id GROUP BY x.order_id"))
+
+
+def _frequent_itemsets(min_support: float, max_size: int = 4) -> str:
+    parts = []
+    for n in range(1, max_size + 1):
+        members = ", ".join(f"CAST(l{i}.product_id AS VARCHAR)" for i in range(1, n + 1))
+        frm = "ti l1" + "".join(
+            f" JOIN ti l{i} ON l1.order_id = l{i}.order_id AND l{i - 1}.product_id < l{i}.product_id"
+            for i in range(2, n + 1))
+        groups = ", ".join(f"l{i}.product_id" for i in range(1, n + 1))
+        parts.append(f"SELECT [{members}] AS members, COUNT(DISTINCT l1.order_id) AS freq "
+                     f"FROM {frm} GROUP BY {groups}")
+    union = "\n      UNION ALL ".join(parts)
+    return (TX + ",\n"
+            "ti AS (SELECT DISTINCT x.order_id, x.product_id FROM f_prior x JOIN tx ON x.order_id = tx.order_id),\n"
+            f"nt AS (SELECT COUNT(*) AS n, CAST(CEIL(CAST({min_support} AS DOUBLE) * COUNT(*)) AS BIGINT) AS m FROM tx),\n"
+            f"allsets AS ({union}),\n"
+            "fi AS (SELECT members, freq FROM allsets, nt WHERE freq >= nt.m),\n"
+            "fk AS (SELECT array_to_string(list_sort(members), ',') AS k, members, freq FROM fi)")
+
+
+def fpgrowth_itemsets(min_support: float) -> str:
+    return with_fixture(_frequent_itemsets(min_support),
+                        "SELECT k AS items, CAST(len(members) AS INTEGER) AS size, freq FROM fk")
+
+
+def itemsets_of_size(min_support: float, n: int) -> str:
+    return with_fixture(_frequent_itemsets(min_support),
+                        f"SELECT k AS items, freq FROM fk WHERE len(members) = {n}")
+
+
+def _rules(min_support: float, min_conf: float, min_lift: float) -> str:
+    return (_frequent_itemsets(min_support) + ",\n"
+            "ru AS (SELECT freq AS fu, members, UNNEST(members) AS c FROM fk WHERE len(members) >= 2),\n"
+            "rv AS (SELECT fu, c, list_filter(members, lambda x: x <> c) AS ante FROM ru),\n"
+            "rules AS (\n"
+            "  SELECT array_to_string(list_sort(rv.ante), ',') AS antecedent, rv.ante, rv.c AS consequent,\n"
+            f"    {D('rv.fu')} / {D('a.freq')} AS confidence,\n"
+            f"    ({D('rv.fu')} / {D('a.freq')}) / ({D('cf.freq')} / {D('nt.n')}) AS lift,\n"
+            f"    {D('rv.fu')} / {D('nt.n')} AS support\n"
+            "  FROM rv JOIN fk a ON a.k = array_to_string(list_sort(rv.ante), ',')\n"
+            "  JOIN fk cf ON cf.k = rv.c CROSS JOIN nt\n"
+            f"  WHERE {D('rv.fu')} / {D('a.freq')} >= {min_conf}),\n"
+            f"kept AS (SELECT * FROM rules WHERE lift >= {min_lift})")
+
+
+def fpgrowth_rules(min_support: float, min_conf: float, min_lift: float) -> str:
+    return with_fixture(_rules(min_support, min_conf, min_lift),
+                        "SELECT antecedent, consequent, confidence, lift, support FROM kept")
+
+
+def rules_named(min_support: float, min_conf: float, min_lift: float) -> str:
+    body = (_rules(min_support, min_conf, min_lift) + ",\n"
+            "kr AS (SELECT ROW_NUMBER() OVER () AS rid, * FROM kept),\n"
+            "an AS (SELECT u.rid, string_agg(p.product_name, ' + ' ORDER BY p.product_name) AS names\n"
+            "       FROM (SELECT rid, UNNEST(ante) AS aid FROM kr) u\n"
+            "       JOIN f_products p ON CAST(p.product_id AS VARCHAR) = u.aid GROUP BY u.rid)")
+    select = ("SELECT an.names AS antecedent, p.product_name AS consequent, kr.confidence, kr.lift, kr.support\n"
+              "FROM kr JOIN an ON kr.rid = an.rid\n"
+              "JOIN f_products p ON CAST(p.product_id AS VARCHAR) = kr.consequent")
+    return with_fixture(body, select)
+
+
+def user_history(user_id: int) -> str:
+    return with_fixture("", (
+        "SELECT p.product_id, p.product_name, COUNT(*) AS purchase_count\n"
+        "FROM f_orders o JOIN f_prior x ON o.order_id = x.order_id\n"
+        "JOIN f_products p ON x.product_id = p.product_id\n"
+        f"WHERE o.user_id = {user_id} GROUP BY p.product_id, p.product_name"))
+
+
+def recommendations(user_id: int, n: int = 10) -> str:
+    body = (
+        "up AS (SELECT DISTINCT x.product_id FROM f_orders o JOIN f_prior x ON o.order_id = x.order_id\n"
+        f"       WHERE o.user_id = {user_id}),\n"
+        "ap AS (SELECT l2.product_id AS rp, COUNT(DISTINCT l1.order_id) AS s\n"
+        "       FROM f_prior l1 JOIN f_prior l2 ON l1.order_id = l2.order_id\n"
+        "       WHERE l1.product_id IN (SELECT product_id FROM up)\n"
+        "         AND l2.product_id NOT IN (SELECT product_id FROM up)\n"
+        "       GROUP BY l2.product_id),\n"
+        "ranked AS (\n"
+        "  SELECT p.product_name, p.product_id, a.aisle, d.department, ap.s AS association_strength,\n"
+        "         CAST(RANK() OVER (ORDER BY ap.s DESC) AS INTEGER) AS rank\n"
+        "  FROM ap JOIN f_products_clean p ON ap.rp = p.product_id\n"
+        "  JOIN f_aisles a ON p.aisle_id = a.aisle_id\n"
+        "  JOIN f_departments d ON p.department_id = d.department_id)")
+    return with_fixture(body, f"SELECT * FROM ranked ORDER BY association_strength DESC, product_id LIMIT {n}")
+
+
+def rec_quality(k: int = 10) -> str:
+    hits = "len(list_intersect(t.actual, r.rec))"
+    body = (
+        "tb AS (SELECT o.user_id, list(DISTINCT x.product_id) AS actual\n"
+        "       FROM f_orders o JOIN f_train x ON o.order_id = x.order_id GROUP BY o.user_id),\n"
+        "pf AS (SELECT o.user_id, x.product_id, COUNT(*) AS c,\n"
+        "              ROW_NUMBER() OVER (PARTITION BY o.user_id ORDER BY COUNT(*) DESC, x.product_id) AS rk\n"
+        "       FROM f_orders o JOIN f_prior x ON o.order_id = x.order_id\n"
+        "       GROUP BY o.user_id, x.product_id),\n"
+        f"rc AS (SELECT user_id, list(product_id) AS rec FROM pf WHERE rk <= {k} GROUP BY user_id)")
+    select = (
+        f"SELECT COUNT(*) AS total_users, AVG({hits}) AS avg_correct_predictions,\n"
+        f"  {r9('AVG(' + D(hits) + ' / ' + D('len(r.rec)') + ')')} AS avg_precision,\n"
+        f"  {r9('AVG(' + D(hits) + ' / ' + D('len(t.actual)') + ')')} AS avg_recall\n"
+        "FROM tb t JOIN rc r ON t.user_id = r.user_id")
+    return with_fixture(body, select)

@@ -12,9 +12,12 @@ from __future__ import annotations
 from typing import Callable, Dict, Optional, Tuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
-from basketlens.operators import departments, itemsets, patterns, views
+from basketlens.config import AnalysisConfig
+from basketlens.operators import (baskets, composition, departments, evaluate, explore, itemsets,
+                                  patterns, quality, recommend, rules, views)
 from basketlens.plans import oracle as O
 from basketlens.sources.tpch import from_tpch
 
@@ -144,6 +147,112 @@ def _assoc4(ds):
     return views.associations(ds, 4, 30, min_co=2, digits=RAW, view=False)
 
 
+# ----------------------------------------------------------------- O26, O3-O6
+@register_dirty("basket_composition", O.basket_composition())
+def _composition(ds):
+    return composition.basket_sizes(ds, digits={"diversity_ratio": 9})
+
+
+@register("weekday", O.weekday())
+def _weekday(ds):
+    return explore.orders_by_weekday(ds)
+
+
+@register("hours", O.hours())
+def _hours(ds):
+    return explore.orders_by_hour(ds)
+
+
+@register_dirty("top_departments", O.top_departments(10))
+def _top_departments(ds):
+    return explore.top_departments(ds, 10)
+
+
+@register_dirty("quality", O.quality())
+def _quality(ds):
+    return quality.check(ds)
+
+
+# ----------------------------------------------------------------- O7-O9
+@register("baskets_by_name", O.baskets_by_name())
+def _baskets_by_name(ds):
+    return baskets.by_name(ds, view=None).select("order_id", F.array_join("items", "|").alias("items"))
+
+
+@register("market_baskets", O.market_baskets())
+def _market_baskets(ds):
+    mb = baskets.market_baskets(ds, view=None)
+    return mb.select("order_id", "user_id", F.array_join("products", "|").alias("products"),
+                     F.array_join(F.col("product_ids").cast("array<string>"), ",").alias("product_ids"),
+                     "basket_size")
+
+
+@register("transactions", O.transactions())
+def _transactions(ds):
+    return baskets.transactions(ds).select("order_id", F.array_join("items", ",").alias("items"))
+
+
+# ----------------------------------------------------------------- O11-O14
+FP = AnalysisConfig(min_support=0.001, min_confidence=0.05, min_lift=1.0, max_transactions=None)
+
+
+def _mined(ds):
+    return rules.mine(baskets.transactions(ds, FP.max_transactions), FP)
+
+
+@register("fpgrowth_itemsets", O.fpgrowth_itemsets(FP.min_support))
+def _fp_itemsets(ds):
+    itemsets_df, _, _ = _mined(ds)
+    return itemsets_df.select(F.array_join(F.array_sort("items"), ",").alias("items"),
+                              F.size("items").alias("size"), "freq")
+
+
+@register("itemsets_size_2", O.itemsets_of_size(FP.min_support, 2))
+def _fp_size2(ds):
+    itemsets_df, _, _ = _mined(ds)
+    return rules.of_size(itemsets_df, 2).select(
+        F.array_join(F.array_sort("items"), ",").alias("items"), "freq")
+
+
+@register("fpgrowth_rules", O.fpgrowth_rules(FP.min_support, FP.min_confidence, FP.min_lift))
+def _fp_rules(ds):
+    _, rules_df, _ = _mined(ds)
+    return rules_df.select(F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"),
+                           F.array_join("consequent", ",").alias("consequent"),
+                           "confidence", "lift", "support")
+
+
+@register("rules_named", O.rules_named(FP.min_support, FP.min_confidence, FP.min_lift))
+def _rules_named(ds):
+    _, rules_df, _ = _mined(ds)
+    named = rules.with_names(rules_df, ds)
+    return named.select(F.array_join(F.array_sort("antecedent_names"), " + ").alias("antecedent"),
+                        F.array_join("consequent_names", " + ").alias("consequent"),
+                        "confidence", "lift", "support")
+
+
+# ----------------------------------------------------------------- O21-O23
+USER = 0
+
+
+@register("user_history", O.user_history(USER))
+def _history(ds):
+    return recommend.history(ds, USER)
+
+
+@register("recommendations", O.recommendations(USER, 10))
+def _recommendations(ds):
+    return recommend.for_user(ds, USER, 10)
+
+
+@register("rec_quality", O.rec_quality(10))
+def _rec_quality(ds):
+    out = evaluate.precision_recall(ds, 10)
+    return out.select("total_users", "avg_correct_predictions",
+                      F.round("avg_precision", 9).alias("avg_precision"),
+                      F.round("avg_recall", 9).alias("avg_recall"))
+
+
 def queries() -> Dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 
