@@ -22,7 +22,9 @@ from basketlens.plans import oracle as O
 from basketlens.sources.tpch import from_tpch
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
+DatasetFn = Callable[[Dataset], DataFrame]
 REGISTRY: Dict[str, Tuple[QueryFn, Optional[str]]] = {}
+ON_DATASET: Dict[str, Tuple[DatasetFn, bool]] = {}  # name -> (fn, needs dirty ids)
 
 RAW = None  # unrounded metrics
 
@@ -32,6 +34,7 @@ def register(name: str, sql: Optional[str]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(from_tpch(spark, sf_dir))
         REGISTRY[name] = (run, sql)
+        ON_DATASET[name] = (fn, False)
         return fn
     return wrap
 
@@ -41,6 +44,7 @@ def register_dirty(name: str, sql: Optional[str]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(from_tpch(spark, sf_dir, dirty=True))
         REGISTRY[name] = (run, sql)
+        ON_DATASET[name] = (fn, True)
         return fn
     return wrap
 

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import os
 import tempfile
+from typing import Dict, Optional
 
 from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8,
-                  app: str = "basketlens", driver_memory: str = "8g") -> SparkSession:
+                  app: str = "basketlens", driver_memory: str = "8g",
+                  conf: Optional[Dict[str, str]] = None) -> SparkSession:
     """A local session configured the way the tests and the bench run."""
+    builder = SparkSession.builder
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
