@@ -411,23 +411,38 @@ def transactions() -> str:
         " AS items\nFROM f_prior x JOIN tx ON x.order_id = tx.order_id GROUP BY x.order_id"))
 
 
-def _frequent_itemsets(min_support: float, max_size: int = 4) -> str:
+def _frequent_itemsets(min_support: float, max_size: int = 10) -> str:
+    """All frequent itemsets, level by level: a set of size j is counted only
+    when its first j-1 members form a frequent set (exact; fixture baskets hold
+    at most 10 items)."""
+    m = "(SELECT m FROM nt)"
+    ctes = [
+        TX,
+        "ti AS (SELECT DISTINCT x.order_id, x.product_id FROM f_prior x JOIN tx ON x.order_id = tx.order_id)",
+        f"nt AS (SELECT COUNT(*) AS n, CAST(CEIL(CAST({min_support} AS DOUBLE) * COUNT(*)) AS BIGINT) AS m FROM tx)",
+        f"f1 AS (SELECT product_id AS i1, COUNT(DISTINCT order_id) AS freq FROM ti GROUP BY product_id"
+        f" HAVING COUNT(DISTINCT order_id) >= {m})",
+        "o1 AS (SELECT ti.order_id, ti.product_id AS i1 FROM ti JOIN f1 ON ti.product_id = f1.i1)",
+    ]
+    for j in range(2, max_size + 1):
+        prev = ", ".join(f"o.i{i}" for i in range(1, j))
+        ctes.append(
+            f"f{j} AS (SELECT {prev}, t.product_id AS i{j}, COUNT(DISTINCT o.order_id) AS freq\n"
+            f"    FROM o{j - 1} o JOIN ti t ON o.order_id = t.order_id AND t.product_id > o.i{j - 1}\n"
+            f"    GROUP BY {prev}, t.product_id HAVING COUNT(DISTINCT o.order_id) >= {m})")
+        if j < max_size:
+            on = " AND ".join([f"f.i{i} = o.i{i}" for i in range(1, j)] + [f"f.i{j} = t.product_id"])
+            ctes.append(
+                f"o{j} AS (SELECT o.order_id, {prev}, t.product_id AS i{j}\n"
+                f"    FROM o{j - 1} o JOIN ti t ON o.order_id = t.order_id AND t.product_id > o.i{j - 1}\n"
+                f"    JOIN f{j} f ON {on})")
     parts = []
-    for n in range(1, max_size + 1):
-        members = ", ".join(f"CAST(l{i}.product_id AS VARCHAR)" for i in range(1, n + 1))
-        frm = "ti l1" + "".join(
-            f" JOIN ti l{i} ON l1.order_id = l{i}.order_id AND l{i - 1}.product_id < l{i}.product_id"
-            for i in range(2, n + 1))
-        groups = ", ".join(f"l{i}.product_id" for i in range(1, n + 1))
-        parts.append(f"SELECT [{members}] AS members, COUNT(DISTINCT l1.order_id) AS freq "
-                     f"FROM {frm} GROUP BY {groups}")
-    union = "\n      UNION ALL ".join(parts)
-    return (TX + ",\n"
-            "ti AS (SELECT DISTINCT x.order_id, x.product_id FROM f_prior x JOIN tx ON x.order_id = tx.order_id),\n"
-            f"nt AS (SELECT COUNT(*) AS n, CAST(CEIL(CAST({min_support} AS DOUBLE) * COUNT(*)) AS BIGINT) AS m FROM tx),\n"
-            f"allsets AS ({union}),\n"
-            "fi AS (SELECT members, freq FROM allsets, nt WHERE freq >= nt.m),\n"
-            "fk AS (SELECT array_to_string(list_sort(members), ',') AS k, members, freq FROM fi)")
+    for j in range(1, max_size + 1):
+        members = ", ".join(f"CAST(i{i} AS VARCHAR)" for i in range(1, j + 1))
+        parts.append(f"SELECT [{members}] AS members, freq FROM f{j}")
+    ctes.append("fi AS (" + "\n    UNION ALL ".join(parts) + ")")
+    ctes.append("fk AS (SELECT array_to_string(list_sort(members), ',') AS k, members, freq FROM fi)")
+    return ",\n".join(ctes)
 
 
 def fpgrowth_itemsets(min_support: float) -> str:
