@@ -15,14 +15,13 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from basketlens.dataset import Dataset  # noqa: E402
 from basketlens.plans.registry import ON_DATASET  # noqa: E402
-from basketlens.session import local_session  # noqa: E402
+from basketlens.session import local_session, scratch_path  # noqa: E402
 from basketlens.sources.ingest import save_parquet  # noqa: E402
 from basketlens.sources.tpch import from_tpch  # noqa: E402
 
@@ -44,7 +43,7 @@ def main() -> None:
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
     spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * int(cpus)),
                           driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
-    scratch = tempfile.mkdtemp(prefix="basketlens-bench-")
+    scratch = scratch_path(spark, f"bench-{os.getpid()}-{int(time.time())}")
 
     t0 = time.time()
     save_parquet(from_tpch(spark, sf_dir), os.path.join(scratch, "clean"))
