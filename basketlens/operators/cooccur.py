@@ -32,7 +32,6 @@ joined with a shuffle.
 
 from __future__ import annotations
 
-import math
 from typing import Iterable, List, Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -63,7 +62,7 @@ def frequent_only(lines: DataFrame, basket: str, item: str, keys: Sequence[str],
     return lines.join(counts, [*keys, item], "left_semi")
 
 
-def _oversized(lines: DataFrame, basket: str, max_row_items: int) -> Optional[DataFrame]:
+def oversized_baskets(lines: DataFrame, basket: str, max_row_items: int) -> Optional[DataFrame]:
     """``(basket, _chunks)`` for baskets above ``max_row_items`` lines, or None."""
     big = (lines.groupBy(basket).agg(F.count(F.lit(1)).alias("_k"))
            .where(F.col("_k") > max_row_items))
@@ -143,7 +142,7 @@ def itemset_counts(lines: DataFrame, n: int, *, basket: str = "order_id",
     if prune and min_count > 1:
         base = frequent_only(base, basket, item, keys, min_count)
 
-    split = _oversized(base, basket, max_row_items)
+    split = oversized_baskets(base, basket, max_row_items)
     normal = base if split is None else base.join(split.select(basket), basket, "left_anti")
     rows = (normal.groupBy(*keys, basket)
             .agg(F.array_sort(F.collect_set(item)).alias("_items"))
@@ -182,6 +181,3 @@ def with_members(df: DataFrame, n: int, table: DataFrame, key: str,
         df = df.join(side, f"{prefix}{i}", how)
     return df
 
-
-def ceil_div(a: int, b: int) -> int:
-    return int(math.ceil(a / b))

@@ -12,8 +12,8 @@ from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (item_supports, itemset_counts, member_names,
-                                          total_baskets, with_members)
+from basketlens.operators.cooccur import (MAX_ROW_ITEMS, item_supports, itemset_counts,
+                                          oversized_baskets, total_baskets, with_members)
 
 
 def _names_and_departments(ds: Dataset, sets: DataFrame, n: int) -> DataFrame:
@@ -49,21 +49,58 @@ def temporal(ds: Dataset, n: int = 2, min_count: int = 50, limit: Optional[int]
     return _top(out, "pattern_count", ["time_period", "day_type", *products], limit)
 
 
-def cart_positions(ds: Dataset) -> DataFrame:
+def cart_positions(ds: Dataset, max_row_items: int = MAX_ROW_ITEMS) -> DataFrame:
     """Prior lines with ``position`` (1-based cart order; ties by product id) and
-    the product placed right after (``next_product``)."""
+    the product placed right after (``next_product``).
+
+    Orders up to ``max_row_items`` lines are ranked with a window per order.
+    Larger orders are never ranked in one task: their lines are cut into
+    ``add_to_cart_order`` ranges of ``max_row_items`` positions; each range is
+    ranked on its own, a per-order table of range sizes (one row per range)
+    gives the offsets, and the first item of the next non-empty range is the
+    successor of a range's last line.
+    """
+    lines = ds.order_products_prior.select("order_id", "product_id", "add_to_cart_order")
+    split = oversized_baskets(lines, "order_id", max_row_items)
+    normal = lines if split is None else lines.join(split.select("order_id"), "order_id", "left_anti")
     w = Window.partitionBy("order_id").orderBy("add_to_cart_order", "product_id")
-    return ds.order_products_prior.select(
+    steps = normal.select("order_id", "product_id",
+                          F.row_number().over(w).alias("position"),
+                          F.lead("product_id").over(w).alias("next_product"))
+    if split is not None:
+        steps = steps.unionByName(_ranged_positions(lines.join(split.select("order_id"), "order_id"),
+                                                    max_row_items))
+    return steps
+
+
+def _ranged_positions(lines: DataFrame, width: int) -> DataFrame:
+    lowest = F.lit(-(2 ** 62))  # null cart positions sort first, as in the window
+    ranged = lines.withColumn(
+        "_r", F.coalesce(F.floor(F.col("add_to_cart_order") / F.lit(width)), lowest))
+    w_in = Window.partitionBy("order_id", "_r").orderBy("add_to_cart_order", "product_id")
+    local = ranged.select("order_id", "_r", "product_id",
+                          F.row_number().over(w_in).alias("_lp"),
+                          F.lead("product_id").over(w_in).alias("_next"))
+    ranges = ranged.groupBy("order_id", "_r").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(F.struct("add_to_cart_order", "product_id")).alias("_first"))
+    w_r = Window.partitionBy("order_id").orderBy("_r")
+    ranges = ranges.select(
+        "order_id", "_r", "_n",
+        F.coalesce(F.sum("_n").over(w_r.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_offset"),
+        F.lead(F.col("_first")["product_id"]).over(w_r).alias("_next_first"))
+    return local.join(ranges, ["order_id", "_r"]).select(
         "order_id", "product_id",
-        F.row_number().over(w).alias("position"),
-        F.lead("product_id").over(w).alias("next_product"),
-    )
+        (F.col("_offset") + F.col("_lp")).cast("int").alias("position"),
+        F.when(F.col("_lp") == F.col("_n"), F.col("_next_first")).otherwise(F.col("_next"))
+        .alias("next_product"))
 
 
 def sequential(ds: Dataset, min_count: int = 80, limit: Optional[int] = 100,
-               digits: Optional[int] = 1) -> DataFrame:
+               digits: Optional[int] = 1, max_row_items: int = MAX_ROW_ITEMS) -> DataFrame:
     """Ordered pairs placed next to each other in a cart, count >= ``min_count``."""
-    steps = cart_positions(ds).where(F.col("next_product").isNotNull())
+    steps = cart_positions(ds, max_row_items).where(F.col("next_product").isNotNull())
     seq = (steps.groupBy(F.col("product_id").alias("_first"), F.col("next_product").alias("_second"))
            .agg(F.count(F.lit(1)).alias("sequence_count"),
                 F.avg("position").alias("_avg1"),

@@ -120,3 +120,14 @@ def test_label_for_any_n(spark):
     assert two.association == "item1 → item2"
     assert spark.table("top_associations_2item").count() == 1
     assert F is not None
+
+
+def test_sequential_ranged_path_matches_window(small):
+    """Orders above the row bound are ranked by ranges; same result as the window."""
+    from basketlens.operators.patterns import cart_positions
+    base = sorted(tuple(r) for r in cart_positions(small).collect())
+    for width in (1, 2, 3):
+        assert sorted(tuple(r) for r in cart_positions(small, max_row_items=width).collect()) == base
+    a = [tuple(r) for r in patterns.sequential(small, 2, None, None).collect()]
+    b = [tuple(r) for r in patterns.sequential(small, 2, None, None, max_row_items=2).collect()]
+    assert a == b and len(a) > 0
