@@ -32,6 +32,7 @@ joined with a shuffle.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Iterable, List, Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -53,28 +54,59 @@ def basket_lines(lines: DataFrame, basket: str, item: str, keys: Sequence[str] =
 
 
 def frequent_only(lines: DataFrame, basket: str, item: str, keys: Sequence[str],
-                  min_count: int) -> DataFrame:
-    """Keep lines of items found in >= ``min_count`` distinct baskets of their key group."""
-    counts = (lines.groupBy(*keys, item)
-              .agg(F.count_distinct(basket).alias("_baskets"))
-              .where(F.col("_baskets") >= min_count)
-              .select(*keys, item))
-    return lines.join(counts, [*keys, item], "left_semi")
+                  min_count: int, item_counts: Optional[DataFrame] = None) -> DataFrame:
+    """Keep lines of items found in >= ``min_count`` distinct baskets of their key group.
+
+    ``item_counts`` -- (keys, item, count) already computed over the same
+    lines (e.g. the item supports a caller also joins for its metrics); passing
+    it lets both uses share one aggregation.
+    """
+    if item_counts is None:
+        item_counts = item_supports(lines, basket, item, keys=keys)
+    count_col = [c for c in item_counts.columns if c not in (*keys, item)][0]
+    keep = item_counts.where(F.col(count_col) >= min_count).select(*keys, item)
+    return lines.join(keep, [*keys, item], "left_semi")
+
+
+@dataclass(frozen=True)
+class BasketProfile:
+    """What one pass over the lines says about the baskets.
+
+    ``baskets``   -- distinct non-null basket ids (a bounded scalar)
+    ``oversized`` -- (basket, _chunks) for baskets above the row bound, or None
+
+    A profile of a line table also serves any subset of its lines: a basket
+    can only shrink, so the oversized list stays a superset (the chunk path is
+    exact for baskets of any size).
+    """
+    baskets: int
+    oversized: Optional[DataFrame]
+    max_row_items: int
+
+
+def basket_profile(lines: DataFrame, basket: str = "order_id",
+                   max_row_items: int = MAX_ROW_ITEMS) -> BasketProfile:
+    """One aggregation by basket; fetches one row, plus the oversized ids only
+    when there are at most ``MAX_SPLIT_BASKETS`` of them."""
+    sizes = (lines.where(F.col(basket).isNotNull()).groupBy(basket)
+             .agg(F.count(F.lit(1)).alias("_k")))
+    stats = sizes.agg(F.count(F.lit(1)).alias("baskets"),
+                      F.count(F.when(F.col("_k") > max_row_items, 1)).alias("big")).first()
+    big = sizes.where(F.col("_k") > max_row_items)
+    chunks = F.ceil(F.col("_k") / F.lit(max_row_items)).cast("int").alias("_chunks")
+    if stats["big"] == 0:
+        oversized = None
+    elif stats["big"] <= MAX_SPLIT_BASKETS:
+        fetched = lines.sparkSession.createDataFrame(big.collect(), big.schema)
+        oversized = F.broadcast(fetched.select(basket, chunks))
+    else:
+        oversized = big.select(basket, chunks)
+    return BasketProfile(int(stats["baskets"]), oversized, max_row_items)
 
 
 def oversized_baskets(lines: DataFrame, basket: str, max_row_items: int) -> Optional[DataFrame]:
     """``(basket, _chunks)`` for baskets above ``max_row_items`` lines, or None."""
-    big = (lines.groupBy(basket).agg(F.count(F.lit(1)).alias("_k"))
-           .where(F.col("_k") > max_row_items))
-    rows = big.limit(MAX_SPLIT_BASKETS + 1).collect()
-    if not rows:
-        return None
-    chunks = F.ceil(F.col("_k") / F.lit(max_row_items)).cast("int").alias("_chunks")
-    if len(rows) <= MAX_SPLIT_BASKETS:
-        spark = lines.sparkSession
-        fetched = spark.createDataFrame(rows, big.schema)
-        return F.broadcast(fetched.select(basket, chunks))
-    return big.select(basket, chunks)
+    return basket_profile(lines, basket, max_row_items).oversized
 
 
 def _combos_in_row(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -130,19 +162,25 @@ def itemset_counts(lines: DataFrame, n: int, *, basket: str = "order_id",
                    item: str = "product_id", keys: Iterable[str] = (),
                    min_count: int = 1, prune: bool = True,
                    count_col: str = "count",
-                   max_row_items: int = MAX_ROW_ITEMS) -> DataFrame:
+                   max_row_items: int = MAX_ROW_ITEMS,
+                   profile: Optional[BasketProfile] = None,
+                   item_counts: Optional[DataFrame] = None) -> DataFrame:
     """``(keys..., item_1 < ... < item_n, count_col)``: distinct baskets per set.
 
     ``keys`` must be functions of the basket (e.g. its time slot); counts are
     per key group.  Only sets with ``count >= min_count`` are returned.
+    ``profile`` -- a ``basket_profile`` of these lines or of a superset;
+    ``item_counts`` -- (keys, item, count) over these lines, reused for pruning.
     """
     n = check_itemset_size(n)
     keys = list(keys)
     base = basket_lines(lines, basket, item, keys)
     if prune and min_count > 1:
-        base = frequent_only(base, basket, item, keys, min_count)
+        base = frequent_only(base, basket, item, keys, min_count, item_counts)
 
-    split = oversized_baskets(base, basket, max_row_items)
+    if profile is None or profile.max_row_items != max_row_items:
+        profile = basket_profile(lines, basket, max_row_items)
+    split = profile.oversized
     normal = base if split is None else base.join(split.select(basket), basket, "left_anti")
     rows = (normal.groupBy(*keys, basket)
             .agg(F.array_sort(F.collect_set(item)).alias("_items"))
@@ -158,9 +196,9 @@ def itemset_counts(lines: DataFrame, n: int, *, basket: str = "order_id",
 
 
 def item_supports(lines: DataFrame, basket: str = "order_id", item: str = "product_id",
-                  name: str = "support_count") -> DataFrame:
-    """Distinct baskets per item."""
-    return (lines.where(F.col(item).isNotNull()).groupBy(item)
+                  name: str = "support_count", keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct baskets per item (per key group)."""
+    return (lines.where(F.col(item).isNotNull()).groupBy(*keys, item)
             .agg(F.count_distinct(basket).alias(name)))
 
 

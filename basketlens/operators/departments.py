@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import itemset_counts, member_names, with_members
+from basketlens.operators.cooccur import (basket_profile, item_supports, itemset_counts,
+                                          member_names, with_members)
 
 
 def department_lines(ds: Dataset) -> DataFrame:
@@ -27,18 +28,16 @@ def department_lines(ds: Dataset) -> DataFrame:
             .select("order_id", "department"))
 
 
-def _basket_count(lines: DataFrame) -> DataFrame:
-    return F.broadcast(lines.agg(F.count_distinct("order_id").alias("_baskets")))
-
-
 def associations(ds: Dataset, n: int = 2, min_co: int = 1000, limit: Optional[int] = 50,
                  digits: Optional[int] = 2) -> DataFrame:
     """Department n-sets with co >= ``min_co``; ``support_pct`` = co * 100 / baskets."""
     n = check_itemset_size(n)
     lines = department_lines(ds)
-    sets = itemset_counts(lines, n, item="department", min_count=min_co, count_col="co_occurrence")
+    profile = basket_profile(lines)
+    sets = itemset_counts(lines, n, item="department", min_count=min_co, count_col="co_occurrence",
+                          profile=profile)
     depts = [f"dept_{i}" for i in range(1, n + 1)]
-    out = sets.crossJoin(_basket_count(lines)).select(
+    out = sets.withColumn("_baskets", F.lit(profile.baskets)).select(
         *[F.col(m).alias(d) for m, d in zip(member_names(n), depts)],
         "co_occurrence",
         M.rounded(M.percent("co_occurrence", "_baskets"), digits).alias("support_pct"),
@@ -54,12 +53,13 @@ def pairs_with_confidence(ds: Dataset, min_co_exclusive: int = 1000, limit: Opti
     co / baskets holding dept1."""
     digits = digits or {}
     lines = department_lines(ds)
+    profile = basket_profile(lines)
+    per_dept = item_supports(lines, item="department", name="_holding")
     sets = itemset_counts(lines, 2, item="department", min_count=min_co_exclusive + 1,
-                          count_col="co_occurrence")
-    per_dept = lines.groupBy("department").agg(F.count_distinct("order_id").alias("_holding"))
+                          count_col="co_occurrence", profile=profile, item_counts=per_dept)
     sets = with_members(sets, 1, per_dept, "department", {"_holding": "_holding"})
     support = M.as_double("co_occurrence") / M.as_double("_baskets")
-    out = sets.crossJoin(_basket_count(lines)).select(
+    out = sets.withColumn("_baskets", F.lit(profile.baskets)).select(
         F.col("item_1").alias("dept1"), F.col("item_2").alias("dept2"), "co_occurrence",
         M.rounded(support * F.lit(100.0), digits.get("support_pct", 2)).alias("support_pct"),
         M.rounded(M.as_double("co_occurrence") / M.as_double("_holding"),

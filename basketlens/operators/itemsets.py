@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from basketlens.config import AnalysisConfig, check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (item_supports, itemset_counts, member_names,
-                                          total_baskets, with_members)
+from basketlens.operators.cooccur import (basket_profile, item_supports, itemset_counts,
+                                          member_names, with_members)
 
 METRICS = ("lift", "support", "confidence", "co_occurrence")
 DEFAULT_DIGITS = {"support": 6, "confidence": 4, "lift": 4}
@@ -41,10 +41,13 @@ def scored_itemsets(ds: Dataset, n: int, min_co: int, digits: Optional[dict] = D
     n = check_itemset_size(n)
     digits = digits or {}
     lines = ds.order_products_prior
-    sets = itemset_counts(lines, n, min_count=min_co, count_col="co_occurrence", prune=prune)
-    sets = with_members(sets, n, item_supports(lines), "product_id", {"support_count": "_s{i}"})
+    profile = basket_profile(lines)
+    supports = item_supports(lines)
+    sets = itemset_counts(lines, n, min_count=min_co, count_col="co_occurrence", prune=prune,
+                          profile=profile, item_counts=supports)
+    sets = with_members(sets, n, supports, "product_id", {"support_count": "_s{i}"})
     sets = with_members(sets, n, ds.products, "product_id", {"product_name": "product_{i}"})
-    sets = sets.crossJoin(total_baskets(lines))
+    sets = sets.withColumn("total_orders", F.lit(profile.baskets))
     s = [f"_s{i}" for i in range(1, n + 1)]
     return sets.select(
         *member_names(n), *product_columns(n), "co_occurrence",
@@ -102,10 +105,13 @@ def pairs_directed(ds: Dataset, pattern: str, min_co_exclusive: int = 50, limit:
     """Pairs with co > ``min_co_exclusive`` and a member name like the pattern;
     both item counts, both confidences and lift; top ``limit`` by lift."""
     lines = ds.order_products_prior
-    sets = itemset_counts(lines, 2, min_count=min_co_exclusive + 1, count_col="co_occurrence_count")
-    sets = with_members(sets, 2, item_supports(lines), "product_id", {"support_count": "product{i}_count"})
+    profile = basket_profile(lines)
+    supports = item_supports(lines)
+    sets = itemset_counts(lines, 2, min_count=min_co_exclusive + 1, count_col="co_occurrence_count",
+                          profile=profile, item_counts=supports)
+    sets = with_members(sets, 2, supports, "product_id", {"support_count": "product{i}_count"})
     sets = with_members(sets, 2, ds.products, "product_id", {"product_name": "product_{i}"})
-    sets = sets.crossJoin(total_baskets(lines))
+    sets = sets.withColumn("total_orders", F.lit(profile.baskets))
     like = f"%{pattern}%"
     sets = sets.where(F.col("product_1").like(like) | F.col("product_2").like(like))
     out = sets.select(

@@ -12,8 +12,8 @@ from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (MAX_ROW_ITEMS, item_supports, itemset_counts,
-                                          oversized_baskets, total_baskets, with_members)
+from basketlens.operators.cooccur import (MAX_ROW_ITEMS, basket_profile, item_supports,
+                                          itemset_counts, oversized_baskets, with_members)
 
 
 def _names_and_departments(ds: Dataset, sets: DataFrame, n: int) -> DataFrame:
@@ -126,7 +126,8 @@ def reorder(ds: Dataset, n: int = 2, min_count: int = 100, limit: Optional[int]
     """N-sets where every member line was a reorder; known departments only."""
     n = check_itemset_size(n)
     lines = ds.order_products_prior.where(F.col("reordered") == 1)
-    sets = itemset_counts(lines, n, min_count=min_count, count_col="reorder_count")
+    sets = itemset_counts(lines, n, min_count=min_count, count_col="reorder_count",
+                          profile=basket_profile(ds.order_products_prior))
     sets = _names_and_departments(ds, sets, n)
     depts = [f"dept_{i}" for i in range(1, n + 1)]
     for d in depts:
@@ -150,11 +151,15 @@ def cross_department(ds: Dataset, min_lift: float = 2.5, min_count: int = 30,
     dept_of = ds.products_clean.where(F.col("department_id").isNotNull()) \
         .select("product_id", "department_id")
     lines = prior.join(dept_of, "product_id", "left_semi")
-    sets = itemset_counts(lines, 2, min_count=min_count, count_col="pair_count")
+    profile = basket_profile(prior)
+    supports = item_supports(prior)
+    # pruning counts over the kept lines equal the supports for the kept items
+    sets = itemset_counts(lines, 2, min_count=min_count, count_col="pair_count", profile=profile,
+                          item_counts=supports.join(dept_of.select("product_id"), "product_id", "left_semi"))
     sets = with_members(sets, 2, dept_of, "product_id", {"department_id": "_d{i}"})
     sets = sets.where(F.col("_d1") != F.col("_d2"))
-    sets = with_members(sets, 2, item_supports(prior), "product_id", {"support_count": "_s{i}"})
-    sets = sets.crossJoin(total_baskets(prior))
+    sets = with_members(sets, 2, supports, "product_id", {"support_count": "_s{i}"})
+    sets = sets.withColumn("total_orders", F.lit(profile.baskets))
     raw_lift = M.lift("pair_count", "total_orders", ["_s1", "_s2"])
     sets = sets.where(F.round(raw_lift, 2) > F.lit(min_lift))
     sets = with_members(sets, 2, ds.products, "product_id", {"product_name": "product_{i}"})

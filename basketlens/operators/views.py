@@ -11,7 +11,7 @@ from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
 from basketlens.operators import itemsets
-from basketlens.operators.cooccur import itemset_counts, total_baskets, with_members
+from basketlens.operators.cooccur import basket_profile, item_supports, itemset_counts, with_members
 
 # The reference's view names.
 RESULT_VIEWS = {
@@ -30,9 +30,11 @@ def pair_labels(ds: Dataset, min_co_exclusive: int = 100, limit: Optional[int] =
                 digits: Optional[int] = 4, view: Optional[str] = "top_associations") -> DataFrame:
     """O29: 'name1 → name2', co > ``min_co_exclusive``, support; top by co."""
     lines = ds.order_products_prior
-    sets = itemset_counts(lines, 2, min_count=min_co_exclusive + 1, count_col="co_occurrence")
+    profile = basket_profile(lines)
+    sets = itemset_counts(lines, 2, min_count=min_co_exclusive + 1, count_col="co_occurrence",
+                          profile=profile, item_counts=item_supports(lines))
     sets = with_members(sets, 2, ds.products, "product_id", {"product_name": "product_{i}"})
-    out = sets.crossJoin(total_baskets(lines)).select(
+    out = sets.withColumn("total_orders", F.lit(profile.baskets)).select(
         L.association_label(["product_1", "product_2"]).alias("product_pair"),
         "co_occurrence",
         M.rounded(M.support("co_occurrence", "total_orders"), digits).alias("support"),
