@@ -43,6 +43,22 @@ from basketlens.config import check_itemset_size
 # Fixed engineering limits (not reference values).
 MAX_ROW_ITEMS = 4096          # items one basket array may hold
 MAX_SPLIT_BASKETS = 100_000   # oversized baskets fetched and broadcast by id
+MAX_BROADCAST_ROWS = 2_000_000  # per-item tables broadcast after a measured count
+
+
+def pinned(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Materialize a per-item aggregate once and size it.
+
+    The table is checkpointed to the session's checkpoint folder (lineage cut,
+    survives executor loss), counted, and hinted for broadcast only when the
+    measured row count is within ``max_rows``; otherwise joins against it
+    shuffle.  Used for item supports and pruning sets, whose size follows the
+    catalog rather than the line table.
+    """
+    from basketlens.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    table = df.checkpoint(eager=True)
+    return F.broadcast(table) if table.count() <= max_rows else table
 
 
 def member_names(n: int, prefix: str = "item_") -> List[str]:
@@ -62,7 +78,7 @@ def frequent_only(lines: DataFrame, basket: str, item: str, keys: Sequence[str],
     it lets both uses share one aggregation.
     """
     if item_counts is None:
-        item_counts = item_supports(lines, basket, item, keys=keys)
+        item_counts = pinned(item_supports(lines, basket, item, keys=keys))
     count_col = [c for c in item_counts.columns if c not in (*keys, item)][0]
     keep = item_counts.where(F.col(count_col) >= min_count).select(*keys, item)
     return lines.join(keep, [*keys, item], "left_semi")

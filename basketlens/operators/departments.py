@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (basket_profile, item_supports, itemset_counts,
+from basketlens.operators.cooccur import (pinned, basket_profile, item_supports, itemset_counts,
                                           member_names, with_members)
 
 
@@ -54,7 +54,7 @@ def pairs_with_confidence(ds: Dataset, min_co_exclusive: int = 1000, limit: Opti
     digits = digits or {}
     lines = department_lines(ds)
     profile = basket_profile(lines)
-    per_dept = item_supports(lines, item="department", name="_holding")
+    per_dept = pinned(item_supports(lines, item="department", name="_holding"))
     sets = itemset_counts(lines, 2, item="department", min_count=min_co_exclusive + 1,
                           count_col="co_occurrence", profile=profile, item_counts=per_dept)
     sets = with_members(sets, 1, per_dept, "department", {"_holding": "_holding"})

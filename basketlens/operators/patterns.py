@@ -12,7 +12,7 @@ from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (MAX_ROW_ITEMS, basket_profile, item_supports,
+from basketlens.operators.cooccur import (pinned, MAX_ROW_ITEMS, basket_profile, item_supports,
                                           itemset_counts, oversized_baskets, with_members)
 
 
@@ -152,10 +152,11 @@ def cross_department(ds: Dataset, min_lift: float = 2.5, min_count: int = 30,
         .select("product_id", "department_id")
     lines = prior.join(dept_of, "product_id", "left_semi")
     profile = basket_profile(prior)
-    supports = item_supports(prior)
+    supports = pinned(item_supports(prior))
     # pruning counts over the kept lines equal the supports for the kept items
     sets = itemset_counts(lines, 2, min_count=min_count, count_col="pair_count", profile=profile,
-                          item_counts=supports.join(dept_of.select("product_id"), "product_id", "left_semi"))
+                          item_counts=pinned(supports.join(dept_of.select("product_id"), "product_id",
+                                                             "left_semi")))
     sets = with_members(sets, 2, dept_of, "product_id", {"department_id": "_d{i}"})
     sets = sets.where(F.col("_d1") != F.col("_d2"))
     sets = with_members(sets, 2, supports, "product_id", {"support_count": "_s{i}"})
