@@ -121,7 +121,9 @@ class Dataset:
     def prior_orders(self) -> DataFrame:
         return self.orders.filter(F.col("eval_set") == "prior")
 
-    def prior_lines_of_prior_orders(self) -> DataFrame:
-        """Prior lines joined to orders marked ``prior`` (the filtered analyses)."""
-        return self.order_products_prior.join(
-            self.prior_orders.select("order_id"), "order_id", "left_semi")
+    def prior_lines_of_prior_orders(self, profile=None) -> DataFrame:
+        """Prior lines of orders marked ``prior`` (the filtered analyses); hot
+        orders are joined apart (see ``operators.cooccur.join_baskets``)."""
+        from basketlens.operators.cooccur import join_baskets
+        return join_baskets(self.order_products_prior, self.prior_orders.select("order_id"),
+                            how="left_semi", profile=profile)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
+from basketlens.operators.cooccur import join_baskets
 
 
 def by_name(ds: Dataset, view: Optional[str] = "baskets") -> DataFrame:
@@ -29,8 +30,7 @@ def market_baskets(ds: Dataset, min_size: int = 2, view: Optional[str] = "market
     """Per prior order and user, the product names and ids in cart order
     (aligned) and the number of lines; orders with fewer than ``min_size``
     lines are dropped."""
-    lines = (ds.prior_orders.select("order_id", "user_id")
-             .join(ds.order_products_prior, "order_id")
+    lines = (join_baskets(ds.order_products_prior, ds.prior_orders.select("order_id", "user_id"))
              .join(ds.products.select("product_id", "product_name"), "product_id"))
     out = (lines.groupBy("order_id", "user_id")
            .agg(F.array_sort(F.collect_list(F.struct("add_to_cart_order", "product_id",
@@ -52,8 +52,7 @@ def transactions(ds: Dataset, max_n: Optional[int] = None) -> DataFrame:
     ``max_n`` keeps the ``max_n`` lowest order ids (repeatable); None or 0
     keeps every transaction.
     """
-    out = (ds.prior_orders.select("order_id")
-           .join(ds.order_products_prior.select("order_id", "product_id"), "order_id")
+    out = (ds.prior_lines_of_prior_orders().select("order_id", "product_id")
            .groupBy("order_id")
            .agg(F.array_sort(F.collect_set(F.col("product_id").cast("string"))).alias("items"),
                 F.count(F.lit(1)).alias("_lines"))

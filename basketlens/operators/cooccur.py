@@ -98,6 +98,7 @@ class BasketProfile:
     baskets: int
     oversized: Optional[DataFrame]
     max_row_items: int
+    fetched: bool = True  # oversized ids were fetched (bounded) rather than left lazy
 
 
 def basket_profile(lines: DataFrame, basket: str = "order_id",
@@ -116,10 +117,32 @@ def basket_profile(lines: DataFrame, basket: str = "order_id",
         fetched = lines.sparkSession.createDataFrame(big.collect(), big.schema)
         oversized = F.broadcast(fetched.select(basket, chunks))
     else:
-        oversized = big.select(basket, chunks)
+        return BasketProfile(int(stats["baskets"]), big.select(basket, chunks), max_row_items, False)
     return BasketProfile(int(stats["baskets"]), oversized, max_row_items)
 
 
+def join_baskets(lines: DataFrame, baskets: DataFrame, basket: str = "order_id",
+                 how: str = "inner", profile: Optional[BasketProfile] = None) -> DataFrame:
+    """``lines`` joined to a one-row-per-basket table, hot baskets kept apart.
+
+    A plain join on the basket id sends all lines of one basket to one task.
+    Lines of the oversized baskets named by ``profile`` (a profile of these
+    lines or of a superset) instead meet their basket rows in a broadcast join
+    of just those rows -- at most ``MAX_SPLIT_BASKETS`` of them -- on the map
+    side; all other lines use the planner's join.  ``how`` is ``inner``,
+    ``left`` or ``left_semi``.
+    """
+    if profile is None:
+        profile = basket_profile(lines, basket)
+    if profile.oversized is None or not profile.fetched:
+        return lines.join(baskets, basket, how)
+    hot_ids = profile.oversized.select(basket)
+    hot_rows = F.broadcast(baskets.join(hot_ids, basket, "left_semi"))
+    cold = lines.join(hot_ids, basket, "left_anti").join(baskets, basket, how)
+    hot = lines.join(hot_ids, basket, "left_semi").join(hot_rows, basket, how)
+    return cold.unionByName(hot)
+
+
 def oversized_baskets(lines: DataFrame, basket: str, max_row_items: int) -> Optional[DataFrame]:
     """``(basket, _chunks)`` for baskets above ``max_row_items`` lines, or None."""
     return basket_profile(lines, basket, max_row_items).oversized

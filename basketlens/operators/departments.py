@@ -20,9 +20,9 @@ from basketlens.operators.cooccur import (pinned, basket_profile, item_supports,
                                           member_names, with_members)
 
 
-def department_lines(ds: Dataset) -> DataFrame:
+def department_lines(ds: Dataset, profile=None) -> DataFrame:
     """(order_id, department) for every prior line of a prior order."""
-    return (ds.prior_lines_of_prior_orders()
+    return (ds.prior_lines_of_prior_orders(profile)
             .join(ds.products_clean.select("product_id", "department_id"), "product_id")
             .join(ds.departments, "department_id")
             .select("order_id", "department"))
@@ -32,7 +32,9 @@ def associations(ds: Dataset, n: int = 2, min_co: int = 1000, limit: Optional[in
                  digits: Optional[int] = 2) -> DataFrame:
     """Department n-sets with co >= ``min_co``; ``support_pct`` = co * 100 / baskets."""
     n = check_itemset_size(n)
-    lines = department_lines(ds)
+    prior_profile = basket_profile(ds.order_products_prior)
+    lines = department_lines(ds, prior_profile)
+    # the basket total of the department lines; oversized ids from the prior lines
     profile = basket_profile(lines)
     sets = itemset_counts(lines, n, item="department", min_count=min_co, count_col="co_occurrence",
                           profile=profile)
@@ -52,7 +54,9 @@ def pairs_with_confidence(ds: Dataset, min_co_exclusive: int = 1000, limit: Opti
     ``support_pct`` = (co / baskets) * 100, ``confidence_dept1_to_dept2`` =
     co / baskets holding dept1."""
     digits = digits or {}
-    lines = department_lines(ds)
+    prior_profile = basket_profile(ds.order_products_prior)
+    lines = department_lines(ds, prior_profile)
+    # the basket total of the department lines; oversized ids from the prior lines
     profile = basket_profile(lines)
     per_dept = pinned(item_supports(lines, item="department", name="_holding"))
     sets = itemset_counts(lines, 2, item="department", min_count=min_co_exclusive + 1,

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
+from basketlens.operators.cooccur import join_baskets
 
 
 def top_k_per_user(ds: Dataset, k: int = 10) -> DataFrame:
     """(user_id, recommended_products) -- ranked inside each user's
     (user, product) counts, at most one row per catalog item."""
-    freq = (ds.orders.select("order_id", "user_id")
-            .join(ds.order_products_prior.select("order_id", "product_id"), "order_id")
+    freq = (join_baskets(ds.order_products_prior.select("order_id", "product_id"),
+                         ds.orders.select("order_id", "user_id"))
             .groupBy("user_id", "product_id")
             .agg(F.count(F.lit(1)).alias("purchase_frequency")))
     w = Window.partitionBy("user_id").orderBy(F.col("purchase_frequency").desc(), "product_id")

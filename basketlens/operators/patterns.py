@@ -13,7 +13,8 @@ from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
 from basketlens.operators.cooccur import (pinned, MAX_ROW_ITEMS, basket_profile, item_supports,
-                                          itemset_counts, oversized_baskets, with_members)
+                                          itemset_counts, join_baskets, oversized_baskets,
+                                          with_members)
 
 
 def _names_and_departments(ds: Dataset, sets: DataFrame, n: int) -> DataFrame:
@@ -36,9 +37,10 @@ def temporal(ds: Dataset, n: int = 2, min_count: int = 50, limit: Optional[int]
         L.time_period("order_hour_of_day").alias("time_period"),
         L.day_type("order_dow").alias("day_type"),
     )
-    lines = ds.order_products_prior.join(slots, "order_id")
+    profile = basket_profile(ds.order_products_prior)
+    lines = join_baskets(ds.order_products_prior, slots, profile=profile)
     sets = itemset_counts(lines, n, keys=["time_period", "day_type"], min_count=min_count,
-                          count_col="pattern_count")
+                          count_col="pattern_count", profile=profile)
     sets = _names_and_departments(ds, sets, n)
     products = [f"product_{i}" for i in range(1, n + 1)]
     out = sets.select(

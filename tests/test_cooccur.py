@@ -72,3 +72,16 @@ def test_null_items_ignored(spark):
     df = spark.createDataFrame([(1, 1), (1, None), (1, 2)], "order_id long, product_id long")
     assert as_dict(itemset_counts(df, 2), 2) == {(1, 2): 1}
     assert itemset_counts(df.where(F.lit(False)), 2).count() == 0
+
+
+def test_join_baskets_hot_path_matches_plain_join(small):
+    from basketlens.operators.cooccur import basket_profile, join_baskets
+    lines = small.order_products_prior
+    orders = small.orders.select("order_id", "user_id", "order_dow")
+    hot = basket_profile(lines, max_row_items=3)  # every order above 3 lines is "hot"
+    assert hot.oversized is not None and hot.fetched
+    for how in ("inner", "left", "left_semi"):
+        plain = sorted(tuple(r) for r in lines.join(orders, "order_id", how).collect())
+        split = join_baskets(lines, orders, how=how, profile=hot)
+        assert sorted(tuple(r) for r in split.select(*lines.join(orders, "order_id", how).columns)
+                      .collect()) == plain
