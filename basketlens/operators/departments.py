@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (pinned, basket_profile, item_supports, itemset_counts,
-                                          member_names, with_members)
+from basketlens.operators.cooccur import (basket_profile, item_supports, itemset_counts,
+                                          member_names, pinned, total_baskets, with_members)
 
 
 def department_lines(ds: Dataset, profile=None) -> DataFrame:
@@ -32,14 +32,12 @@ def associations(ds: Dataset, n: int = 2, min_co: int = 1000, limit: Optional[in
                  digits: Optional[int] = 2) -> DataFrame:
     """Department n-sets with co >= ``min_co``; ``support_pct`` = co * 100 / baskets."""
     n = check_itemset_size(n)
-    prior_profile = basket_profile(ds.order_products_prior)
-    lines = department_lines(ds, prior_profile)
-    # the basket total of the department lines; oversized ids from the prior lines
-    profile = basket_profile(lines)
+    profile = basket_profile(ds.order_products_prior)  # oversized orders (a superset)
+    lines = department_lines(ds, profile)
     sets = itemset_counts(lines, n, item="department", min_count=min_co, count_col="co_occurrence",
                           profile=profile)
     depts = [f"dept_{i}" for i in range(1, n + 1)]
-    out = sets.withColumn("_baskets", F.lit(profile.baskets)).select(
+    out = sets.crossJoin(total_baskets(lines, name="_baskets")).select(
         *[F.col(m).alias(d) for m, d in zip(member_names(n), depts)],
         "co_occurrence",
         M.rounded(M.percent("co_occurrence", "_baskets"), digits).alias("support_pct"),
@@ -54,16 +52,14 @@ def pairs_with_confidence(ds: Dataset, min_co_exclusive: int = 1000, limit: Opti
     ``support_pct`` = (co / baskets) * 100, ``confidence_dept1_to_dept2`` =
     co / baskets holding dept1."""
     digits = digits or {}
-    prior_profile = basket_profile(ds.order_products_prior)
-    lines = department_lines(ds, prior_profile)
-    # the basket total of the department lines; oversized ids from the prior lines
-    profile = basket_profile(lines)
+    profile = basket_profile(ds.order_products_prior)  # oversized orders (a superset)
+    lines = department_lines(ds, profile)
     per_dept = pinned(item_supports(lines, item="department", name="_holding"))
     sets = itemset_counts(lines, 2, item="department", min_count=min_co_exclusive + 1,
                           count_col="co_occurrence", profile=profile, item_counts=per_dept)
     sets = with_members(sets, 1, per_dept, "department", {"_holding": "_holding"})
     support = M.as_double("co_occurrence") / M.as_double("_baskets")
-    out = sets.withColumn("_baskets", F.lit(profile.baskets)).select(
+    out = sets.crossJoin(total_baskets(lines, name="_baskets")).select(
         F.col("item_1").alias("dept1"), F.col("item_2").alias("dept2"), "co_occurrence",
         M.rounded(support * F.lit(100.0), digits.get("support_pct", 2)).alias("support_pct"),
         M.rounded(M.as_double("co_occurrence") / M.as_double("_holding"),
