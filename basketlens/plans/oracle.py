@@ -223,7 +223,7 @@ def _names_depts(n: int) -> str:
     return j
 
 
-def temporal(n: int, min_count: int, limit: int = 200) -> str:
+def temporal(n: int, min_count: int, limit: Optional[int] = 200) -> str:
     products = [f"product_{i}" for i in range(1, n + 1)]
     body = (
         "slots AS (\n"
@@ -243,7 +243,8 @@ def temporal(n: int, min_count: int, limit: int = 200) -> str:
     select = (f"SELECT sets.time_period, sets.day_type, {sel}, sets.co AS pattern_count, {dsel},\n"
               "  sets.day_type || ' - ' || sets.time_period AS shopping_context\n"
               f"FROM sets{_names_depts(n)}\n"
-              f"ORDER BY pattern_count DESC, time_period, day_type, {', '.join(products)}\nLIMIT {limit}")
+              f"ORDER BY pattern_count DESC, time_period, day_type, {', '.join(products)}\n"
+              + (f"LIMIT {limit}" if limit else ""))
     return with_fixture(body, select)
 
 
@@ -529,3 +530,25 @@ def rec_quality(k: int = 10) -> str:
         f"  {r9('AVG(' + D(hits) + ' / ' + D('len(t.actual)') + ')')} AS avg_recall\n"
         "FROM tb t JOIN rc r ON t.user_id = r.user_id")
     return with_fixture(body, select)
+
+
+def top_rules(min_support: float, min_conf: float, min_lift: float, limit: int = 20) -> str:
+    # ranked with a window: DuckDB stalls on ORDER BY ... LIMIT over these CTEs
+    return with_fixture(_rules(min_support, min_conf, min_lift), (
+        "SELECT antecedent, consequent, confidence, lift, support FROM (\n"
+        "  SELECT *, ROW_NUMBER() OVER (ORDER BY lift DESC, antecedent, consequent) AS rn FROM kept) r\n"
+        f"WHERE rn <= {limit}"))
+
+
+def itemsets_of_size_top(min_support: float, n: int, limit: int) -> str:
+    return with_fixture(_frequent_itemsets(min_support), (
+        "SELECT items, freq FROM (\n"
+        "  SELECT k AS items, freq, ROW_NUMBER() OVER (ORDER BY freq DESC, k) AS rn\n"
+        f"  FROM fk WHERE len(members) = {n}) r\nWHERE rn <= {limit}"))
+
+
+def temporal_slice(n: int, min_count: int, day_type: str, period: str, limit: int = 15) -> str:
+    products = ", ".join(f"product_{i}" for i in range(1, n + 1))
+    return (f"SELECT * FROM ({temporal(n, min_count, None)}) t\n"
+            f"WHERE day_type = '{day_type}' AND time_period = '{period}'\n"
+            f"ORDER BY pattern_count DESC, {products} LIMIT {limit}")

@@ -257,6 +257,45 @@ def _rec_quality(ds):
                       F.round("avg_recall", 9).alias("avg_recall"))
 
 
+# ----------------------------------------------------------------- top-k reports
+@register("top_rules", O.top_rules(FP.min_support, FP.min_confidence, FP.min_lift, 20))
+def _top_rules(ds):
+    _, rules_df, _ = _mined(ds)
+    return rules.top(rules_df, "lift", 20).select(
+        F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"),
+        F.array_join("consequent", ",").alias("consequent"), "confidence", "lift", "support")
+
+
+@register("fp_triplets_top20", O.itemsets_of_size_top(FP.min_support, 3, 20))
+def _fp_triplets(ds):
+    itemsets_df, _, _ = _mined(ds)
+    return rules.of_size(itemsets_df, 3, 20).select(
+        F.array_join(F.array_sort("items"), ",").alias("items"), "freq")
+
+
+@register("temporal_weekend_evening",
+          O.temporal_slice(2, 5, "Weekend", "Evening (6-9pm)", 15))
+def _weekend_evening(ds):
+    t = patterns.temporal(ds, 2, min_count=5, limit=None)
+    return (t.where((F.col("day_type") == "Weekend") & (F.col("time_period") == "Evening (6-9pm)"))
+            .orderBy(F.col("pattern_count").desc(), "product_1", "product_2").limit(15))
+
+
+@register("quick_pairs", O.itemsets(2, 30, limit=100))
+def _quick_pairs(ds):
+    return itemsets.pairs(ds, min_co=30, limit=100, digits=RAW)
+
+
+@register("quick_triplets", O.itemsets(3, 5, limit=100))
+def _quick_triplets(ds):
+    return itemsets.triplets(ds, min_co=5, limit=100, digits=RAW)
+
+
+@register("quick_quadruplets", O.itemsets(4, 2, limit=100))
+def _quick_quads(ds):
+    return itemsets.quadruplets(ds, min_co=2, limit=100, digits=RAW)
+
+
 def queries() -> Dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 
