@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
+from basketlens.operators.cooccur import join_baskets
 
 
 def history(ds: Dataset, user_id: int) -> DataFrame:
@@ -36,7 +37,14 @@ def _strength(lines: DataFrame, owned: DataFrame, keys: list) -> DataFrame:
     """(keys, product_id, association_strength) for items not in ``owned``."""
     touching = (lines.select("order_id", "product_id").join(owned, "product_id")
                 .select(*keys, "order_id").distinct())
-    return (touching.join(lines.select("order_id", "product_id"), "order_id")
+    pairs = lines.select("order_id", "product_id")
+    if keys:
+        # one row per (user, order): the order side is not one row per order
+        in_touching = touching.join(pairs, "order_id")
+    else:
+        # one row per order: hot orders meet the touching set apart
+        in_touching = join_baskets(pairs, touching, how="left_semi")
+    return (in_touching
             .join(owned, [*keys, "product_id"], "left_anti")
             .groupBy(*keys, "product_id")
             .agg(F.count_distinct("order_id").alias("association_strength")))
