@@ -32,6 +32,7 @@ joined with a shuffle.
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass
 from typing import Iterable, List, Optional, Sequence
 
@@ -46,6 +47,23 @@ MAX_SPLIT_BASKETS = 100_000   # oversized baskets fetched and broadcast by id
 MAX_BROADCAST_ROWS = 2_000_000  # per-item tables broadcast after a measured count
 
 
+# Per line-table results that cost a pass over the lines (basket profile, pinned
+# item supports), shared by the analyses that receive the same DataFrame object
+# (e.g. every analysis of one Dataset).  Keyed by object identity and dropped
+# with the DataFrame; a new DataFrame over the same files computes afresh.
+_PER_LINES: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary()
+
+
+def _memo(lines: DataFrame, key: tuple, compute):
+    try:
+        slot = _PER_LINES.setdefault(lines, {})
+    except TypeError:  # not weak-referenceable: no sharing
+        return compute()
+    if key not in slot:
+        slot[key] = compute()
+    return slot[key]
+
+
 def pinned(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Materialize a per-item aggregate once and size it.
 
@@ -103,6 +121,12 @@ class BasketProfile:
 
 def basket_profile(lines: DataFrame, basket: str = "order_id",
                    max_row_items: int = MAX_ROW_ITEMS) -> BasketProfile:
+    """Profile of ``lines`` (shared across analyses of the same DataFrame object)."""
+    return _memo(lines, ("profile", basket, max_row_items),
+                 lambda: _basket_profile(lines, basket, max_row_items))
+
+
+def _basket_profile(lines: DataFrame, basket: str, max_row_items: int) -> BasketProfile:
     """One aggregation by basket; fetches one row, plus the oversized ids only
     when there are at most ``MAX_SPLIT_BASKETS`` of them."""
     sizes = (lines.where(F.col(basket).isNotNull()).groupBy(basket)
@@ -234,6 +258,13 @@ def itemset_counts(lines: DataFrame, n: int, *, basket: str = "order_id",
     return counts
 
 
+def pinned_supports(lines: DataFrame, basket: str = "order_id", item: str = "product_id",
+                    name: str = "support_count", keys: Sequence[str] = ()) -> DataFrame:
+    """``pinned(item_supports(...))``, shared across analyses of the same lines."""
+    return _memo(lines, ("supports", basket, item, name, tuple(keys)),
+                 lambda: pinned(item_supports(lines, basket, item, name, keys)))
+
+
 def item_supports(lines: DataFrame, basket: str = "order_id", item: str = "product_id",
                   name: str = "support_count", keys: Sequence[str] = ()) -> DataFrame:
     """Distinct baskets per item (per key group)."""

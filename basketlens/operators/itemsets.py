@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from basketlens.config import AnalysisConfig, check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (pinned, basket_profile, item_supports, itemset_counts,
-                                          member_names, with_members)
+from basketlens.operators.cooccur import (basket_profile, itemset_counts, member_names,
+                                          pinned_supports, with_members)
 
 METRICS = ("lift", "support", "confidence", "co_occurrence")
 DEFAULT_DIGITS = {"support": 6, "confidence": 4, "lift": 4}
@@ -42,7 +42,7 @@ def scored_itemsets(ds: Dataset, n: int, min_co: int, digits: Optional[dict] = D
     digits = digits or {}
     lines = ds.order_products_prior
     profile = basket_profile(lines)
-    supports = pinned(item_supports(lines))
+    supports = pinned_supports(lines)
     sets = itemset_counts(lines, n, min_count=min_co, count_col="co_occurrence", prune=prune,
                           profile=profile, item_counts=supports)
     sets = with_members(sets, n, supports, "product_id", {"support_count": "_s{i}"})
@@ -106,7 +106,7 @@ def pairs_directed(ds: Dataset, pattern: str, min_co_exclusive: int = 50, limit:
     both item counts, both confidences and lift; top ``limit`` by lift."""
     lines = ds.order_products_prior
     profile = basket_profile(lines)
-    supports = pinned(item_supports(lines))
+    supports = pinned_supports(lines)
     sets = itemset_counts(lines, 2, min_count=min_co_exclusive + 1, count_col="co_occurrence_count",
                           profile=profile, item_counts=supports)
     sets = with_members(sets, 2, supports, "product_id", {"support_count": "product{i}_count"})

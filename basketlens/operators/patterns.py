@@ -12,9 +12,9 @@ from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (pinned, MAX_ROW_ITEMS, basket_profile, item_supports,
+from basketlens.operators.cooccur import (MAX_ROW_ITEMS, basket_profile, item_supports,
                                           itemset_counts, join_baskets, oversized_baskets,
-                                          with_members)
+                                          pinned, pinned_supports, with_members)
 
 
 def _names_and_departments(ds: Dataset, sets: DataFrame, n: int) -> DataFrame:
@@ -154,7 +154,7 @@ def cross_department(ds: Dataset, min_lift: float = 2.5, min_count: int = 30,
         .select("product_id", "department_id")
     lines = prior.join(dept_of, "product_id", "left_semi")
     profile = basket_profile(prior)
-    supports = pinned(item_supports(prior))
+    supports = pinned_supports(prior)
     # pruning counts over the kept lines equal the supports for the kept items
     sets = itemset_counts(lines, 2, min_count=min_count, count_col="pair_count", profile=profile,
                           item_counts=pinned(supports.join(dept_of.select("product_id"), "product_id",

@@ -11,7 +11,8 @@ from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
 from basketlens.operators import itemsets
-from basketlens.operators.cooccur import pinned, basket_profile, item_supports, itemset_counts, with_members
+from basketlens.operators.cooccur import (basket_profile, itemset_counts, pinned_supports,
+                                          with_members)
 
 # The reference's view names.
 RESULT_VIEWS = {
@@ -32,7 +33,7 @@ def pair_labels(ds: Dataset, min_co_exclusive: int = 100, limit: Optional[int] =
     lines = ds.order_products_prior
     profile = basket_profile(lines)
     sets = itemset_counts(lines, 2, min_count=min_co_exclusive + 1, count_col="co_occurrence",
-                          profile=profile, item_counts=pinned(item_supports(lines)))
+                          profile=profile, item_counts=pinned_supports(lines))
     sets = with_members(sets, 2, ds.products, "product_id", {"product_name": "product_{i}"})
     out = sets.withColumn("total_orders", F.lit(profile.baskets)).select(
         L.association_label(["product_1", "product_2"]).alias("product_pair"),
