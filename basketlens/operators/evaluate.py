@@ -33,8 +33,8 @@ def top_k_per_user(ds: Dataset, k: int = 10) -> DataFrame:
 
 
 def precision_recall(ds: Dataset, k: int = 10, digits: Optional[int] = None) -> DataFrame:
-    truth = (ds.orders.select("order_id", "user_id")
-             .join(ds.order_products_train.select("order_id", "product_id"), "order_id")
+    truth = (join_baskets(ds.order_products_train.select("order_id", "product_id"),
+                          ds.orders.select("order_id", "user_id"))
              .groupBy("user_id").agg(F.collect_set("product_id").alias("actual_products")))
     joined = truth.join(top_k_per_user(ds, k), "user_id")
     hits = F.size(F.array_intersect("actual_products", "recommended_products"))
