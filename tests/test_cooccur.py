@@ -85,3 +85,24 @@ def test_join_baskets_hot_path_matches_plain_join(small):
         split = join_baskets(lines, orders, how=how, profile=hot)
         assert sorted(tuple(r) for r in split.select(*lines.join(orders, "order_id", how).columns)
                       .collect()) == plain
+
+
+def test_fallbacks_beyond_bounds(small, monkeypatch):
+    """Too many oversized baskets to fetch -> lazy split table joined by shuffle;
+    a per-item table over the broadcast bound -> not hinted.  Results stay exact."""
+    from basketlens.operators import cooccur
+    monkeypatch.setattr(cooccur, "MAX_SPLIT_BASKETS", 0)
+    lines = small.order_products_prior
+    prof = cooccur._basket_profile(lines, "order_id", 3)
+    assert prof.oversized is not None and not prof.fetched
+    baskets = {}
+    for r in lines.select("order_id", "product_id").collect():
+        baskets.setdefault(r.order_id, []).append(r.product_id)
+    for n, m in ((2, 2), (3, 2)):
+        got = as_dict(itemset_counts(lines, n, min_count=m, max_row_items=3, profile=prof), n)
+        assert got == brute(baskets, n, m)
+    from basketlens.operators.cooccur import join_baskets
+    orders = small.orders.select("order_id", "user_id")
+    assert join_baskets(lines, orders, profile=prof).count() == lines.join(orders, "order_id").count()
+    big = cooccur.pinned(cooccur.item_supports(lines), max_rows=0)
+    assert big.count() == lines.select("product_id").distinct().count()
