@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 from typing import Dict, Optional
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8,
@@ -33,22 +34,49 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every node sees, for intermediate tables and checkpoints.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system).  Only when it is unset -- local tests -- a scratch folder
-    is created and registered.
+    ``spark.checkpoint.dir`` of the session, else the checkpoint folder the
+    caller registered.  Only a session inside one machine (``local``,
+    ``local[n]``) may fall back to a temporary folder: executors of a cluster
+    cannot read the driver's disk, so there the setting is required.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="basketlens-ckpt-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basketlens-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Make sure ``checkpoint()`` has a folder; one the caller has set is kept."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A fresh sub-folder of the shared folder for one written intermediate table."""
+    return f"{shared_dir(spark)}/basketlens-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts the lineage (survives lost executors, nothing is computed twice) and
+    gives the planner the table's real size, so that joins with it are
+    broadcast only below ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables this application has written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_dir(spark)}/basketlens-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
