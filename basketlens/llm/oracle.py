@@ -30,3 +30,21 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN newest END AS refers_to
 FROM m
 """
+
+ORACLE_SQL["op2_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2),
+         lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) END AS grams FROM w),
+e AS (SELECT doc_id, unnest(grams) AS g FROM s),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+           GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN s sx ON sx.doc_id = x JOIN s sy ON sy.doc_id = y
+          WHERE 100 * c >= 85 * (len(sx.grams) + len(sy.grams) - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, least(s.doc_id, min(r.y)) AS component_id
+FROM s LEFT JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.grams
+"""

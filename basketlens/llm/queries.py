@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import mixing, quality_rules, secrets, url_filter, warc
+from basketlens.llm import mixing, ngram_join, quality_rules, secrets, url_filter, warc
 from basketlens.llm.oracle import ORACLE_SQL  # noqa: F401
 
 # Fixed by the contract of the query.
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -36,4 +40,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op7_quality_rules, op8_mix_sources, op9_url_filter, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op5_secret_scan, op7_quality_rules, op8_mix_sources, op9_url_filter, op10_warc)}
