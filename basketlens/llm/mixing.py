@@ -7,14 +7,13 @@ counted by exact length, a bounded-knapsack dynamic program decides how many
 documents of each length to take, and a seeded hash decides which ones.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
-ordered last; documents of size 0 are never worth a budget and take nothing in
-the partial pass; an empty table gives an empty result; repeated rows are
+ordered last; documents of size 0 take part in whole passes only; an empty table gives an empty result; repeated rows are
 separate documents, interchangeable where they tie in the seeded order.
 """
 
 from __future__ import annotations
 
-from typing import Iterator, Sequence
+from typing import Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,6 +26,8 @@ from basketlens.session import written
 FIT_BUDGET = 1 << 16   # words the dynamic program fits exactly; the rest goes by proportion and greedily
 SEED_BUCKETS = 4096    # hash ranges that split one (source, length) group
 
+GROUP = ["source", "size", "bucket"]
+
 
 def word_count(text: Column) -> Column:
     """Number of runs without ASCII white space; null text counts 0."""
@@ -75,6 +76,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         return np.zeros_like(counts)
     if budget >= total:
         return counts.copy()
+    counts = np.where(lengths > 0, counts, 0)
     take = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
     left = budget - int((take * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
@@ -127,51 +129,61 @@ def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
     return group[["source", "size"]].assign(passes=passes, take=take)
 
 
+def _plan(rows: DataFrame, weights: Sequence[float], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
+    """From (source, size, bucket, ...) rows: targets per source, and per
+    (source, size, bucket) the whole passes and how many more documents the
+    partial pass has open when it comes to that bucket."""
+    buckets = written(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("in_bucket")), "lengths")
+    lengths = buckets.groupBy("source", "size").agg(F.sum("in_bucket").alias("n"))
+    sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    targets = _keyed(written(source_targets(sizes, weights, share, cap), "targets"), ["source"])
+    fitted = (_match(lengths, targets, ["source"]).groupBy("source")
+              .applyInPandas(_fit_source, "source string, size long, passes long, take long"))
+    below = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = (_match(buckets, _keyed(fitted, ["source", "size"]), ["source", "size"])
+            .withColumn("before", F.coalesce(F.sum("in_bucket").over(below), F.lit(0)))
+            .select(*GROUP, "passes", (F.col("take") - F.col("before")).alias("open")))
+    return targets, _keyed(written(cuts, "cuts"), GROUP)
+
+
+def _keyed(table: DataFrame, keys: list[str]) -> DataFrame:
+    return table.withColumnsRenamed({k: f"_{k}" for k in keys})
+
+
+def _match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on ``keys`` (``_key`` on the right), null equal to null."""
+    return left.join(right, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys]).drop(*[f"_{k}" for k in keys])
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, copies)``, one row per document.
+        weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17,
+        whole_rows: bool = False) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken, copies)``, one row per document;
+    with ``whole_rows`` the rows of ``docs`` that the mix takes, and their ``copies``.
 
     ``weights`` repeat over the sources in code point order (null last);
     ``share`` of all words is given out; no source gets more than ``cap``
     times its words.  ``copies`` is how often the mix reads the document and
     ``taken`` = copies * size.  Reruns with the same ``seed`` agree.
 
-    Scale: documents cross the network once, as (id, source, size, hash) rows
-    dealt by (source, size, hash range), so neither a hot source nor a hot
-    length meets in one task.  The fit sees one row per distinct length of a
-    source -- at most sqrt(2 * words of the source) rows, since distinct
-    lengths add up.
+    Scale: documents cross the network once, dealt by (source, size, hash
+    range), so neither a hot source nor a hot length meets in one task.  The
+    fit sees one row per distinct length of a source -- at most
+    sqrt(2 * words of the source) rows, since distinct lengths add up.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       word_count(F.col(text_col)).alias("size"))
-    rows = written(rows.withColumn("seeded", F.xxhash64(F.lit(seed), "doc_id"))
-                   .withColumn("bucket", F.pmod("seeded", F.lit(SEED_BUCKETS)).cast("int")), "mix")
-    group = ["source", "size", "bucket"]
-    buckets = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("in_bucket"))
-    lengths = buckets.groupBy("source", "size").agg(F.sum("in_bucket").alias("n"))
-    sizes = (lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
-    targets = written(source_targets(sizes, weights, share, cap), "targets")
-
-    def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-        return [left[k].eqNullSafe(right[f"_{k}"]) for k in keys]
-
-    def keyed(table: DataFrame, keys: list[str]) -> DataFrame:
-        return table.withColumnsRenamed({k: f"_{k}" for k in keys})
-
-    with_target = keyed(targets, ["source"])
-    fitted = (lengths.join(with_target, same(lengths, with_target, ["source"])).drop("_source")
-              .groupBy("source").applyInPandas(_fit_source, "source string, size long, passes long, take long"))
-    plan = keyed(fitted, ["source", "size"])
-    below = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (buckets.join(plan, same(buckets, plan, ["source", "size"]))
-            .withColumn("before", F.coalesce(F.sum("in_bucket").over(below), F.lit(0)))
-            .select(*group, "passes", (F.col("take") - F.col("before")).alias("open")))
-    cuts = keyed(cuts, group)
-    ranked = rows.withColumn("rank", F.row_number().over(
-        Window.partitionBy(*group).orderBy("seeded", "doc_id")))
+    seeded = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    payload = F.struct("*") if whole_rows else F.col(id_col)
+    rows = docs.select(payload.alias("row"), F.col(source_col).alias("source"),
+                       word_count(F.col(text_col)).alias("size"), seeded.alias("seeded"))
+    rows = rows.withColumn("bucket", F.pmod("seeded", F.lit(SEED_BUCKETS)).cast("int"))
+    if not whole_rows:   # a narrow table: written once, read by the count and by the ranking
+        rows = written(rows, "mix")
+    targets, cuts = _plan(rows, weights, share, cap)
+    rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy("seeded"))
     copies = F.col("passes") + (F.col("rank") <= F.col("open")).cast("long")
-    taken = (ranked.join(cuts, same(ranked, cuts, group))
-             .select("doc_id", "source", "size", copies.alias("copies")))
-    return (taken.join(with_target, same(taken, with_target, ["source"]))
-            .select("doc_id", "size", "source_size", "target",
-                    (F.col("copies") * F.col("size")).alias("taken"), "copies"))
+    taken = _match(rows.withColumn("rank", rank), cuts, GROUP).withColumn("copies", copies)
+    if whole_rows:
+        return taken.where("copies > 0").select("row.*", "copies")
+    return _match(taken, targets, ["source"]).select(
+        F.col("row").alias("doc_id"), "size", "source_size", "target",
+        (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -189,9 +189,8 @@ def matches(text: Column, rule: Rule, order: int) -> Column:
     return F.get(F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, placed(m))), F.lit(0))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         rules: Sequence[Rule] = BASE_RULES + OWN_RULES) -> DataFrame:
-    """``(doc_id, <kind>...)``: per document one array of spans (start, order, kind, end) for every rule.
+def _scanned(docs: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule]) -> DataFrame:
+    """(row, text, spans): every row of ``docs``, and per rule its array of spans.
 
     Index and verification each read the texts once.  The candidates are
     written, so the planner knows their size: below its threshold they are
@@ -199,8 +198,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     indexed = [r for r in rules if trigram_query(r.pattern)]
     proposed = written(candidates(docs, indexed, id_col, text_col), "candidates").withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(proposed, rows["doc_id"].eqNullSafe(proposed["_id"]), "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.join(proposed, rows["id"].eqNullSafe(proposed["_id"]), "left")
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     spans = []
     for order, rule in enumerate(rules):
@@ -208,7 +208,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if rule in indexed:
             found = F.when(F.array_contains("kinds", rule.kind), found)
         spans.append(F.coalesce(found, none).alias(rule.kind))
-    return rows.select("doc_id", *spans)
+    return rows.select("row", "id", "text", F.struct(*spans).alias("spans"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         rules: Sequence[Rule] = BASE_RULES + OWN_RULES) -> DataFrame:
+    """``(doc_id, <kind>...)``: per document one array of spans (start, order, kind, end) for every rule."""
+    return _scanned(docs, id_col, text_col, rules).select(F.col("id").alias("doc_id"), "spans.*")
+
+
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             rules: Sequence[Rule] = BASE_RULES + OWN_RULES, mark: str = "[SECRET]") -> DataFrame:
+    """``docs``, all columns and rows, with every secret in the text replaced by ``mark``.
+
+    Spans that overlap become one mark; a null text stays null.
+    """
+    found = _scanned(docs, id_col, text_col, rules)
+    spans = F.sort_array(F.concat(*[F.col(f"spans.{r.kind}") for r in rules]))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
+                        F.when(s["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
+
+    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                        lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    text = F.when(F.size(spans) > 0, clean).otherwise(F.col(f"row.{text_col}"))
+    return found.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def listed(*spans: Column) -> Column:

@@ -182,6 +182,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         run, f"doc_id {id_type}, severity double, grade int, p_toxic double, toxic boolean")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not reject; no shuffle."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(model.features)
+        for batch, values in texts(batches, text_col):
+            p = model.severity(_counts(values, known, len(model.features)))
+            yield batch.filter(pa.array(p[:, 0] < CUT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def grades(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            label_col: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
     """Fit on the labelled documents and score all."""

@@ -1,11 +1,84 @@
-"""The training-text pipeline over ``documents``."""
+"""The training-text pipeline: toxicity, near duplicates, benchmark leaks, secrets, mixture.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage is ``f(spark, docs, sf_dir)`` over what its predecessor kept and
+returns the columns of ``documents``; the last adds ``copies``, how often the
+mixture reads a document.  Rows are recognized by their id and a hash of all
+their columns, so null and repeated ids are no trouble.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basketlens.llm import decontaminate, mixing, ngram_join, secrets, toxicity
+from basketlens.session import written
+
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.struct(F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash")))
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, fitted on the labelled ones, rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.accepted(docs, toxicity.fit(docs.select("doc_id", "text"), labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (5-word shingles, similarity 0.8): the smallest id.
+
+    What goes is a written list, broadcast below the planner's threshold.
+    Rows that are equal in all columns share a key; only those meet in a
+    second step that keeps one of them.  Texts without words all stay.
+    """
+    keyed = _keyed(docs)
+    groups = written(ngram_join.jaccard_components(keyed, n=5, percent=80, id_col=KEY)
+                     .where("n_shingles > 0").groupBy(F.col("doc_id").alias("key"))
+                     .agg(F.first("component_id").alias("kept"), F.count(F.lit(1)).alias("rows")), "groups")
+    gone = written(groups.where("key <> kept").select(F.col("key").alias(KEY)), "gone")
+    equal = written(groups.where("key = kept and rows > 1").select(F.col("key").alias(KEY)), "equal")
+    left = keyed.join(gone, KEY, "left_anti")
+    single = left.join(equal, KEY, "left_anti")
+    merged = left.join(equal, KEY, "left_semi").dropDuplicates([KEY])
+    return single.unionByName(merged).select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item (0.8 of its 5-word shingles) go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    keyed = _keyed(docs)
+    leaks = decontaminate.contaminated(keyed, items, id_col=KEY)
+    return keyed.join(written(leaks.select(F.col("doc_id").alias(KEY)).distinct(), "leaks"), KEY, "left_anti").drop(KEY)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; ``n_chars`` follows the text."""
+    clean = secrets.redacted(_keyed(docs), id_col=KEY).drop(KEY)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
+                            .otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their ``copies``; sources come to their target weights."""
+    return mixing.mix(docs, whole_rows=True)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_join", drop_near_duplicates),
+    ("decontaminate", drop_benchmark_leaks),
+    ("secret_scan", redact_secrets),
+    ("mix_sources", mix_sources),
+]
+
+ORACLE_SQL = None   # SQL can't express the fitted model and the subset sums; tests/llm checks every stage
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
