@@ -48,3 +48,81 @@ reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN l
 SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, least(s.doc_id, min(r.y)) AS component_id
 FROM s LEFT JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.grams
 """
+
+ORACLE_SQL["op1_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+dg AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) END) AS g FROM d),
+ig AS (SELECT item_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) END) AS g FROM i),
+n AS (SELECT item_id, count(*) AS n_item_shingles FROM ig GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_common FROM dg JOIN ig USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n_item_shingles, n_common, n_common::DOUBLE / n_item_shingles AS containment
+FROM c JOIN n USING (item_id) WHERE 100 * n_common >= 80 * n_item_shingles
+"""
+
+# (kind, regex in RE2 with both cases spelled out, group that is measured, least length)
+_SECRETS = (
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|"""
+               r"""[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 1),
+    ("stripe", "[sr]k_live_[A-Za-z0-9]{16,}", 0, 1),
+    ("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+", 0, 1),
+    ("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
+)
+
+
+def _secret_sql() -> str:
+    found = ",\n".join(
+        f"regexp_extract_all(t, '{p}') AS m{k}, regexp_split_to_array(t, '{p}') AS s{k}, "
+        f"regexp_extract_all(t, '{p}', {g}) AS v{k}" for k, (_, p, g, _) in enumerate(_SECRETS))
+    total = "coalesce(list_sum(list_transform({0}[1:{1}], lambda x: length(x))), 0)"
+    spans = ",\n".join(
+        f"list_filter(list_transform(range(1, len(m{k}) + 1), lambda i: {{'start': "
+        f"({total.format(f's{k}', 'i')} + {total.format(f'm{k}', 'i - 1')})::BIGINT, 'ord': {k}, 'kind': '{kind}', "
+        f"'stop': ({total.format(f's{k}', 'i')} + {total.format(f'm{k}', 'i')})::BIGINT, 'long': length(v{k}[i]) >= {least}}}), "
+        f"lambda x: x.long) AS k{k}" for k, (kind, _, _, least) in enumerate(_SECRETS))
+    text = "array_to_string(list_transform(list_sort({}), lambda x: x.kind || ':' || x.start || ':' || x.stop), ',')"
+    merged = lambda ks: "flatten([" + ", ".join(f"k{k}" for k in ks) + "])"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, {found} FROM d),
+spans AS (SELECT doc_id, {spans} FROM found)
+SELECT doc_id, len(k0)::BIGINT AS n_assign, len(k1)::BIGINT AS n_access, len(k2)::BIGINT AS n_hex,
+  sha256(coalesce({text.format(merged(range(3)))}, '')) AS base_sha256,
+  coalesce({text.format(merged(range(len(_SECRETS))))}, '') AS spans
+FROM spans
+"""
+
+
+ORACLE_SQL["op5_secret_scan"] = _secret_sql()
+
+# Groups of the tables this runs on are smaller than a sketch, whose quantiles are then exact.
+ORACLE_SQL["op7_quality_rules"] = r"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT *, len(ws) AS n, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS tri,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+windows AS (SELECT doc_id, unnest(tri) AS gram, unnest(range(1, len(tri) + 1)) AS at FROM g),
+repeated AS (SELECT doc_id, at FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT at + k) AS n_repeat FROM repeated, (VALUES (0), (1), (2)) x(k) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, source, n::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
+    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words FROM g LEFT JOIN covered USING (doc_id)),
+r AS (SELECT *, n_symbols::DOUBLE / greatest(n_words, 1) AS a, n_dup_lines::DOUBLE / greatest(n_lines, 1) AS b,
+    n_repeat_words::DOUBLE / greatest(n_words, 1) AS c,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+q AS (SELECT lang, source, quantile_disc(a, 0.25) AS a1, quantile_disc(a, 0.75) AS a3, quantile_disc(b, 0.25) AS b1,
+    quantile_disc(b, 0.75) AS b3, quantile_disc(c, 0.25) AS c1, quantile_disc(c, 0.75) AS c3 FROM r GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND a <= greatest(0.35, a3 + 8 * (a3 - a1)) AND b <= greatest(0.45, b3 + 8 * (b3 - b1))
+    AND c <= greatest(0.4, c3 + 8 * (c3 - c1)) AS kept
+FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
+"""

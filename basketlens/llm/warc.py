@@ -132,16 +132,19 @@ def reachable(links: DataFrame) -> DataFrame:
     pointers with themselves doubles their span.  A file of n records takes
     log2(n) rounds, each a written table.  Offsets are unique in a file, so the
     joins have no hot key and one huge file is spread like many small ones.
+    They are merge joins by hint: such tables are tiny as files and large in
+    memory, so the planner would broadcast what grows with the archives.
     """
     starts = links.select("file", "at")
     hops = written(links.select("file", "at", F.col("successor").alias("to"))
-                   .join(starts.withColumnRenamed("at", "to"), ["file", "to"]).select("file", "at", "to"), "hops")
+                   .join(starts.withColumnRenamed("at", "to").hint("merge"), ["file", "to"])
+                   .select("file", "at", "to"), "hops")
     known = fresh = written(starts.where(F.col("at") == 0), "reached")
     while not fresh.isEmpty():
-        fresh = written(known.join(hops, ["file", "at"]).select("file", F.col("to").alias("at")), "reached")
+        fresh = written(known.join(hops.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at")), "reached")
         known = known.unionByName(fresh)
         further = hops.select("file", F.col("at").alias("to"), F.col("to").alias("beyond"))
-        hops = written(hops.join(further, ["file", "to"]).select("file", "at", F.col("beyond").alias("to")), "hops")
+        hops = written(hops.join(further.hint("merge"), ["file", "to"]).select("file", "at", F.col("beyond").alias("to")), "hops")
     return known
 
 
@@ -165,7 +168,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     links = (facts.where(F.col("content_length").isNotNull())
              .withColumn("successor", F.col("at") + len(VERSION_LINE) + F.col("body_at")
                          + F.col("content_length") + len(RECORD_END)))
-    records = written(links.join(reachable(links), ["file", "at"]), "records")
+    records = written(links.join(reachable(links).hint("merge"), ["file", "at"]), "records")
     spanning = records.where(~F.col("whole"))
     columns = ["file", "at", "header", "content_length", "payload_sha1"]
     if spanning.isEmpty():
