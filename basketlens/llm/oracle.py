@@ -67,7 +67,7 @@ _SECRETS = (
     ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|"""
                r"""[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", "AKIA[A-Z0-9]+", 0, 20),
-    ("hex", "[0-9a-f]+", 0, 24),
+    ("hex", "[0-9a-f]{24,}", 0, 24),
     ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     ("google", "AIza[A-Za-z0-9_-]{35}", 0, 1),
@@ -108,9 +108,9 @@ WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT *, len(ws) AS n, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS tri,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
-windows AS (SELECT doc_id, unnest(tri) AS gram, unnest(range(1, len(tri) + 1)) AS at FROM g),
-repeated AS (SELECT doc_id, at FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM windows) WHERE c > 1),
-covered AS (SELECT doc_id, count(DISTINCT at + k) AS n_repeat FROM repeated, (VALUES (0), (1), (2)) x(k) GROUP BY doc_id),
+windows AS (SELECT doc_id, unnest(tri) AS gram, unnest(range(1, len(tri) + 1)) AS pos FROM g),
+repeated AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT pos + k) AS n_repeat FROM repeated, (VALUES (0), (1), (2)) x(k) GROUP BY doc_id),
 m AS (SELECT doc_id, lang, source, n::BIGINT AS n_words,
     coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
