@@ -180,7 +180,8 @@ def _search_joined(docs: DataFrame, sets: DataFrame, n: int, percent: int, schem
     windows = docs.mapInArrow(of_windows, f"doc_id {doc_type}, upper int, h long")
     pairs = written(windows.join(entries, ["upper", "h"]).select("doc_id", "item_id").distinct(), "candidates")
     keyed = pairs.withColumnRenamed("doc_id", "_id")
-    both = (docs.join(keyed, docs["doc_id"].eqNullSafe(keyed["_id"])).drop("_id").join(sets, "item_id"))
+    found = docs.join(keyed, docs["doc_id"].eqNullSafe(keyed["_id"])).drop("_id").withColumnRenamed("item_id", "_item")
+    both = found.join(sets, found["_item"].eqNullSafe(sets["item_id"]))
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()

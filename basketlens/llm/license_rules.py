@@ -21,7 +21,8 @@ NAME, NOTICE, TEXT, TAG = 1, 2, 3, 4
 
 LICENSES = r"""
 0bsd | bsd | (?:zero clause|0) bsd(?: license)? ; bsd zero clause license
-afl-3.0 | academic | academic free license(?: v(?:ersion)? ?3 0)? ; afl 3 0
+afl-3.0 | academic | academic free license(?: v(?:ersion)? ?3 0)?
+afl-3.0 | afl | afl v?3 0
 agpl-3.0 | affero | (?:gnu )?affero general public license(?:,? v(?:ersion)? ?3(?: 0)?)? ; affero gpl(?: v?3)?
 apache-1.1 | apache | apache (?:software )?license(?: version)? 1 1
 apache-2.0 | apache | apache (?:software )?license(?: version)? (?:v )?2(?: 0)? ; apache 2(?: 0)? license ; apache v2(?: 0)?
@@ -35,9 +36,12 @@ bsd-4-clause | bsd | (?:original|old|4 clause|four clause) bsd(?: license)? ; bs
 bsd | bsd | bsd(?: style)? licen[sc]e
 bsl-1.0 | boost | boost software license(?: version)?(?: 1 0)?
 busl-1.1 | business | business source license(?: version)?(?: 1 1)?
-cc-by-4.0 | by | (?:cc|creative commons) by 4 0 ; creative commons attribution 4 0(?: international)?
-cc-by-3.0 | by | (?:cc|creative commons) by 3 0 ; creative commons attribution 3 0(?: unported)?
-cc-by-2.0 | by | (?:cc|creative commons) by 2 [05] ; creative commons attribution 2 [05]
+cc-by-4.0 | by | (?:cc|creative commons) by 4 0
+cc-by-4.0 | attribution | creative commons attribution 4 0(?: international)?
+cc-by-3.0 | by | (?:cc|creative commons) by 3 0
+cc-by-3.0 | attribution | creative commons attribution 3 0(?: unported)?
+cc-by-2.0 | by | (?:cc|creative commons) by 2 [05]
+cc-by-2.0 | attribution | creative commons attribution 2 [05]
 cc-by-sa-4.0 | sa | (?:cc|creative commons) by sa 4 0
 cc-by-sa-3.0 | sa | (?:cc|creative commons) by sa 3 0
 cc-by-sa | sa | (?:cc|creative commons) by sa
@@ -62,58 +66,63 @@ cddl-1.0 | distribution | common development and distribution license(?: version
 cecill-2.1 | cecill | cecill(?: [abc])?(?: licen[sc]e)?(?: version)?(?: 2 [01])?
 cpl-1.0 | common | common public license(?: version)?(?: 1 0)?
 ecl-2.0 | educational | educational community license(?: version)?(?: 2 0)?
-epl-1.0 | eclipse | eclipse public license(?: version| v)? 1 0 ; epl 1 0
-epl-2.0 | eclipse | eclipse public license(?: version| v)? 2 0 ; epl v?2 0
+epl-1.0 | eclipse | eclipse public license(?: version)?(?: v)? v?1 0
+epl-1.0 | epl | epl v?1 0
+epl-2.0 | eclipse | eclipse public license(?: version)?(?: v)? v?2 0
+epl-2.0 | epl | epl v?2 0
 epl | eclipse | eclipse public license
-eupl-1.2 | european | european union public licen[cs]e(?: version| v)?(?: 1 [012])?
+eupl-1.2 | european | european union public licen[cs]e(?: version)?(?: v)?(?: v?1 [012])?
 eupl-1.2 | eupl | eupl(?: v)?(?: 1 [012])?
-fdl-1.3 | documentation | (?:gnu )?free documentation license(?: version)?(?: 1 [123])? ; gfdl(?: 1 [123])?
-gpl-1.0 | general | (?:gnu )?general public license(?: version| v)? 1(?: 0)?
-gpl-2.0 | general | (?:gnu )?general public license(?: version| v)? 2(?: 0)?
+fdl-1.3 | documentation | (?:gnu )?free documentation license(?: version)?(?: 1 [123])?
+fdl-1.3 | gfdl | gfdl(?: 1 [123])?
+gpl-1.0 | general | (?:gnu )?general public license(?: version)?(?: v)? v?1(?: 0)?
+gpl-2.0 | general | (?:gnu )?general public license(?: version)?(?: v)? v?2(?: 0)?
 gpl-2.0 | gpl | (?:gnu )?gpl ?(?:version |v )?v?2(?: 0)?
-gpl-3.0 | general | (?:gnu )?general public license(?: version| v)? 3(?: 0)?
+gpl-3.0 | general | (?:gnu )?general public license(?: version)?(?: v)? v?3(?: 0)?
 gpl-3.0 | gpl | (?:gnu )?gpl ?(?:version |v )?v?3(?: 0)?
 gpl | general | gnu general public licen[cs]e
 gpl | gpl | gnu gpl
 hpnd | historical | historical permission notice and disclaimer
 ijg | jpeg | independent jpeg group(?: s)?(?: software| licen[sc]e)?
 ipl-1.0 | ibm | ibm public license(?: version)?(?: 1 0)?
-isc | isc | isc licen[sc]e ; internet (?:software|systems) consortium licen[sc]e
-lgpl-2.0 | general | (?:gnu )?library general public license(?: version| v)?(?: 2(?: 0)?)?
-lgpl-2.1 | lesser | (?:gnu )?lesser general public license(?: version| v)? 2(?: 1)?
+isc | isc | isc licen[sc]e
+isc | consortium | internet (?:software|systems) consortium licen[sc]e
+lgpl-2.0 | general | (?:gnu )?library general public license(?: version)?(?: v)?(?: v?2(?: 0)?)?
+lgpl-2.1 | lesser | (?:gnu )?lesser general public license(?: version)?(?: v)? v?2(?: 1)?
 lgpl-2.1 | lgpl | (?:gnu )?lgpl ?(?:version |v )?v?2(?: 1)?
-lgpl-3.0 | lesser | (?:gnu )?lesser general public license(?: version| v)? 3(?: 0)?
+lgpl-3.0 | lesser | (?:gnu )?lesser general public license(?: version)?(?: v)? v?3(?: 0)?
 lgpl-3.0 | lgpl | (?:gnu )?lgpl ?(?:version |v )?v?3(?: 0)?
 lgpl | lesser | (?:gnu )?lesser general public license
 lppl-1.3c | latex | latex project public license(?: version)?(?: 1 [0123]c?)?
 mit | mit | (?:the )?mit(?: x11| expat)? licen[sc]e ; mit licen[sc]ed
 mit-0 | mit | mit no attribution(?: licen[sc]e)?
 mit | expat | expat licen[sc]e
-mpl-1.1 | mozilla | mozilla public license(?: version| v)? 1 [01]
-mpl-2.0 | mozilla | mozilla public license(?: version| v)? 2 0
+mpl-1.1 | mozilla | mozilla public license(?: version)?(?: v)? v?1 [01]
+mpl-2.0 | mozilla | mozilla public license(?: version)?(?: v)? v?2 0
 mpl | mozilla | mozilla public license
 ms-pl | microsoft | microsoft public license(?: ms pl)?
 ms-rl | microsoft | microsoft reciprocal license(?: ms rl)?
 mulanpsl-2.0 | mulan | mulan (?:permissive software license|psl)(?: v?2)?
 ncsa | illinois | university of illinois(?: ncsa)? open source license
-odbl-1.0 | database | open (?:data commons open )?database license(?: version| v)?(?: 1 0)?
+odbl-1.0 | database | open (?:data commons open )?database license(?: version)?(?: v)?(?: v?1 0)?
 odc-by-1.0 | commons | open data commons attribution license(?: v?1 0)?
 ofl-1.1 | font | (?:sil )?open font license(?: version)?(?: 1 [01])?
 openssl | openssl | openssl licen[sc]e
-osl-3.0 | open | open software license(?: version| v)?(?: [123] [01])?
+osl-3.0 | open | open software license(?: version)?(?: v)?(?: v?[123] [01])?
 pddl-1.0 | dedication | (?:open data commons )?public domain dedication and licen[sc]e
 php-3.01 | php | php license(?: version)?(?: 3 0 ?1?)?
 postgresql | postgresql | postgresql licen[sc]e
-psf-2.0 | python | python software foundation license(?: version)?(?: 2)? ; psf license(?: agreement)?
+psf-2.0 | python | python software foundation license(?: version)?(?: 2)?
+psf-2.0 | psf | psf license(?: agreement)?
 public-domain | domain | (?:released|dedicated|placed|put) (?:in|in ?to) the public domain ; public domain work
 python-2.0 | python | python license(?: version)?(?: 2 0)?
 qpl-1.0 | public | q public license(?: version)?(?: 1 0)?
 ruby | ruby | ruby (?:s )?licen[sc]e
 sleepycat | sleepycat | sleepycat (?:public |software )?licen[sc]e
-sspl-1.0 | server | server side public license(?: version| v)?(?: 1)?
+sspl-1.0 | server | server side public license(?: version)?(?: v)?(?: v?1)?
 unicode | unicode | unicode (?:data files and software )?license(?: agreement)?
 unlicense | unlicense | (?:the )?unlicense
-upl-1.0 | universal | universal permissive license(?: version| v)?(?: 1 0)?
+upl-1.0 | universal | universal permissive license(?: version)?(?: v)?(?: v?1 0)?
 vim | vim | vim licen[sc]e
 w3c | w3c | w3c (?:r )?software (?:notice and )?licen[sc]e
 wtfpl | wtfpl | wtfpl(?: v(?:ersion)? ?2)?

@@ -24,6 +24,7 @@ from basketlens.session import written
 
 # Engineering limits.
 FIT_BUDGET = 1 << 16   # words the dynamic program fits exactly; the rest goes by proportion and greedily
+HANDED_BACK = 8        # documents of each length that the program may choose anew
 SEED_BUCKETS = 4096    # hash ranges that split one (source, length) group
 
 GROUP = ["source", "size", "bucket"]
@@ -68,8 +69,9 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     to ``budget`` from below as the method finds.
 
     By proportion first (every length gives its share), then longest first
-    until at most ``FIT_BUDGET`` words are open, then an exact bounded knapsack
-    over the documents that are left.
+    until at most ``FIT_BUDGET`` words are open.  Some documents of every
+    length are handed back within that budget, and an exact bounded knapsack
+    chooses among all that are left.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
@@ -82,9 +84,13 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     for i in np.argsort(-lengths, kind="stable"):
         if left <= FIT_BUDGET:
             break
-        more = min(int(counts[i] - take[i]), (left - FIT_BUDGET) // int(lengths[i]))
+        more = min(int(counts[i] - take[i]), left // max(1, int(lengths[i])))
         take[i] += more
         left -= more * int(lengths[i])
+    for i in np.argsort(lengths, kind="stable"):
+        back = min(int(take[i]), HANDED_BACK, max(0, FIT_BUDGET - left) // max(1, int(lengths[i])))
+        take[i] -= back
+        left += back * int(lengths[i])
     return take + _knapsack(lengths, counts - take, min(left, FIT_BUDGET))
 
 

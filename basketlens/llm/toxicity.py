@@ -2,7 +2,8 @@
 
 Features are words and the first letters of words (``abcd*``) that labelled
 toxic documents use far more often than others; a document's value is the
-logarithm of one plus the count.  One weight vector is shared by the ordered
+logarithm of one plus the count, and the length of texts that have any is a
+feature, since a long text meets some beginnings by chance.  One weight vector is shared by the ordered
 thresholds: P(grade >= k) = sigmoid(w.x - t_k).  The labels only say toxic or
 not; among toxic documents the grades 1 to 3 are the thirds of the number of
 marked words.  The expected severity is the sum of the P(grade >= k).
@@ -34,8 +35,8 @@ TRAIN_ROWS = 20_000          # labelled rows the fit reads, by hash of the id
 MAX_FEATURES = 128
 LEAST_TOXIC, LEAST_LIFT, LEAST_Z = 4, 4.0, 5.0   # a feature's toxic documents, rate ratio and z score
 GRADES = 3
-RIDGE = 0.5
-NEWTON_STEPS = 12
+RIDGE = 0.05
+NEWTON_STEPS = 20
 STEMS = (4, 5)
 CUT = 0.5                    # rejected from this chance of any toxicity on
 
@@ -50,9 +51,9 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def severity(self, counts: np.ndarray) -> np.ndarray:
-        """P(grade >= k) for every row of feature counts."""
-        eta = np.log1p(counts) @ self.weights
+    def severity(self, x: np.ndarray) -> np.ndarray:
+        """P(grade >= k) for every row of values."""
+        eta = x @ self.weights
         return 1 / (1 + np.exp(self.thresholds[None, :] - eta[:, None]))
 
 
@@ -69,13 +70,16 @@ class _Known(dict):
         return found
 
 
-def _counts(values: list[str], known: _Known, width: int) -> np.ndarray:
-    out = np.zeros((len(values), width))
+def _values(values: list[str], known: _Known, width: int) -> np.ndarray:
+    """Per text the logarithms of one plus the counts of the features and, where it has any, of the words."""
+    out = np.zeros((len(values), width + 1))
     for i, text in enumerate(values):
-        for word in WORDS.findall(text.lower()):
+        words = WORDS.findall(text.lower())
+        for word in words:
             for j in known[word]:
                 out[i, j] += 1
-    return out
+        out[i, width] = len(words) if out[i].any() else 0
+    return np.log1p(out)
 
 
 def _training(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -131,22 +135,22 @@ def _newton_sums(data: DataFrame, beta: np.ndarray, width: int) -> tuple[np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on (doc_id, text) and (doc_id, toxic)."""
-    empty = Model({}, np.zeros(0), np.full(GRADES, np.inf))
+    empty = Model({}, np.zeros(1), np.full(GRADES, np.inf))
     train = written(_training(docs, labels, rows), "toxicity")
     counts = train.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     n_toxic, n_clean = counts["toxic"] or 0, counts["n"] - (counts["toxic"] or 0)
     names = _select(train, n_toxic, n_clean) if n_toxic and n_clean else []
     if not names:
         return empty
-    features, width = {f: i for i, f in enumerate(names)}, len(names)
+    features, width = {f: i for i, f in enumerate(names)}, len(names) + 1   # and the length
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(features)
         for batch, values in texts(batches, "text"):
-            found = _counts(values, known, width)
+            x = _values(values, known, len(names))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(found.sum(axis=1)),
-                 pa.array([row.tobytes() for row in np.log1p(found)], pa.binary())], ["toxic", "marks", "x"])
+                [batch.column("toxic"), pa.array(np.expm1(x[:, :-1]).sum(axis=1)),
+                 pa.array([row.tobytes() for row in x], pa.binary())], ["toxic", "marks", "x"])
 
     marked = written(train.mapInArrow(run, "toxic int, marks double, x binary"), "marked")
     cuts = marked.where("toxic = 1").agg(F.percentile_approx(
@@ -173,7 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(model.features)
         for batch, values in texts(batches, "text"):
-            p = model.severity(_counts(values, known, len(model.features)))
+            p = model.severity(_values(values, known, len(model.features)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array((p >= 0.5).sum(axis=1), pa.int32()),
                  pa.array(p[:, 0]), pa.array(p[:, 0] >= CUT)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
@@ -187,7 +191,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(model.features)
         for batch, values in texts(batches, text_col):
-            p = model.severity(_counts(values, known, len(model.features)))
+            p = model.severity(_values(values, known, len(model.features)))
             yield batch.filter(pa.array(p[:, 0] < CUT))
 
     return docs.mapInArrow(run, docs.schema)
