@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.text import WORDS, WordHashes, shingle_hashes, texts
+from basketlens.llm.text import WORDS, WordHashes, distinct, shingle_hashes, texts
 from basketlens.session import written
 
 # Engineering limits.
@@ -63,7 +63,7 @@ def _item_sets(items: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch, values in texts(batches, "text"):
-            sets = [np.unique(_grams(t, n, known)) for t in values]
+            sets = [distinct(_grams(t, n, known)) for t in values]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("item_id"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))],
                 ["item_id", "grams"])
@@ -101,7 +101,7 @@ class Search:
     def verified(self, grams: np.ndarray, percent: int) -> list[tuple]:
         out, own = [], None
         for k in sorted(self.candidates(grams)):
-            own = np.unique(grams) if own is None else own
+            own = distinct(grams) if own is None else own
             row = contained(self.items[k][1], own, percent)
             if row:
                 out.append((self.items[k][0], *row))
@@ -189,7 +189,7 @@ def _search_joined(docs: DataFrame, sets: DataFrame, n: int, percent: int, schem
             hits = []
             for i, (text, item, g) in enumerate(zip(values, batch.column("item_id").to_pylist(),
                                                     batch.column("grams").to_pylist())):
-                row = contained(np.array(g, np.int64).astype(np.uint64), np.unique(_grams(text, n, known)), percent)
+                row = contained(np.array(g, np.int64).astype(np.uint64), distinct(_grams(text, n, known)), percent)
                 if row:
                     hits.append((i, (item, *row)))
             yield _rows(batch, hits, "doc_id", out)

@@ -32,19 +32,20 @@ import zlib
 from typing import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.text import WordHashes, lower_ascii, shingle_hashes, spaced_words, texts
+from basketlens.llm.text import WordHashes, distinct, lower_ascii, shingle_hashes, spaced_words, texts
 from basketlens.session import written
 
 # Engineering limits.
 MIN_CELL_BITS, MAX_CELL_BITS = 20, 25   # size of the count sketch (4 bytes a cell)
 RUN_ROWS = 50_000                       # classes of one n-gram that one task sees in the star step
 BLOCK_ROWS = 2_000                      # classes of one side of a trie
+GROUP_ROWS = 5_000                      # classes compared with one leader in one task
+SIZE_BITS = 40                          # of ``info`` that hold the size of a set
 
 
 def needed_overlap(size: int, other: int, percent: int) -> int:
@@ -57,7 +58,7 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def gram_set(text: str, n: int, known: WordHashes) -> np.ndarray:
-    return np.unique(shingle_hashes(spaced_words(lower_ascii(text)), n, known))
+    return distinct(shingle_hashes(spaced_words(lower_ascii(text)), n, known))
 
 
 def class_id(grams: np.ndarray) -> int:
@@ -82,7 +83,7 @@ def _census(docs: DataFrame, n: int, cells: int) -> DataFrame:
                 fps.append(class_id(grams))
                 seen.append(grams)
             if seen:
-                counts += np.bincount(np.concatenate(seen) % np.uint64(cells), minlength=cells).astype(np.uint32)
+                np.add.at(counts, np.concatenate(seen) & np.uint64(cells - 1), 1)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(len(sizes), pa.binary())],
                 ["doc_id", "n_shingles", "fp", "cells"])
@@ -110,68 +111,113 @@ def _ranks(census: DataFrame, cells: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, ranks) -> DataFrame:
-    """(fp, n, centre, prefix): the globally ordered prefix of each row's set.
+    """(fp, info, prefix): the globally ordered prefix of each row's set.
 
     A prefix n-gram is one long, rank in the upper bits, so longs compare in
-    the global order.  ``centre`` is the mean rank of the set: high for the
-    text that many others are copies of.
+    the global order.  ``info`` holds the mean rank of the set (high for the
+    text that many others are copies of) above its size.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = WordHashes(), ranks.value
-        cells = np.uint64(len(table))
+        mask = np.uint64(len(table) - 1)
         for _, values in texts(batches, "text"):
             out: dict[int, tuple] = {}
             for text in values:
                 grams = gram_set(text, n, known)
                 if not len(grams) or (fp := class_id(grams)) in out:
                     continue
-                rank = table[grams % cells].astype(np.uint64)
+                rank = table[grams & mask].astype(np.uint64)
                 ordered = np.sort((rank << np.uint64(56)) | (grams >> np.uint64(8)))
-                out[fp] = (len(grams), int(rank.mean() * 1000), ordered[:prefix_length(len(grams), percent)].astype(np.int64))
+                out[fp] = ((int(rank.mean() * 1000) << SIZE_BITS) + len(grams),
+                           ordered[:prefix_length(len(grams), percent)].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out.keys(), pa.int64()), pa.array([v[0] for v in out.values()], pa.int64()),
-                 pa.array([v[1] for v in out.values()], pa.int64()),
-                 pa.array([v[2] for v in out.values()], pa.list_(pa.int64()))], ["fp", "n", "centre", "prefix"])
+                 pa.array([v[1] for v in out.values()], pa.list_(pa.int64()))], ["fp", "info", "prefix"])
 
-    return docs.select("text").mapInArrow(run, "fp long, n long, centre long, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "fp long, info long, prefix array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(fp, grams) of the classes in ``wanted`` (doc_id, fp), from the text of one row each."""
-    wanted = wanted.withColumnRenamed("doc_id", "_id")
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("fp", "text")
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, cells: int) -> DataFrame:
+    """(fp, grams) of the classes in ``wanted`` (doc_id, fp), from the text of one row each.
+
+    Texts are not shuffled: a bitmap of the wanted ids' hashes (``cells`` bits)
+    goes to all tasks, which skip the other rows.  Of rows that only share a
+    bit some sets come along; the joins with ``wanted`` classes drop them.
+    """
+    spots = F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("spot")
+    chosen = np.zeros(cells, bool)
+    for part in wanted.select(spots).distinct().toArrow().to_batches():   # `cells` at most
+        chosen[part.column(0).to_numpy(zero_copy_only=False)] = True
+    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(chosen))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch, values in texts(batches, "text"):
-            pairs = [(fp, gram_set(text, n, known)) for fp, text in zip(batch.column("fp").to_pylist(), values)]
-            pairs = [(fp, grams.tobytes()) for fp, grams in pairs if class_id(grams) == fp]
+        known, chosen, seen = WordHashes(), np.unpackbits(shipped.value).view(bool), set()
+        for batch in batches:
+            batch = batch.filter(pa.array(chosen[batch.column("spot").to_numpy(zero_copy_only=False)]))
+            pairs = []
+            for text in batch.column("text").to_pylist():
+                grams = gram_set(text or "", n, known)
+                if len(grams) and (fp := class_id(grams)) not in seen:
+                    pairs.append((fp, grams.tobytes()))
+                    if len(seen) < 1 << 20:
+                        seen.add(fp)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
                                               pa.array([p[1] for p in pairs], pa.binary())], ["fp", "grams"])
 
-    return rows.mapInArrow(run, "fp long, grams binary").dropDuplicates(["fp"])
+    return docs.select(spots, "text").mapInArrow(run, "fp long, grams binary")
 
 
 # -- links ----------------------------------------------------------------------
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough."""
-    pairs = written(pairs.distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = written(_sets(docs, written(reps.join(ends, "fp"), "wanted"), n), "sets")
-    both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("left")), "a")
-            .join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("right")), "b"))
+def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of sorted batches, group by group; the first ``keys`` columns name the group."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            if group and row[:keys] != group[0][:keys]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int, cells: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar enough.
+
+    Pairs are grouped by ``a``: its set comes first and the others stream past
+    it.  A class with many pairs is dealt out in groups of ``GROUP_ROWS``.
+    """
+    pairs = written(pairs.where("a <> b").distinct(), "pairs")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
+    others = (pairs.join(groups.where("parts > 1"), "a", "left")
+              .select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"),
+                      F.lit(1).alias("place"), F.col("b").alias("fp")))
+    firsts = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                           F.lit(0).alias("place"), F.col("a").alias("fp"))
+    members = written(others.unionByName(firsts), "members")
+    wanted = reps.join(members.select("fp").distinct(), "fp")
+    rows = (members.join(_sets(docs, wanted, n, cells), "fp").select("a", "part", "place", "fp", "grams")
+            .repartition("a", "part").sortWithinPartitions("a", "part", "place"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first = None, np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                x, y = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for a, part, place, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "place", "grams"))):
+                grams = np.frombuffer(blob, np.uint64)
+                if (a, part) != group:
+                    group, first = (a, part), grams if place == 0 else np.empty(0, np.uint64)
+                if place == 0:
+                    keep.append(False)
+                    continue
+                both = np.sort(np.concatenate([first, grams]))
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= percent * (len(both) - common))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("fp")], ["a", "b"])
 
-    return written(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
+    return written(rows.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,18 +243,32 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _star_pairs(grams: DataFrame) -> DataFrame:
-    """One candidate pair per class: with the leader it shares most prefix n-grams with.
+def _size(info: str) -> Column:
+    return F.pmod(F.col(info), F.lit(1 << SIZE_BITS))
 
-    ``grams``: (w, salt, fp, centre, leader).  A very frequent n-gram has many
-    salts with a leader each; those leaders are paired with the first of them.
+
+def _rest(size: Column, percent: int) -> Column:
+    """What stands behind the prefix of a set."""
+    return F.ceil(size * percent / 100) - 1
+
+
+def _star_pairs(grams: DataFrame, percent: int) -> DataFrame:
+    """At most one candidate pair per class: with the leader it shares most prefix n-grams with.
+
+    ``grams``: (w, salts, fp, info, leader).  Pairs that share too little to be
+    similar by these n-grams alone are left to the trie step.  A very frequent
+    n-gram has many salts with a leader each; those are paired with the first.
     """
-    own = (grams.where(F.col("leader") != F.col("fp")).groupBy("fp", "leader").agg(F.count(F.lit(1)).alias("shared"))
-           .groupBy("fp").agg(F.max(F.struct("shared", "leader"))["leader"].alias("leader")))
-    heads = grams.where(F.col("salts") > 1).select("w", F.col("leader").alias("fp")).distinct()
+    size, other = _size("info"), F.pmod(F.col("best.leader.info"), F.lit(1 << SIZE_BITS))
+    own = (grams.where(F.col("leader.fp") != F.col("fp")).groupBy("fp", "info", "leader").agg(F.count(F.lit(1)).alias("shared"))
+           .groupBy("fp", "info").agg(F.max(F.struct("shared", "leader")).alias("best"))
+           .where(F.col("best.shared") + F.greatest(_rest(size, percent), _rest(other, percent))
+                  >= F.ceil((size + other) * percent / (100 + percent)))
+           .select("fp", F.col("best.leader.fp").alias("leader")))
+    heads = grams.where(F.col("salts") > 1).select("w", F.col("leader.fp").alias("fp")).distinct()
     heads = (heads.withColumn("leader", F.max("fp").over(Window.partitionBy("w")))
              .where(F.col("leader") != F.col("fp")).select("fp", "leader").distinct())
-    return own.unionByName(heads).select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b"))
+    return own.unionByName(heads).select(F.col("leader").alias("a"), F.col("fp").alias("b"))
 
 
 class _Node:
@@ -220,7 +280,7 @@ class _Node:
 
 
 def _insert(root: _Node, grams: list[int], member: tuple[int, int, int, int]) -> None:
-    """Store one set; every node on its path learns the bounds of its subtree."""
+    """Store one ordered set; every node on its path learns the bounds of its subtree."""
     node = root
     _, size, rest, _ = member
     for depth in range(len(grams) + 1):
@@ -232,16 +292,14 @@ def _insert(root: _Node, grams: list[int], member: tuple[int, int, int, int]) ->
     node.ends.append(member)
 
 
-def _probe(root: _Node, grams: list[int], member: tuple[int, int, int, int], first: int,
-           percent: int) -> Iterator[int]:
+def _probe(root: _Node, grams: list[int], member: tuple[int, int, int, int], percent: int) -> Iterator[int]:
     """Members of the trie that may be similar to ``member`` (fp, size, rest, component).
 
     The walk carries the overlap of the path so far, which its whole subtree
     shares.  What can still come is bounded by the shorter remaining prefix
-    plus the part behind the prefixes.  A pair is reported only where ``first``
-    is its first common n-gram; an earlier one has a trie of its own.
+    plus the part behind the prefixes; subtrees that can't get there are left.
     """
-    fp, size, rest, component = member
+    _, size, rest, component = member
     stack = [(root, 0, 0)]
     while stack:
         node, at, overlap = stack.pop()
@@ -249,8 +307,6 @@ def _probe(root: _Node, grams: list[int], member: tuple[int, int, int, int], fir
             while at < len(grams) and grams[at] < node.gram:
                 at += 1
             if at < len(grams) and grams[at] == node.gram:
-                if node.gram < first:
-                    continue
                 at, overlap = at + 1, overlap + 1
         can_come = min(len(grams) - at, node.deepest) + max(rest, node.rest)
         if overlap + can_come < needed_overlap(size, node.least, percent):
@@ -262,45 +318,94 @@ def _probe(root: _Node, grams: list[int], member: tuple[int, int, int, int], fir
         stack.extend((child, at, overlap) for child in node.children.values())
 
 
+def _feasible(rows: list[tuple], percent: int) -> list[bool]:
+    """Which rows (..., block, fp, n, component, place, tail) of one n-gram have a partner
+    in another component by the lengths that remain from it on.
+
+    If it is the first common n-gram of two sets, their overlap is at most the
+    shorter remainder of the sets, and at most the shorter ``tail`` (what is
+    left of the prefix n-grams that other classes have too) plus what stands
+    behind the prefixes."""
+    _, i, j = rows[0][:3]
+    block, size, component, place, tail = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6, 7, 8))
+    left, rest = size - place, -(-percent * size // 100) - 1
+    out = np.zeros(len(rows), bool)
+    for k in range(len(rows)):
+        most = np.minimum(np.minimum(left, left[k]), np.minimum(tail, tail[k]) + np.maximum(rest, rest[k]))
+        possible = (component != component[k]) & (most * (100 + percent) >= percent * (size + size[k]))
+        if i != j:
+            possible &= block != block[k]
+        out[k] = possible.any()
+    return out.tolist()
+
+
 def _trie_pairs(grams: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) between components, from tries over blocks of classes.
 
-    ``grams``: (w, fp, n) of shared prefix n-grams.  Only n-grams whose classes
-    lie in several components are looked at.  A frequent one is cut into
-    blocks by hash; each pair of blocks is a task of its own, so nothing is
-    left out and no task holds more than two blocks.
+    ``grams``: (w, fp, info, place) of shared prefix n-grams.  Only n-grams
+    whose classes lie in several components are looked at, and of those only
+    classes with a partner of fitting length.  A frequent n-gram is cut into
+    blocks by hash; each pair of blocks is a group of its own, so nothing is
+    left out and no task holds more than two blocks at a time.
     """
+    tail = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("w"))).cast("long")   # a prefix at most
     rows = (grams.join(labels, "fp", "left")
-            .select("w", "fp", "n", F.coalesce("component", "fp").alias("component")))
+            .select("w", "fp", _size("info").alias("n"), F.coalesce("component", "fp").alias("component"), "place",
+                    tail.alias("tail")))
     rows = written(rows, "shared")
     open_grams = (rows.groupBy("w").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                         F.count(F.lit(1)).alias("members"))
                   .where("low < high").select("w", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("blocks")))
-    apart = written(rows.join(open_grams, "w"), "apart")
-    lists = (rows.join(apart.select("fp").distinct(), "fp", "left_semi")
-             .groupBy("fp").agg(F.sort_array(F.collect_list("w")).alias("grams")))   # at most one prefix
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    members = (apart.withColumn("block", block).join(lists, "fp")
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("w", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                       "block", "fp", "n", "component", "grams"))
-
-    def join_block(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        w, i, j = key
-        root, pairs = _Node(0), []
-        rows = [(r.block, [int(g) for g in r.grams],
-                 (r.fp, r.n, r.n - prefix_length(r.n, percent), r.component)) for r in group.itertuples()]
-        for block, own, member in rows:
-            if block == i:
-                if i == j:
-                    pairs += [(member[0], other) for other in _probe(root, own, member, w, percent)]
-                _insert(root, own, member)
-        for block, own, member in rows:
-            if i != j and block == j:
-                pairs += [(member[0], other) for other in _probe(root, own, member, w, percent)]
-        return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"]).astype("int64")
-
-    return members.groupBy("w", "i", "j").applyInPandas(join_block, "a long, b long")
+    group = ["w", "i", "j"]
+    dealt = (rows.join(open_grams, "w")
+             .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("w", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                     "block", "fp", "n", "component", "place", "tail")
+             .repartition(*group).sortWithinPartitions(*group))
+
+    def fitting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        for rows in _runs(batches, 3):
+            kept += [r for r, ok in zip(rows, _feasible(rows, percent)) if ok]
+            if len(kept) > 10_000:
+                yield _batch(kept, dealt_schema)
+                kept = []
+        yield _batch(kept, dealt_schema)
+
+    dealt_schema = pa.schema([("w", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()),
+                              ("fp", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("place", pa.int64()),
+                              ("tail", pa.int64())])
+    fit = written(dealt.mapInArrow(fitting, dealt.schema), "fitting")
+    lists = (rows.join(fit.select("fp").distinct(), "fp", "left_semi")
+             .groupBy("fp").agg(F.sort_array(F.collect_list("w")).alias("grams")))   # a prefix at most
+    members = (fit.join(lists, "fp")
+               .select(*group, "block", "fp", "n", "component",
+                       F.filter("grams", lambda g: g >= F.col("w")).alias("grams"))
+               .repartition(*group).sortWithinPartitions(*group))
+
+    def tries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 3):
+            _, i, j = rows[0][:3]
+            root, pairs = _Node(0), []
+            known = [(r[3], r[7], (r[4], r[5], r[5] - prefix_length(r[5], percent), r[6])) for r in rows]
+            for block, own, member in known:
+                if block == i:
+                    if i == j:
+                        pairs += [(member[0], other) for other in _probe(root, own, member, percent)]
+                    _insert(root, own, member)
+            for block, own, member in known:
+                if i != j and block == j:
+                    pairs += [(member[0], other) for other in _probe(root, own, member, percent)]
+            if pairs:
+                yield _batch([(min(p), max(p)) for p in pairs], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return members.mapInArrow(tries, "a long, b long")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -311,8 +416,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     sets of ``n``-word shingles (A-Z lower-cased, words between white space).
     ``component_id`` is the smallest id reachable by links, itself included.
 
-    Scale: texts are read twice, plus once for the documents in candidate
-    pairs.  Shuffled are prefixes (a fifth of the n-grams at most), not texts.
+    Scale: texts are read twice, plus once for each verification, where all
+    rows but those of candidate pairs are skipped.  Shuffled are prefixes and
+    the sets of candidate pairs, not texts.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -324,21 +430,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     reps = rows.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
 
     classes = (_prefixes(docs, n, percent, ranks).groupBy("fp")
-               .agg(F.first("n").alias("n"), F.first("centre").alias("centre"), F.first("prefix").alias("prefix")))
-    index = classes.select("fp", "n", "centre", F.explode("prefix").alias("w"))
+               .agg(F.first("info").alias("info"), F.first("prefix").alias("prefix")))
+    index = classes.select("fp", "info", F.posexplode("prefix").alias("place", "w"))
     # the rank in an n-gram tells how many salts it needs
-    about = F.pow(F.lit(2.0), F.shiftright("w", 56) / 4)
-    index = (index.withColumn("salts", F.ceil(about / RUN_ROWS).cast("int"))
-             .withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")))
-    run = Window.partitionBy("w", "salt")
+    salts = F.ceil(F.pow(F.lit(2.0), F.shiftright("w", 56) / 4) / RUN_ROWS).cast("int")
+    run = Window.partitionBy("w", F.when(salts > 1, F.pmod(F.xxhash64("fp"), salts)).otherwise(F.lit(0)))
     grams = written(index.withColumn("members", F.count(F.lit(1)).over(run))
-                    .where((F.col("members") > 1) | (F.col("salts") > 1))
-                    .withColumn("leader", F.max(F.struct("centre", "fp")).over(run)["fp"])
-                    .select("w", "salts", "fp", "n", "leader"), "grams")
+                    .withColumn("leader", F.max(F.struct("info", "fp")).over(run))
+                    .withColumn("salts", salts).where("members > 1 or salts > 1")
+                    .select("w", "salts", "fp", "info", "place", "leader"), "grams")
 
-    stars = _verified(_star_pairs(grams), docs, reps, n, percent)
+    stars = _verified(_star_pairs(grams, percent), docs, reps, n, percent, cells)
     labels = components(stars)
-    rest = _verified(_trie_pairs(grams.select("w", "fp", "n"), labels, percent), docs, reps, n, percent)
+    rest = _verified(_trie_pairs(grams.select("w", "fp", "info", F.col("place").cast("long").alias("place")),
+                                 labels, percent), docs, reps, n, percent, cells)
     if not rest.isEmpty():
         labels = components(stars.unionByName(rest))
     placed = (rows.join(labels, "fp", "left")

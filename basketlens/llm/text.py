@@ -12,13 +12,15 @@ import xxhash
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")        # fixed: words between ASCII white space
 WORDS = re.compile(r"[^\W_]+")                   # letters and digits of any script
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+LOWER = bytes(c + 32 if ord("A") <= c <= ord("Z") else c for c in range(256))
 
-CACHED_WORDS = 1 << 20   # entries one task remembers
+CACHED_WORDS = 1 << 17   # entries one task remembers
 
 
 def lower_ascii(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(LOWER)
+    """A-Z lower-cased, everything else as it is (bytes of other characters are all above 127)."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(LOWER).decode(
+        "utf-8", "surrogatepass")
 
 
 def spaced_words(text: str) -> list[str]:
@@ -45,16 +47,21 @@ def shingle_hashes(words: list[str], n: int, known: WordHashes) -> np.ndarray:
     k = min(n, len(h))
     m = len(h) - k + 1
     out = np.full(m, k, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            out *= np.uint64(0x9E3779B97F4A7C15)
-            out += h[i:i + m]
-        out ^= out >> np.uint64(32)
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        out ^= out >> np.uint64(32)
+    for i in range(k):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[i:i + m]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
     return out
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    ordered = np.sort(hashes)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
+
+
 def texts(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Each batch with the texts of a column, null as empty."""
     for batch in batches:

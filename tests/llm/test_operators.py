@@ -96,6 +96,7 @@ def near_copies(rng, base, count, edits):
 def test_ngram_join_equals_brute_force(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)     # small blocks: the split path
     monkeypatch.setattr(ngram_join, "RUN_ROWS", 4 * block)
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 3 * block)
     rng = random.Random(n)
     shared = random_words(rng, 40)                           # a passage in unrelated documents
     texts = [" ".join(random_words(rng, rng.randrange(1, 90)) + shared) for _ in range(25)]
@@ -116,11 +117,15 @@ def test_trie_walk_prunes_but_loses_nothing():
     prefix = lambda m: m[0][:ngram_join.prefix_length(len(m[0]), percent)]
     pairs = set()
     for w in range(70):
+        run = [m for m in members if w in prefix(m)]
+        rows = [(w, 0, 0, 0, m[1][0], m[1][1], m[1][3], prefix(m).index(w),
+                 len(prefix(m)) - prefix(m).index(w)) for m in run]
+        fits = ngram_join._feasible(rows, percent) if rows else []
         root = ngram_join._Node(0)
-        for m in members:
-            if w in prefix(m):
-                pairs |= {(other, m[1][0]) for other in ngram_join._probe(root, prefix(m), m[1], w, percent)}
-                ngram_join._insert(root, prefix(m), m[1])
+        for m in (m for m, ok in zip(run, fits) if ok):
+            tail = [g for g in prefix(m) if g >= w]
+            pairs |= {(other, m[1][0]) for other in ngram_join._probe(root, tail, m[1], percent)}
+            ngram_join._insert(root, tail, m[1])
     for i, a in enumerate(members):
         for j, b in enumerate(members[:i]):
             common = len(set(a[0]) & set(b[0]))
