@@ -367,16 +367,20 @@ def _trie_pairs(grams: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     def fitting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
         for rows in _runs(batches, 3):
-            kept += [r for r, ok in zip(rows, _feasible(rows, percent)) if ok]
+            fits = [r[:7] for r, ok in zip(rows, _feasible(rows, percent)) if ok]
+            same = class_id(np.sort(np.array([r[4] for r in fits], np.int64)))
+            kept += [(*r, same) for r in fits]
             if len(kept) > 10_000:
-                yield _batch(kept, dealt_schema)
+                yield _batch(kept, fit_schema)
                 kept = []
-        yield _batch(kept, dealt_schema)
-
-    dealt_schema = pa.schema([("w", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()),
-                              ("fp", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("place", pa.int64()),
-                              ("tail", pa.int64())])
-    fit = written(dealt.mapInArrow(fitting, dealt.schema), "fitting")
+        yield _batch(kept, fit_schema)
+
+    fit_schema = pa.schema([("w", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()),
+                              ("fp", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("same", pa.int64())])
+    fit = dealt.mapInArrow(fitting, "w long, i int, j int, block int, fp long, n long, component long, same long")
+    # of n-grams with the same members the first is the first common one of every pair: the others add nothing
+    fit = written(fit.withColumn("first", F.min("w").over(Window.partitionBy("same", "fp", "i", "j")))
+                  .where("w = first").drop("same", "first"), "fitting")
     lists = (rows.join(fit.select("fp").distinct(), "fp", "left_semi")
              .groupBy("fp").agg(F.sort_array(F.collect_list("w")).alias("grams")))   # a prefix at most
     members = (fit.join(lists, "fp")
