@@ -17,8 +17,6 @@ from typing import Optional, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KEEP = None
-
 
 def as_double(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")

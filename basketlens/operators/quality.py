@@ -24,10 +24,11 @@ def check(ds: Dataset) -> DataFrame:
 
 
 def passes(report: Row) -> Tuple[bool, str]:
-    if report["invalid_dept_ids"] > 0 or report["invalid_aisle_ids"] > 0:
-        return False, ("Some products have invalid IDs - they will be excluded from "
-                       "department/aisle analysis")
-    return True, "Data quality looks good"
+    bad = {side: report[f"invalid_{side}_ids"] for side in ("dept", "aisle")}
+    if any(bad.values()):
+        return False, (f"{bad['dept']} products without a numeric department id and {bad['aisle']} without a numeric "
+                       "aisle id do not join their dimension")
+    return True, "all product ids join"
 
 
 def gate(ds: Dataset) -> Tuple[bool, str, Row]:

@@ -1,15 +1,16 @@
 """O1 CSV ingest and O2 managed-table sink for the six order tables.
 
-CSV files are read with the declared schemas (no ``inferSchema`` pass over the
-data).  The raw product ids stay text, as they arrive.
+CSV files are read by their header and cast to the declared types (no
+``inferSchema`` pass over the data).  The raw product ids stay text, as they
+arrive.
 """
 
 from __future__ import annotations
 
-import os
 from typing import Dict, Optional
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from basketlens.dataset import SCHEMAS, TABLES, Dataset
 
@@ -25,11 +26,23 @@ CSV_FILES = {
 
 
 def read_csv(spark: SparkSession, base_path: str, files: Dict[str, str] = CSV_FILES) -> Dataset:
-    """O1: the six headed CSV files under ``base_path`` as a ``Dataset``."""
+    """O1: the six headed CSV files under ``base_path`` as a ``Dataset``.
+
+    Columns are bound by the names in each file's header, whatever their order
+    and whatever else the file holds; every column is read as text (Spark reads
+    only the header line for that) and the declared ones are cast.  A missing
+    column raises; text that is no number becomes null.
+    """
     tables = {}
     for name in TABLES:
-        tables[name] = (spark.read.schema(SCHEMAS[name]).option("header", True)
-                        .option("mode", "PERMISSIVE").csv(os.path.join(base_path, files[name])))
+        path = f"{base_path.rstrip('/')}/{files[name]}"
+        raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+        known = {c.strip().lower(): c for c in raw.columns}
+        missing = [f.name for f in SCHEMAS[name].fields if f.name not in known]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        tables[name] = raw.select(*[F.col(f"`{known[f.name]}`").try_cast(f.dataType).alias(f.name)
+                                    for f in SCHEMAS[name].fields])
     return Dataset.of(**tables)
 
 
@@ -54,13 +67,5 @@ def save_parquet(ds: Dataset, path: str) -> str:
     """Write the six tables as parquet folders under ``path`` (read back with
     ``Dataset.from_parquet``)."""
     for name, df in ds.tables().items():
-        df.write.mode("overwrite").parquet(os.path.join(path, name))
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
     return path
-
-
-def load(spark: SparkSession, database: Optional[str] = None) -> Dataset:
-    return Dataset.from_catalog(spark, database)
-
-
-def frames(ds: Dataset) -> Dict[str, DataFrame]:
-    return ds.tables()

@@ -6,7 +6,7 @@ Spark's CSV writer takes no array columns, so arrays are joined to text
 
 from __future__ import annotations
 
-from typing import Optional
+from typing import Dict, Optional
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +35,18 @@ def to_csv(df: DataFrame, path: str, header: bool = True) -> str:
 
 
 def export(df: DataFrame, name: str, database: Optional[str] = None, csv_path: Optional[str] = None,
-           save_as_csv: bool = False, csv_root: Optional[str] = None) -> dict:
-    """Table always; CSV when asked (default folder ``{csv_root}/{name}.csv``,
-    ``csv_root`` defaulting to the session's checkpoint folder)."""
+           csv_root: Optional[str] = None) -> dict:
+    """A managed table, and a CSV folder where ``csv_path`` (or ``csv_root``,
+    the parent of a folder named after the table) says where; both may be any
+    store Spark writes to."""
     out = {"table": to_table(df, name, database)}
-    if save_as_csv:
-        if not csv_path:
-            from basketlens.session import scratch_path
-            csv_path = f"{csv_root}/{name}.csv" if csv_root else scratch_path(df.sparkSession, f"{name}.csv")
-        out["csv"] = to_csv(df, csv_path)
+    if csv_path or csv_root:
+        out["csv"] = to_csv(df, csv_path or f"{csv_root.rstrip('/')}/{name}.csv")
     return out
+
+
+def export_all(results: Dict[str, DataFrame], names: Dict[str, str], database: Optional[str] = None,
+               csv_root: Optional[str] = None) -> Dict[str, dict]:
+    """O32, batch form: every result that ``names`` knows, under its table name."""
+    return {key: export(results[key], table, database, csv_root=csv_root)
+            for key, table in names.items() if key in results}

@@ -19,6 +19,13 @@ window -- and therefore splits across the cluster however skewed the keys are:
 ``dirty=True`` replaces the department id of products whose id is a multiple
 of 10, and the aisle id of multiples of 15, with the product name (text that is
 not a number) to exercise the ``try_cast`` paths.
+
+``grain="part"`` keeps every part an item of its own (id ``p_partkey``;
+department ``p_type``, aisle ``p_brand``): sparse baskets, and names that many
+items share.
+
+The lines are computed once and written, parted by ``eval_set``; both line
+tables read that.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
+from basketlens.session import scratch_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +46,19 @@ def item_dictionary(part: DataFrame) -> DataFrame:
         F.min("p_partkey").alias("product_id"))
 
 
-def from_tpch(spark: SparkSession, sf_dir: str, dirty: bool = False) -> Dataset:
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    items = item_dictionary(part).withColumns({
-        "department": F.split_part("product_name", F.lit(" "), F.lit(1)),
-        "aisle": F.split_part("product_name", F.lit(" "), F.lit(2)),
-    })
+def from_tpch(spark: SparkSession, sf_dir: str, dirty: bool = False, grain: str = "name") -> Dataset:
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    if grain == "part":
+        items = part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"),
+                            F.col("p_type").alias("department"), F.col("p_brand").alias("aisle"))
+        part_item = part.select("p_partkey", F.col("p_partkey").alias("product_id"))
+    else:
+        items = item_dictionary(part).withColumns({
+            "department": F.split_part("product_name", F.lit(" "), F.lit(1)),
+            "aisle": F.split_part("product_name", F.lit(" "), F.lit(2)),
+        })
+        part_item = (part.join(item_dictionary(part), part.p_name == F.col("product_name"))
+                     .select("p_partkey", "product_id"))
     departments = items.groupBy("department").agg(F.min("product_id").alias("department_id"))
     aisles = items.groupBy("aisle").agg(F.min("product_id").alias("aisle_id"))
 
@@ -73,8 +88,6 @@ def from_tpch(spark: SparkSession, sf_dir: str, dirty: bool = False) -> Dataset:
         (F.col("order_id") % 24).cast("int").alias("order_hour_of_day"),
     )
 
-    part_item = part.join(item_dictionary(part), part.p_name == F.col("product_name")) \
-        .select("p_partkey", "product_id")
     lines = (
         _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
         .join(part_item, F.col("l_partkey") == F.col("p_partkey"))
@@ -87,9 +100,13 @@ def from_tpch(spark: SparkSession, sf_dir: str, dirty: bool = False) -> Dataset:
     lines = lines.join(first, ["user_id", "product_id"]).withColumn(
         "reordered", (F.struct("order_ts", "order_id") > F.col("_first")).cast("int"))
 
+    columns = ["order_id", "product_id", "add_to_cart_order", "reordered"]
+    path = scratch_path(spark, "order-lines")
+    lines.select("eval_set", *columns).write.partitionBy("eval_set").parquet(path)
+    both = spark.read.schema(lines.select(*columns, "eval_set").schema).parquet(path)
+
     def split(name: str) -> DataFrame:
-        return lines.filter(F.col("eval_set") == name).select(
-            "order_id", "product_id", "add_to_cart_order", "reordered")
+        return both.filter(F.col("eval_set") == name).select(*columns)
 
     return Dataset.of(
         orders=seq_orders,

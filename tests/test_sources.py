@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from basketlens.dataset import TABLES, Dataset
 from basketlens.operators import baskets, itemsets, views
 from basketlens.plans import pipeline
@@ -32,7 +34,8 @@ def test_csv_ingest_tables_and_export(spark):
     root = tempfile.mkdtemp(prefix="bl-csv-")
     _write_csvs(root)
     ds = ingest.read_csv(spark, root)
-    assert ds.orders.count() == 3
+    assert sorted(tuple(r) for r in ds.orders.collect()) == [
+        (1, 1, "train", 4, 9), (2, 1, "prior", 2, 8), (3, 1, "prior", 3, 7)]
     assert ds.products.where("department_id = 'missing'").count() == 1
     assert ds.products_clean.where("department_id IS NULL").count() == 1
 
@@ -44,7 +47,7 @@ def test_csv_ingest_tables_and_export(spark):
 
     pairs = itemsets.analyze(back, 2, 1, None)
     assert pairs.count() == 3
-    out = sinks.export(pairs, "pairs_out", database="bl_test", save_as_csv=True,
+    out = sinks.export(pairs, "pairs_out", database="bl_test",
                        csv_path=os.path.join(root, "pairs_csv"))
     assert spark.table(out["table"]).count() == 3
     csv_back = spark.read.option("header", True).csv(out["csv"])
@@ -56,6 +59,19 @@ def test_csv_ingest_tables_and_export(spark):
     assert row.products == "Organic Egg Whites|Michigan Organic Kale|Garlic Powder"
 
 
+def test_csv_columns_by_name(spark):
+    root = tempfile.mkdtemp(prefix="bl-csv-")
+    _write_csvs(root)
+    with open(os.path.join(root, "orders.csv"), "w") as f:
+        f.write("order_hour_of_day,eval_set,order_number,user_id,order_dow,order_id\n23,prior,51,7,x,2\n0,prior,52,7,6,3\n")
+    rows = sorted(tuple(r) for r in ingest.read_csv(spark, root).orders.collect())
+    assert rows == [(2, 7, "prior", None, 23), (3, 7, "prior", 6, 0)]
+    with open(os.path.join(root, "aisles.csv"), "w") as f:
+        f.write("aisle_id,name\n1,x\n")
+    with pytest.raises(ValueError, match="no column aisle"):
+        ingest.read_csv(spark, root)
+
+
 def test_parquet_round_trip_and_cache(spark, tiny):
     path = tempfile.mkdtemp(prefix="bl-pq-")
     ingest.save_parquet(tiny, path)
@@ -68,21 +84,29 @@ def test_parquet_round_trip_and_cache(spark, tiny):
 
 def test_views_and_pipeline(spark, tiny):
     cfg = AnalysisConfig(min_co_occurrence=1, min_support=0.2, min_confidence=0.5)
-    results = pipeline.run(tiny, cfg, search="item", user_id=1)
-    try:
+    with pipeline.analysis(tiny, cfg, search="item4", search_triplets="item3", user_id=1) as results:
         for key, view in views.RESULT_VIEWS.items():
             assert spark.table(view).count() == results[key].count()
+        for n in (2, 3, 4):
+            assert spark.table(f"top_associations_{n}item").count() == results[f"associations_{n}"].count() > 0
         assert results["pairs"].count() == 6
+        assert results["search_triplets"].count() == 3 and results["directed_pairs"].count() == 0
         assert results["frequent_itemsets"].count() > 0
         assert results["recommendations"].count() == 0  # user 1 owns every item
-    finally:
-        pipeline.release(results)
+        spark.sql("CREATE DATABASE IF NOT EXISTS bl_run")
+        root = tempfile.mkdtemp(prefix="bl-export-")
+        written = pipeline.export(results, "bl_run", root)
+        assert {v["table"] for v in written.values()} == {f"bl_run.{t}" for t in pipeline.EXPORT_TABLES.values()}
+        for key, where in written.items():
+            n = results[key].count()
+            assert spark.table(where["table"]).count() == n
+            assert spark.read.option("header", True).csv(where["csv"]).count() == n
+    assert not tiny.order_products_prior.is_cached
     labels = views.pair_labels(tiny, 1, view="top_associations")
     assert spark.table("top_associations").count() == labels.count() == 3
 
 
 def test_config_validation():
-    import pytest
     for bad in ({"min_support": 0}, {"min_support": 1}, {"min_confidence": 0},
                 {"min_lift": -1}, {"min_co_occurrence": 0}):
         with pytest.raises(ValueError):
