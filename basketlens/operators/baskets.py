@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
-from basketlens.operators.cooccur import join_baskets
+from basketlens.operators.cooccur import basket_profile, join_baskets
 
 
 def by_name(ds: Dataset, view: Optional[str] = "baskets") -> DataFrame:
@@ -30,7 +30,8 @@ def market_baskets(ds: Dataset, min_size: int = 2, view: Optional[str] = "market
     """Per prior order and user, the product names and ids in cart order
     (aligned) and the number of lines; orders with fewer than ``min_size``
     lines are dropped."""
-    lines = (join_baskets(ds.order_products_prior, ds.prior_orders.select("order_id", "user_id"))
+    lines = (join_baskets(ds.order_products_prior, ds.prior_orders.select("order_id", "user_id"),
+                          profile=basket_profile(ds.order_products_prior))
              .join(ds.products.select("product_id", "product_name"), "product_id"))
     out = (lines.groupBy("order_id", "user_id")
            .agg(F.array_sort(F.collect_list(F.struct("add_to_cart_order", "product_id",
@@ -49,8 +50,8 @@ def market_baskets(ds: Dataset, min_size: int = 2, view: Optional[str] = "market
 def transactions(ds: Dataset, max_n: Optional[int] = None) -> DataFrame:
     """Prior orders with >= 2 lines, distinct item ids as strings (sorted).
 
-    ``max_n`` keeps the ``max_n`` lowest order ids (repeatable); None or 0
-    keeps every transaction.
+    ``max_n`` keeps the ``max_n`` lowest order ids (repeatable); None keeps
+    every transaction.
     """
     out = (ds.prior_lines_of_prior_orders().select("order_id", "product_id")
            .groupBy("order_id")
@@ -58,7 +59,7 @@ def transactions(ds: Dataset, max_n: Optional[int] = None) -> DataFrame:
                 F.count(F.lit(1)).alias("_lines"))
            .where(F.col("_lines") >= 2)
            .select("order_id", "items"))
-    if max_n:
+    if max_n is not None:
         out = out.orderBy("order_id").limit(max_n)
     return out
 

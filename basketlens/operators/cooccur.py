@@ -10,7 +10,7 @@ Plan (two shuffles of line-sized data for any n):
 2. Apriori pruning (exact): a member of a set with count >= m is itself in >= m
    baskets of its key group, so lines of rarer items are removed with a
    semi-join before any set is formed.
-3. One row per basket: ``array_sort(collect_set(item))`` (shuffle 1; dedupes
+3. One row per basket: ``sort_array(collect_set(item))`` (shuffle 1; dedupes
    repeated lines).
 4. n chained ``posexplode`` steps over the remaining tail of that array produce
    each n-subset once, members ascending.  Narrow and streaming: no row holds
@@ -18,36 +18,53 @@ Plan (two shuffles of line-sized data for any n):
 5. ``groupBy(keys, members).count()`` with map-side partial aggregation
    (shuffle 2), so a very common set never piles up in one task.
 
-Oversized baskets: a basket with more than ``max_row_items`` lines is never
-collected into one row.  Its items are spread over ``ceil(k / max_row_items)``
-hash chunks, one array per chunk; a self-join of the chunk rows of that basket
-forms every non-decreasing chunk tuple, and the posexplode steps pick member
-i from chunk i (ascending positions inside a shared chunk).  Each n-subset is
-made exactly once, from its sorted chunk tuple, and the work of one hot basket
-is spread over its chunk tuples.  The oversized baskets are found by an
-aggregate whose result is fetched only up to ``MAX_SPLIT_BASKETS`` rows: that
-bounded list is broadcast; beyond it the split table stays a DataFrame and is
-joined with a shuffle.
+A condition on the members (a name that matches, different departments) is
+carried as a ``tag`` of each item and tested between 4 and 5, so sets that fail
+it are neither shuffled nor counted.
+
+Oversized baskets: one row may stand for ``COMBOS_PER_ROW`` sets, so a basket
+of more than ``row_limit(n)`` items is never one row.  Its items are dealt into
+hash chunks of about ``chunk_items(n)``; the chunk tuples (ids only) are listed
+from the basket's chunk count, meet their chunk arrays in joins on (basket,
+chunk), and are repartitioned by (basket, tuple) before the explode steps, in
+which member i comes from chunk i.  Each n-subset is made exactly once, and the
+work of one hot basket is spread over as many tasks as it has tuples.  The list
+of oversized baskets is a written table: the planner broadcasts it by its size
+or joins it by a shuffle; there is no count above which the split is off.
 """
 
 from __future__ import annotations
 
+import math
 import weakref
 from dataclasses import dataclass
-from typing import Iterable, List, Optional, Sequence
+from typing import Callable, Iterable, List, Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.config import check_itemset_size
+from basketlens.session import written
 
-# Fixed engineering limits (not reference values).
-MAX_ROW_ITEMS = 4096          # items one basket array may hold
-MAX_SPLIT_BASKETS = 100_000   # oversized baskets fetched and broadcast by id
-MAX_BROADCAST_ROWS = 2_000_000  # per-item tables broadcast after a measured count
+# Engineering limits (not reference values).
+COMBOS_PER_ROW = 1_000_000    # sets that one basket row or chunk tuple may expand to
+HOT_LINES = 4096              # lines of one basket that a join keeps in one task
 
 
-# Per line-table results that cost a pass over the lines (basket profile, pinned
+def row_limit(n: int) -> int:
+    """Items of the largest basket whose n-subsets one row may make."""
+    k = n
+    while math.comb(k + 1, n) <= COMBOS_PER_ROW:
+        k += 1
+    return k
+
+
+def chunk_items(n: int) -> int:
+    """Items of a chunk, so that a tuple of n chunks makes at most ``COMBOS_PER_ROW`` sets."""
+    return max(1, int(COMBOS_PER_ROW ** (1 / n)))
+
+
+# Per line table results that cost a pass over the lines (basket profiles, pinned
 # item supports), shared by the analyses that receive the same DataFrame object
 # (e.g. every analysis of one Dataset).  Keyed by object identity and dropped
 # with the DataFrame; a new DataFrame over the same files computes afresh.
@@ -64,29 +81,21 @@ def _memo(lines: DataFrame, key: tuple, compute):
     return slot[key]
 
 
-def pinned(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Materialize a per-item aggregate once and size it.
+def pinned(df: DataFrame) -> DataFrame:
+    """Compute a per-item aggregate once.
 
-    The table is checkpointed to the session's checkpoint folder (lineage cut,
-    survives executor loss), counted, and hinted for broadcast only when the
-    measured row count is within ``max_rows``; otherwise joins against it
-    shuffle.  Used for item supports and pruning sets, whose size follows the
-    catalog rather than the line table.
+    It is written to the shared folder and read back: the lineage is cut (lost
+    executors cost nothing), its columns are new to the plans that use it, and
+    the planner knows its real size, so it is broadcast only below
+    ``spark.sql.autoBroadcastJoinThreshold`` and else joined by a shuffle.
     """
-    from basketlens.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    table = df.checkpoint(eager=True)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    return written(df, "pinned")
 
 
 def member_names(n: int, prefix: str = "item_") -> List[str]:
     return [f"{prefix}{i}" for i in range(1, n + 1)]
 
 
-def basket_lines(lines: DataFrame, basket: str, item: str, keys: Sequence[str] = ()) -> DataFrame:
-    return lines.select(*keys, basket, item).where(F.col(item).isNotNull())
-
-
 def frequent_only(lines: DataFrame, basket: str, item: str, keys: Sequence[str],
                   min_count: int, item_counts: Optional[DataFrame] = None) -> DataFrame:
     """Keep lines of items found in >= ``min_count`` distinct baskets of their key group.
@@ -106,70 +115,55 @@ def frequent_only(lines: DataFrame, basket: str, item: str, keys: Sequence[str],
 class BasketProfile:
     """What one pass over the lines says about the baskets.
 
-    ``baskets``   -- distinct non-null basket ids (a bounded scalar)
-    ``oversized`` -- (basket, _chunks) for baskets above the row bound, or None
+    ``baskets``   -- distinct non-null basket ids (one number)
+    ``oversized`` -- (basket, _k) for baskets of more than ``limit`` lines, or None
 
     A profile of a line table also serves any subset of its lines: a basket
-    can only shrink, so the oversized list stays a superset (the chunk path is
-    exact for baskets of any size).
+    can only shrink, so the oversized list stays a superset (the split paths
+    are exact for baskets of any size).
     """
     baskets: int
     oversized: Optional[DataFrame]
-    max_row_items: int
-    fetched: bool = True  # oversized ids were fetched (bounded) rather than left lazy
-
-
-def basket_profile(lines: DataFrame, basket: str = "order_id",
-                   max_row_items: int = MAX_ROW_ITEMS) -> BasketProfile:
-    """Profile of ``lines`` (shared across analyses of the same DataFrame object)."""
-    return _memo(lines, ("profile", basket, max_row_items),
-                 lambda: _basket_profile(lines, basket, max_row_items))
-
-
-def _basket_profile(lines: DataFrame, basket: str, max_row_items: int) -> BasketProfile:
-    """One aggregation by basket; fetches one row, plus the oversized ids only
-    when there are at most ``MAX_SPLIT_BASKETS`` of them."""
-    sizes = (lines.where(F.col(basket).isNotNull()).groupBy(basket)
-             .agg(F.count(F.lit(1)).alias("_k")))
-    stats = sizes.agg(F.count(F.lit(1)).alias("baskets"),
-                      F.count(F.when(F.col("_k") > max_row_items, 1)).alias("big")).first()
-    big = sizes.where(F.col("_k") > max_row_items)
-    chunks = F.ceil(F.col("_k") / F.lit(max_row_items)).cast("int").alias("_chunks")
-    if stats["big"] == 0:
-        oversized = None
-    elif stats["big"] <= MAX_SPLIT_BASKETS:
-        fetched = lines.sparkSession.createDataFrame(big.collect(), big.schema)
-        oversized = F.broadcast(fetched.select(basket, chunks))
-    else:
-        return BasketProfile(int(stats["baskets"]), big.select(basket, chunks), max_row_items, False)
-    return BasketProfile(int(stats["baskets"]), oversized, max_row_items)
+    limit: int
+
+
+def basket_profile(lines: DataFrame, basket: str = "order_id", limit: int = HOT_LINES) -> BasketProfile:
+    """Profile of ``lines`` (shared across analyses of the same DataFrame object).
+
+    One aggregation by basket writes its line counts; the profiles for all
+    limits read that table.
+    """
+    sizes = _memo(lines, ("sizes", basket), lambda: written(
+        lines.where(F.col(basket).isNotNull()).groupBy(basket).agg(F.count(F.lit(1)).alias("_k")), "sizes"))
+    total, most = _memo(lines, ("total", basket), lambda: sizes.agg(F.count(F.lit(1)), F.max("_k")).first())
+
+    def oversized() -> Optional[DataFrame]:
+        return written(sizes.where(F.col("_k") > limit), "oversized") if (most or 0) > limit else None
+
+    return BasketProfile(int(total), _memo(lines, ("oversized", basket, limit), oversized), limit)
 
 
 def join_baskets(lines: DataFrame, baskets: DataFrame, basket: str = "order_id",
                  how: str = "inner", profile: Optional[BasketProfile] = None) -> DataFrame:
-    """``lines`` joined to a one-row-per-basket table, hot baskets kept apart.
+    """``lines`` joined to a one-row-per-basket table, hot baskets salted.
 
     A plain join on the basket id sends all lines of one basket to one task.
     Lines of the oversized baskets named by ``profile`` (a profile of these
-    lines or of a superset) instead meet their basket rows in a broadcast join
-    of just those rows -- at most ``MAX_SPLIT_BASKETS`` of them -- on the map
-    side; all other lines use the planner's join.  ``how`` is ``inner``,
-    ``left`` or ``left_semi``.
+    lines or of a superset) get a salt, their basket rows one copy per salt,
+    so that no task gets more than about ``profile.limit`` lines of a basket.
+    ``how`` is ``inner``, ``left`` or ``left_semi``.
     """
     if profile is None:
         profile = basket_profile(lines, basket)
-    if profile.oversized is None or not profile.fetched:
+    if profile.oversized is None:
         return lines.join(baskets, basket, how)
-    hot_ids = profile.oversized.select(basket)
-    hot_rows = F.broadcast(baskets.join(hot_ids, basket, "left_semi"))
-    cold = lines.join(hot_ids, basket, "left_anti").join(baskets, basket, how)
-    hot = lines.join(hot_ids, basket, "left_semi").join(hot_rows, basket, how)
-    return cold.unionByName(hot)
-
-
-def oversized_baskets(lines: DataFrame, basket: str, max_row_items: int) -> Optional[DataFrame]:
-    """``(basket, _chunks)`` for baskets above ``max_row_items`` lines, or None."""
-    return basket_profile(lines, basket, max_row_items).oversized
+    salts = profile.oversized.select(basket, F.ceil(F.col("_k") / profile.limit).cast("int").alias("_salts"))
+    cold = lines.join(salts.select(basket), basket, "left_anti").join(baskets, basket, how)
+    hot = (lines.join(salts, basket)
+           .withColumn("_salt", F.pmod(F.xxhash64(*lines.columns), F.col("_salts")).cast("int")).drop("_salts"))
+    copies = (baskets.join(salts, basket)
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts"))
+    return cold.unionByName(hot.join(copies, [basket, "_salt"], how).drop("_salt"))
 
 
 def _combos_in_row(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -188,21 +182,35 @@ def _combos_in_row(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return out.select(*keys, *member_names(n))
 
 
+def chunk_tuples(split: DataFrame, basket: str, n: int) -> DataFrame:
+    """(basket, _c1 <= ... <= _cn): the chunk tuples of every basket in ``split`` (basket, _chunks)."""
+    out = split
+    for i in range(1, n + 1):
+        low = F.lit(0) if i == 1 else F.col(f"_c{i - 1}")
+        out = out.withColumn(f"_c{i}", F.explode(F.sequence(low, F.col("_chunks") - 1)))
+        out = out.repartition(basket, *[f"_c{j}" for j in range(1, i + 1)])
+    return out.drop("_chunks")
+
+
 def _combos_across_chunks(lines: DataFrame, split: DataFrame, basket: str, item: str,
                           keys: Sequence[str], n: int) -> DataFrame:
     """Oversized baskets: hash chunks, chunk tuples, one member per chunk slot."""
     chunked = (lines.join(split, basket)
-               .withColumn("_c", F.pmod(F.xxhash64(item), F.col("_chunks")))
+               .withColumn("_c", F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int"))
                .groupBy(*keys, basket, "_c")
-               .agg(F.array_sort(F.collect_set(item)).alias("_a")))
-    tuples = chunked.select(*keys, basket, F.col("_c").alias("_c1"), F.col("_a").alias("_a1"))
-    for i in range(2, n + 1):
-        right = chunked.select(
-            *[F.col(k).alias(f"_r_{k}") for k in keys], F.col(basket).alias("_r_basket"),
-            F.col("_c").alias(f"_c{i}"), F.col("_a").alias(f"_a{i}"))
-        cond = [tuples[basket] == right["_r_basket"], right[f"_c{i}"] >= tuples[f"_c{i - 1}"]]
-        cond += [tuples[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
-        tuples = tuples.join(right, cond).drop(*[f"_r_{k}" for k in keys], "_r_basket")
+               .agg(F.sort_array(F.collect_set(item)).alias("_a")))
+    tuples = chunk_tuples(split, basket, n)
+    for i in range(1, n + 1):
+        side = chunked.withColumnsRenamed({"_c": f"_c{i}", "_a": f"_a{i}"})
+        if i == 1:
+            tuples = tuples.join(side, [basket, "_c1"])
+            continue
+        right = side.withColumnsRenamed({k: f"_r_{k}" for k in keys} | {basket: "_r_basket", f"_c{i}": "_r_c"})
+        same = [tuples[basket] == right["_r_basket"], tuples[f"_c{i}"] == right["_r_c"]]
+        same += [tuples[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
+        tuples = tuples.join(right, same).drop("_r_basket", "_r_c", *[f"_r_{k}" for k in keys])
+    # the tuples of one basket go to as many tasks as there are, before they expand
+    tuples = tuples.repartition(basket, *[f"_c{i}" for i in range(1, n + 1)])
 
     carried = [c for i in range(2, n + 1) for c in (f"_c{i}", f"_a{i}")]
     out = tuples.select(*keys, "_c1", *carried, F.posexplode("_a1").alias("_p1", "item_1"))
@@ -217,40 +225,58 @@ def _combos_across_chunks(lines: DataFrame, split: DataFrame, basket: str, item:
             (F.posexplode(source)).alias("_q", f"item_{i}"),
             offset.alias("_off"),
         ).withColumn(f"_p{i}", F.col("_q") + F.col("_off"))
-    ordered = F.array_sort(F.array(*member_names(n)))
+    ordered = F.sort_array(F.array(*member_names(n)))
     return out.select(*keys, *[ordered[i].alias(m) for i, m in enumerate(member_names(n))])
 
 
+def itemset_combos(lines: DataFrame, n: int, basket: str, item: str, keys: Sequence[str],
+                   profile: BasketProfile, chunk: Optional[int] = None) -> DataFrame:
+    """(keys, item_1 < ... < item_n): one row per n-subset of every basket.
+
+    ``profile`` names the baskets too large for one row; ``chunk`` is the
+    number of items in a chunk of those.
+    """
+    split = profile.oversized
+    normal = lines if split is None else lines.join(split.select(basket), basket, "left_anti")
+    rows = (normal.groupBy(*keys, basket)
+            .agg(F.sort_array(F.collect_set(item)).alias("_items"))
+            .where(F.size("_items") >= n))
+    combos = _combos_in_row(rows, keys, n)
+    if split is None:
+        return combos
+    chunks = split.select(basket, F.ceil(F.col("_k") / (chunk or chunk_items(n))).cast("int").alias("_chunks"))
+    return combos.unionByName(_combos_across_chunks(lines, chunks, basket, item, keys, n))
+
+
 def itemset_counts(lines: DataFrame, n: int, *, basket: str = "order_id",
                    item: str = "product_id", keys: Iterable[str] = (),
                    min_count: int = 1, prune: bool = True,
-                   count_col: str = "count",
-                   max_row_items: int = MAX_ROW_ITEMS,
-                   profile: Optional[BasketProfile] = None,
-                   item_counts: Optional[DataFrame] = None) -> DataFrame:
+                   count_col: str = "count", row_items: Optional[int] = None,
+                   chunk: Optional[int] = None, profile_lines: Optional[DataFrame] = None,
+                   item_counts: Optional[DataFrame] = None, tag: Optional[str] = None,
+                   keep: Optional[Callable[[List[Column]], Column]] = None) -> DataFrame:
     """``(keys..., item_1 < ... < item_n, count_col)``: distinct baskets per set.
 
     ``keys`` must be functions of the basket (e.g. its time slot); counts are
     per key group.  Only sets with ``count >= min_count`` are returned.
-    ``profile`` -- a ``basket_profile`` of these lines or of a superset;
-    ``item_counts`` -- (keys, item, count) over these lines, reused for pruning.
+    ``profile_lines`` -- the table whose profile names the oversized baskets
+    (these lines or a superset, default these); ``item_counts`` -- (keys, item,
+    count) over these lines, reused for pruning.  ``tag`` is a column that
+    depends on the item; only sets whose member tags satisfy ``keep`` count.
     """
     n = check_itemset_size(n)
     keys = list(keys)
-    base = basket_lines(lines, basket, item, keys)
+    base = lines.where(F.col(item).isNotNull())
     if prune and min_count > 1:
         base = frequent_only(base, basket, item, keys, min_count, item_counts)
+    member = F.col(item) if tag is None else F.struct(F.col(item).alias("item"), F.col(tag).alias("tag"))
+    base = base.select(*keys, basket, member.alias("_item"))
 
-    if profile is None or profile.max_row_items != max_row_items:
-        profile = basket_profile(lines, basket, max_row_items)
-    split = profile.oversized
-    normal = base if split is None else base.join(split.select(basket), basket, "left_anti")
-    rows = (normal.groupBy(*keys, basket)
-            .agg(F.array_sort(F.collect_set(item)).alias("_items"))
-            .where(F.size("_items") >= n))
-    combos = _combos_in_row(rows, keys, n)
-    if split is not None:
-        combos = combos.unionByName(_combos_across_chunks(base, split, basket, item, keys, n))
+    profile = basket_profile(lines if profile_lines is None else profile_lines, basket, row_items or row_limit(n))
+    combos = itemset_combos(base, n, basket, "_item", keys, profile, chunk)
+    if tag is not None:
+        combos = (combos.where(keep([F.col(f"{m}.tag") for m in member_names(n)]))
+                  .select(*keys, *[F.col(f"{m}.item").alias(m) for m in member_names(n)]))
 
     counts = combos.groupBy(*keys, *member_names(n)).agg(F.count(F.lit(1)).alias(count_col))
     if min_count > 1:
@@ -258,6 +284,12 @@ def itemset_counts(lines: DataFrame, n: int, *, basket: str = "order_id",
     return counts
 
 
+def top_rows(df: DataFrame, order: Sequence[Column], limit: Optional[int]) -> DataFrame:
+    """``df`` in ``order``, the first ``limit`` rows (None: all; 0: none)."""
+    df = df.orderBy(*order)
+    return df if limit is None else df.limit(limit)
+
+
 def pinned_supports(lines: DataFrame, basket: str = "order_id", item: str = "product_id",
                     name: str = "support_count", keys: Sequence[str] = ()) -> DataFrame:
     """``pinned(item_supports(...))``, shared across analyses of the same lines."""

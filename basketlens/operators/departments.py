@@ -17,33 +17,34 @@ from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
 from basketlens.operators.cooccur import (basket_profile, item_supports, itemset_counts,
-                                          member_names, pinned, total_baskets, with_members)
+                                          member_names, pinned, top_rows, with_members)
+from basketlens.session import written
 
 
-def department_lines(ds: Dataset, profile=None) -> DataFrame:
-    """(order_id, department) for every prior line of a prior order."""
-    return (ds.prior_lines_of_prior_orders(profile)
-            .join(ds.products_clean.select("product_id", "department_id"), "product_id")
-            .join(ds.departments, "department_id")
-            .select("order_id", "department"))
+def department_baskets(ds: Dataset) -> DataFrame:
+    """Distinct (order_id, department) of the prior lines of prior orders, computed once.
+
+    The baskets, their total and the orders holding a department all come from
+    this table, which is much smaller than the lines.
+    """
+    names = pinned(ds.products_clean.select("product_id", "department_id")
+                   .join(ds.departments, "department_id").select("product_id", "department"))
+    lines = ds.prior_lines_of_prior_orders(basket_profile(ds.order_products_prior))
+    return written(lines.select("order_id", "product_id").join(names, "product_id")
+                   .select("order_id", "department").distinct(), "departments")
 
 
 def associations(ds: Dataset, n: int = 2, min_co: int = 1000, limit: Optional[int] = 50,
                  digits: Optional[int] = 2) -> DataFrame:
     """Department n-sets with co >= ``min_co``; ``support_pct`` = co * 100 / baskets."""
     n = check_itemset_size(n)
-    profile = basket_profile(ds.order_products_prior)  # oversized orders (a superset)
-    lines = department_lines(ds, profile)
-    sets = itemset_counts(lines, n, item="department", min_count=min_co, count_col="co_occurrence",
-                          profile=profile)
+    lines = department_baskets(ds)
+    sets = itemset_counts(lines, n, item="department", min_count=min_co, count_col="co_occurrence")
     depts = [f"dept_{i}" for i in range(1, n + 1)]
-    out = sets.crossJoin(total_baskets(lines, name="_baskets")).select(
-        *[F.col(m).alias(d) for m, d in zip(member_names(n), depts)],
-        "co_occurrence",
-        M.rounded(M.percent("co_occurrence", "_baskets"), digits).alias("support_pct"),
-    )
-    out = out.orderBy(F.col("co_occurrence").desc(), *depts)
-    return out.limit(limit) if limit else out
+    out = sets.select(
+        *[F.col(m).alias(d) for m, d in zip(member_names(n), depts)], "co_occurrence",
+        M.rounded(M.percent("co_occurrence", F.lit(basket_profile(lines).baskets)), digits).alias("support_pct"))
+    return top_rows(out, [F.desc("co_occurrence"), *map(F.col, depts)], limit)
 
 
 def pairs_with_confidence(ds: Dataset, min_co_exclusive: int = 1000, limit: Optional[int] = 20,
@@ -52,18 +53,15 @@ def pairs_with_confidence(ds: Dataset, min_co_exclusive: int = 1000, limit: Opti
     ``support_pct`` = (co / baskets) * 100, ``confidence_dept1_to_dept2`` =
     co / baskets holding dept1."""
     digits = digits or {}
-    profile = basket_profile(ds.order_products_prior)  # oversized orders (a superset)
-    lines = department_lines(ds, profile)
+    lines = department_baskets(ds)
     per_dept = pinned(item_supports(lines, item="department", name="_holding"))
     sets = itemset_counts(lines, 2, item="department", min_count=min_co_exclusive + 1,
-                          count_col="co_occurrence", profile=profile, item_counts=per_dept)
+                          count_col="co_occurrence", item_counts=per_dept)
     sets = with_members(sets, 1, per_dept, "department", {"_holding": "_holding"})
-    support = M.as_double("co_occurrence") / M.as_double("_baskets")
-    out = sets.crossJoin(total_baskets(lines, name="_baskets")).select(
+    support = M.as_double("co_occurrence") / M.as_double(F.lit(basket_profile(lines).baskets))
+    out = sets.select(
         F.col("item_1").alias("dept1"), F.col("item_2").alias("dept2"), "co_occurrence",
         M.rounded(support * F.lit(100.0), digits.get("support_pct", 2)).alias("support_pct"),
         M.rounded(M.as_double("co_occurrence") / M.as_double("_holding"),
-                  digits.get("confidence", 4)).alias("confidence_dept1_to_dept2"),
-    )
-    out = out.orderBy(F.col("co_occurrence").desc(), "dept1", "dept2")
-    return out.limit(limit) if limit else out
+                  digits.get("confidence", 4)).alias("confidence_dept1_to_dept2"))
+    return top_rows(out, [F.desc("co_occurrence"), F.col("dept1"), F.col("dept2")], limit)

@@ -16,16 +16,16 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import or_
-from typing import List, Optional
+from typing import List, Optional, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.config import AnalysisConfig, check_itemset_size
+from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (basket_profile, itemset_counts, member_names,
-                                          pinned_supports, with_members)
+from basketlens.operators.cooccur import (basket_profile, itemset_counts, member_names, pinned,
+                                          pinned_supports, top_rows, with_members)
 
 METRICS = ("lift", "support", "confidence", "co_occurrence")
 DEFAULT_DIGITS = {"support": 6, "confidence": 4, "lift": 4}
@@ -35,40 +35,59 @@ def product_columns(n: int) -> List[str]:
     return [f"product_{i}" for i in range(1, n + 1)]
 
 
+def counted_sets(ds: Dataset, n: int, min_co: int, count_col: str = "co_occurrence",
+                 pattern: Optional[str] = None, prune: bool = True) -> DataFrame:
+    """(item_i, ``_s{i}`` supports, count) of sets of known products.
+
+    Lines of products that ``products`` doesn't name are left out first, which
+    is what joining the names to the sets would do.  With ``pattern`` only sets
+    with a member name ``LIKE '%pattern%'`` are made: names are matched on
+    ``products``, and the match travels with the item.
+    """
+    lines = ds.order_products_prior
+    supports = pinned_supports(lines)
+    known = ds.products.select("product_id", "product_name")
+    hit = F.lit(True) if pattern is None else F.coalesce(F.col("product_name").like(f"%{pattern}%"), F.lit(False))
+    tagged = pinned(supports.where(F.col("support_count") >= (min_co if prune else 1))
+                    .join(known, "product_id").groupBy("product_id").agg(F.max(hit).alias("_hit")))
+    sets = itemset_counts(lines.join(tagged, "product_id"), n, min_count=min_co, prune=False, count_col=count_col,
+                          profile_lines=lines, tag="_hit", keep=lambda hits: reduce(or_, hits))
+    return with_members(sets, n, supports, "product_id", {"support_count": "_s{i}"})
+
+
 def scored_itemsets(ds: Dataset, n: int, min_co: int, digits: Optional[dict] = DEFAULT_DIGITS,
-                    prune: bool = True) -> DataFrame:
-    """Unordered, unlimited O15 rows (plus ``item_i`` ids)."""
+                    prune: bool = True, pattern: Optional[str] = None) -> DataFrame:
+    """Unordered, unlimited O15 rows by product id: item_i, co_occurrence and the metrics."""
     n = check_itemset_size(n)
     digits = digits or {}
-    lines = ds.order_products_prior
-    profile = basket_profile(lines)
-    supports = pinned_supports(lines)
-    sets = itemset_counts(lines, n, min_count=min_co, count_col="co_occurrence", prune=prune,
-                          profile=profile, item_counts=supports)
-    sets = with_members(sets, n, supports, "product_id", {"support_count": "_s{i}"})
-    sets = with_members(sets, n, ds.products, "product_id", {"product_name": "product_{i}"})
-    sets = sets.withColumn("total_orders", F.lit(profile.baskets))
+    total = F.lit(basket_profile(ds.order_products_prior).baskets)
     s = [f"_s{i}" for i in range(1, n + 1)]
-    return sets.select(
-        *member_names(n), *product_columns(n), "co_occurrence",
-        M.rounded(M.support("co_occurrence", "total_orders"), digits.get("support")).alias("support"),
+    return counted_sets(ds, n, min_co, pattern=pattern, prune=prune).select(
+        *member_names(n), "co_occurrence",
+        M.rounded(M.support("co_occurrence", total), digits.get("support")).alias("support"),
         M.rounded(M.confidence("co_occurrence", s[:-1]), digits.get("confidence")).alias("confidence"),
-        M.rounded(M.lift("co_occurrence", "total_orders", s), digits.get("lift")).alias("lift"),
+        M.rounded(M.lift("co_occurrence", total, s), digits.get("lift")).alias("lift"),
     )
 
 
-def _ranked(df: DataFrame, n: int, first: List[str], limit: Optional[int]) -> DataFrame:
-    order = [F.col(c).desc() for c in first] + [F.col(c).asc() for c in product_columns(n)]
-    df = df.orderBy(*order)
-    return df.limit(limit) if limit else df
+def named_top(ds: Dataset, sets: DataFrame, n: int, order: Sequence[Column], limit: Optional[int],
+              columns: Sequence[str]) -> DataFrame:
+    """The first ``limit`` sets in ``order`` (ties by product ids), named after the cut."""
+    order = [*order, *[F.col(m).asc() for m in member_names(n)]]
+    kept = top_rows(sets, order, limit)
+    named = with_members(kept, n, ds.products, "product_id", {"product_name": "product_{i}"})
+    return named.orderBy(*order).select(*columns)
 
 
 def analyze(ds: Dataset, n: int, min_co: int = 50, limit: Optional[int] = 100,
             digits: Optional[dict] = DEFAULT_DIGITS, prune: bool = True) -> DataFrame:
-    """N-item sets ordered by lift, co-occurrence (then names), top ``limit``."""
-    out = scored_itemsets(ds, n, min_co, digits, prune)
-    out = out.select(*product_columns(n), "co_occurrence", "support", "confidence", "lift")
-    return _ranked(out, n, ["lift", "co_occurrence"], limit)
+    """N-item sets ordered by lift, co-occurrence (then ids), top ``limit``."""
+    return named_top(ds, scored_itemsets(ds, n, min_co, digits, prune), n,
+                     [F.desc("lift"), F.desc("co_occurrence")], limit, _columns(n))
+
+
+def _columns(n: int) -> List[str]:
+    return [*product_columns(n), "co_occurrence", "support", "confidence", "lift"]
 
 
 def pairs(ds: Dataset, min_co: int = 50, limit: Optional[int] = 100, **kw) -> DataFrame:
@@ -86,56 +105,36 @@ def quadruplets(ds: Dataset, min_co: int = 20, limit: Optional[int] = 100, **kw)
     return analyze(ds, 4, min_co, limit, **kw)
 
 
-def from_config(ds: Dataset, n: int, cfg: AnalysisConfig, limit: Optional[int] = 100, **kw):
-    return analyze(ds, n, cfg.min_co_occurrence, limit, **kw)
-
-
-def search(ds: Dataset, pattern: str, n: int = 2, min_co: int = 50, limit: int = 20,
+def search(ds: Dataset, pattern: str, n: int = 2, min_co: int = 50, limit: Optional[int] = 20,
            digits: Optional[dict] = DEFAULT_DIGITS) -> DataFrame:
     """N-item sets where any member name is ``LIKE '%pattern%'``."""
-    out = scored_itemsets(ds, n, min_co, digits)
-    like = f"%{pattern}%"
-    out = out.where(reduce(or_, [F.col(c).like(like) for c in product_columns(n)]))
-    out = out.select(*product_columns(n), "co_occurrence", "support", "confidence", "lift")
-    return _ranked(out, n, ["lift", "co_occurrence"], limit)
+    return named_top(ds, scored_itemsets(ds, n, min_co, digits, pattern=pattern), n,
+                     [F.desc("lift"), F.desc("co_occurrence")], limit, _columns(n))
 
 
-def pairs_directed(ds: Dataset, pattern: str, min_co_exclusive: int = 50, limit: int = 20,
+def pairs_directed(ds: Dataset, pattern: str, min_co_exclusive: int = 50, limit: Optional[int] = 20,
                    digits: Optional[int] = 4) -> DataFrame:
     """Pairs with co > ``min_co_exclusive`` and a member name like the pattern;
     both item counts, both confidences and lift; top ``limit`` by lift."""
-    lines = ds.order_products_prior
-    profile = basket_profile(lines)
-    supports = pinned_supports(lines)
-    sets = itemset_counts(lines, 2, min_count=min_co_exclusive + 1, count_col="co_occurrence_count",
-                          profile=profile, item_counts=supports)
-    sets = with_members(sets, 2, supports, "product_id", {"support_count": "product{i}_count"})
-    sets = with_members(sets, 2, ds.products, "product_id", {"product_name": "product_{i}"})
-    sets = sets.withColumn("total_orders", F.lit(profile.baskets))
-    like = f"%{pattern}%"
-    sets = sets.where(F.col("product_1").like(like) | F.col("product_2").like(like))
-    out = sets.select(
-        "product_1", "product_2", "co_occurrence_count", "product1_count", "product2_count",
-        M.rounded(M.confidence("co_occurrence_count", ["product1_count"]), digits).alias("confidence_1_to_2"),
-        M.rounded(M.confidence("co_occurrence_count", ["product2_count"]), digits).alias("confidence_2_to_1"),
-        M.rounded(M.lift("co_occurrence_count", "total_orders", ["product1_count", "product2_count"]),
-                  digits).alias("lift"),
-    )
-    return _ranked(out, 2, ["lift"], limit)
+    total = F.lit(basket_profile(ds.order_products_prior).baskets)
+    co = "co_occurrence_count"
+    sets = counted_sets(ds, 2, min_co_exclusive + 1, co, pattern).select(
+        "item_1", "item_2", co, F.col("_s1").alias("product1_count"), F.col("_s2").alias("product2_count"),
+        M.rounded(M.confidence(co, ["_s1"]), digits).alias("confidence_1_to_2"),
+        M.rounded(M.confidence(co, ["_s2"]), digits).alias("confidence_2_to_1"),
+        M.rounded(M.lift(co, total, ["_s1", "_s2"]), digits).alias("lift"))
+    return named_top(ds, sets, 2, [F.desc("lift")], limit, [
+        "product_1", "product_2", co, "product1_count", "product2_count", "confidence_1_to_2", "confidence_2_to_1", "lift"])
 
 
 def top(ds: Dataset, n: int = 2, metric: str = "lift", limit: int = 30, min_co: int = 50,
-        pool: Optional[int] = -1, digits: Optional[dict] = DEFAULT_DIGITS) -> DataFrame:
-    """The ``limit`` best sets by ``metric``.
-
-    As in the reference, the candidates are the ``2 * limit`` best by lift
-    (``pool=-1``); ``pool=None`` ranks every set (a true global top-k), an int
-    sets the pool size.
-    """
+        pool: Optional[int] = None, digits: Optional[dict] = DEFAULT_DIGITS) -> DataFrame:
+    """The ``limit`` best of all sets by ``metric``.  ``pool`` is an explicit
+    pre-selection: only that many sets, the best by lift, are ranked."""
     if metric not in METRICS:
-        raise ValueError(f"Invalid metric: {metric}")
-    pool = 2 * limit if pool == -1 else pool
-    candidates = analyze(ds, n, min_co, pool, digits)
-    order = [F.col(metric).desc(), F.col("lift").desc(), F.col("co_occurrence").desc()]
-    order += [F.col(c).asc() for c in product_columns(n)]
-    return candidates.orderBy(*order).limit(limit)
+        raise ValueError(f"{metric!r} is none of {', '.join(METRICS)}")
+    sets = scored_itemsets(ds, n, min_co, digits)
+    by_lift = [F.desc("lift"), F.desc("co_occurrence")]
+    if pool is not None:
+        sets = top_rows(sets, [*by_lift, *[F.col(m).asc() for m in member_names(n)]], pool)
+    return named_top(ds, sets, n, [F.desc(metric), *by_lift], limit, _columns(n))

@@ -3,55 +3,63 @@ O28 cross-department synergies."""
 
 from __future__ import annotations
 
-from typing import Optional
+from typing import List, Optional, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (MAX_ROW_ITEMS, basket_profile, item_supports,
-                                          itemset_counts, join_baskets, oversized_baskets,
-                                          pinned, pinned_supports, with_members)
+from basketlens.operators.cooccur import (HOT_LINES, basket_profile, itemset_counts, join_baskets, member_names,
+                                          pinned, pinned_supports, top_rows, with_members)
+from basketlens.session import written
 
 
-def _names_and_departments(ds: Dataset, sets: DataFrame, n: int) -> DataFrame:
-    sets = with_members(sets, n, ds.products, "product_id", {"product_name": "product_{i}"})
-    dims = ds.products_clean.join(ds.departments, "department_id", "left") \
-        .select("product_id", "department")
-    return with_members(sets, n, dims, "product_id", {"department": "dept_{i}"}, how="left")
+def _dimensions(ds: Dataset) -> DataFrame:
+    """product_id, product_name, department_id and department (null when unknown)."""
+    return (ds.products_clean.join(ds.departments, "department_id", "left")
+            .select("product_id", "product_name", "department_id", "department"))
 
 
-def _top(df: DataFrame, first: str, tie: list, limit: Optional[int]) -> DataFrame:
-    df = df.orderBy(F.col(first).desc(), *[F.col(c).asc_nulls_first() for c in tie])
-    return df.limit(limit) if limit else df
+def _named_top(ds: Dataset, sets: DataFrame, n: int, first: str, keys: Sequence[str], limit: Optional[int]) -> DataFrame:
+    """The first ``limit`` sets by ``first`` (ties by keys, then product ids), with
+    the names and departments of their members joined after the cut."""
+    order: List[Column] = [F.desc(first), *map(F.col, keys), *map(F.col, member_names(n))]
+    kept = top_rows(sets, order, limit)
+    named = with_members(kept, n, _dimensions(ds), "product_id",
+                         {"product_name": "product_{i}", "department": "dept_{i}"})
+    return named.orderBy(*order)
 
 
-def temporal(ds: Dataset, n: int = 2, min_count: int = 50, limit: Optional[int] = 200) -> DataFrame:
-    """N-sets per (time period, day type) of prior orders, count >= ``min_count``."""
+def temporal(ds: Dataset, n: int = 2, min_count: int = 50, limit: Optional[int] = 200,
+             time_period: Optional[str] = None, day_type: Optional[str] = None) -> DataFrame:
+    """N-sets per (time period, day type) of prior orders, count >= ``min_count``;
+    O24b: only one period and / or day type, whose orders alone are read then."""
     n = check_itemset_size(n)
     slots = ds.prior_orders.select(
         "order_id",
         L.time_period("order_hour_of_day").alias("time_period"),
         L.day_type("order_dow").alias("day_type"),
     )
-    profile = basket_profile(ds.order_products_prior)
-    lines = join_baskets(ds.order_products_prior, slots, profile=profile)
-    sets = itemset_counts(lines, n, keys=["time_period", "day_type"], min_count=min_count,
-                          count_col="pattern_count", profile=profile)
-    sets = _names_and_departments(ds, sets, n)
-    products = [f"product_{i}" for i in range(1, n + 1)]
-    out = sets.select(
-        "time_period", "day_type", *products, "pattern_count",
+    for name, value in (("time_period", time_period), ("day_type", day_type)):
+        if value is not None:
+            slots = slots.where(F.col(name) == value)
+    prior = ds.order_products_prior
+    # the joined lines serve the pruning counts and the sets
+    lines = written(join_baskets(prior, slots, profile=basket_profile(prior))
+                    .join(ds.products.select("product_id"), "product_id", "left_semi")
+                    .select("order_id", "product_id", "time_period", "day_type"), "slots")
+    keys = ["time_period", "day_type"]
+    sets = itemset_counts(lines, n, keys=keys, min_count=min_count, count_col="pattern_count", profile_lines=prior)
+    return _named_top(ds, sets, n, "pattern_count", keys, limit).select(
+        *keys, *[f"product_{i}" for i in range(1, n + 1)], "pattern_count",
         *[f"dept_{i}" for i in range(1, n + 1)],
-        F.concat(F.col("day_type"), F.lit(L.CONTEXT_SEP), F.col("time_period")).alias("shopping_context"),
-    )
-    return _top(out, "pattern_count", ["time_period", "day_type", *products], limit)
+        F.concat(F.col("day_type"), F.lit(L.CONTEXT_SEP), F.col("time_period")).alias("shopping_context"))
 
 
-def cart_positions(ds: Dataset, max_row_items: int = MAX_ROW_ITEMS) -> DataFrame:
+def cart_positions(ds: Dataset, max_row_items: int = HOT_LINES) -> DataFrame:
     """Prior lines with ``position`` (1-based cart order; ties by product id) and
     the product placed right after (``next_product``).
 
@@ -63,7 +71,7 @@ def cart_positions(ds: Dataset, max_row_items: int = MAX_ROW_ITEMS) -> DataFrame
     successor of a range's last line.
     """
     lines = ds.order_products_prior.select("order_id", "product_id", "add_to_cart_order")
-    split = oversized_baskets(lines, "order_id", max_row_items)
+    split = basket_profile(ds.order_products_prior, "order_id", max_row_items).oversized
     normal = lines if split is None else lines.join(split.select("order_id"), "order_id", "left_anti")
     w = Window.partitionBy("order_id").orderBy("add_to_cart_order", "product_id")
     steps = normal.select("order_id", "product_id",
@@ -100,7 +108,7 @@ def _ranged_positions(lines: DataFrame, width: int) -> DataFrame:
 
 
 def sequential(ds: Dataset, min_count: int = 80, limit: Optional[int] = 100,
-               digits: Optional[int] = 1, max_row_items: int = MAX_ROW_ITEMS) -> DataFrame:
+               digits: Optional[int] = 1, max_row_items: int = HOT_LINES) -> DataFrame:
     """Ordered pairs placed next to each other in a cart, count >= ``min_count``."""
     steps = cart_positions(ds, max_row_items).where(F.col("next_product").isNotNull())
     seq = (steps.groupBy(F.col("product_id").alias("_first"), F.col("next_product").alias("_second"))
@@ -109,72 +117,63 @@ def sequential(ds: Dataset, min_count: int = 80, limit: Optional[int] = 100,
                 F.avg(F.col("position") + 1).alias("_avg2"))
            .where(F.col("sequence_count") >= min_count))
     dims = ds.product_dims
+    known = dims.select("product_id")
+    for key in ("_first", "_second"):
+        seq = seq.join(known.withColumnRenamed("product_id", key), key, "left_semi")
+    order = [F.desc("sequence_count"), F.col("_first"), F.col("_second")]
+    seq = top_rows(seq, order, limit)
     for tag, key in (("first", "_first"), ("second", "_second")):
         side = dims.select(F.col("product_id").alias(key),
                            F.col("product_name").alias(f"{tag}_product"),
                            F.col("department").alias(f"{tag}_dept"),
                            F.col("aisle").alias(f"{tag}_aisle"))
         seq = seq.join(side, key)
-    out = seq.select(
+    return seq.orderBy(*order).select(
         "first_product", "second_product", "sequence_count",
         M.rounded(F.col("_avg1"), digits).alias("avg_first_pos"),
         M.rounded(F.col("_avg2"), digits).alias("avg_second_pos"),
         "first_dept", "second_dept", "first_aisle", "second_aisle",
     )
-    return _top(out, "sequence_count", ["first_product", "second_product"], limit)
 
 
 def reorder(ds: Dataset, n: int = 2, min_count: int = 100, limit: Optional[int] = 100) -> DataFrame:
     """N-sets where every member line was a reorder; known departments only."""
     n = check_itemset_size(n)
-    lines = ds.order_products_prior.where(F.col("reordered") == 1)
+    known = _dimensions(ds).where(F.col("department").isNotNull()).select("product_id")
+    lines = ds.order_products_prior.where(F.col("reordered") == 1).join(known, "product_id", "left_semi")
     sets = itemset_counts(lines, n, min_count=min_count, count_col="reorder_count",
-                          profile=basket_profile(ds.order_products_prior))
-    sets = _names_and_departments(ds, sets, n)
-    depts = [f"dept_{i}" for i in range(1, n + 1)]
-    for d in depts:
-        sets = sets.where(F.col(d).isNotNull())
+                          profile_lines=ds.order_products_prior)
     if n == 2:
         loyalty = F.when(F.col("dept_1") == F.col("dept_2"), F.lit(L.SAME_DEPT)) \
             .otherwise(F.lit(L.CROSS_DEPT))
     else:
         loyalty = F.lit(L.MULTI)
-    products = [f"product_{i}" for i in range(1, n + 1)]
-    out = sets.select(*products, "reorder_count", *depts, loyalty.alias("loyalty_type"))
-    return _top(out, "reorder_count", products, limit)
+    return _named_top(ds, sets, n, "reorder_count", [], limit).select(
+        *[f"product_{i}" for i in range(1, n + 1)], "reorder_count",
+        *[f"dept_{i}" for i in range(1, n + 1)], loyalty.alias("loyalty_type"))
 
 
 def cross_department(ds: Dataset, min_lift: float = 2.5, min_count: int = 30,
                      limit: Optional[int] = 100, digits: Optional[dict] = None) -> DataFrame:
     """Pairs of products from different (known) departments with
-    count >= ``min_count`` and lift rounded to 2 digits > ``min_lift``."""
+    count >= ``min_count`` and lift rounded to 2 digits > ``min_lift``.
+
+    The department id travels with the item, so pairs inside one department
+    are dropped before they are counted."""
     digits = {"confidence": 4, "lift": 2} if digits is None else digits
     prior = ds.order_products_prior
-    dept_of = ds.products_clean.where(F.col("department_id").isNotNull()) \
-        .select("product_id", "department_id")
-    lines = prior.join(dept_of, "product_id", "left_semi")
-    profile = basket_profile(prior)
     supports = pinned_supports(prior)
-    # pruning counts over the kept lines equal the supports for the kept items
-    sets = itemset_counts(lines, 2, min_count=min_count, count_col="pair_count", profile=profile,
-                          item_counts=pinned(supports.join(dept_of.select("product_id"), "product_id",
-                                                             "left_semi")))
-    sets = with_members(sets, 2, dept_of, "product_id", {"department_id": "_d{i}"})
-    sets = sets.where(F.col("_d1") != F.col("_d2"))
+    items = pinned(supports.where(F.col("support_count") >= min_count)
+                   .join(ds.products_clean.where(F.col("department_id").isNotNull()), "product_id")
+                   .select("product_id", "department_id"))
+    sets = itemset_counts(prior.join(items, "product_id"), 2, min_count=min_count, prune=False, count_col="pair_count",
+                          profile_lines=prior, tag="department_id", keep=lambda dept: dept[0] != dept[1])
     sets = with_members(sets, 2, supports, "product_id", {"support_count": "_s{i}"})
-    sets = sets.withColumn("total_orders", F.lit(profile.baskets))
-    raw_lift = M.lift("pair_count", "total_orders", ["_s1", "_s2"])
-    sets = sets.where(F.round(raw_lift, 2) > F.lit(min_lift))
-    sets = with_members(sets, 2, ds.products, "product_id", {"product_name": "product_{i}"})
-    names = ds.departments
-    for i in (1, 2):
-        sets = sets.join(names.select(F.col("department_id").alias(f"_d{i}"),
-                                      F.col("department").alias(f"department_{i}")),
-                         f"_d{i}", "left")
-    out = sets.select(
-        "department_1", "department_2", "product_1", "product_2", "pair_count",
+    raw_lift = M.lift("pair_count", F.lit(basket_profile(prior).baskets), ["_s1", "_s2"])
+    sets = sets.where(F.round(raw_lift, 2) > F.lit(min_lift)).select(
+        "item_1", "item_2", "pair_count",
         M.rounded(M.confidence("pair_count", ["_s1"]), digits.get("confidence")).alias("confidence"),
-        M.rounded(raw_lift, digits.get("lift")).alias("lift"),
-    )
-    out = out.orderBy(F.col("lift").desc(), "product_1", "product_2")
-    return out.limit(limit) if limit else out
+        M.rounded(raw_lift, digits.get("lift")).alias("lift"))
+    return _named_top(ds, sets, 2, "lift", [], limit).select(
+        F.col("dept_1").alias("department_1"), F.col("dept_2").alias("department_2"),
+        "product_1", "product_2", "pair_count", "confidence", "lift")

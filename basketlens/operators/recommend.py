@@ -15,16 +15,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
-from basketlens.operators.cooccur import join_baskets
+from basketlens.operators.cooccur import basket_profile, join_baskets
+from basketlens.session import written
+
+SALTS = 32   # parts of one product's lines in the many-user join
+
+
+def _orders_of(ds: Dataset, user_id: int) -> DataFrame:
+    """The user's orders as a written table: it is broadcast by its size, so the
+    lines are filtered where they are read."""
+    return written(ds.orders.where(F.col("user_id") == F.lit(user_id)).select("order_id").distinct(), "user")
 
 
 def history(ds: Dataset, user_id: int) -> DataFrame:
     """The user's prior lines per product, most bought first."""
-    orders = ds.orders.where(F.col("user_id") == F.lit(user_id)).select("order_id")
-    return (ds.order_products_prior.join(orders, "order_id", "left_semi")
+    return (ds.order_products_prior.join(_orders_of(ds, user_id), "order_id", "left_semi")
+            .groupBy("product_id").agg(F.count(F.lit(1)).alias("purchase_count"))
             .join(ds.products.select("product_id", "product_name"), "product_id")
-            .groupBy("product_id", "product_name")
-            .agg(F.count(F.lit(1)).alias("purchase_count"))
+            .select("product_id", "product_name", "purchase_count")
             .orderBy(F.col("purchase_count").desc(), "product_id"))
 
 
@@ -33,35 +41,24 @@ def _dims(ds: Dataset) -> DataFrame:
             .select("product_id", "product_name", "aisle", "department"))
 
 
-def _strength(lines: DataFrame, owned: DataFrame, keys: list) -> DataFrame:
-    """(keys, product_id, association_strength) for items not in ``owned``."""
-    touching = (lines.select("order_id", "product_id").join(owned, "product_id")
-                .select(*keys, "order_id").distinct())
-    pairs = lines.select("order_id", "product_id")
-    if keys:
-        # one row per (user, order): the order side is not one row per order
-        in_touching = touching.join(pairs, "order_id")
-    else:
-        # one row per order: hot orders meet the touching set apart
-        in_touching = join_baskets(pairs, touching, how="left_semi")
-    return (in_touching
-            .join(owned, [*keys, "product_id"], "left_anti")
-            .groupBy(*keys, "product_id")
-            .agg(F.count_distinct("order_id").alias("association_strength")))
-
-
 def for_user(ds: Dataset, user_id: int, n: int = 10) -> DataFrame:
     """Top ``n`` candidates by strength with their global ``rank``.
 
+    The user's orders and items are small written tables; the orders touching
+    an item are one row per order, joined to the lines with hot orders salted.
     The rank of a row in the top ``n`` only depends on rows with a higher
     strength, all of which are in the top ``n``; so ranking the ``n`` kept rows
     (a bounded window) gives the rank over all candidates.
     """
-    lines = ds.order_products_prior
-    orders = ds.orders.where(F.col("user_id") == F.lit(user_id)).select("order_id")
-    owned = (lines.join(orders, "order_id", "left_semi").select("product_id")
-             .where(F.col("product_id").isNotNull()).distinct())
-    cands = _strength(lines, owned, []).join(_dims(ds), "product_id")
+    lines = ds.order_products_prior.select("order_id", "product_id")
+    profile = basket_profile(ds.order_products_prior)
+    owned = written(lines.join(_orders_of(ds, user_id), "order_id", "left_semi").select("product_id")
+                    .where(F.col("product_id").isNotNull()).distinct(), "owned")
+    touching = lines.join(owned, "product_id", "left_semi").select("order_id").distinct()
+    cands = (join_baskets(lines, touching, how="left_semi", profile=profile)
+             .join(owned, "product_id", "left_anti")
+             .groupBy("product_id").agg(F.count_distinct("order_id").alias("association_strength"))
+             .join(_dims(ds), "product_id"))
     top = cands.orderBy(F.col("association_strength").desc(), "product_id").limit(n)
     w = Window.orderBy(F.col("association_strength").desc())
     return (top.select("product_name", "product_id", "aisle", "department",
@@ -72,19 +69,27 @@ def for_user(ds: Dataset, user_id: int, n: int = 10) -> DataFrame:
 def for_users(ds: Dataset, users: DataFrame, n: int = 10) -> DataFrame:
     """Many-user form of O22: ``users`` holds a ``user_id`` column.
 
-    Candidates are ranked per user with a window partitioned by user, over at
-    most one row per (user, catalog item).
+    The distinct (order, product) lines are computed once.  In the join of
+    lines and owned items a product's lines are dealt over ``SALTS`` parts by
+    order, and owned items are copied to each part, so a very common item is
+    shared by many tasks; an order's lines stay in one part, where (user,
+    order) repeats are dropped before the next shuffle.  Candidates are ranked
+    per user, over at most one row per (user, catalog item).
     """
-    lines = ds.order_products_prior
+    lines = written(ds.order_products_prior.select("order_id", "product_id")
+                    .where(F.col("product_id").isNotNull()).distinct(), "lines")
     user_orders = ds.orders.join(users.select("user_id").distinct(), "user_id", "left_semi") \
         .select("user_id", "order_id")
-    owned = (user_orders.join(lines.select("order_id", "product_id"), "order_id")
-             .where(F.col("product_id").isNotNull())
-             .select("user_id", "product_id").distinct())
-    cands = _strength(lines, owned, ["user_id"]).join(_dims(ds), "product_id")
+    owned = written(user_orders.join(lines, "order_id").select("user_id", "product_id").distinct(), "owned")
+    part = F.pmod(F.xxhash64("order_id"), F.lit(SALTS)).cast("int").alias("part")
+    copies = owned.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    touching = (lines.select("order_id", "product_id", part).join(copies, ["product_id", "part"])
+                .select("user_id", "order_id").distinct())
+    strength = (touching.join(lines, "order_id").join(owned, ["user_id", "product_id"], "left_anti")
+                .groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("association_strength")))
+    cands = strength.join(_dims(ds), "product_id")
     w = Window.partitionBy("user_id").orderBy(F.col("association_strength").desc())
-    w_total = Window.partitionBy("user_id").orderBy(F.col("association_strength").desc(),
-                                                    "product_id")
+    w_total = Window.partitionBy("user_id").orderBy(F.col("association_strength").desc(), "product_id")
     return (cands.select("user_id", "product_name", "product_id", "aisle", "department",
                          "association_strength",
                          F.rank().over(w).alias("rank"),

@@ -11,8 +11,7 @@ from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
 from basketlens.operators import itemsets
-from basketlens.operators.cooccur import (basket_profile, itemset_counts, pinned_supports,
-                                          with_members)
+from basketlens.operators.cooccur import basket_profile
 
 # The reference's view names.
 RESULT_VIEWS = {
@@ -30,18 +29,11 @@ RESULT_VIEWS = {
 def pair_labels(ds: Dataset, min_co_exclusive: int = 100, limit: Optional[int] = 30,
                 digits: Optional[int] = 4, view: Optional[str] = "top_associations") -> DataFrame:
     """O29: 'name1 → name2', co > ``min_co_exclusive``, support; top by co."""
-    lines = ds.order_products_prior
-    profile = basket_profile(lines)
-    sets = itemset_counts(lines, 2, min_count=min_co_exclusive + 1, count_col="co_occurrence",
-                          profile=profile, item_counts=pinned_supports(lines))
-    sets = with_members(sets, 2, ds.products, "product_id", {"product_name": "product_{i}"})
-    out = sets.withColumn("total_orders", F.lit(profile.baskets)).select(
-        L.association_label(["product_1", "product_2"]).alias("product_pair"),
-        "co_occurrence",
-        M.rounded(M.support("co_occurrence", "total_orders"), digits).alias("support"),
-    )
-    out = out.orderBy(F.col("co_occurrence").desc(), "product_pair")
-    out = out.limit(limit) if limit else out
+    sets = itemsets.counted_sets(ds, 2, min_co_exclusive + 1)
+    total = F.lit(basket_profile(ds.order_products_prior).baskets)
+    out = itemsets.named_top(ds, sets, 2, [F.desc("co_occurrence")], limit, [
+        L.association_label(["product_1", "product_2"]).alias("product_pair"), "co_occurrence",
+        M.rounded(M.support("co_occurrence", total), digits).alias("support")])
     if view:
         out.createOrReplaceTempView(view)
     return out

@@ -17,13 +17,19 @@ from __future__ import annotations
 from typing import List, Optional
 
 
-def fixture_ctes(dirty: bool = False) -> str:
+def fixture_ctes(dirty: bool = False, grain: str = "name") -> str:
     aisle_text = "CAST(a.aisle_id AS VARCHAR)"
     dept_text = "CAST(d.department_id AS VARCHAR)"
     if dirty:
         aisle_text = f"CASE WHEN i.product_id % 15 = 0 THEN i.product_name ELSE {aisle_text} END"
         dept_text = f"CASE WHEN i.product_id % 10 = 0 THEN i.product_name ELSE {dept_text} END"
-    return f"""
+    if grain == "part":
+        items = """
+f_items AS (SELECT p_partkey AS product_id, p_name AS product_name, p_type AS department, p_brand AS aisle FROM part),
+f_part_item AS (SELECT p_partkey, p_partkey AS product_id FROM part),
+"""
+    else:
+        items = """
 f_dict AS (
     SELECT p_name AS product_name, MIN(p_partkey) AS product_id FROM part GROUP BY p_name),
 f_items AS (
@@ -31,6 +37,10 @@ f_items AS (
            split_part(product_name, ' ', 1) AS department,
            split_part(product_name, ' ', 2) AS aisle
     FROM f_dict),
+f_part_item AS (
+    SELECT p.p_partkey, d.product_id FROM part p JOIN f_dict d ON p.p_name = d.product_name),
+"""
+    return items + f"""
 f_departments AS (
     SELECT MIN(product_id) AS department_id, department FROM f_items GROUP BY department),
 f_aisles AS (
@@ -57,8 +67,6 @@ f_orders AS (
            CAST(order_id % 24 AS INTEGER) AS order_hour_of_day,
            order_ts
     FROM f_orders_seq),
-f_part_item AS (
-    SELECT p.p_partkey, d.product_id FROM part p JOIN f_dict d ON p.p_name = d.product_name),
 f_lines0 AS (
     SELECT l.l_orderkey AS order_id, pi.product_id,
            CAST(MIN(l.l_linenumber) AS INTEGER) AS add_to_cart_order
@@ -76,8 +84,8 @@ f_train AS (
     SELECT order_id, product_id, add_to_cart_order, reordered FROM f_lines WHERE eval_set = 'train')"""
 
 
-def with_fixture(body_ctes: str, select: str, dirty: bool = False) -> str:
-    ctes = fixture_ctes(dirty)
+def with_fixture(body_ctes: str, select: str, dirty: bool = False, grain: str = "name") -> str:
+    ctes = fixture_ctes(dirty, grain)
     if body_ctes.strip():
         ctes += ",\n" + body_ctes
     return f"WITH {ctes}\n{select}"
@@ -124,8 +132,12 @@ def conf_sql(co: str, supports: List[str]) -> str:
     return f"{D(co)} / {D(least)}"
 
 
-def itemsets(n: int, min_co: int, limit: Optional[int] = None, pattern: Optional[str] = None) -> str:
-    names = [f"product_{i}" for i in range(1, n + 1)]
+def ids(n: int) -> str:
+    return ", ".join(f"sets.i{i}" for i in range(1, n + 1))
+
+
+def itemsets(n: int, min_co: int, limit: Optional[int] = None, pattern: Optional[str] = None,
+             first: str = "", grain: str = "name") -> str:
     body = (f"sets AS (\n    {self_join_sets(n, having=f'>= {min_co}')}),\n"
             "sup AS (SELECT product_id, COUNT(DISTINCT order_id) AS s FROM f_prior GROUP BY product_id),\n"
             "tot AS (SELECT COUNT(DISTINCT order_id) AS total FROM f_prior)")
@@ -136,21 +148,18 @@ def itemsets(n: int, min_co: int, limit: Optional[int] = None, pattern: Optional
     where = ""
     if pattern is not None:
         where = "WHERE " + " OR ".join(f"p{i}.product_name LIKE '%{pattern}%'" for i in range(1, n + 1))
-    order = "ORDER BY lift DESC, co_occurrence DESC, " + ", ".join(names)
-    lim = f"LIMIT {limit}" if limit else ""
+    order = f"ORDER BY {first}lift DESC, co_occurrence DESC, " + ids(n)
+    lim = "" if limit is None else f"LIMIT {limit}"
     select = (f"SELECT {sel}, sets.co AS co_occurrence,\n"
               f"  {D('sets.co')} / {D('tot.total')} AS support,\n"
               f"  {conf_sql('sets.co', sup[:-1])} AS confidence,\n"
               f"  {lift_sql('sets.co', 'tot.total', sup)} AS lift\n"
               f"FROM sets{joins}\n  CROSS JOIN tot\n{where}\n{order}\n{lim}")
-    return with_fixture(body, select)
+    return with_fixture(body, select, grain=grain)
 
 
 def top_by(n: int, min_co: int, metric: str, limit: int) -> str:
-    names = ", ".join(f"product_{i}" for i in range(1, n + 1))
-    inner = itemsets(n, min_co, 2 * limit)
-    return (f"SELECT * FROM ({inner}) pool\n"
-            f"ORDER BY {metric} DESC, lift DESC, co_occurrence DESC, {names}\nLIMIT {limit}")
+    return itemsets(n, min_co, limit, first=f"{metric} DESC, ")
 
 
 def assoc_view(n: int, min_co: int, limit: int) -> str:
@@ -175,7 +184,7 @@ def pairs_directed(pattern: str, min_co_exclusive: int, limit: int) -> str:
         "  JOIN sup s1 ON sets.i1 = s1.product_id JOIN sup s2 ON sets.i2 = s2.product_id\n"
         "  CROSS JOIN tot\n"
         f"WHERE p1.product_name LIKE '%{pattern}%' OR p2.product_name LIKE '%{pattern}%'\n"
-        f"ORDER BY lift DESC, product_1, product_2\nLIMIT {limit}")
+        f"ORDER BY lift DESC, {ids(2)}\nLIMIT {limit}")
     return with_fixture(body, select)
 
 
@@ -223,8 +232,7 @@ def _names_depts(n: int) -> str:
     return j
 
 
-def temporal(n: int, min_count: int, limit: Optional[int] = 200) -> str:
-    products = [f"product_{i}" for i in range(1, n + 1)]
+def temporal(n: int, min_count: int, limit: Optional[int] = 200, where: str = "") -> str:
     body = (
         "slots AS (\n"
         "    SELECT order_id,\n"
@@ -242,13 +250,13 @@ def temporal(n: int, min_count: int, limit: Optional[int] = 200) -> str:
     dsel = ", ".join(f"dp{i}.department AS dept_{i}" for i in range(1, n + 1))
     select = (f"SELECT sets.time_period, sets.day_type, {sel}, sets.co AS pattern_count, {dsel},\n"
               "  sets.day_type || ' - ' || sets.time_period AS shopping_context\n"
-              f"FROM sets{_names_depts(n)}\n"
-              f"ORDER BY pattern_count DESC, time_period, day_type, {', '.join(products)}\n"
-              + (f"LIMIT {limit}" if limit else ""))
+              f"FROM sets{_names_depts(n)}\n{where}\n"
+              f"ORDER BY pattern_count DESC, sets.time_period, sets.day_type, {ids(n)}\n"
+              + ("" if limit is None else f"LIMIT {limit}"))
     return with_fixture(body, select)
 
 
-def sequential(min_count: int, limit: int = 100) -> str:
+def sequential(min_count: int, limit: int = 100, grain: str = "name") -> str:
     body = (
         "pos AS (SELECT order_id, product_id, ROW_NUMBER() OVER (\n"
         "          PARTITION BY order_id ORDER BY add_to_cart_order, product_id) AS position\n"
@@ -267,12 +275,11 @@ def sequential(min_count: int, limit: int = 100) -> str:
         "  d1.department AS first_dept, d2.department AS second_dept,\n"
         "  d1.aisle AS first_aisle, d2.aisle AS second_aisle\n"
         "FROM seq JOIN dims d1 ON seq.f = d1.product_id JOIN dims d2 ON seq.s = d2.product_id\n"
-        f"ORDER BY sequence_count DESC, first_product, second_product\nLIMIT {limit}")
-    return with_fixture(body, select)
+        f"ORDER BY sequence_count DESC, seq.f, seq.s\nLIMIT {limit}")
+    return with_fixture(body, select, grain=grain)
 
 
 def reorder(n: int, min_count: int, limit: int = 100) -> str:
-    products = [f"product_{i}" for i in range(1, n + 1)]
     body = ("rl AS (SELECT order_id, product_id FROM f_prior WHERE reordered = 1),\n"
             f"sets AS (\n    {self_join_sets(n, lines='rl', having=f'>= {min_count}')}),\n" + DEPT_OF)
     sel = ", ".join(f"p{i}.product_name AS product_{i}" for i in range(1, n + 1))
@@ -285,7 +292,7 @@ def reorder(n: int, min_count: int, limit: int = 100) -> str:
     where = " AND ".join(f"dp{i}.department IS NOT NULL" for i in range(1, n + 1))
     select = (f"SELECT {sel}, sets.co AS reorder_count, {dsel}, {loyalty} AS loyalty_type\n"
               f"FROM sets{_names_depts(n)}\nWHERE {where}\n"
-              f"ORDER BY reorder_count DESC, {', '.join(products)}\nLIMIT {limit}")
+              f"ORDER BY reorder_count DESC, {ids(n)}\nLIMIT {limit}")
     return with_fixture(body, select)
 
 
@@ -312,7 +319,7 @@ def cross_department(min_lift: float, min_count: int, limit: int = 100) -> str:
         "  JOIN sup s1 ON sets.i1 = s1.product_id JOIN sup s2 ON sets.i2 = s2.product_id\n"
         "  CROSS JOIN tot\n"
         f"WHERE ROUND({lift}, 2) > {min_lift}\n"
-        f"ORDER BY lift DESC, product_1, product_2\nLIMIT {limit}")
+        f"ORDER BY lift DESC, {ids(2)}\nLIMIT {limit}")
     return with_fixture(body, select)
 
 
@@ -324,7 +331,7 @@ def pair_labels(min_co_exclusive: int, limit: int = 30) -> str:
         f"  sets.co AS co_occurrence, {D('sets.co')} / {D('tot.total')} AS support\n"
         "FROM sets JOIN f_products p1 ON sets.i1 = p1.product_id\n"
         "  JOIN f_products p2 ON sets.i2 = p2.product_id CROSS JOIN tot\n"
-        f"ORDER BY co_occurrence DESC, product_pair\nLIMIT {limit}")
+        f"ORDER BY co_occurrence DESC, {ids(2)}\nLIMIT {limit}")
     return with_fixture(body, select)
 
 
@@ -384,10 +391,10 @@ def quality(dirty: bool = True) -> str:
         "FROM f_products"), dirty)
 
 
-def baskets_by_name() -> str:
+def baskets_by_name(grain: str = "name") -> str:
     return with_fixture("", (
         "SELECT x.order_id, array_to_string(list_sort(list(DISTINCT p.product_name)), '|') AS items\n"
-        "FROM f_prior x JOIN f_products p ON x.product_id = p.product_id GROUP BY x.order_id"))
+        "FROM f_prior x JOIN f_products p ON x.product_id = p.product_id GROUP BY x.order_id"), grain=grain)
 
 
 def market_baskets() -> str:
@@ -479,7 +486,7 @@ def fpgrowth_rules(min_support: float, min_conf: float, min_lift: float) -> str:
 def rules_named(min_support: float, min_conf: float, min_lift: float) -> str:
     body = (_rules(min_support, min_conf, min_lift) + ",\n"
             "kr AS (SELECT ROW_NUMBER() OVER () AS rid, * FROM kept),\n"
-            "an AS (SELECT u.rid, string_agg(p.product_name, ' + ' ORDER BY p.product_name) AS names\n"
+            "an AS (SELECT u.rid, string_agg(u.aid || ':' || p.product_name, ' + ' ORDER BY u.aid) AS names\n"
             "       FROM (SELECT rid, UNNEST(ante) AS aid FROM kr) u\n"
             "       JOIN f_products p ON CAST(p.product_id AS VARCHAR) = u.aid GROUP BY u.rid)")
     select = ("SELECT an.names AS antecedent, p.product_name AS consequent, kr.confidence, kr.lift, kr.support\n"
@@ -548,7 +555,24 @@ def itemsets_of_size_top(min_support: float, n: int, limit: int) -> str:
 
 
 def temporal_slice(n: int, min_count: int, day_type: str, period: str, limit: int = 15) -> str:
-    products = ", ".join(f"product_{i}" for i in range(1, n + 1))
-    return (f"SELECT * FROM ({temporal(n, min_count, None)}) t\n"
-            f"WHERE day_type = '{day_type}' AND time_period = '{period}'\n"
-            f"ORDER BY pattern_count DESC, {products} LIMIT {limit}")
+    return temporal(n, min_count, limit, f"WHERE sets.day_type = '{day_type}' AND sets.time_period = '{period}'")
+
+
+def recommend_many(users: int, n: int = 10) -> str:
+    body = (
+        "up AS (SELECT DISTINCT o.user_id, x.product_id FROM f_orders o JOIN f_prior x ON o.order_id = x.order_id\n"
+        f"       WHERE o.user_id < {users}),\n"
+        "touch AS (SELECT DISTINCT up.user_id, l.order_id FROM up JOIN f_prior l ON up.product_id = l.product_id),\n"
+        "ap AS (SELECT t.user_id, l.product_id, COUNT(DISTINCT l.order_id) AS s\n"
+        "       FROM touch t JOIN f_prior l ON t.order_id = l.order_id\n"
+        "       WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.user_id = t.user_id AND up.product_id = l.product_id)\n"
+        "       GROUP BY t.user_id, l.product_id),\n"
+        "ranked AS (\n"
+        "  SELECT ap.user_id, p.product_name, p.product_id, a.aisle, d.department, ap.s AS association_strength,\n"
+        "         CAST(RANK() OVER (PARTITION BY ap.user_id ORDER BY ap.s DESC) AS INTEGER) AS rank,\n"
+        "         ROW_NUMBER() OVER (PARTITION BY ap.user_id ORDER BY ap.s DESC, p.product_id) AS rn\n"
+        "  FROM ap JOIN f_products_clean p ON ap.product_id = p.product_id\n"
+        "  JOIN f_aisles a ON p.aisle_id = a.aisle_id\n"
+        "  JOIN f_departments d ON p.department_id = d.department_id)")
+    return with_fixture(body, "SELECT user_id, product_name, product_id, aisle, department, association_strength, rank\n"
+                              f"FROM ranked WHERE rn <= {n}")

@@ -19,6 +19,8 @@ from basketlens.config import AnalysisConfig
 from basketlens.operators import (baskets, composition, departments, evaluate, explore, itemsets,
                                   patterns, quality, recommend, rules, views)
 from basketlens.plans import oracle as O
+from basketlens.session import scratch_path
+from basketlens.sources import ingest
 from basketlens.sources.tpch import from_tpch
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,14 @@ def register(name: str, sql: Optional[str]):
     return wrap
 
 
+def register_part(name: str, sql: Optional[str]):
+    """Queries on the sparse fixture, one item per part."""
+    def wrap(fn: Callable[[Dataset], DataFrame]):
+        REGISTRY[name] = (lambda spark, sf_dir: fn(from_tpch(spark, sf_dir, grain="part")), sql)
+        return fn
+    return wrap
+
+
 def register_dirty(name: str, sql: Optional[str]):
     def wrap(fn: Callable[[Dataset], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +240,9 @@ def _fp_rules(ds):
 def _rules_named(ds):
     _, rules_df, _ = _mined(ds)
     named = rules.with_names(rules_df, ds)
-    return named.select(F.array_join(F.array_sort("antecedent_names"), " + ").alias("antecedent"),
+    aligned = F.transform(F.array_sort(F.arrays_zip("antecedent_ids", "antecedent_names")),
+                          lambda x: F.concat_ws(":", x["antecedent_ids"], x["antecedent_names"]))
+    return named.select(F.array_join(aligned, " + ").alias("antecedent"),
                         F.array_join("consequent_names", " + ").alias("consequent"),
                         "confidence", "lift", "support")
 
@@ -249,6 +261,12 @@ def _recommendations(ds):
     return recommend.for_user(ds, USER, 10)
 
 
+@register("recommend_many", O.recommend_many(100, 10))
+def _recommend_many(ds):
+    users = ds.orders.where(F.col("user_id") < 100).select("user_id").distinct()
+    return recommend.for_users(ds, users, 10)
+
+
 @register("rec_quality", O.rec_quality(10))
 def _rec_quality(ds):
     out = evaluate.precision_recall(ds, 10)
@@ -276,9 +294,7 @@ def _fp_triplets(ds):
 @register("temporal_weekend_evening",
           O.temporal_slice(2, 5, "Weekend", "Evening (6-9pm)", 15))
 def _weekend_evening(ds):
-    t = patterns.temporal(ds, 2, min_count=5, limit=None)
-    return (t.where((F.col("day_type") == "Weekend") & (F.col("time_period") == "Evening (6-9pm)"))
-            .orderBy(F.col("pattern_count").desc(), "product_1", "product_2").limit(15))
+    return patterns.temporal(ds, 2, min_count=5, limit=15, time_period="Evening (6-9pm)", day_type="Weekend")
 
 
 @register("quick_pairs", O.itemsets(2, 30, limit=100))
@@ -296,6 +312,34 @@ def _quick_quads(ds):
     return itemsets.quadruplets(ds, min_co=2, limit=100, digits=RAW)
 
 
+# ----------------------------------------------------------------- sparse fixture, CSV round trip
+@register_part("part_pairs", O.itemsets(2, 2, grain="part"))
+def _part_pairs(ds):
+    return itemsets.analyze(ds, 2, min_co=2, limit=None, digits=RAW)
+
+
+@register_part("part_baskets_by_name", O.baskets_by_name(grain="part"))
+def _part_baskets(ds):
+    return baskets.by_name(ds, view=None).select("order_id", F.array_join("items", "|").alias("items"))
+
+
+@register_part("part_sequential", O.sequential(2, grain="part"))
+def _part_sequential(ds):
+    return patterns.sequential(ds, min_count=2, digits=RAW)
+
+
+@register("csv_temporal", O.temporal(2, 10))
+def _csv_temporal(ds):
+    """Tables written as CSV with further columns and another order, read back by header."""
+    root = scratch_path(ds.orders.sparkSession, "csv")
+    tables = ds.tables() | {"orders": ds.orders.select(
+        "user_id", "order_id", "eval_set", F.lit(7).alias("order_number"), "order_dow", "order_hour_of_day",
+        F.lit(None).cast("double").alias("days_since_prior_order"))}
+    for name, df in tables.items():
+        df.write.option("header", True).csv(f"{root}/{ingest.CSV_FILES[name]}")
+    return patterns.temporal(ingest.read_csv(ds.orders.sparkSession, root), 2, min_count=10)
+
+
 def queries() -> Dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 

@@ -3,12 +3,16 @@ count agree, on the sf0.001 fixture and on random baskets."""
 
 from collections import Counter
 from itertools import combinations
+from math import comb
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from basketlens.operators.cooccur import itemset_counts
+from basketlens.operators import departments, itemsets, patterns
+from basketlens.operators.cooccur import (COMBOS_PER_ROW, basket_profile, chunk_items, itemset_combos, itemset_counts,
+                                          join_baskets, pinned, row_limit)
 
 
 def brute(baskets, n, min_count=1):
@@ -32,7 +36,7 @@ def test_fixture_all_plans_agree(small):
         want = brute(baskets, n, m)
         assert as_dict(itemset_counts(lines, n, min_count=m), n) == want
         # every basket with more than 3 lines goes through the chunk path
-        assert as_dict(itemset_counts(lines, n, min_count=m, max_row_items=3), n) == want
+        assert as_dict(itemset_counts(lines, n, min_count=m, row_items=3, chunk=2), n) == want
         assert as_dict(itemset_counts(lines, n, min_count=m, prune=False), n) == want
 
 
@@ -41,7 +45,7 @@ def test_keys_and_string_items(spark):
             (3, "y", "a")]
     df = spark.createDataFrame(rows, "order_id long, slot string, dept string")
     got = {(r.slot, r.item_1, r.item_2): r["count"] for r in
-           itemset_counts(df, 2, item="dept", keys=["slot"], max_row_items=1).collect()}
+           itemset_counts(df, 2, item="dept", keys=["slot"], row_items=1, chunk=1).collect()}
     assert got == {("x", "a", "b"): 2, ("y", "a", "b"): 1}
 
 
@@ -55,7 +59,7 @@ def test_random_baskets(spark, baskets, n, m, chunk):
     rows = [(o, p) for o, ps in baskets.items() for p in ps]
     df = spark.createDataFrame(rows, "order_id long, product_id long")
     want = brute(baskets, n, m)
-    assert as_dict(itemset_counts(df, n, min_count=m, max_row_items=chunk), n) == want
+    assert as_dict(itemset_counts(df, n, min_count=m, row_items=chunk, chunk=chunk), n) == want
 
 
 def test_subset_property(small):
@@ -75,34 +79,63 @@ def test_null_items_ignored(spark):
 
 
 def test_join_baskets_hot_path_matches_plain_join(small):
-    from basketlens.operators.cooccur import basket_profile, join_baskets
     lines = small.order_products_prior
     orders = small.orders.select("order_id", "user_id", "order_dow")
-    hot = basket_profile(lines, max_row_items=3)  # every order above 3 lines is "hot"
-    assert hot.oversized is not None and hot.fetched
+    hot = basket_profile(lines, limit=3)  # every order above 3 lines is "hot"
+    assert hot.oversized is not None
     for how in ("inner", "left", "left_semi"):
-        plain = sorted(tuple(r) for r in lines.join(orders, "order_id", how).collect())
+        plain = lines.join(orders, "order_id", how)
         split = join_baskets(lines, orders, how=how, profile=hot)
-        assert sorted(tuple(r) for r in split.select(*lines.join(orders, "order_id", how).columns)
-                      .collect()) == plain
-
-
-def test_fallbacks_beyond_bounds(small, monkeypatch):
-    """Too many oversized baskets to fetch -> lazy split table joined by shuffle;
-    a per-item table over the broadcast bound -> not hinted.  Results stay exact."""
-    from basketlens.operators import cooccur
-    monkeypatch.setattr(cooccur, "MAX_SPLIT_BASKETS", 0)
-    lines = small.order_products_prior
-    prof = cooccur._basket_profile(lines, "order_id", 3)
-    assert prof.oversized is not None and not prof.fetched
-    baskets = {}
-    for r in lines.select("order_id", "product_id").collect():
-        baskets.setdefault(r.order_id, []).append(r.product_id)
-    for n, m in ((2, 2), (3, 2)):
-        got = as_dict(itemset_counts(lines, n, min_count=m, max_row_items=3, profile=prof), n)
-        assert got == brute(baskets, n, m)
-    from basketlens.operators.cooccur import join_baskets
-    orders = small.orders.select("order_id", "user_id")
-    assert join_baskets(lines, orders, profile=prof).count() == lines.join(orders, "order_id").count()
-    big = cooccur.pinned(cooccur.item_supports(lines), max_rows=0)
-    assert big.count() == lines.select("product_id").distinct().count()
+        assert sorted(map(tuple, split.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("n,items", [(2, 3000), (3, 260)])
+def test_one_huge_basket_is_spread_over_tasks(spark, n, items):
+    """The sets of one basket come from many tasks, none with much more than its share."""
+    rows = spark.range(items).select(F.lit(1).alias("order_id"), F.col("id").alias("_item"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        chunk = items // 12
+        profile = basket_profile(rows, limit=chunk)
+        sets = itemset_combos(rows, n, "order_id", "_item", [], profile, chunk)
+        per_task = [r["count"] for r in sets.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) == comb(items, n)
+        assert len(per_task) >= 16 and max(per_task) < comb(items, n) / 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_row_bounds_follow_n():
+    for n in (2, 3, 4, 6):
+        assert comb(row_limit(n), n) <= COMBOS_PER_ROW < comb(row_limit(n) + 1, n)
+        assert chunk_items(n) ** n <= COMBOS_PER_ROW
+
+
+@pytest.mark.parametrize("aqe", ["true", "false"])
+def test_analyses_without_adaptive_plans(spark, small, aqe):
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    try:
+        assert itemsets.analyze(small, 3, 3, None).count() > 0
+        assert itemsets.search(small, "red", 2, 3).count() > 0
+        assert departments.associations(small, 2, 10).count() > 0
+        assert patterns.temporal(small, 2, 3).count() > 0
+        assert patterns.cross_department(small, 0.5, 3).count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_name_filter_is_below_the_count_and_names_above_the_limit(small):
+    plan = itemsets.search(small, "red", 3, 3)._jdf.queryExecution().optimizedPlan().toString()
+    cut, count = plan.index("GlobalLimit"), plan.index("Aggregate [item_1")
+    assert "product_3#" in plan[:cut] and "product_name" not in plan[cut:count]     # named after the cut
+    assert ".tag OR" in plan[count:]                                                # matched before the count
+
+
+def test_pinned_many_times(spark):
+    before = spark.sparkContext.getCheckpointDir()
+    for i in range(40):
+        table = pinned(spark.range(3))
+    assert table.count() == 3 and spark.sparkContext.getCheckpointDir() == before
