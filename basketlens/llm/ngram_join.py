@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.text import WordHashes, distinct, lower_ascii, shingle_hashes, spaced_words, texts
+from basketlens.llm.text import CACHED_WORDS, WordHashes, distinct, lower_ascii, shingle_hashes, slices, spaced_words, texts
 from basketlens.session import written
 
 # Engineering limits.
@@ -152,14 +152,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, cells: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, chosen, seen = WordHashes(), np.unpackbits(shipped.value).view(bool), set()
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array(chosen[batch.column("spot").to_numpy(zero_copy_only=False)]))
             pairs = []
             for text in batch.column("text").to_pylist():
                 grams = gram_set(text or "", n, known)
                 if len(grams) and (fp := class_id(grams)) not in seen:
                     pairs.append((fp, grams.tobytes()))
-                    if len(seen) < 1 << 20:
+                    if len(seen) < CACHED_WORDS:
                         seen.add(fp)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
                                               pa.array([p[1] for p in pairs], pa.binary())], ["fp", "grams"])
@@ -172,7 +172,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, cells: int) -> DataFrame:
 def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """The rows of sorted batches, group by group; the first ``keys`` columns name the group."""
     group: list[tuple] = []
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(column.to_pylist() for column in batch.columns)):
             if group and row[:keys] != group[0][:keys]:
                 yield group
@@ -202,7 +202,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percen
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, first = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, part, place, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "place", "grams"))):
                 grams = np.frombuffer(blob, np.uint64)

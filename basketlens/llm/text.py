@@ -15,6 +15,7 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 LOWER = bytes(c + 32 if ord("A") <= c <= ord("Z") else c for c in range(256))
 
 CACHED_WORDS = 1 << 17   # entries one task remembers
+SLICE_ROWS = 500         # rows turned into Python objects at a time
 
 
 def lower_ascii(text: str) -> str:
@@ -62,7 +63,14 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
     return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
 
 
-def texts(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each batch with the texts of a column, null as empty."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces, so that a task holds few Python objects at a time."""
     for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def texts(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Short pieces of the batches with the texts of a column, null as empty."""
+    for batch in slices(batches):
         yield batch, [t or "" for t in batch.column(column).to_pylist()]

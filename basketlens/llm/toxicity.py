@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.text import WORDS, texts
+from basketlens.llm.text import CACHED_WORDS, WORDS, texts
 from basketlens.session import written
 
 TRAIN_ROWS = 20_000          # labelled rows the fit reads, by hash of the id
@@ -65,7 +65,7 @@ class _Known(dict):
 
     def __missing__(self, word: str) -> list[int]:
         found = [self.features[f] for f in word_features(word) if f in self.features]
-        if len(self) < 1 << 20:
+        if len(self) < CACHED_WORDS:
             self[word] = found
         return found
 
