@@ -43,6 +43,7 @@ from basketlens.session import written
 # Engineering limits.
 MIN_CELL_BITS, MAX_CELL_BITS = 20, 25   # size of the count sketch (4 bytes a cell)
 RUN_ROWS = 50_000                       # classes of one n-gram that one task sees in the star step
+STAR_SHARE = 0.3                        # of the shorter prefix that a class shares with its star's centre
 BLOCK_ROWS = 2_000                      # classes of one side of a trie
 GROUP_ROWS = 5_000                      # classes compared with one leader in one task
 SIZE_BITS = 40                          # of ``info`` that hold the size of a set
@@ -255,15 +256,15 @@ def _rest(size: Column, percent: int) -> Column:
 def _star_pairs(grams: DataFrame, percent: int) -> DataFrame:
     """At most one candidate pair per class: with the leader it shares most prefix n-grams with.
 
-    ``grams``: (w, salts, fp, info, leader).  Pairs that share too little to be
-    similar by these n-grams alone are left to the trie step.  A very frequent
-    n-gram has many salts with a leader each; those are paired with the first.
+    ``grams``: (w, salts, fp, info, leader).  Stars only save work: pairs that
+    share less than ``STAR_SHARE`` of the shorter prefix are seldom similar and
+    are left to the trie step.  A very frequent n-gram has many salts with a
+    leader each; those are paired with the first.
     """
     size, other = _size("info"), F.pmod(F.col("best.leader.info"), F.lit(1 << SIZE_BITS))
     own = (grams.where(F.col("leader.fp") != F.col("fp")).groupBy("fp", "info", "leader").agg(F.count(F.lit(1)).alias("shared"))
            .groupBy("fp", "info").agg(F.max(F.struct("shared", "leader")).alias("best"))
-           .where(F.col("best.shared") + F.greatest(_rest(size, percent), _rest(other, percent))
-                  >= F.ceil((size + other) * percent / (100 + percent)))
+           .where(F.col("best.shared") >= STAR_SHARE * F.least(size - _rest(size, percent), other - _rest(other, percent)))
            .select("fp", F.col("best.leader.fp").alias("leader")))
     heads = grams.where(F.col("salts") > 1).select("w", F.col("leader.fp").alias("fp")).distinct()
     heads = (heads.withColumn("leader", F.max("fp").over(Window.partitionBy("w")))
