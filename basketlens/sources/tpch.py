@@ -46,6 +46,12 @@ def item_dictionary(part: DataFrame) -> DataFrame:
         F.min("p_partkey").alias("product_id"))
 
 
+def dirty_ids(products: DataFrame) -> DataFrame:
+    """Some department and aisle ids replaced by text that is no number."""
+    spoiled = lambda c, k: F.when(F.col("product_id") % k == 0, F.col("product_name")).otherwise(F.col(c))
+    return products.withColumns({"department_id": spoiled("department_id", 10), "aisle_id": spoiled("aisle_id", 15)})
+
+
 def from_tpch(spark: SparkSession, sf_dir: str, dirty: bool = False, grain: str = "name") -> Dataset:
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     if grain == "part":
@@ -62,16 +68,14 @@ def from_tpch(spark: SparkSession, sf_dir: str, dirty: bool = False, grain: str
     departments = items.groupBy("department").agg(F.min("product_id").alias("department_id"))
     aisles = items.groupBy("aisle").agg(F.min("product_id").alias("aisle_id"))
 
-    dept_text = F.col("department_id").cast("string")
-    aisle_text = F.col("aisle_id").cast("string")
-    if dirty:
-        dept_text = F.when(F.col("product_id") % 10 == 0, F.col("product_name")).otherwise(dept_text)
-        aisle_text = F.when(F.col("product_id") % 15 == 0, F.col("product_name")).otherwise(aisle_text)
     products = (
         items.join(departments, "department").join(aisles, "aisle")
         .select("product_id", "product_name",
-                aisle_text.alias("aisle_id"), dept_text.alias("department_id"))
+                F.col("aisle_id").cast("string").alias("aisle_id"),
+                F.col("department_id").cast("string").alias("department_id"))
     )
+    if dirty:
+        products = dirty_ids(products)
 
     raw_orders = _read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"),
