@@ -22,7 +22,7 @@ from typing import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.license_rules import NAME, NOTICE, TAG, TEXT, rules
@@ -33,9 +33,11 @@ LICENSE_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ANY_CASE_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"   # the same words before lower-casing
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# A text without any of these, in any case, has neither a base phrase nor a detection.
-GATE = (r"(?i)licen[sc]|rights|copyright|spdx|\bcc|commons|public|\bgpl|lgpl|eupl|epl\b|afl\b|gfdl|cecill|wtfpl|bsd|apache"
-        r"|redistribut|permission|confidential|unauthorized|warrant|endorse|jpeg|misrepresented|software|portions")
+# A text without any of these parts of words, in any case, has neither a base phrase nor a detection.
+GATE = ("licens", "licenc", "rights", "copyright", "spdx", "commons", "public", "gpl", "epl", "afl", "gfdl", "cecill",
+        "cc0", "wtfpl", "bsd", "apache", "redistribut", "permission", "confidential", "unauthorized", "warrant", "endorse",
+        "jpeg", "misrepresented", "software", "portions")
+GATE_CC = r"\bcc[^a-z0-9]+by"     # "cc by" alone is too common a pair of letters for a part
 
 CONFIDENCE = {NAME: 0.4, NOTICE: 0.75, TEXT: 0.85, TAG: 0.95}   # of one label; a base phrase counts as a name
 
@@ -93,6 +95,15 @@ def scan_text(text: str) -> tuple:
     return len(places), first, last, ",".join(base_labels), ",".join(labels), score
 
 
+def gated(text: Column) -> Column:
+    """Whether a text has a gate keyword; the lower-cased text is made once."""
+    def any_of(low: Column) -> Column:
+        parts = F.exists(F.array(*[F.lit(k) for k in GATE]), lambda k: F.contains(low, k))
+        return parts | (F.contains(low, F.lit("cc")) & low.rlike(GATE_CC))
+
+    return F.get(F.transform(F.array(F.lower(text)), any_of), F.lit(0))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)``,
     one row per document.
@@ -103,7 +114,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"),
                        F.regexp_count(text, F.lit(ANY_CASE_WORDS)).cast("long").alias("n_words"),
-                       F.when(text.rlike(GATE), text).alias("text"))
+                       F.when(gated(text), text).alias("text"))
     empty = (0, None, None, "", "", 0.0)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
     names = ["n_base", "first_word", "last_word", "base_labels", "labels", "score"]

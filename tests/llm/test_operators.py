@@ -169,10 +169,7 @@ def test_license_suppression():
     assert labels("Released under the MIT License. Parts: BSD-3-Clause license.") == ["bsd-3-clause", "mit"]
 
 
-def test_license_gate_lets_every_rule_through():
-    gate = re.compile(licenses.GATE.replace("(?i)", ""), re.I)
-    for line in licenses.rules():
-        pass
+def test_license_gate_lets_every_rule_through(spark):
     from basketlens.llm.license_rules import TAGS
     samples = [f"SPDX-License-Identifier: {t}" for t in TAGS] + [
         "EPL 2.0", "AFL 3.0", "CC0 1.0", "EUPL 1.2", "GNU GPL", "lgpl v3", "WTFPL", "CeCILL 2.1", "GFDL 1.3",
@@ -187,7 +184,8 @@ def test_license_gate_lets_every_rule_through():
     for s in samples:
         found = licenses.detections(" ".join(licenses.LICENSE_WORDS.findall(s.lower())))
         assert found, s
-        assert gate.search(s), s
+    passed = docs(spark, samples + ["cc/by", "CC  BY"]).where(licenses.gated(F.col("text"))).count()
+    assert passed == len(samples) + 2
 
 
 # -- 4 toxicity, 6 quality: held-out accuracy -----------------------------------------
