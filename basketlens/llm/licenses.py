@@ -34,7 +34,7 @@ ANY_CASE_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"   # the same words
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 # A text without any of these parts of words, in any case, has neither a base phrase nor a detection.
-GATE = ("licens", "licenc", "rights", "copyright", "spdx", "commons", "public", "gpl", "epl", "afl", "gfdl", "cecill",
+GATE = ("licens", "licenc", "rights", "copyright", "spdx", "commons", "public", "gpl", "epl", "eupl", "afl", "gfdl", "cecill",
         "cc0", "wtfpl", "bsd", "apache", "redistribut", "permission", "confidential", "unauthorized", "warrant", "endorse",
         "jpeg", "misrepresented", "software", "portions")
 GATE_CC = r"\bcc[^a-z0-9]+by"     # "cc by" alone is too common a pair of letters for a part
