@@ -46,6 +46,7 @@ RUN_ROWS = 50_000                       # classes of one n-gram that one task se
 STAR_SHARE = 0.3                        # of the shorter prefix that a class shares with its star's centre
 BLOCK_ROWS = 2_000                      # classes of one side of a trie
 GROUP_ROWS = 5_000                      # classes compared with one leader in one task
+BITMAP_BYTES = 4096                     # fixed: what bitmap_construct_agg returns
 SIZE_BITS = 40                          # of ``info`` that hold the size of a set
 
 
@@ -146,13 +147,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, cells: int) -> DataFrame:
     bit some sets come along; the joins with ``wanted`` classes drop them.
     """
     spots = F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("spot")
-    chosen = np.zeros(cells, bool)
-    for part in wanted.select(spots).distinct().toArrow().to_batches():   # `cells` at most
-        chosen[part.column(0).to_numpy(zero_copy_only=False)] = True
-    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(chosen))
+    page = 8 * BITMAP_BYTES
+    bits = (wanted.select(spots).groupBy(F.floor(F.col("spot") / page).cast("int").alias("page"))
+            .agg(F.bitmap_construct_agg(F.col("spot") % page).alias("bits")))
+    pages = np.zeros((cells // page, BITMAP_BYTES), np.uint8)
+    for r in bits.collect():   # cells / 8 bytes in all, whatever the number of ids
+        pages[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    shipped = docs.sparkSession.sparkContext.broadcast(pages.reshape(-1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, chosen, seen = WordHashes(), np.unpackbits(shipped.value).view(bool), set()
+        known, chosen, seen = WordHashes(), np.unpackbits(shipped.value, bitorder="little").view(bool), set()
         for batch in slices(batches):
             batch = batch.filter(pa.array(chosen[batch.column("spot").to_numpy(zero_copy_only=False)]))
             pairs = []
