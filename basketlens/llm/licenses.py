@@ -37,7 +37,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 GATE = ("licens", "licenc", "rights", "copyright", "spdx", "commons", "public", "gpl", "epl", "eupl", "afl", "gfdl", "cecill",
         "cc0", "wtfpl", "bsd", "apache", "redistribut", "permission", "confidential", "unauthorized", "warrant", "endorse",
         "jpeg", "misrepresented", "software", "portions")
-GATE_CC = r"\bcc[^a-z0-9]+by"     # "cc by" alone is too common a pair of letters for a part
+GATE_CC = r"(?<![a-z0-9])cc[^a-z0-9]+by"     # "cc by" alone is too common a pair of letters for a part
 
 CONFIDENCE = {NAME: 0.4, NOTICE: 0.75, TEXT: 0.85, TAG: 0.95}   # of one label; a base phrase counts as a name
 

@@ -145,7 +145,7 @@ def test_components_of_a_chain(spark):
 def test_license_base_equals_brute_force(spark):
     texts = ["CC BY, cc-by cc by", "all rights reserved all RIGHTS reserved.", "the GNU General Public License v3",
              "licence plates", "ccc by", "écc by", None, "", "x " * 5000 + "cc by " + "y " * 10,
-             "SPDX-License-Identifier: MIT", "general public licenses", "all rights, reserved"]
+             "SPDX-License-Identifier: MIT", "general public licenses", "all rights, reserved", "_cc_by", "x\x00cc\tby"]
     got = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
