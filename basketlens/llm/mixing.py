@@ -35,16 +35,22 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    """A string that is never null and sorts like the sources, null last."""
+    return F.when(source.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
-    """(source, source_size, target) from (source, source_size).
+    """(source, source_size, target) from (source, source_size), where a source is
+    given by its key, see ``source_key``.
 
     Water filling in closed form: ordered by cap/weight, the level rises over
     the sources; those whose cap lies under it are full, the others get level
     times weight.  One row per source, so the ordered windows see the list of
     sources only (they spill, and hold no per-document rows).
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
+    by_name = Window.orderBy("source")
+    by_ratio = Window.orderBy("ratio", "source")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     onward = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy(F.lit(0))
@@ -142,23 +148,14 @@ def _plan(rows: DataFrame, weights: Sequence[float], share: float, cap: float) -
     buckets = written(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("in_bucket")), "lengths")
     lengths = buckets.groupBy("source", "size").agg(F.sum("in_bucket").alias("n"))
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    targets = _keyed(written(source_targets(sizes, weights, share, cap), "targets"), ["source"])
-    fitted = (_match(lengths, targets, ["source"]).groupBy("source")
+    targets = written(source_targets(sizes, weights, share, cap), "targets")
+    fitted = (lengths.join(targets, "source").groupBy("source")
               .applyInPandas(_fit_source, "source string, size long, passes long, take long"))
     below = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (_match(buckets, _keyed(fitted, ["source", "size"]), ["source", "size"])
+    cuts = (buckets.join(fitted, ["source", "size"])
             .withColumn("before", F.coalesce(F.sum("in_bucket").over(below), F.lit(0)))
             .select(*GROUP, "passes", (F.col("take") - F.col("before")).alias("open")))
-    return targets, _keyed(written(cuts, "cuts"), GROUP)
-
-
-def _keyed(table: DataFrame, keys: list[str]) -> DataFrame:
-    return table.withColumnsRenamed({k: f"_{k}" for k in keys})
-
-
-def _match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Join on ``keys`` (``_key`` on the right), null equal to null."""
-    return left.join(right, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys]).drop(*[f"_{k}" for k in keys])
+    return targets, written(cuts, "cuts")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -179,7 +176,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     seeded = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     payload = F.struct("*") if whole_rows else F.col(id_col)
-    rows = docs.select(payload.alias("row"), F.col(source_col).alias("source"),
+    rows = docs.select(payload.alias("row"), source_key(F.col(source_col)).alias("source"),
                        word_count(F.col(text_col)).alias("size"), seeded.alias("seeded"))
     rows = rows.withColumn("bucket", F.pmod("seeded", F.lit(SEED_BUCKETS)).cast("int"))
     if not whole_rows:   # a narrow table: written once, read by the count and by the ranking
@@ -187,9 +184,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets, cuts = _plan(rows, weights, share, cap)
     rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy("seeded"))
     copies = F.col("passes") + (F.col("rank") <= F.col("open")).cast("long")
-    taken = _match(rows.withColumn("rank", rank), cuts, GROUP).withColumn("copies", copies)
+    taken = rows.withColumn("rank", rank).join(cuts, GROUP).withColumn("copies", copies)   # dealt once for both
     if whole_rows:
         return taken.where("copies > 0").select("row.*", "copies")
-    return _match(taken, targets, ["source"]).select(
+    return taken.join(targets, "source").select(
         F.col("row").alias("doc_id"), "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"), "copies")
