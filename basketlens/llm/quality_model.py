@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.quality_rules import SPACES, measured, without
+from basketlens.llm.quality_rules import measured, without
 from basketlens.session import written
 
 TRAIN_ROWS = 20_000     # labelled rows the fit reads, by hash of the id

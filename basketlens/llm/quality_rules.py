@@ -41,7 +41,7 @@ def without(text: Column, characters: str) -> Column:
 def repeated_words(ws: Column) -> Column:
     """How many words stand in a 3-word window found twice or more in the text.
 
-    Windows are hashed, sorted with their position, and kept where a neighbour
+    Windows are hashed (64 bits), sorted with their position, and kept where a neighbour
     has the same hash; the kept positions, in order, cover 3 words each less
     what the next one covers too.
     """

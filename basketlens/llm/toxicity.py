@@ -23,7 +23,6 @@ from dataclasses import dataclass
 from typing import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

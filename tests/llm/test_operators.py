@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.llm import (decontaminate, licenses, mixing, ngram_join, quality_model, quality_rules,
+from basketlens.llm import (decontaminate, licenses, mixing, ngram_join, quality_rules,
                             secrets, toxicity, url_filter, warc)
 from basketlens.llm import queries as Q
 
