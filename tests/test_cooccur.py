@@ -139,3 +139,10 @@ def test_pinned_many_times(spark):
     for i in range(40):
         table = pinned(spark.range(3))
     assert table.count() == 3 and spark.sparkContext.getCheckpointDir() == before
+
+
+def test_joined_lines_are_evaluated_once(small):
+    """Counts, totals and sets read the table of joined lines, not the line table again."""
+    for df in (departments.associations(small, 2, 10), departments.pairs_with_confidence(small, 10),
+               patterns.temporal(small, 2, 3)):
+        assert "add_to_cart_order" not in df._jdf.queryExecution().optimizedPlan().toString()
