@@ -443,12 +443,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     index = classes.select("fp", "info", F.posexplode("prefix").alias("place", "w"))
     # the rank in an n-gram tells how many salts it needs
     salts = F.ceil(F.pow(F.lit(2.0), F.shiftright("w", 56) / 4) / RUN_ROWS).cast("int")
-    index = (index.withColumn("salts", salts)
-             .withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("fp"), F.col("salts"))).otherwise(F.lit(0))))
+    index = index.withColumn("salt", F.when(salts > 1, F.pmod(F.xxhash64("fp"), salts)).otherwise(F.lit(0)).cast("int"))
     run = Window.partitionBy("w", "salt")
-    grams = written(index.select("w", "salts", "fp", "info", "place", F.count(F.lit(1)).over(run).alias("members"),
+    grams = written(index.select("w", "fp", "info", "place", F.count(F.lit(1)).over(run).alias("members"),
                                  F.max(F.struct("info", "fp")).over(run).alias("leader"))
-                    .where("members > 1 or salts > 1").drop("members"), "grams")
+                    .withColumn("salts", salts).where("members > 1 or salts > 1").drop("members"), "grams")
 
     stars = _verified(_star_pairs(grams, percent), docs, reps, n, percent, cells)
     labels = components(stars)
