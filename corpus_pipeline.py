@@ -15,12 +15,33 @@ from basketlens.llm import decontaminate, mixing, ngram_join, secrets, toxicity
 from basketlens.session import written
 
 KEY = "_row_key"
+BITMAP_BITS = 1 << 25   # of the filter that goes to all tasks: 4 MB, whatever the input
+PAGE_BITS = 1 << 15     # fixed: what bitmap_construct_agg holds
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(KEY, F.struct(F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash")))
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not in the written list ``gone``.
+
+    A bitmap of the hashes of the listed keys, bounded in size, tells which
+    rows may be in the list; only those take part in the anti-join, so hardly a
+    text that stays is shuffled, however long the list is.
+    """
+    spot = F.pmod(F.xxhash64(KEY), F.lit(BITMAP_BITS))
+    page, bit = F.floor(spot / PAGE_BITS).cast("int"), spot % PAGE_BITS
+    pages = (gone.select(page.alias("_page"), bit.alias("_bit")).groupBy("_page")
+             .agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    marked = (docs.withColumn("_page", page).join(F.broadcast(pages), "_page", "left")
+              .withColumn("_byte", F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int"))
+              .withColumn("_listed", F.coalesce(F.bit_get("_byte", (bit % 8).cast("int")) == 1, F.lit(False))))
+    columns = docs.columns
+    return (marked.where(~F.col("_listed")).select(columns)
+            .unionByName(marked.where("_listed").select(columns).join(gone, KEY, "left_anti").select(columns)))
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labelled ones, rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -30,7 +51,6 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (5-word shingles, similarity 0.8): the smallest id.
 
-    What goes is a written list, broadcast below the planner's threshold.
     Rows that are equal in all columns share a key; only those meet in a
     second step that keeps one of them.  Texts without words all stay.
     """
@@ -40,9 +60,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
                      .agg(F.first("component_id").alias("kept"), F.count(F.lit(1)).alias("rows")), "groups")
     gone = written(groups.where("key <> kept").select(F.col("key").alias(KEY)), "gone")
     equal = written(groups.where("key = kept and rows > 1").select(F.col("key").alias(KEY)), "equal")
-    left = keyed.join(gone, KEY, "left_anti")
-    single = left.join(equal, KEY, "left_anti")
-    merged = left.join(equal, KEY, "left_semi").dropDuplicates([KEY])
+    single = _without(keyed, gone.unionByName(equal))
+    merged = keyed.join(equal, KEY, "left_semi").dropDuplicates([KEY])
     return single.unionByName(merged).select(*docs.columns)
 
 
@@ -51,7 +70,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = _keyed(docs)
     leaks = decontaminate.contaminated(keyed, items, id_col=KEY)
-    return keyed.join(written(leaks.select(F.col("doc_id").alias(KEY)).distinct(), "leaks"), KEY, "left_anti").drop(KEY)
+    return _without(keyed, written(leaks.select(F.col("doc_id").alias(KEY)).distinct(), "leaks")).drop(KEY)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
