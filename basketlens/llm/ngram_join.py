@@ -193,7 +193,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percen
     Pairs are grouped by ``a``: its set comes first and the others stream past
     it.  A class with many pairs is dealt out in groups of ``GROUP_ROWS``.
     """
-    pairs = written(pairs.where("a <> b").distinct(), "pairs")
+    pairs = written(pairs.where("a <> b"), "pairs")
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
     others = (pairs.join(groups.where("parts > 1"), "a", "left")
               .select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"),
@@ -449,10 +449,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                                  F.max(F.struct("info", "fp")).over(run).alias("leader"))
                     .withColumn("salts", salts).where("members > 1 or salts > 1").drop("members"), "grams")
 
-    stars = _verified(_star_pairs(grams, percent), docs, reps, n, percent, cells)
+    tested = written(_star_pairs(grams, percent).distinct(), "stars")
+    stars = _verified(tested, docs, reps, n, percent, cells)
     labels = components(stars)
-    rest = _verified(_trie_pairs(grams.select("w", "fp", "info", F.col("place").cast("long").alias("place")),
-                                 labels, percent), docs, reps, n, percent, cells)
+    tries = _trie_pairs(grams.select("w", "fp", "info", F.col("place").cast("long").alias("place")), labels, percent)
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))   # linked or not
+    rest = _verified(tries.distinct().join(known, ["a", "b"], "left_anti"), docs, reps, n, percent, cells)
     if not rest.isEmpty():
         labels = components(stars.unionByName(rest))
     placed = (rows.join(labels, "fp", "left")
