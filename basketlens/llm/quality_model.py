@@ -36,8 +36,7 @@ RIDGE = 1.0
 SEED = 11
 FOLDS = 5               # crc32(doc_id) mod FOLDS: 0 is held out, FOLDS - 1 calibrates, the others fit
 
-STATISTICS = ("log_words", "word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio",
-              "exclaim_ratio", "digit_ratio", "stop_ratio", "line_words", "distinct_ratio")
+STATISTICS = ("log_words", "word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "line_words")
 
 
 def fold(doc_id: Column) -> Column:
@@ -48,7 +47,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` (with ``text``) with one column per name in ``STATISTICS``; built-in functions only."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    share = lambda characters: (F.length(text) - F.length(without(text, characters))) / size
+    upper = F.length(text) - F.length(without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     n = F.greatest(F.col("n_words"), F.lit(1))
     lines = F.greatest(F.col("_n_lines"), F.lit(1))
     return (measured(docs)
@@ -57,12 +56,8 @@ def statistics(docs: DataFrame) -> DataFrame:
             .withColumn("symbol_ratio", F.least(F.col("n_symbols") / n, F.lit(4.0)))
             .withColumn("dup_line_ratio", F.col("n_dup_lines") / lines)
             .withColumn("repeat_ratio", F.col("n_repeat_words") / n)
-            .withColumn("upper_ratio", share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-            .withColumn("exclaim_ratio", share("!?") * 10)
-            .withColumn("digit_ratio", share("0123456789"))
-            .withColumn("stop_ratio", share(".,;:") * 10)
-            .withColumn("line_words", F.log1p(F.col("n_words") / lines))
-            .withColumn("distinct_ratio", F.size(F.array_distinct(F.split(text, " "))) / n))
+            .withColumn("upper_ratio", upper / size)
+            .withColumn("line_words", F.log1p(F.col("n_words") / lines)))
 
 
 @dataclass
