@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds per language and source.
 
 Fixed base rules mark broken documents.  For every (language, source) a
-mergeable KLL quantile sketch per ratio gives the group's own thresholds:
-quartile fences that are never tighter than a margin, so a group of clean
-documents loses nothing and a group used to tables or symbols is judged by its
-own spread.  Documents and thresholds are joined and filtered.  Built-in
-functions only.
+mergeable KLL quantile sketch per ratio, over the rows that pass the base
+rules, gives the group's own limits.  A group's body reaches from its low side
+up to the first gap between its quantiles; the limit is a fence above the body,
+so a group used to tables or symbols is judged by its own spread and junk
+beyond a gap does not raise the limit, however much there is.  The sketches
+merged by language, or over all rows, judge groups that are too small, and
+bound the limits of groups that are partly usual but hold much junk.  Documents
+and limits are joined and filtered.  Built-in functions only.
 
 Defined cases: null or empty text has no words and fails the base rules; null
 language or source is a group of its own; repeated rows count and are judged
@@ -23,9 +26,12 @@ SPACES = "\t\n\x0b\x0c\r "   # fixed: the white space that separates words
 SYMBOLS = "#*$%&|<>"         # fixed: the characters counted as symbols
 
 SKETCH_K = 400               # size of a sketch: rank error well under one per cent
-FENCE = 8.0                  # quartile distances beyond the upper quartile that are still usual
-# The least value at which a ratio can reject, whatever the group's spread.
-MARGINS = {"symbol_ratio": 0.35, "dup_line_ratio": 0.45, "repeat_ratio": 0.4}
+RANKS = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98)   # where a group's quantiles are read, low side first
+FENCE = 1.0                  # spreads of the body (its end less its low side) beyond its end that are still usual
+# The least distance of a limit from the end of the body; a step of half of it is a gap.
+FLOORS = {"symbol_ratio": 0.1, "dup_line_ratio": 0.35, "repeat_ratio": 0.3}
+GROUP_ROWS = 20              # with fewer rows a group has no limits of its own
+MIXED = (0.1, 0.75)          # quantiles below and above its language's limit: the group is part usual, part junk
 
 
 def words(text: Column) -> Column:
@@ -83,14 +89,14 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          source_col: str = "source", fence: float = FENCE, margins: dict[str, float] = MARGINS) -> DataFrame:
+          source_col: str = "source", fence: float = FENCE, floors: dict[str, float] = FLOORS) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept)`` and the ratios, one row per document.
 
     Texts are read once: the counts are written as a narrow table, which the
     sketches and the filter share.  Sketches are built per task and merged, so
-    a hot source costs nothing; the thresholds table has one row per group and
-    a measured size, and is broadcast only under the planner's threshold.
+    a hot source costs nothing, and merged again by language and over all; the
+    thresholds table has one row per group and a measured size, and is broadcast only under the planner's threshold.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
                        F.col(source_col).alias("source"), F.col(text_col).alias("text"))
@@ -102,19 +108,46 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         .withColumn("repeat_ratio", F.col("n_repeat_words") / n).drop("_n_lines")
         .withColumn("base_failed", (F.col("n_words") < 50)
                     | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "quality")
-    sketches = [F.kll_sketch_agg_double(ratio, F.lit(SKETCH_K)).alias(ratio) for ratio in margins]
-    limits = [F.greatest(F.lit(margin), q(ratio, 0.75) + F.lit(fence) * (q(ratio, 0.75) - q(ratio, 0.25)))
-              .alias(f"{ratio}_limit") for ratio, margin in margins.items()]
-    thresholds = written(counts.groupBy("lang", "source").agg(*sketches)
-                         .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *limits), "thresholds")
+    thresholds = written(_thresholds(counts, fence, floors), "thresholds")
     usual = F.lit(True)
-    for ratio in margins:
+    for ratio in floors:
         usual = usual & (F.col(ratio) <= F.col(f"{ratio}_limit"))
     group = counts["lang"].eqNullSafe(thresholds["_lang"]) & counts["source"].eqNullSafe(thresholds["_source"])
     return (counts.join(thresholds, group)
             .withColumn("kept", ~F.col("base_failed") & usual)
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    "base_failed", "kept", *margins))
+                    "base_failed", "kept", *floors))
+
+
+def _thresholds(counts: DataFrame, fence: float, floors: dict[str, float]) -> DataFrame:
+    """(_lang, _source, {ratio}_limit): one row per group."""
+    sound = ~F.col("base_failed")
+    own = written(counts.groupBy("lang", "source").agg(
+        F.count_if(sound).alias("n"),
+        *[F.kll_sketch_agg_double(F.when(sound, F.col(r)), F.lit(SKETCH_K)).alias(r) for r in floors]), "sketches")
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in floors]]
+    fences = lambda least: [F.when(F.col("n") >= least, _limit(r, fence, floor)).alias(f"{r}_fence")
+                            for r, floor in floors.items()]
+    rename = lambda to: [F.col(f"{r}_fence").alias(f"{r}_{to}") for r in floors]
+    overall = own.agg(*merged).select(*fences(1)).select(*rename("overall"))
+    by_lang = (own.groupBy("lang").agg(*merged).select(F.col("lang").alias("_in"), *fences(GROUP_ROWS))
+               .select("_in", *rename("lang")))
+    limits = []
+    for r in floors:
+        usual, mine = F.coalesce(f"{r}_lang", f"{r}_overall"), F.col(f"{r}_fence")
+        limits.append(F.when(mine.isNull(), usual)
+                      .when((q(r, MIXED[0]) <= usual) & (q(r, MIXED[1]) > usual), F.least(mine, usual))
+                      .otherwise(mine).alias(f"{r}_limit"))
+    return (own.select("*", *fences(GROUP_ROWS)).join(by_lang, F.col("lang").eqNullSafe(F.col("_in")))
+            .crossJoin(overall).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *limits))
+
+
+def _limit(ratio: str, fence: float, floor: float) -> Column:
+    """The fence above the body of a sketch that has rows."""
+    at = F.array(*[q(ratio, rank) for rank in RANKS])
+    low = F.get(at, F.lit(0))
+    end = F.aggregate(at, low, lambda end, value: F.when(value - end <= floor / 2, value).otherwise(end))
+    return end + F.greatest(F.lit(floor), F.lit(fence) * (end - low))
 
 
 def q(ratio: str, rank: float) -> Column:

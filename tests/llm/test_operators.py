@@ -296,6 +296,22 @@ def test_quality_thresholds_adapt(spark):
     assert all(kept[i] for i in range(60)) and not kept[90]
 
 
+def test_quality_limits_come_from_the_sketches(spark):
+    """A junk-heavy source keeps its clean texts only; a clean source loses what is odd there, below
+    the old fixed cutoff of 0.35 too; a tiny source is judged by the others of its language."""
+    rng = random.Random(16)
+    with_marks = lambda n: " ".join(random_words(rng, 100)) + "#" * n  # noqa: E731   symbol_ratio n / 100
+    texts, sources = [], []
+    for source, marks in (("heavy", [0] * 700 + [30 + k % 270 for k in range(300)]), ("clean", [0] * 200 + [20]),
+                          ("symbols", [40 + k % 5 for k in range(60)]), ("tiny", [0, 250])):
+        texts += [with_marks(n) for n in marks]
+        sources += [source] * len(marks)
+    rows = quality_rules.judge(docs(spark, texts, sources)).collect()
+    kept = {name: [r.symbol_ratio for r in rows if sources[r.doc_id] == name and r.kept] for name in set(sources)}
+    assert kept == {"heavy": [0.0] * 700, "clean": [0.0] * 200, "symbols": kept["symbols"], "tiny": [0.0]}
+    assert len(kept["symbols"]) == 60
+
+
 # -- 8 mixing ------------------------------------------------------------------------------
 
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
