@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import lru_cache
 from itertools import accumulate
 from typing import Iterable, Iterator
 
@@ -33,11 +34,11 @@ LICENSE_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ANY_CASE_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"   # the same words before lower-casing
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# A text without any of these parts of words, in any case, has neither a base phrase nor a detection.
+# Parts of words that most phrases hold; ``gate`` adds what the other phrases of the rules need.
 GATE = ("licens", "licenc", "rights", "copyright", "spdx", "commons", "public", "gpl", "epl", "eupl", "afl", "gfdl", "cecill",
         "cc0", "wtfpl", "bsd", "apache", "redistribut", "permission", "confidential", "unauthorized", "warrant", "endorse",
         "jpeg", "misrepresented", "software", "portions")
-GATE_CC = r"(?<![a-z0-9])cc[^a-z0-9]+by"     # "cc by" alone is too common a pair of letters for a part
+GATE_PART = 5   # letters of a word that can be a gate part by itself; shorter ones need the next word, as "cc by"
 
 CONFIDENCE = {NAME: 0.4, NOTICE: 0.75, TEXT: 0.85, TAG: 0.95}   # of one label; a base phrase counts as a name
 
@@ -95,11 +96,58 @@ def scan_text(text: str) -> tuple:
     return len(places), first, last, ",".join(base_labels), ",".join(labels), score
 
 
+def phrases(nodes) -> set[str]:
+    """What a parsed regex can match, with NUL for what is not fixed."""
+    out = {""}
+    for op, arg in nodes:
+        op = str(op)
+        if op == "LITERAL":
+            more = {chr(arg)}
+        elif op == "IN" and all(str(name) == "LITERAL" for name, _ in arg):
+            more = {chr(value) for _, value in arg}
+        elif op == "SUBPATTERN":
+            more = phrases(arg[-1])
+        elif op == "BRANCH":
+            more = set().union(*(phrases(branch) for branch in arg[1]))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            more = {x if high == 1 else f"\0{x}\0" for x in phrases(inner)} | ({""} if low == 0 else set())
+        else:
+            more = {""} if op.startswith("ASSERT") else {"\0"}
+        out = {x + y for x in out for y in more}
+    return out
+
+
+@lru_cache(maxsize=1)
+def gate() -> tuple[tuple[str, ...], tuple[tuple[str, str], ...]]:
+    """Parts of words and pairs of words, one of which every base phrase and every match of a rule holds.
+
+    Notices hold a name pattern, which is a rule too.
+    """
+    parts, pairs = list(GATE), set()
+    held = {x for rule in rules() if rule.priority != NOTICE for x in phrases(re._parser.parse(rule.regex.pattern))}
+    for phrase in sorted(held | set(BASE)):
+        runs = re.findall("[a-z0-9]+", phrase)
+        if any(part in run for part in parts for run in runs):
+            continue
+        longest = max(runs, key=len)
+        if len(longest) >= GATE_PART:
+            parts.append(longest)
+        else:
+            pairs.add(re.match("([a-z0-9]+) ([a-z0-9]+)(?![^ ])", phrase).groups())   # fails where there is no such pair
+    return tuple(parts), tuple(sorted(pairs))
+
+
 def gated(text: Column) -> Column:
-    """Whether a text has a gate keyword; the lower-cased text is made once."""
+    """Whether a text has a part or pair of the gate; the lower-cased text is made once."""
+    parts, pairs = gate()
+
     def any_of(low: Column) -> Column:
-        parts = F.exists(F.array(*[F.lit(k) for k in GATE]), lambda k: F.contains(low, k))
-        return parts | (F.contains(low, F.lit("cc")) & low.rlike(GATE_CC))
+        found = F.exists(F.array(*[F.lit(k) for k in parts]), lambda k: F.contains(low, k))
+        for first in sorted({pair[0] for pair in pairs}):
+            seconds = "|".join(pair[1] for pair in pairs if pair[0] == first)
+            found = found | (F.contains(low, F.lit(first)) & low.rlike(rf"(?<![a-z0-9]){first}[^a-z0-9]+(?:{seconds})"))
+        return found
 
     return F.get(F.transform(F.array(F.lower(text)), any_of), F.lit(0))
 

@@ -188,6 +188,43 @@ def test_license_gate_lets_every_rule_through(spark):
     assert passed == len(samples) + 2
 
 
+def sample(nodes, rng):
+    """A text that a parsed regex matches, with choices by ``rng``."""
+    out = ""
+    for op, arg in nodes:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            name, value = rng.choice(arg)
+            out += chr(value) if str(name) == "LITERAL" else {"CATEGORY_DIGIT": "9", "CATEGORY_WORD": "x"}[str(value)]
+        elif op == "SUBPATTERN":
+            out += sample(arg[-1], rng)
+        elif op == "BRANCH":
+            out += sample(rng.choice(arg[1]), rng)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
+        elif op == "ANY":
+            out += "x"
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def test_license_gate_holds_for_generated_samples_of_all_rules(spark):
+    from basketlens.llm.license_rules import rules
+    rng, texts = random.Random(37), ["CC Zero 1.0", "Mulan PSL v2", "MIT No Attribution"]
+    for rule in rules():
+        nodes = re._parser.parse(rule.regex.pattern)
+        for text in sorted({sample(nodes, rng) for _ in range(30)}):
+            assert rule.regex.search(text), text
+            texts.append(rng.choice((str, str.upper, str.title))(text.replace(" ", rng.choice((" ", "-", ", ", "_")))))
+    missed = docs(spark, texts).where(~licenses.gated(F.col("text"))).select("text").distinct()
+    assert [r.text for r in missed.collect()] == []
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, texts[:3])).collect()}
+    assert [got[i].labels for i in range(3)] == ["cc0-1.0", "mulanpsl-2.0", "mit-0"] and all(got[i].score > 0 for i in range(3))
+
+
 # -- 4 toxicity, 6 quality: held-out accuracy -----------------------------------------
 
 def test_toxicity_held_out(spark):
