@@ -25,6 +25,7 @@ from basketlens.session import written
 # Engineering limits.
 FIT_BUDGET = 1 << 16   # words the dynamic program fits exactly; the rest goes by proportion and greedily
 HANDED_BACK = 8        # documents of each length that the program may choose anew
+MAX_SUMS = 1 << 18     # sums that the exchange of long documents tells apart before it stops
 SEED_BUCKETS = 4096    # hash ranges that split one (source, length) group
 
 GROUP = ["source", "size", "bucket"]
@@ -75,7 +76,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     to ``budget`` from below as the method finds.
 
     By proportion first (every length gives its share), then longest first
-    until at most ``FIT_BUDGET`` words are open.  Some documents of every
+    until at most ``FIT_BUDGET`` words are open; where the documents left are too
+    long for that, some are exchanged, see ``_exchanged``.  Some documents of every
     length are handed back within that budget, and an exact bounded knapsack
     chooses among all that are left.
     """
@@ -93,6 +95,9 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         more = min(int(counts[i] - take[i]), left // max(1, int(lengths[i])))
         take[i] += more
         left -= more * int(lengths[i])
+    if left > FIT_BUDGET:
+        change = _exchanged(lengths, counts, take, left)
+        take, left = take + change, left - int((change * lengths).sum())
     for i in np.argsort(lengths, kind="stable"):
         back = min(int(take[i]), HANDED_BACK, max(0, FIT_BUDGET - left) // max(1, int(lengths[i])))
         take[i] -= back
@@ -100,6 +105,31 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     return take + _knapsack(lengths, counts - take, min(left, FIT_BUDGET))
 
 
+def _exchanged(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int) -> np.ndarray:
+    """How many more (or fewer) documents of each length to take so that the words
+    added come nearest to ``left`` from below: reachable sums as a set, longest
+    first, with at most ``HANDED_BACK`` documents of a length either way."""
+    change = np.zeros_like(take)
+    order = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0 and counts[i]]
+    down = {i: min(int(take[i]), HANDED_BACK) for i in order}
+    room = left + sum(down[i] * int(lengths[i]) for i in order)   # what later lengths can still take off a sum
+    sums, steps = np.zeros(1, dtype=np.int64), []
+    for i in order:
+        room -= down[i] * int(lengths[i])
+        moves = range(-down[i], min(int(counts[i] - take[i]), HANDED_BACK) + 1)
+        steps.append((i, moves, sums))
+        sums = np.unique(np.concatenate([sums + m * int(lengths[i]) for m in moves]))
+        sums = sums[sums <= room]
+        if len(sums) > MAX_SUMS or left in sums:
+            break
+    at = int(sums[sums <= left].max())
+    for i, moves, before in reversed(steps):
+        m = next(m for m in sorted(moves, key=abs) if at - m * int(lengths[i]) in before)
+        change[i] = m
+        at -= m * int(lengths[i])
+    return change
+
+
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """Bounded subset sum.  ``reached[s]`` is the item that first made sum ``s``
     possible; items are binary multiples of one length, so walking back from the

@@ -351,6 +351,23 @@ def test_quality_limits_come_from_the_sketches(spark):
 
 # -- 8 mixing ------------------------------------------------------------------------------
 
+def test_mix_fit_of_long_documents():
+    """Only documents beyond FIT_BUDGET left: the fit is the best subset, as tried one by one."""
+    fit = lambda lengths, budget: mixing.fit_lengths(np.array(lengths), np.ones(len(lengths), dtype=np.int64), budget)
+    assert fit([300000, 201000, 200000], 401000).tolist() == [0, 1, 1]
+    rng = random.Random(8)
+    for _ in range(40):
+        lengths = rng.sample(range(70_000, 900_000), 8)
+        sums = {sum(w for k, w in enumerate(lengths) if bits >> k & 1) for bits in range(256)}
+        budget = rng.randrange(sum(lengths))
+        take = fit(lengths, budget)
+        assert set(take.tolist()) <= {0, 1}
+        got = int((take * np.array(lengths)).sum())
+        assert got <= budget
+        if budget - got > mixing.FIT_BUDGET:
+            assert got == max(s for s in sums if s <= budget)
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
