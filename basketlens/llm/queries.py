@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.llm import (decontaminate, licenses, mixing, ngram_join, quality_model, quality_rules, secrets,
-                            toxicity, url_filter, warc)
+from basketlens.llm import (decontaminate, lexical_search, licenses, mixing, ngram_join, periodic_runs, quality_model,
+                            quality_rules, secrets, simhash, toxicity, url_filter, warc)
 from basketlens.llm.oracle import ORACLE_SQL  # noqa: F401
 
 # Fixed by the contract of the query.
@@ -57,6 +57,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), n=4, radius=4)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_ngram_join, op3_license_scan, op4_toxicity, op5_secret_scan, op6_quality_model,
-    op7_quality_rules, op8_mix_sources, op9_url_filter, op10_warc)}
+    op7_quality_rules, op8_mix_sources, op9_url_filter, op10_warc,
+    op11_periodic_runs, op12_simhash, op13_lexical_search)}
