@@ -32,13 +32,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketlens.session import written
@@ -46,16 +47,30 @@ from basketlens.session import written
 # Every ASCII character but letters and digits becomes a space, A-Z become a-z.
 TERM_BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
-BLOCK_WORDS = 1 << 19        # terms of the documents of one index block; a longer document is alone
+BLOCK_WORDS = 1 << 17        # terms of the documents of one index block; a longer document is alone
 ITEM_TERMS = 1 << 18         # terms of the items that go to the tasks at a time; a longer item is alone
 SEED_BLOCKS = 4              # blocks that every item visits first
 ORDERED_BLOCKS = 32          # index blocks whose visits are ordered together ...
 ORDERED_BYTES = 64 << 20     # ... as long as their postings take no more than this
+VECTOR_ROWS = 256            # documents, and ...
+INDEX_ROWS = 16              # ... index blocks that a task receives at a time
 
 BLOCK = ("m long, docs array<{id}>, terms array<binary>, df array<int>, max_tf array<int>, group_term binary, "
          "group_tf binary, group_size binary, places binary")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within the block, jobs hand their tasks this many rows at a time (the rows are long)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def terms_of(text: bytes) -> list[bytes]:
     return text.translate(TERM_BYTES).split()
 
@@ -153,7 +168,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
         if name is not None:
             yield answer()
 
-    blocks = written(dealt.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "index")
+    with arrow_rows(docs.sparkSession, VECTOR_ROWS):
+        blocks = written(dealt.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "index")
     return Index(blocks, int(documents), int(words))
 
 
@@ -293,7 +309,8 @@ def search(index: Index, items: DataFrame, k: int = 10, id_col: str = "item_id",
     items, in parts of bounded size; to the driver one score per item of a part.
     """
     asked = _item_terms(items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("binary").alias("text")))
-    found = [_search_part(index, part, k) for part in _parts(asked)]
+    with arrow_rows(items.sparkSession, INDEX_ROWS):
+        found = [_search_part(index, part, k) for part in _parts(asked)]
     id_type = index.blocks.schema["docs"].dataType.elementType.simpleString()
     if not found:
         empty = items.sparkSession.createDataFrame([], f"item long, doc_id {id_type}, score long")
@@ -307,7 +324,7 @@ def search(index: Index, items: DataFrame, k: int = 10, id_col: str = "item_id",
 
 
 def _search_part(index: Index, items: DataFrame, k: int) -> DataFrame:
-    """(item, doc_id, score): what the tasks find; holds the ``k`` best of every item."""
+    """(item, doc_id, score), written: what the tasks find; holds the ``k`` best of every item."""
     spark = items.sparkSession
     wanted = items.select(F.explode("terms").alias("term")).distinct()
     df = (index.blocks.select(F.explode(F.arrays_zip("terms", "df")).alias("t"))
@@ -345,7 +362,7 @@ def _search_part(index: Index, items: DataFrame, k: int) -> DataFrame:
         least[r["item"]] = r["score"]
     table = spark.createDataFrame(list(enumerate(names)), "number int, item long")
     rows = index.blocks.mapInArrow(_visits(shared(least), k), answer).withColumnRenamed("item", "number")
-    return rows.join(table, "number").select("item", "doc_id", "score")
+    return written(rows.join(table, "number").select("item", "doc_id", "score"), "found")
 
 
 def _bounds(shared):
