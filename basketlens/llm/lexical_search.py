@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections import Counter
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -51,12 +52,11 @@ BLOCK_WORDS = 1 << 17        # terms of the documents of one index block; a long
 ITEM_TERMS = 1 << 18         # terms of the items that go to the tasks at a time; a longer item is alone
 SEED_BLOCKS = 4              # blocks that every item visits first
 ORDERED_BLOCKS = 32          # index blocks whose visits are ordered together ...
-ORDERED_BYTES = 64 << 20     # ... as long as their postings take no more than this
+ORDERED_BYTES = 16 << 20     # ... as long as their packed postings take no more than this
 VECTOR_ROWS = 256            # documents, and ...
 INDEX_ROWS = 16              # ... index blocks that a task receives at a time
 
-BLOCK = ("m long, docs array<{id}>, terms array<binary>, df array<int>, max_tf array<int>, group_term binary, "
-         "group_tf binary, group_size binary, places binary")
+BLOCK = "m long, docs array<{id}>, terms array<binary>, df array<int>, max_tf array<int>, groups int, postings binary"
 
 
 @contextmanager
@@ -119,9 +119,15 @@ def _block(m: int, ids: list, terms: list[bytes], tfs: list[bytes]) -> list:
     term, tf, place = term[order], tf[order], place[order]
     fresh = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])))
     first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-    small = lambda a: a.astype(np.int32).tobytes()
+    numbers = np.concatenate([tf[fresh], np.diff(np.append(fresh, len(term))), place])
     return [m, ids, list(known), np.diff(np.append(first, len(term))).tolist(), tf[first].tolist(),
-            small(term[fresh]), small(tf[fresh]), small(np.diff(np.append(fresh, len(term)))), small(place)]
+            len(fresh), zlib.compress(numbers.astype(np.int32).tobytes(), 1)]
+
+
+def unpacked(groups: int, postings: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tf, size) of the groups of equal tf, in the order of the terms, and the places of all postings."""
+    numbers = np.frombuffer(zlib.decompress(postings), np.int32)
+    return numbers[:groups].astype(np.int64), numbers[groups:2 * groups], numbers[2 * groups:]
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -152,7 +158,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
         def answer():
             row = _block(name[0], *held)
             kinds = [pa.int64(), pa.list_(types), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()),
-                     *[pa.binary()] * 4]
+                     pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)],
                                               [c.split()[0] for c in schema.split(", ")])
 
@@ -208,10 +214,8 @@ class Block:
     """The postings of a block for the terms that the items ask for."""
 
     def __init__(self, batch: pa.RecordBatch, k: int, places: np.ndarray):
-        numbers = lambda c: np.frombuffer(batch.column(c)[k].as_py(), np.int32)
-        sizes, tf = numbers("group_size"), numbers("group_tf").astype(np.int64)
+        tf, sizes, self.positions = unpacked(batch.column("groups")[k].as_py(), batch.column("postings")[k].as_py())
         self.docs = batch.column("docs")[k].values
-        self.positions = numbers("places")
         self.impacts = np.repeat(impact(tf, batch.column("m")[k].as_py()), sizes)      # once per tf of a term
         df = batch.column("df")[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.append(np.cumsum(df), 0)          # place -1: the empty slice
@@ -416,7 +420,7 @@ def _visits(shared, k: int, chosen=None):
                 if not (bounds >= np.maximum(1, best.least)).any():
                     continue
                 held.append((batch, row, places, bounds))
-                weight += batch.column("places")[row].as_buffer().size
+                weight += batch.column("postings")[row].as_buffer().size
                 if len(held) >= ORDERED_BLOCKS or weight >= ORDERED_BYTES:
                     visit(held)
                     held, weight = [], 0

@@ -328,11 +328,10 @@ def test_index_holds_every_posting_by_stratum(spark):
     assert sorted(r.m for r in rows) == sorted({25 + 75 * n * 5 // 61 for n in (3, 2, 50, 4)})
     found = set()
     for r in rows:
-        term, tf, size, place = (np.frombuffer(r[c], np.int32) for c in ("group_term", "group_tf", "group_size", "places"))
-        at = 0
-        for t, f, s in zip(term, tf, size):
-            found |= {(r.docs[p], bytes(r.terms[t]).decode(), int(f)) for p in place[at:at + s]}
-            at += s
+        tf, size, place = lexical_search.unpacked(r.groups, r.postings)
+        term, impacts = np.repeat(np.arange(len(r.df)), r.df), np.repeat(tf, size)
+        assert (np.diff(impacts)[np.diff(term) == 0] <= 0).all()
+        found |= {(r.docs[p], bytes(r.terms[t]).decode(), int(f)) for p, t, f in zip(place, term, impacts)}
     assert found == {(0, "a", 2), (0, "b", 1), (1, "b", 1), (1, "c", 1), (2, "c", 1), (2, "a", 1), (4, "d", 50),
                      (5, "a", 3), (5, "b", 1)}
 
