@@ -102,31 +102,69 @@ FROM spans
 
 ORACLE_SQL["op5_secret_scan"] = _secret_sql()
 
-# Groups of the tables this runs on are smaller than a sketch, whose quantiles are then exact.
-ORACLE_SQL["op7_quality_rules"] = r"""
+
+def _quality_sql() -> str:
+    """Counts by lists, limits by exact quantiles (a sketch of up to 1,024 rows is exact too)."""
+    ratios = {"a": 0.1, "b": 0.35, "c": 0.3}     # symbols a word, repeated lines, repeated words: their floors
+    ranks = "[0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98]"
+
+    def level(keys: str) -> str:
+        sketches = ", ".join(
+            f"quantile_disc({x}, {ranks}) FILTER (NOT base_failed) AS q{x}, "
+            f"quantile_disc({x}, {ranks}) FILTER (NOT base_failed AND {x} > 0) AS p{x}, "
+            f"count(*) FILTER (NOT base_failed AND {x} > 0) AS n{x}" for x in ratios)
+        return f"SELECT {keys}count(*) FILTER (NOT base_failed) AS n, {sketches} FROM r"
+
+    def fence(q: str, floor: float) -> str:
+        end = f"list_reduce({q}, lambda e, v: CASE WHEN v - e <= {floor} / 2 THEN v ELSE e END)"
+        return f"({end} + greatest({floor}, {end} - {q}[1]))"
+
+    def above(t: str, x: str, least: int) -> str:
+        q, floor = f"{t}.p{x}", ratios[x]
+        return (f"CASE WHEN {t}.n{x} >= {least} THEN CASE WHEN {q}[1] > {floor} THEN {q}[1] / 3 "
+                f"ELSE {fence(q, floor)} END END")
+
+    def limit(t: str, x: str, levels: list[tuple[str, int]]) -> str:
+        q, floor = f"{t}.q{x}", ratios[x]
+        end = f"list_reduce({q}, lambda e, v: CASE WHEN v - e <= {floor} / 2 THEN v ELSE e END)"
+        zeros = ", ".join(above(*args) for args in ((u, x, least) for u, least in levels))
+        return f"CASE WHEN {end} = 0 THEN coalesce({zeros}, {floor}) ELSE {fence(q, floor)} END"
+
+    usual, mine, final = [], [], []
+    for x in ratios:
+        usual.append(f"CASE WHEN l.n >= 20 THEN {limit('l', x, [('l', 20), ('o', 1)])} "
+                     f"WHEN o.n > 0 THEN {limit('o', x, [('o', 1)])} END AS usual_{x}")
+        mine.append(f"{limit('g', x, [('g', 20), ('l', 20), ('o', 1)])} AS mine_{x}, g.q{x}")
+        final.append(f"CASE WHEN n < 20 THEN usual_{x} WHEN q{x}[1] <= usual_{x} AND q{x}[4] > usual_{x} "
+                     f"THEN least(mine_{x}, usual_{x}) ELSE mine_{x} END AS limit_{x}")
+    return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-g AS (SELECT *, len(ws) AS n, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS tri,
+d AS (SELECT *, len(ws) AS n, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS tri,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
-windows AS (SELECT doc_id, unnest(tri) AS gram, unnest(range(1, len(tri) + 1)) AS pos FROM g),
+windows AS (SELECT doc_id, unnest(tri) AS gram, unnest(range(1, len(tri) + 1)) AS pos FROM d),
 repeated AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM windows) WHERE c > 1),
 covered AS (SELECT doc_id, count(DISTINCT pos + k) AS n_repeat FROM repeated, (VALUES (0), (1), (2)) x(k) GROUP BY doc_id),
 m AS (SELECT doc_id, lang, source, n::BIGINT AS n_words,
     coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
-    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words FROM g LEFT JOIN covered USING (doc_id)),
+    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN covered USING (doc_id)),
 r AS (SELECT *, n_symbols::DOUBLE / greatest(n_words, 1) AS a, n_dup_lines::DOUBLE / greatest(n_lines, 1) AS b,
     n_repeat_words::DOUBLE / greatest(n_words, 1) AS c,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-q AS (SELECT lang, source, quantile_disc(a, 0.25) AS a1, quantile_disc(a, 0.75) AS a3, quantile_disc(b, 0.25) AS b1,
-    quantile_disc(b, 0.75) AS b3, quantile_disc(c, 0.25) AS c1, quantile_disc(c, 0.75) AS c3 FROM r GROUP BY lang, source)
+o AS ({level('')}), l AS ({level('lang, ')} GROUP BY lang), g AS ({level('lang, source, ')} GROUP BY lang, source),
+both_limits AS (SELECT g.lang, g.source, g.n, {', '.join(usual)}, {', '.join(mine)}
+    FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN o),
+limits AS (SELECT lang, source, {', '.join(final)} FROM both_limits)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND a <= greatest(0.35, a3 + 8 * (a3 - a1)) AND b <= greatest(0.45, b3 + 8 * (b3 - b1))
-    AND c <= greatest(0.4, c3 + 8 * (c3 - c1)) AS kept
-FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source
+  NOT base_failed AND a <= limit_a AND b <= limit_b AND c <= limit_c AS kept
+FROM r JOIN limits ON r.lang IS NOT DISTINCT FROM limits.lang AND r.source IS NOT DISTINCT FROM limits.source
 """
 
+
+ORACLE_SQL["op7_quality_rules"] = _quality_sql()
+
 ORACLE_SQL["op13_lexical_search"] = r"""
 WITH terms AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -5,7 +5,10 @@ mergeable KLL quantile sketch per ratio, over the rows that pass the base
 rules, gives the group's own limits.  A group's body reaches from its low side
 up to the first gap between its quantiles; the limit is a fence above the body,
 so a group used to tables or symbols is judged by its own spread and junk
-beyond a gap does not raise the limit, however much there is.  The sketches
+beyond a gap does not raise the limit, however much there is.  Where the body
+is nothing but zeros (most texts hold no symbol) it has no spread, and a second
+sketch, of the ratios above zero, gives the limit: within the gap before them
+if there is one, else above their own body.  The sketches
 merged by language, or over all rows, judge groups that are too small, and
 bound the limits of groups that are partly usual but hold much junk.  Documents
 and limits are joined and filtered.  Built-in functions only.
@@ -25,12 +28,13 @@ from basketlens.session import written
 SPACES = "\t\n\x0b\x0c\r "   # fixed: the white space that separates words
 SYMBOLS = "#*$%&|<>"         # fixed: the characters counted as symbols
 
-SKETCH_K = 400               # size of a sketch: rank error well under one per cent
+SKETCH_K = 1024              # size of a sketch: exact up to that many rows, beyond a rank error of about 0.3 per cent
 RANKS = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98)   # where a group's quantiles are read, low side first
 FENCE = 1.0                  # spreads of the body (its end less its low side) beyond its end that are still usual
 # The least distance of a limit from the end of the body; a step of half of it is a gap.
 FLOORS = {"symbol_ratio": 0.1, "dup_line_ratio": 0.35, "repeat_ratio": 0.3}
-GROUP_ROWS = 20              # with fewer rows a group has no limits of its own
+GAP_SHARE = 1 / 3            # of the gap between a body of zeros and the ratios above zero: where the limit stands
+GROUP_ROWS = 20              # with fewer rows (or ratios above zero) a group has no limits of its own
 MIXED = (0.1, 0.75)          # quantiles below and above its language's limit: the group is part usual, part junk
 
 
@@ -122,32 +126,57 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def _thresholds(counts: DataFrame, fence: float, floors: dict[str, float]) -> DataFrame:
     """(_lang, _source, {ratio}_limit): one row per group."""
     sound = ~F.col("base_failed")
+    sketch = lambda r, rows: F.kll_sketch_agg_double(F.when(rows, F.col(r)), F.lit(SKETCH_K))
     own = written(counts.groupBy("lang", "source").agg(
         F.count_if(sound).alias("n"),
-        *[F.kll_sketch_agg_double(F.when(sound, F.col(r)), F.lit(SKETCH_K)).alias(r) for r in floors]), "sketches")
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in floors]]
-    fences = lambda least: [F.when(F.col("n") >= least, _limit(r, fence, floor)).alias(f"{r}_fence")
-                            for r, floor in floors.items()]
-    rename = lambda to: [F.col(f"{r}_fence").alias(f"{r}_{to}") for r in floors]
-    overall = own.agg(*merged).select(*fences(1)).select(*rename("overall"))
-    by_lang = (own.groupBy("lang").agg(*merged).select(F.col("lang").alias("_in"), *fences(GROUP_ROWS))
-               .select("_in", *rename("lang")))
-    limits = []
+        *[sketch(r, sound).alias(r) for r in floors],
+        *[F.count_if(sound & (F.col(r) > 0)).alias(f"{r}_n_pos") for r in floors],
+        *[sketch(r, sound & (F.col(r) > 0)).alias(f"{r}_pos") for r in floors]), "sketches")
+    merged = [F.sum("n").alias("n")]
     for r in floors:
-        usual, mine = F.coalesce(f"{r}_lang", f"{r}_overall"), F.col(f"{r}_fence")
-        limits.append(F.when(mine.isNull(), usual)
+        merged += [F.sum(f"{r}_n_pos").alias(f"{r}_n_pos"),
+                   *[F.kll_merge_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in (r, f"{r}_pos")]]
+    above = lambda least: [F.when(F.col(f"{r}_n_pos") >= least, _above_zero(f"{r}_pos", fence, floor))
+                           .alias(f"{r}_above") for r, floor in floors.items()]
+    named = lambda to: [F.col(f"{r}_{c}").alias(f"{r}_{c}_{to}") for r in floors for c in ("above", "fence")]
+    overall = own.agg(*merged).select("*", *above(1))
+    overall = overall.select("*", *[_limit(r, fence, floor, [f"{r}_above"]).alias(f"{r}_fence")
+                                    for r, floor in floors.items()]).select(F.col("n").alias("n_overall"), *named("overall"))
+    by_lang = own.groupBy("lang").agg(*merged).select("*", *above(GROUP_ROWS)).crossJoin(overall)
+    by_lang = by_lang.select(
+        F.col("lang").alias("_in"), "n_overall", *[f"{r}_above_overall" for r in floors], *[f"{r}_fence_overall" for r in floors],
+        *[F.col(f"{r}_above").alias(f"{r}_above_lang") for r in floors],
+        *[F.when(F.col("n") >= GROUP_ROWS, _limit(r, fence, floor, [f"{r}_above", f"{r}_above_overall"]))
+          .alias(f"{r}_fence_lang") for r, floor in floors.items()])
+    rows = own.select("*", *above(GROUP_ROWS)).join(by_lang, F.col("lang").eqNullSafe(F.col("_in")))
+    limits = []
+    for r, floor in floors.items():
+        usual = F.coalesce(f"{r}_fence_lang", F.when(F.col("n_overall") > 0, F.col(f"{r}_fence_overall")))
+        mine = _limit(r, fence, floor, [f"{r}_above", f"{r}_above_lang", f"{r}_above_overall"])
+        limits.append(F.when(F.col("n") < GROUP_ROWS, usual)
                       .when((q(r, MIXED[0]) <= usual) & (q(r, MIXED[1]) > usual), F.least(mine, usual))
                       .otherwise(mine).alias(f"{r}_limit"))
-    return (own.select("*", *fences(GROUP_ROWS)).join(by_lang, F.col("lang").eqNullSafe(F.col("_in")))
-            .crossJoin(overall).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *limits))
+    return rows.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *limits)
 
 
-def _limit(ratio: str, fence: float, floor: float) -> Column:
-    """The fence above the body of a sketch that has rows."""
-    at = F.array(*[q(ratio, rank) for rank in RANKS])
+def _body(sketch: str, floor: float) -> tuple[Column, Column]:
+    """The low side and the end of the body of a sketch that has rows."""
+    at = F.array(*[q(sketch, rank) for rank in RANKS])
     low = F.get(at, F.lit(0))
-    end = F.aggregate(at, low, lambda end, value: F.when(value - end <= floor / 2, value).otherwise(end))
-    return end + F.greatest(F.lit(floor), F.lit(fence) * (end - low))
+    return low, F.aggregate(at, low, lambda end, value: F.when(value - end <= floor / 2, value).otherwise(end))
+
+
+def _above_zero(sketch: str, fence: float, floor: float) -> Column:
+    """The limit of a body of zeros, from the sketch of the ratios above zero."""
+    low, end = _body(sketch, floor)
+    return F.when(low > floor, low * GAP_SHARE).otherwise(end + F.greatest(F.lit(floor), F.lit(fence) * (end - low)))
+
+
+def _limit(ratio: str, fence: float, floor: float, above: list[str]) -> Column:
+    """The fence above the body of a sketch that has rows; for a body of zeros the first limit known in ``above``."""
+    low, end = _body(ratio, floor)
+    return F.when(end == 0, F.coalesce(*above, F.lit(floor))).otherwise(
+        end + F.greatest(F.lit(floor), F.lit(fence) * (end - low)))
 
 
 def q(ratio: str, rank: float) -> Column:

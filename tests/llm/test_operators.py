@@ -329,8 +329,7 @@ def test_quality_thresholds_adapt(spark):
     odd = ["### ".join(random_words(rng, 80))]                            # unusual among clean texts
     table = docs(spark, clean + tables + odd, ["web"] * 60 + ["tables"] * 30 + ["web"])
     kept = {r.doc_id: r.kept for r in quality_rules.judge(table).collect()}
-    assert all(kept[i] for i in range(90)) == (False if not all(kept[i] for i in range(60)) else all(kept[i] for i in range(60, 90)))
-    assert all(kept[i] for i in range(60)) and not kept[90]
+    assert [i for i in range(91) if not kept[i]] == [90]
 
 
 def test_quality_limits_come_from_the_sketches(spark):
@@ -349,6 +348,84 @@ def test_quality_limits_come_from_the_sketches(spark):
     assert len(kept["symbols"]) == 60
 
 
+def plain_limits(rows, floors):
+    """{(lang, source): limits} by sorting: the rule of the module docstring over whole groups."""
+    def quantiles(values):
+        ordered = sorted(values)
+        return [ordered[max(0, math.ceil(rank * len(ordered)) - 1)] for rank in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98)]
+
+    def body_end(values, floor):
+        end = quantiles(values)[0]
+        for v in quantiles(values):
+            end = v if v - end <= floor / 2 else end
+        return end
+
+    def fence(values, floor):
+        end = body_end(values, floor)
+        return end + max(floor, end - quantiles(values)[0])
+
+    def limit(values, floor, pools):
+        """``pools``: (values above zero, least number) from the group to the whole."""
+        if body_end(values, floor) > 0:
+            return fence(values, floor)
+        for pool, least in pools:
+            if len(pool) >= least:
+                low = quantiles(pool)[0]
+                return low / 3 if low > floor else fence(pool, floor)
+        return floor
+
+    out = {}
+    for group in {(lang, source) for lang, source, _, _ in rows}:
+        out[group] = []
+        for k, floor in enumerate(floors):
+            mine = [v[k] for lang, source, failed, v in rows if (lang, source) == group and not failed]
+            lang_values = [v[k] for lang, _, failed, v in rows if lang == group[0] and not failed]
+            every = [v[k] for _, _, failed, v in rows if not failed]
+            above = [([x for x in values if x > 0], least) for values, least in ((mine, 20), (lang_values, 20), (every, 1))]
+            usual = (limit(lang_values, floor, above[1:]) if len(lang_values) >= 20
+                     else limit(every, floor, above[2:]) if every else None)
+            if len(mine) < 20:
+                out[group].append(usual)
+                continue
+            own, at = limit(mine, floor, above), quantiles(mine)
+            out[group].append(min(own, usual) if at[0] <= usual < at[3] else own)
+    return out
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    """Groups of all kinds: no symbols, a natural few, junk beyond a gap, repeated lines, too small, none sound."""
+    rng = random.Random(33)
+    texts, sources, langs = [], [], []
+
+    def add(lang, source, count, marks, repeats=lambda: 0, size=lambda: 100):
+        for _ in range(count):
+            lines = [" ".join(random_words(rng, 10)) for _ in range(max(1, size() // 10))]
+            lines += [lines[0]] * repeats()
+            texts.append("\n".join(lines) + "#" * marks())
+            sources.append(source)
+            langs.append(lang)
+
+    add("en", "none", 60, lambda: 0)
+    add("en", "few", 80, lambda: rng.choice([0, 0, 0, 0, 1, 2, 3, 25]))
+    add("en", "gap", 90, lambda: rng.choice([0, 0, 0, 0, 45, 60, 200, 11, 16]))
+    add("en", "lines", 50, lambda: 0, lambda: rng.randrange(5))
+    add("de", "table", 40, lambda: rng.randrange(30, 60))
+    add("de", "small", 6, lambda: rng.choice([0, 5, 90]))
+    add("fr", "small", 3, lambda: rng.choice([0, 50]))
+    add("fr", None, 12, lambda: 0, size=lambda: 20)
+    add(None, "few", 25, lambda: rng.choice([0, 1, 150]))
+    frame = spark.createDataFrame([(i, t, l, s, None) for i, (t, l, s) in enumerate(zip(texts, langs, sources))], DOC)
+    got = quality_rules.judge(frame).collect()
+    ratios = ("symbol_ratio", "dup_line_ratio", "repeat_ratio")
+    rows = [(langs[r.doc_id], sources[r.doc_id], r.base_failed, [r[c] for c in ratios]) for r in got]
+    limits = plain_limits(rows, [quality_rules.FLOORS[c] for c in ratios])
+    for r, (lang, source, failed, values) in zip(got, rows):
+        assert r.kept == (not failed and all(v <= most for v, most in zip(values, limits[lang, source])))
+    assert {False, True} == {r.kept for r in got if sources[r.doc_id] == "gap"}
+    assert limits["en", "none"][0] not in (0.1, None)       # not the bare floor: from the language's sketch
+
+
+
 # -- 8 mixing ------------------------------------------------------------------------------
 
 def test_mix_fit_of_long_documents():
