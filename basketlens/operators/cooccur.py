@@ -71,7 +71,7 @@ def chunk_items(n: int) -> int:
 _PER_LINES: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary()
 
 
-def _memo(lines: DataFrame, key: tuple, compute):
+def memo(lines: DataFrame, key: tuple, compute):
     try:
         slot = _PER_LINES.setdefault(lines, {})
     except TypeError:  # not weak-referenceable: no sharing
@@ -127,20 +127,34 @@ class BasketProfile:
     limit: int
 
 
+def _sizes(lines: DataFrame, basket: str) -> DataFrame:
+    return memo(lines, ("sizes", basket), lambda: written(
+        lines.where(F.col(basket).isNotNull()).groupBy(basket).agg(F.count(F.lit(1)).alias("_k")), "sizes"))
+
+
 def basket_profile(lines: DataFrame, basket: str = "order_id", limit: int = HOT_LINES) -> BasketProfile:
     """Profile of ``lines`` (shared across analyses of the same DataFrame object).
 
     One aggregation by basket writes its line counts; the profiles for all
     limits read that table.
     """
-    sizes = _memo(lines, ("sizes", basket), lambda: written(
-        lines.where(F.col(basket).isNotNull()).groupBy(basket).agg(F.count(F.lit(1)).alias("_k")), "sizes"))
-    total, most = _memo(lines, ("total", basket), lambda: sizes.agg(F.count(F.lit(1)), F.max("_k")).first())
+    sizes = _sizes(lines, basket)
+    total, most = memo(lines, ("total", basket), lambda: sizes.agg(F.count(F.lit(1)), F.max("_k")).first())
 
     def oversized() -> Optional[DataFrame]:
         return written(sizes.where(F.col("_k") > limit), "oversized") if (most or 0) > limit else None
 
-    return BasketProfile(int(total), _memo(lines, ("oversized", basket, limit), oversized), limit)
+    return BasketProfile(int(total), memo(lines, ("oversized", basket, limit), oversized), limit)
+
+
+def expanded_sets(lines: DataFrame, n: int, basket: str = "order_id") -> tuple[float, int]:
+    """(n-subsets of all baskets, lines), from the basket sizes of ``lines``."""
+    sizes = _sizes(lines, basket)
+    choose = F.lit(1.0)
+    for i in range(n):
+        choose = choose * F.greatest(F.col("_k") - i, F.lit(0)) / (i + 1)
+    return tuple(memo(lines, ("expanded", basket, n), lambda: sizes.agg(
+        F.coalesce(F.sum(choose), F.lit(0.0)), F.coalesce(F.sum("_k"), F.lit(0))).first()))
 
 
 def join_baskets(lines: DataFrame, baskets: DataFrame, basket: str = "order_id",
@@ -293,7 +307,7 @@ def top_rows(df: DataFrame, order: Sequence[Column], limit: Optional[int]) -> Da
 def pinned_supports(lines: DataFrame, basket: str = "order_id", item: str = "product_id",
                     name: str = "support_count", keys: Sequence[str] = ()) -> DataFrame:
     """``pinned(item_supports(...))``, shared across analyses of the same lines."""
-    return _memo(lines, ("supports", basket, item, name, tuple(keys)),
+    return memo(lines, ("supports", basket, item, name, tuple(keys)),
                  lambda: pinned(item_supports(lines, basket, item, name, keys)))
 
 
@@ -304,11 +318,6 @@ def item_supports(lines: DataFrame, basket: str = "order_id", item: str = "produ
             .agg(F.count_distinct(basket).alias(name)))
 
 
-def total_baskets(lines: DataFrame, basket: str = "order_id", name: str = "total_orders") -> DataFrame:
-    """One row: distinct baskets.  A one-row frame, safe to broadcast."""
-    return F.broadcast(lines.agg(F.count_distinct(basket).alias(name)))
-
-
 def with_members(df: DataFrame, n: int, table: DataFrame, key: str,
                  columns: dict, how: str = "inner", prefix: str = "item_") -> DataFrame:
     """Join a per-item table once per member.

@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (basket_profile, itemset_counts, member_names, pinned,
+from basketlens.operators.cooccur import (basket_profile, expanded_sets, itemset_counts, member_names, pinned,
                                           pinned_supports, top_rows, with_members)
+from basketlens.operators.levelwise import frequent_levels
 
 METRICS = ("lift", "support", "confidence", "co_occurrence")
+EXPANDED_PER_LINE = 32   # n-subsets a line of a basket stands for, above which sets are formed level by level
 DEFAULT_DIGITS = {"support": 6, "confidence": 4, "lift": 4}
 
 
@@ -43,6 +45,11 @@ def counted_sets(ds: Dataset, n: int, min_co: int, count_col: str = "co_occurren
     is what joining the names to the sets would do.  With ``pattern`` only sets
     with a member name ``LIKE '%pattern%'`` are made: names are matched on
     ``products``, and the match travels with the item.
+
+    Pairs, and larger sets of small baskets, are listed from the baskets.  Where
+    that would list more than ``EXPANDED_PER_LINE`` sets a line (baskets of 100
+    items hold 161,700 triplets each), sets of three and more are formed from
+    frequent smaller ones instead (``levelwise``); the rows are the same.
     """
     lines = ds.order_products_prior
     supports = pinned_supports(lines)
@@ -50,11 +57,37 @@ def counted_sets(ds: Dataset, n: int, min_co: int, count_col: str = "co_occurren
     hit = F.lit(True) if pattern is None else F.coalesce(F.col("product_name").like(f"%{pattern}%"), F.lit(False))
     tagged = pinned(supports.where(F.col("support_count") >= (min_co if prune else 1))
                     .join(known, "product_id").groupBy("product_id").agg(F.max(hit).alias("_hit")))
-    sets = itemset_counts(lines.join(tagged, "product_id"), n, min_count=min_co, prune=False, count_col=count_col,
-                          profile_lines=lines, tag="_hit", keep=lambda hits: reduce(or_, hits))
+    known_lines = lines.join(tagged, "product_id")
+    if n >= 3 and prune and min_co > 1 and _expands(lines, n):
+        sets = _by_levels(ds, known_lines, tagged, n, min_co, count_col, pattern is not None)
+    else:
+        sets = itemset_counts(known_lines, n, min_count=min_co, prune=False, count_col=count_col,
+                              profile_lines=lines, tag="_hit", keep=lambda hits: reduce(or_, hits))
     return with_members(sets, n, supports, "product_id", {"support_count": "_s{i}"})
 
 
+def _expands(lines: DataFrame, n: int) -> bool:
+    sets, count = expanded_sets(lines, n)
+    return sets > EXPANDED_PER_LINE * count
+
+
+def _by_levels(ds: Dataset, lines: DataFrame, tagged: DataFrame, n: int, min_co: int, count_col: str,
+               only_hits: bool) -> DataFrame:
+    def with_hit(found: DataFrame, members: List[str]) -> DataFrame:
+        columns = found.columns
+        flagged = with_members(found, n, tagged, "product_id", {"_hit": "_h{i}"})
+        return flagged.where(reduce(or_, [F.col(f"_h{i}") for i in range(1, n + 1)])).select(*columns)
+
+    supports = pinned_supports(ds.order_products_prior).join(tagged, "product_id", "left_semi")
+    levels = frequent_levels(lines, min_co, n, baskets=basket_profile(ds.order_products_prior).baskets,
+                             profile_lines=ds.order_products_prior, supports=supports, count_col=count_col,
+                             last=with_hit if only_hits else None)
+    if len(levels) < n:
+        schema = ", ".join(f"{m} long" for m in member_names(n)) + f", {count_col} long"
+        return lines.sparkSession.createDataFrame([], schema)
+    return levels[n - 1]
+
+
 def scored_itemsets(ds: Dataset, n: int, min_co: int, digits: Optional[dict] = DEFAULT_DIGITS,
                     prune: bool = True, pattern: Optional[str] = None) -> DataFrame:
     """Unordered, unlimited O15 rows by product id: item_i, co_occurrence and the metrics."""

@@ -211,7 +211,7 @@ FP = AnalysisConfig(min_support=0.001, min_confidence=0.05, min_lift=1.0, max_tr
 
 
 def _mined(ds):
-    return rules.mine(baskets.transactions(ds, FP.max_transactions), FP)
+    return rules.mine_dataset(ds, FP)
 
 
 @register("fpgrowth_itemsets", O.fpgrowth_itemsets(FP.min_support))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from typing import Dict, Optional
+from contextlib import contextmanager
+from typing import Dict, Iterator, Optional
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +76,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within the block, jobs hand their Python tasks this many rows at a time.
+
+    For tables whose rows are long (megabytes), of which the session's usual
+    number would not fit into a task.  Jobs must run inside the block.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables this application has written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(
