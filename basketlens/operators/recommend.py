@@ -11,14 +11,23 @@ counts once), so it is computed from orders, not from pair tables:
 
 from __future__ import annotations
 
+import math
+from typing import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
-from basketlens.operators.cooccur import basket_profile, join_baskets
-from basketlens.session import written
+from basketlens.operators.cooccur import basket_profile, join_baskets, pinned_supports
+from basketlens.operators.levelwise import CHUNK_ROWS, chunk_table
+from basketlens.session import arrow_rows, written
 
-SALTS = 32   # parts of one product's lines in the many-user join
+# Engineering limits of the many-user form.
+OWNED_ROWS = 1 << 21      # (user, owned item) rows that go to the tasks at a time (32 MB)
+HELD_BYTES = 128 << 20    # bitmaps a task works on together
+SUM_CELLS = 1 << 22       # sums (users x items) a task holds at a time (32 MB)
 
 
 def _orders_of(ds: Dataset, user_id: int) -> DataFrame:
@@ -67,31 +76,114 @@ def for_user(ds: Dataset, user_id: int, n: int = 10) -> DataFrame:
 
 
 def for_users(ds: Dataset, users: DataFrame, n: int = 10) -> DataFrame:
-    """Many-user form of O22: ``users`` holds a ``user_id`` column.
-
-    The distinct (order, product) lines are computed once.  In the join of
-    lines and owned items a product's lines are dealt over ``SALTS`` parts by
-    order, and owned items are copied to each part, so a very common item is
-    shared by many tasks; an order's lines stay in one part, where (user,
-    order) repeats are dropped before the next shuffle.  Candidates are ranked
-    per user, over at most one row per (user, catalog item).
+    """Many-user form of O22: ``users`` holds a ``user_id`` column (all users will do).
+
+    The orders are dealt into chunks, one row each, with a bitmap of orders for
+    every item (``levelwise.chunk_table``).  The owned items of the users go to
+    the tasks, in parts of ``OWNED_ROWS`` rows.  In a chunk the orders that
+    touch a user are the OR of the bitmaps of the owned items, and the strength
+    of a candidate is the number of those orders in its own bitmap; strengths
+    add up over chunks.  So no (user, order) row exists, and an order that
+    touches every user, or an item in a third of all orders, is one bit or one
+    bitmap as any other.  What is shuffled are sums per (user, candidate) and
+    task; of those a task keeps the ``n`` best of a user before ranking.
     """
-    lines = written(ds.order_products_prior.select("order_id", "product_id")
-                    .where(F.col("product_id").isNotNull()).distinct(), "lines")
-    user_orders = ds.orders.join(users.select("user_id").distinct(), "user_id", "left_semi") \
-        .select("user_id", "order_id")
-    owned = written(user_orders.join(lines, "order_id").select("user_id", "product_id").distinct(), "owned")
-    part = F.pmod(F.xxhash64("order_id"), F.lit(SALTS)).cast("int").alias("part")
-    copies = owned.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    touching = (lines.select("order_id", "product_id", part).join(copies, ["product_id", "part"])
-                .select("user_id", "order_id").distinct())
-    strength = (touching.join(lines, "order_id").join(owned, ["user_id", "product_id"], "left_anti")
-                .groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("association_strength")))
-    cands = strength.join(_dims(ds), "product_id")
+    lines = ds.order_products_prior.select("order_id", "product_id").where(
+        F.col("product_id").isNotNull() & F.col("order_id").isNotNull())
+    profile = basket_profile(ds.order_products_prior)
+    user_orders = (ds.orders.join(users.select("user_id").distinct(), "user_id", "left_semi")
+                   .select("order_id", "user_id").distinct())
+    owned = written(join_baskets(lines, user_orders, profile=profile)
+                    .select("user_id", "product_id").distinct(), "owned")
+    items = pinned_supports(ds.order_products_prior).count()
+    chunks = chunk_table(lines, "order_id", "product_id", profile.baskets, items)
+    cands = _strengths(chunks, owned).join(_dims(ds), "product_id")
+    best = Window.partitionBy("user_id").orderBy(F.col("association_strength").desc(), "product_id")
+    kept = cands.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= n)
+    # the rank of a kept row depends on rows of higher strength only, which are kept too
     w = Window.partitionBy("user_id").orderBy(F.col("association_strength").desc())
-    w_total = Window.partitionBy("user_id").orderBy(F.col("association_strength").desc(), "product_id")
-    return (cands.select("user_id", "product_name", "product_id", "aisle", "department",
-                         "association_strength",
-                         F.rank().over(w).alias("rank"),
-                         F.row_number().over(w_total).alias("_rn"))
-            .where(F.col("_rn") <= n).drop("_rn"))
+    return kept.select("user_id", "product_name", "product_id", "aisle", "department",
+                       "association_strength", F.rank().over(w).alias("rank"))
+
+
+def _strengths(chunks: DataFrame, owned: DataFrame) -> DataFrame:
+    """(user_id, product_id, association_strength) of all items that a user doesn't own."""
+    total = owned.count()
+    parts = max(1, math.ceil(2 * total / OWNED_ROWS)) if total > OWNED_ROWS else 1
+    context, sums = owned.sparkSession.sparkContext, None
+    schema = "user_id long, product_id long, c long"
+    with arrow_rows(owned.sparkSession, CHUNK_ROWS):
+        for part in range(parts):
+            some = owned.where(F.pmod(F.xxhash64("user_id"), F.lit(parts)) == part)
+            table = some.toArrow()                                   # half of OWNED_ROWS on average
+            pairs = np.stack([table.column(c).to_numpy() for c in ("user_id", "product_id")])
+            pairs = pairs[:, np.lexsort(pairs[::-1])]
+            found = chunks.mapInArrow(_touching(context.broadcast(pairs)), schema)
+            sums = found if sums is None else sums.unionByName(found)
+        return written(sums.groupBy("user_id", "product_id").agg(F.sum("c").alias("association_strength")), "sums")
+
+
+def _touching(shipped):
+    """Per task the strengths of all candidates of all users over the chunks it holds."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        users, products = shipped.value
+        bounds = np.flatnonzero(np.append(True, users[1:] != users[:-1])) if len(users) else np.empty(0, np.int64)
+        ends = np.append(bounds[1:], len(users))
+        held, size = [], 0
+        for batch in batches:
+            for items, words, bitmaps in zip(*(batch.column(c) for c in ("items", "words", "bitmaps"))):
+                held.append(_Orders(items.as_py(), words.as_py(), bitmaps.as_py()))
+                size += len(held[-1].bitmaps) * words.as_py() * 8
+                if size >= HELD_BYTES:
+                    yield from _sums(held, users, products, bounds, ends)
+                    held, size = [], 0
+        if held:
+            yield from _sums(held, users, products, bounds, ends)
+    return run
+
+
+class _Orders:
+    """A chunk of orders: bitmaps per item, and the lines by item for items that are in few of them."""
+
+    def __init__(self, items: bytes, words: int, bitmaps: bytes):
+        self.items = np.frombuffer(items, np.int64)
+        self.bitmaps = np.frombuffer(bitmaps, np.uint64).reshape(len(self.items), words)
+        counts = np.bitwise_count(self.bitmaps).sum(axis=1, dtype=np.int64)
+        self.by_line = counts.sum() < self.bitmaps.size          # fewer lines than words: look at the lines
+        if self.by_line:
+            self.order = np.concatenate([np.flatnonzero(np.unpackbits(row.view(np.uint8), bitorder="little"))
+                                         for row in self.bitmaps])
+            self.starts = np.cumsum(counts) - counts
+
+    def strengths(self, owned: np.ndarray) -> np.ndarray | None:
+        """For every item the orders that hold it and an owned item; None if no order is touched."""
+        place = np.searchsorted(self.items, owned)
+        place = place[(place < len(self.items)) & (self.items[np.minimum(place, len(self.items) - 1)] == owned)]
+        if not len(place):
+            return None
+        touched = np.bitwise_or.reduce(self.bitmaps[place], axis=0)
+        if self.by_line:
+            bits = np.unpackbits(touched.view(np.uint8), bitorder="little")
+            return np.add.reduceat(bits[self.order], self.starts, dtype=np.int64)
+        return np.bitwise_count(self.bitmaps & touched).sum(axis=1, dtype=np.int64)
+
+
+def _sums(held: list, users: np.ndarray, products: np.ndarray, bounds: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    every = np.unique(np.concatenate([h.items for h in held]))
+    places = [np.searchsorted(every, h.items) for h in held]
+    block = max(1, SUM_CELLS // len(every))
+    for first in range(0, len(bounds), block):
+        sums = np.zeros((min(block, len(bounds) - first), len(every)), np.int64)
+        for k in range(len(sums)):
+            owned = products[bounds[first + k]:ends[first + k]]
+            for orders, place in zip(held, places):
+                found = orders.strengths(owned)
+                if found is not None:
+                    sums[k, place] += found
+            mine = np.searchsorted(every, owned)
+            mine = mine[(mine < len(every)) & (every[np.minimum(mine, len(every) - 1)] == owned)]
+            sums[k, mine] = 0
+        row, item = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(users[bounds[first + row]]), pa.array(every[item]), pa.array(sums[row, item])],
+            ["user_id", "product_id", "c"])

@@ -558,10 +558,9 @@ def temporal_slice(n: int, min_count: int, day_type: str, period: str, limit: in
     return temporal(n, min_count, limit, f"WHERE sets.day_type = '{day_type}' AND sets.time_period = '{period}'")
 
 
-def recommend_many(users: int, n: int = 10) -> str:
+def recommend_many(n: int = 10) -> str:
     body = (
-        "up AS (SELECT DISTINCT o.user_id, x.product_id FROM f_orders o JOIN f_prior x ON o.order_id = x.order_id\n"
-        f"       WHERE o.user_id < {users}),\n"
+        "up AS (SELECT DISTINCT o.user_id, x.product_id FROM f_orders o JOIN f_prior x ON o.order_id = x.order_id),\n"
         "touch AS (SELECT DISTINCT up.user_id, l.order_id FROM up JOIN f_prior l ON up.product_id = l.product_id),\n"
         "ap AS (SELECT t.user_id, l.product_id, COUNT(DISTINCT l.order_id) AS s\n"
         "       FROM touch t JOIN f_prior l ON t.order_id = l.order_id\n"

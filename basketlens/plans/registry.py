@@ -261,10 +261,9 @@ def _recommendations(ds):
     return recommend.for_user(ds, USER, 10)
 
 
-@register("recommend_many", O.recommend_many(100, 10))
+@register("recommend_many", O.recommend_many(10))
 def _recommend_many(ds):
-    users = ds.orders.where(F.col("user_id") < 100).select("user_id").distinct()
-    return recommend.for_users(ds, users, 10)
+    return recommend.for_users(ds, ds.orders.select("user_id").distinct(), 10)
 
 
 @register("rec_quality", O.rec_quality(10))

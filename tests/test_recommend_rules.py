@@ -1,12 +1,16 @@
 """Recommendations (single vs many users), FP-Growth vs direct counts."""
 
 import math
+import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from basketlens.config import AnalysisConfig
-from basketlens.operators import baskets, recommend, rules
+from basketlens.operators import baskets, levelwise, recommend, rules
 from basketlens.operators.cooccur import itemset_counts
+from tests.conftest import make_ds
 
 
 def test_many_users_match_single(small):
@@ -21,8 +25,52 @@ def test_many_users_match_single(small):
         assert single == multi
 
 
+def plain_strengths(user_orders, lines):
+    """{user: {candidate: orders that hold it and an item of the user's}}"""
+    out, of_order = {}, {}
+    for o, p in lines:
+        of_order.setdefault(o, set()).add(p)
+    for user in {u for u, _ in user_orders}:
+        owned = {p for u, o in user_orders if u == user for p in of_order.get(o, ())}
+        found = Counter(p for items in of_order.values() if items & owned for p in items - owned)
+        if found:
+            out[user] = dict(found)
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"OWNED_ROWS": 60, "HELD_BYTES": 1, "SUM_CELLS": 40, "CHUNK_BASKETS": 64}])
+def test_all_users_with_a_hot_order_and_a_hot_item(spark, monkeypatch, limits):
+    """One order of 900 items, one item in every second order: all strengths equal brute force, in parts or at once."""
+    for name, value in limits.items():
+        monkeypatch.setattr(levelwise if name == "CHUNK_BASKETS" else recommend, name, value)
+    rng = random.Random(3)
+    orders = [(o, rng.randrange(1, 60)) for o in range(1, 400)] + [(900, 70), (901, None)]
+    lines = {(o, rng.randrange(2, 300)) for o, _ in orders for _ in range(rng.randrange(5))}
+    lines |= {(o, 1) for o, _ in orders if o % 2} | {(900, p) for p in range(1, 901)} | {(5000, 7), (5000, 8)}
+    ds = make_ds(spark, orders=[(o, u, "prior", 0, 0) for o, u in orders] + [(3, orders[2][1], "prior", 0, 0)],
+                 lines=[(o, p, 1, 0) for o, p in lines] + [(o, p, 2, 0) for o, p in sorted(lines)[:50]] + [(1, None, 1, 0)],
+                 products=[(p, f"p{p}", "1", "1") for p in range(1, 901)])
+    got = {}
+    for r in recommend.for_users(ds, ds.orders.select("user_id"), 1000).collect():
+        got.setdefault(r.user_id, {})[r.product_id] = (r.association_strength, r["rank"])
+    expected = plain_strengths([(u, o) for o, u in orders if u is not None], lines)
+    assert {u: {p: s for p, (s, _) in rows.items()} for u, rows in got.items()} == expected
+    for rows in got.values():
+        assert all(rank == 1 + sum(s > strength for s, _ in rows.values()) for strength, rank in rows.values())
+    best = recommend.for_users(ds, ds.orders.select("user_id"), 3).where("user_id = 5").orderBy("rank", "product_id").collect()
+    ordered = sorted(expected[5].items(), key=lambda x: (-x[1], x[0]))[:3]
+    assert [(r.product_id, r.association_strength) for r in best] == ordered
+
+
+def test_no_user_order_rows_are_shuffled(spark):
+    """What the many-user plan shuffles are sums per (user, candidate): neither orders nor lines meet the users."""
+    baskets_ = {o: {o % 13 + 1, o % 7 + 20, 1} for o in range(1, 200)}
+    ds = make_ds(spark, baskets_, orders=[(o, o % 20, "prior", 0, 0) for o in baskets_])
+    plan = recommend.for_users(ds, ds.orders.select("user_id"), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "order_id" not in plan and "MapInArrow" not in plan
+
+
 def test_strength_is_distinct_orders(spark):
-    from tests.conftest import make_ds
     # user 1 owns items 1 and 2; order 10 holds 1, 2 and 3 -> counts once for item 3
     ds = make_ds(spark, orders=[(1, 1, "prior", 0, 0), (10, 2, "prior", 0, 0), (11, 3, "prior", 0, 0)],
                  lines=[(1, 1, 1, 0), (1, 2, 2, 0), (10, 1, 1, 0), (10, 2, 2, 0), (10, 3, 3, 0),
