@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from typing import Optional, Sequence
+from typing import Callable, Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from basketlens.session import written
 # Engineering limits of the derivation: character classes and string sets wider
 # than this count as "anything".
 MAX_CLASS, MAX_STRINGS = 8, 32
+BLOCK = 512   # matches of a text that are folded one by one; a text's work grows with its matches, not their square
 
 
 @dataclass(frozen=True)
@@ -156,37 +157,56 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], id_col: str, text_col: st
             .groupBy("doc_id").agg(F.collect_set("kind").alias("kinds")))
 
 
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """``[add(0, v1), add(add(0, v1), v2), ...]`` of an array of ints, which appends to the array so far."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+    return F.aggregate(values, start, lambda acc, v: F.struct(
+        add(acc["at"], v).alias("at"), F.concat(acc["sums"], F.array(add(acc["at"], v))).alias("sums")),
+        lambda acc: acc["sums"])
+
+
+def prefix_sums(values: Column) -> Column:
+    """Running sums of an array of ints: within blocks, then over the blocks' sums."""
+    plus = lambda a, b: a + b
+
+    def joined(inner: Column) -> Column:
+        before = running(F.transform(inner, lambda sums: F.element_at(sums, -1)), plus)
+        return named(before, lambda total: F.flatten(F.transform(inner, lambda sums, k: F.transform(
+            sums, lambda x: x + F.when(k > 0, F.get(total, k - 1)).otherwise(F.lit(0))))))
+
+    return F.when(F.size(values) > 0, named(
+        F.transform(F.sequence(F.lit(1), F.size(values), F.lit(BLOCK)),
+                    lambda first: running(F.slice(values, first, F.lit(BLOCK)), plus)), joined)).otherwise(
+        F.array().cast("array<int>"))
+
+
 def matches(text: Column, rule: Rule, order: int) -> Column:
     """The spans of one rule as (start, order, kind, end) in code points, leftmost first.
 
     ``split`` gives what stands between the matches and ``regexp_extract_all``
-    the matches; adding up both lengths gives the places.
+    the matches; running sums of both lengths give the places.
     """
     pattern = F.lit(rule.pattern)
 
     def placed(found: Column) -> Column:
-        between = F.split(text, rule.pattern, -1)
-        return F.get(F.transform(F.array(between), lambda gaps: located(found, gaps)), F.lit(0))
-
-    def located(found: Column, gaps: Column) -> Column:
         values = found if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-        both = F.arrays_zip(found.alias("m"), gaps.alias("g"), values.alias("v"))
-        walked = F.aggregate(
-            F.slice(both, 1, F.size(found)),
-            F.struct(F.lit(0).alias("at"), F.array().cast(
-                "array<struct<start:int,order:int,kind:string,end:int,long:boolean>>").alias("spans")),
-            lambda acc, x: step(acc, acc["at"] + F.length(x["g"]), x))
-        return F.transform(F.filter(walked["spans"], lambda s: s["long"]), lambda s: F.struct(
-            s["start"].alias("start"), s["order"].alias("order"), s["kind"].alias("kind"), s["end"].alias("end")))
-
-    def step(acc: Column, start: Column, x: Column) -> Column:
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"),
-                        end.alias("end"), (F.length(x["v"]) >= rule.least).alias("long"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        both = F.arrays_zip(found.alias("m"), F.split(text, rule.pattern, -1).alias("g"), values.alias("v"))
+        return named(F.slice(both, 1, F.size(found)), located)
+
+    def located(parts: Column) -> Column:
+        ends = prefix_sums(F.transform(parts, lambda x: F.length(x["g"]) + F.length(x["m"])))
+        spans = F.zip_with(parts, ends, lambda x, end: F.when(F.length(x["v"]) >= rule.least, F.struct(
+            (end - F.length(x["m"])).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"),
+            end.alias("end"))))
+        return F.filter(spans, lambda span: span.isNotNull())
 
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    return F.get(F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, placed(m))), F.lit(0))
+    return named(found, lambda m: F.when(F.size(m) > 0, placed(m)))
 
 
 def _scanned(docs: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule]) -> DataFrame:
@@ -224,17 +244,32 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Spans that overlap become one mark; a null text stays null.
     """
     found = _scanned(docs, id_col, text_col, rules)
-    spans = F.sort_array(F.concat(*[F.col(f"spans.{r.kind}") for r in rules]))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
+    text = F.col("text")
+
+    def cleaned(spans: Column) -> Column:
+        """Spans by start, in blocks; a block looks only at its own part of the text."""
+        blocks = F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(BLOCK)),
+                             lambda first: F.slice(spans, first, F.lit(BLOCK)))
+        return named(blocks, lambda some: named(
+            running(F.transform(some, lambda block: F.array_max(F.transform(block, lambda s: s["end"]))), F.greatest),
+            lambda ends: F.concat(
+                F.array_join(F.transform(some, lambda block, k: replaced(
+                    block, F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(0)), F.get(ends, k))), ""),
+                text.substr(F.element_at(ends, -1) + 1, F.length(text)))))
+
+    def replaced(block: Column, begin: Column, end: Column) -> Column:
+        def step(part: Column, acc: Column, s: Column) -> Column:
+            before = F.concat(acc["out"], part.substr(acc["at"] - begin + 1, s["start"] - acc["at"]), F.lit(mark))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
+                            F.when(s["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
+
+        return named(text.substr(begin + 1, end - begin), lambda part: F.aggregate(
+            block, F.struct(begin.alias("at"), F.lit("").alias("out")), lambda acc, s: step(part, acc, s),
+            lambda acc: acc["out"]))
 
-    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                        lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size(spans) > 0, clean).otherwise(F.col(f"row.{text_col}"))
-    return found.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    spans = F.sort_array(F.concat(*[F.col(f"spans.{r.kind}") for r in rules]))
+    clean = F.when(F.size(spans) > 0, named(spans, cleaned)).otherwise(F.col(f"row.{text_col}"))
+    return found.select(*[(clean if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def listed(*spans: Column) -> Column:

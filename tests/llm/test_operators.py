@@ -225,6 +225,48 @@ def test_license_gate_holds_for_generated_samples_of_all_rules(spark):
     assert [got[i].labels for i in range(3)] == ["cc0-1.0", "mulanpsl-2.0", "mit-0"] and all(got[i].score > 0 for i in range(3))
 
 
+def test_secrets_of_a_text_full_of_matches(spark):
+    """200,000 matches in one text: their places and the redaction, in seconds."""
+    import time
+    lines = [f"é token={'k' * (5 + i % 3)}{i % 10} AKIA{'Z' * (15 + i % 3)} \n" for i in range(100_000)]
+    text = "".join(lines)
+    frame = docs(spark, [text, "no secret", None]).cache()
+    frame.count()
+    start = time.time()
+    row = secrets.scan(frame).where("doc_id = 0").first()
+    expected = {"assign": [], "access": []}
+    for kind, pattern, group, least in (("assign", secrets.BASE_RULES[0].pattern, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20)):
+        for m in re.finditer(pattern.replace("(?i:", "(?:"), text):
+            if len(m.group(group)) >= least:
+                expected[kind].append((m.start(), m.end()))
+    assert {k: [(s.start, s.end) for s in row[k]] for k in expected} == expected
+    assert len(expected["assign"]) == 100_000 and len(expected["access"]) > 60_000
+    clean = {r.doc_id: r.text for r in secrets.redacted(frame).collect()}
+    plain, at = [], 0
+    for start_, end in sorted(expected["assign"] + expected["access"]):
+        plain += [text[at:start_], "[SECRET]"]
+        at = end
+    assert clean == {0: "".join(plain) + text[at:], 1: "no secret", 2: None}
+    assert time.time() - start < 120
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 512])
+def test_running_sums_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    frame = spark.createDataFrame([([],), ([5],), (list(range(1, 12)),)], "v array<int>")
+    found = [r[0] for r in frame.select(secrets.prefix_sums(F.col("v"))).collect()]
+    assert found == [[], [5], [sum(range(1, k + 1)) for k in range(1, 12)]]
+    texts = ["token=abcdef AKIA" + "A" * 20 + " token=" + "0" * 30 + " x" * 3 + " secret: AKIA" + "B" * 18 + "f" * 24]
+    spans = sorted((m, e) for row in secrets.scan(docs(spark, texts)).collect() for kind in
+                   [r.kind for r in secrets.BASE_RULES + secrets.OWN_RULES] for m, e in [(s.start, s.end) for s in row[kind]])
+    out, at = "", 0
+    for a, e in spans:
+        if a >= at:
+            out += texts[0][at:a] + "[SECRET]"
+        at = max(at, e)
+    assert secrets.redacted(docs(spark, texts)).first().text == out + texts[0][at:]
+
+
 # -- 4 toxicity, 6 quality: held-out accuracy -----------------------------------------
 
 def test_toxicity_held_out(spark):
