@@ -190,9 +190,10 @@ def _plan(rows: DataFrame, weights: Sequence[float], share: float, cap: float) -
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17,
-        whole_rows: bool = False) -> DataFrame:
+        whole_rows: bool = False, copies_col: str = "copies") -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies)``, one row per document;
-    with ``whole_rows`` the rows of ``docs`` that the mix takes, and their ``copies``.
+    with ``whole_rows`` the rows of ``docs`` that the mix takes, and their copies
+    in ``copies_col``, which must be no column of ``docs``.
 
     ``weights`` repeat over the sources in code point order (null last);
     ``share`` of all words is given out; no source gets more than ``cap``
@@ -204,6 +205,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     fit sees one row per distinct length of a source -- at most
     sqrt(2 * words of the source) rows, since distinct lengths add up.
     """
+    if whole_rows and copies_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"{copies_col!r} is a column already")
     seeded = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     payload = F.struct("*") if whole_rows else F.col(id_col)
     rows = docs.select(payload.alias("row"), source_key(F.col(source_col)).alias("source"),
@@ -216,7 +219,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = F.col("passes") + (F.col("rank") <= F.col("open")).cast("long")
     taken = rows.withColumn("rank", rank).join(cuts, GROUP).withColumn("copies", copies)   # dealt once for both
     if whole_rows:
-        return taken.where("copies > 0").select("row.*", "copies")
+        return taken.where("copies > 0").select("row.*", F.col("copies").alias(copies_col))
     return taken.join(targets, "source").select(
         F.col("row").alias("doc_id"), "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"), "copies")

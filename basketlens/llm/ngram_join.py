@@ -37,11 +37,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketlens.llm.graph import components, smallest_ids
 from basketlens.llm.text import CACHED_WORDS, WordHashes, distinct, lower_ascii, shingle_hashes, slices, spaced_words, texts
 from basketlens.session import written
 
 # Engineering limits.
-MIN_CELL_BITS, MAX_CELL_BITS = 20, 25   # size of the count sketch (4 bytes a cell)
+MIN_CELL_BITS, MAX_CELL_BITS = 20, 25   # size of the count sketch (4 bytes a cell in a task, one in the merged ranks)
+PAGE_CELLS = 1 << 16                    # cells of a page of the sketch
 RUN_ROWS = 50_000                       # classes of one n-gram that one task sees in the star step
 STAR_SHARE = 0.3                        # of the shorter prefix that a class shares with its star's centre
 BLOCK_ROWS = 2_000                      # classes of one side of a trie
@@ -72,8 +74,9 @@ def class_id(grams: np.ndarray) -> int:
 # -- passes over the texts -----------------------------------------------------
 
 def _census(docs: DataFrame, n: int, cells: int) -> DataFrame:
-    """(doc_id, n_shingles, fp) of every row, and one row of sketch counts per task (``cells``)."""
+    """(doc_id, n_shingles, fp) of every row, and per task the pages (``page``, ``counts``) of its sketch."""
     id_type = docs.schema["doc_id"].dataType
+    pages = cells // PAGE_CELLS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, ids = WordHashes(), np.zeros(cells, np.uint32), None
@@ -87,29 +90,58 @@ def _census(docs: DataFrame, n: int, cells: int) -> DataFrame:
             if seen:
                 np.add.at(counts, np.concatenate(seen) & np.uint64(cells - 1), 1)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(len(sizes), pa.binary())],
-                ["doc_id", "n_shingles", "fp", "cells"])
+                [ids, pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(len(sizes), pa.int32()),
+                 pa.nulls(len(sizes), pa.binary())], ["doc_id", "n_shingles", "fp", "page", "counts"])
         if ids is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                 pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())],
-                ["doc_id", "n_shingles", "fp", "cells"])
+            for page in np.flatnonzero(counts.reshape(pages, -1).any(axis=1)).tolist():
+                blob = zlib.compress(counts[page * PAGE_CELLS:(page + 1) * PAGE_CELLS].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                     pa.array([page], pa.int32()), pa.array([blob], pa.binary())],
+                    ["doc_id", "n_shingles", "fp", "page", "counts"])
+
+    return docs.mapInArrow(run, f"doc_id {id_type.simpleString()}, n_shingles long, fp long, page int, counts binary")
+
+
+def _added_pages(rows: DataFrame, *keys: str, ranked: bool = False) -> DataFrame:
+    """(page, counts): the pages of each key added up, one at a time; at last as ranks (uint8, logarithmic)."""
+    rows = rows.select(*keys, "counts").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, total = None, None
 
-    return docs.mapInArrow(run, f"doc_id {id_type.simpleString()}, n_shingles long, fp long, cells binary")
+        def answer():
+            blob = np.minimum(np.log2(total + 1.0) * 4, 126).astype(np.uint8).tobytes() if ranked else total.tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([name[0]], pa.int32()), pa.array([zlib.compress(blob, 1)], pa.binary())],
+                                              ["page", "counts"])
 
+        for batch in batches:
+            for *key, blob in zip(*(batch.column(c) for c in (*keys, "counts"))):
+                key = [k.as_py() for k in key]
+                if key != name:
+                    if name is not None:
+                        yield answer()
+                    name, total = key, np.zeros(PAGE_CELLS, np.uint32)
+                total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
+        if name is not None:
+            yield answer()
 
-def _add(a: bytes, b: bytes) -> bytes:
-    total = np.frombuffer(zlib.decompress(a), np.uint32) + np.frombuffer(zlib.decompress(b), np.uint32)
-    return zlib.compress(total.tobytes(), 1)
+    return rows.mapInArrow(run, "page int, counts binary")
 
 
 def _ranks(census: DataFrame, cells: int) -> np.ndarray:
-    """The merged sketch as ranks (uint8, logarithmic): ``cells`` bytes, whatever the input."""
-    parts = census.where(F.col("cells").isNotNull()).select("cells").rdd.map(lambda row: bytes(row[0]))
-    if parts.isEmpty():
-        return np.zeros(cells, np.uint8)
-    counts = np.frombuffer(zlib.decompress(parts.treeReduce(_add)), np.uint32)
-    return np.minimum(np.log2(counts + 1.0) * 4, 126).astype(np.uint8)
+    """The merged sketch as ranks: ``cells`` bytes, whatever the input.
+
+    The tasks' pages are added in Spark, in two steps, so that no task adds
+    more than the root of the number of pages; only the ranks come to the driver.
+    """
+    pages = census.where(F.col("counts").isNotNull()).select("page", "counts")
+    deal = max(1, math.isqrt(census.rdd.getNumPartitions()))
+    dealt = pages.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(deal)).cast("int"))
+    out = np.zeros(cells, np.uint8)
+    for row in _added_pages(_added_pages(dealt, "page", "part"), "page", ranked=True).toLocalIterator():
+        out[row["page"] * PAGE_CELLS:(row["page"] + 1) * PAGE_CELLS] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+    return out
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, ranks) -> DataFrame:
@@ -225,29 +257,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percen
     return written(rows.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(fp, component) for the ends of ``links`` (a, b): the smallest reachable fp.
-
-    Each round takes the least label among the neighbours and then the label of
-    that label, so long chains shorten by half; every round is a written table.
-    """
-    edges = written(links.select("a", "b").unionByName(
-        links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
-                     .withColumnRenamed("a", "fp"), "labels")
-    while True:
-        near = (edges.join(labels.withColumnsRenamed({"fp": "b"}), "b")
-                .groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("near")))
-        lower = labels.join(near, "fp").select("fp", "label", F.least("label", "near").alias("least"))
-        jump = labels.select(F.col("fp").alias("least"), F.col("label").alias("beyond"))
-        fresh = written(lower.join(jump, "least").select(
-            "fp", F.least("least", "beyond").alias("label"),
-            (F.least("least", "beyond") != F.col("label")).alias("moved")), "labels")
-        labels = fresh.select("fp", "label")
-        if fresh.where("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-
-
 def _size(info: str) -> Column:
     return F.pmod(F.col(info), F.lit(1 << SIZE_BITS))
 
@@ -435,8 +444,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     cells = 1 << min(MAX_CELL_BITS, max(MIN_CELL_BITS, bits))
     census = written(_census(docs, n, cells), "census")
     ranks = spark.sparkContext.broadcast(_ranks(census, cells))      # `cells` bytes
-    rows = census.where(F.col("cells").isNull()).select("doc_id", "n_shingles", "fp")
-    reps = rows.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    rows = census.where(F.col("counts").isNull()).select("doc_id", "n_shingles", "fp")
+    firsts = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")), "firsts")
+    reps = firsts.where("n_shingles > 0").select("fp", "doc_id")
 
     classes = (_prefixes(docs, n, percent, ranks).groupBy("fp")
                .agg(F.first("info").alias("info"), F.first("prefix").alias("prefix")))
@@ -457,9 +467,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     rest = _verified(tries.distinct().join(known, ["a", "b"], "left_anti"), docs, reps, n, percent, cells)
     if not rest.isEmpty():
         labels = components(stars.unionByName(rest))
-    placed = (rows.join(labels, "fp", "left")
-              .withColumn("component", F.coalesce("component", "fp")))
-    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return (placed.join(smallest, "component")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    found = smallest_ids(rows, firsts.select("fp", "doc_id"), labels)
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id"))
+                        .otherwise(F.col("doc_id")).alias("component_id"))

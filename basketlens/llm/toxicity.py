@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.text import CACHED_WORDS, WORDS, texts
+from basketlens.llm.text import CACHED_WORDS, WORDS, slices, texts
 from basketlens.session import written
 
 TRAIN_ROWS = 20_000          # labelled rows the fit reads, by hash of the id
@@ -186,14 +186,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the model does not reject; no shuffle."""
+    """The rows of ``docs``, all columns (of any name), that the model does not reject; no shuffle."""
+    place = [c.lower() for c in docs.columns].index(text_col.lower())
+    rows = docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(model.features)
-        for batch, values in texts(batches, text_col):
+        for batch in slices(batches):
+            values = [t or "" for t in batch.column("row").field(place).to_pylist()]
             p = model.severity(_values(values, known, len(model.features)))
             yield batch.filter(pa.array(p[:, 0] < CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def grades(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

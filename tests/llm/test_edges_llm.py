@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; pipeline stages."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +173,42 @@ def test_stage_mixing(spark, tables):
     assert abs(words - 1.5 * sum(total(s) for s in ("s0", "s1", "s2", "s3", None))) <= 3 * 60
 
 
+PIPELINE_CLASH = [c for c in CLASH if c not in ("text", "id")] + [
+    "_row_key", "_row_key_2", "_page", "_byte", "_bits", "_bit", "_listed", "COPIES", "row", "page", "bit", "bits", "listed",
+    "doc", "words.and.dots", "rows", "equal", "gone", "shingles", "seeded", "rank", "open", "cells", "spot", "grams"]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in P.STAGES])
+def test_stages_keep_columns_of_any_name(spark, tables, name):
+    """Extra columns named like a stage's own come back with their values, and no other row is kept for them."""
+    sf, _ = tables
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = list(dict.fromkeys(PIPELINE_CLASH))
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+                             for c in extra})
+    out = dict(P.STAGES)[name](spark, wide, sf)
+    added = ["copies_2"] if name == "mix_sources" else []
+    assert out.columns == wide.columns + added
+    rows = [r.asDict() for r in out.collect()]
+    for r in rows:
+        assert all(r[c] == f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for c in extra)
+    plain = dict(P.STAGES)[name](spark, docs, sf).collect()
+    key = lambda i: (i is None, i or 0)
+    if name != "mix_sources":      # which of equal documents the mixture takes is seeded by id and text alone
+        assert sorted((r["doc_id"] for r in rows), key=key) == sorted((r.doc_id for r in plain), key=key)
+    else:
+        assert sorted((key(r["doc_id"]), r["copies_2"]) for r in rows) == sorted((key(r.doc_id), r.copies) for r in plain)
+
+
+def test_run_leaves_one_table_of_texts(spark, tables):
+    from basketlens import session
+    sf, _ = tables
+    before = set(os.listdir(session.scratch_path(spark, "x").rsplit("/", 1)[0]))
+    P.run(spark, sf).count()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(session.scratch_path(spark, "x").rsplit("/", 1)[0])) - before}
+    assert left & {name for name, _ in P.STAGES} == {"secret_scan"} and not left & {"groups", "gone", "edges", "leaks", "grams"}
+
+
 def test_pipeline_runs_through(spark, tables):
     sf, case = tables
     rows = P.run(spark, sf).collect()
