@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from contextlib import contextmanager
-from typing import Dict, Iterator, Optional
+from typing import Dict, Iterator, List, Optional
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,9 +59,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_SCOPES: List[List[str]] = []   # paths handed out since each open ``scratch_scope`` began
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one written intermediate table."""
-    return f"{shared_dir(spark)}/basketlens-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/basketlens-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[List[str]]:
+    """Deletes, at the end of the block, the intermediate tables that were written in it.
+
+    The block gets the list of their paths; what it takes out of the list stays.
+    """
+    paths: List[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES[:] = [scope for scope in _SCOPES if scope is not paths]
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -97,6 +124,4 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables this application has written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/basketlens-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/basketlens-{spark.sparkContext.applicationId}")

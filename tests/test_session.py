@@ -1,5 +1,6 @@
 """Shared folder of intermediate tables."""
 
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -42,3 +43,22 @@ def test_clear_scratch(spark):
     spark.range(1).write.parquet(mine)
     clear_scratch(other)
     assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(mine))
+
+
+def test_scope_deletes_what_was_written_in_it(spark):
+    from basketlens.session import scratch_scope, written
+    outside = written(spark.range(3).toDF("x"), "outside")
+    with scratch_scope(spark) as paths:
+        inner = written(spark.range(4).toDF("x"), "inner")
+        kept = written(spark.range(5).toDF("x"), "kept")
+        assert inner.count() == 4 and len(paths) == 2
+        paths.pop()
+    assert outside.count() == 3 and kept.count() == 5
+    assert not os.path.exists(paths[0].removeprefix("file:"))
+    try:
+        with scratch_scope(spark) as paths:
+            written(spark.range(1).toDF("x"), "failed")
+            raise KeyError
+    except KeyError:
+        pass
+    assert not os.path.exists(paths[0].removeprefix("file:"))
