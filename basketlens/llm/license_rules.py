@@ -6,8 +6,9 @@ Rules are regexes over the words of a text: lower case, joined by one space
     label | keyword | name patterns, separated by ;
 
 From every name pattern come a mention rule and a notice rule; ``TEXTS`` holds
-sentences of license texts, ``TAGS`` the identifiers that tags name.  A rule is
-tried only where its keyword stands in the text.
+sentences of license texts, ``TAGS`` the identifiers that tags name, also in
+short notices (``Licensed under Apache-2.0``).  A rule is tried only where its
+keyword stands in the text; every match of the rule holds it.
 """
 
 from __future__ import annotations
@@ -157,8 +158,34 @@ cc-by | licensed | this work is licensed under a creative commons attribution
 ofl-1.1 | font | this font software is licensed under the sil open font license
 proprietary | confidential | (?:proprietary and confidential|confidential and proprietary)
 proprietary | unauthorized | unauthorized (?:copying|reproduction|distribution|use)(?: \w+){0,6} (?:is )?(?:strictly )?prohibited
-proprietary | permission | no part of this (?:publication|work|document|book)(?: \w+){0,8} (?:reproduced|copied)
+proprietary | part | no part of this (?:publication|work|document|book)(?: \w+){0,8} (?:reproduced|copied)
+proprietary | without | may not be (?:reproduced|copied|distributed|disclosed)(?: \w+){0,8} without(?: \w+){0,4} (?:permission|consent)
+proprietary | without | (?:copied|distributed|disclosed) without(?: the)?(?: \w+){0,3} written (?:permission|consent)
+proprietary | internal | (?:is )?for internal use only
+proprietary | secrets | (?:contains|constitutes)(?: \w+){0,4} trade secrets
 proprietary | permission | reproduced (?:only )?with (?:the )?(?:kind |written )?permission
+agpl-3.0 | affero | the gnu affero general public license is a free copyleft license for software
+apache-2.0 | contributor | licensed to the apache software foundation(?: asf)? under one or more contributor license agreements
+apache-2.0 | unless | unless required by applicable law or agreed to in writing software distributed under the license is distributed
+artistic-2.0 | establishes | this license establishes the terms under which a given free software package may be copied
+bsd | contributors | provided by the (?:copyright holders|regents)(?: and| or)+ contributors as is and any express or implied warranties
+cc-by-nc | non | licensed under a creative commons attribution non ?commercial
+cc-by-sa | share | licensed under a creative commons attribution share ?alike
+cc0-1.0 | waived | to the extent possible under law .{1,80}? waived all copyright and related or neighboring rights
+cddl-1.0 | distribution | subject to the terms of the common development and distribution license
+epl-1.0 | accompanying | the accompanying materials are made available under the terms of the eclipse public license v(?:ersion )?1 0
+epl-2.0 | accompanying | the accompanying materials are made available under the terms of the eclipse public license(?: v)? 2 0
+gpl-2.0 | freedom | the licenses for most software are designed to take away your freedom to share and change it
+gpl-3.0 | copyleft | the gnu general public license is a free copyleft license for software and other kinds of works
+isc | disclaims | the software is provided as is and .{1,60}? disclaims all warranties with regard to this software
+lgpl | lesser | terms of the gnu lesser general public license as published by the free software foundation
+mit | merchantability | without warranty of any kind express or implied including but not limited to the warranties of merchantability
+mpl-1.1 | mozilla | contents of this file are subject to the mozilla public license version 1 1
+mpl-2.0 | mpl | if a copy of the mpl was not distributed with this file you can obtain one at
+ofl-1.1 | reserved | with reserved font names?
+unlicense | anyone | anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl | verbatim | verbatim or modified copies of this license document and changing it is allowed as long as the name is changed
+zlib | altered | altered source versions must be plainly marked as such
 copyright | copyright | copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)?\d\d)?
 copyright | copyright | copyright (?:c )?(?:by|held by)
 """.strip().splitlines()
@@ -192,6 +219,10 @@ def rules() -> tuple[Rule, ...]:
     for tag in TAGS:
         words = re.escape(re.sub("[^a-z0-9]+", " ", tag)).replace(r"\ ", " ")
         found.append(_compiled(tag, "spdx", TAG, rf"spdx license identifier {words}(?: only| or later)?"))
+    for tag in TAGS:
+        words = re.escape(re.sub("[^a-z0-9]+", " ", tag)).replace(r"\ ", " ")
+        found.append(_compiled(tag, words.split()[0], NOTICE,
+                               rf"licen[sc]ed?(?: is| as)?(?: under)?(?: the)?(?: terms of)?(?: the)? {words}(?: only| or later)?"))
     for line in TEXTS:
         label, keyword, pattern = (part.strip() for part in line.split("|", 2))
         found.append(_compiled(label, keyword, TEXT, pattern))

@@ -37,7 +37,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 # Parts of words that most phrases hold; ``gate`` adds what the other phrases of the rules need.
 GATE = ("licens", "licenc", "rights", "copyright", "spdx", "commons", "public", "gpl", "epl", "eupl", "afl", "gfdl", "cecill",
         "cc0", "wtfpl", "bsd", "apache", "redistribut", "permission", "confidential", "unauthorized", "warrant", "endorse",
-        "jpeg", "misrepresented", "software", "portions")
+        "jpeg", "misrepresented", "software", "portions", "consent", "secrets", "altered")
 GATE_PART = 5   # letters of a word that can be a gate part by itself; shorter ones need the next word, as "cc by"
 
 CONFIDENCE = {NAME: 0.4, NOTICE: 0.75, TEXT: 0.85, TAG: 0.95}   # of one label; a base phrase counts as a name

@@ -225,6 +225,53 @@ def test_license_gate_holds_for_generated_samples_of_all_rules(spark):
     assert [got[i].labels for i in range(3)] == ["cc0-1.0", "mulanpsl-2.0", "mit-0"] and all(got[i].score > 0 for i in range(3))
 
 
+def test_license_keywords_stand_in_every_match():
+    from basketlens.llm.license_rules import rules
+    rng = random.Random(38)
+    for rule in rules():
+        nodes = re._parser.parse(rule.regex.pattern)
+        for _ in range(60):
+            assert rule.keyword in sample(nodes, rng), (rule.keyword, rule.regex.pattern)
+
+
+def plain_labels(text):
+    """Labels without any gate: every rule on the whole text, every pair of intervals compared."""
+    from basketlens.llm.license_rules import rules
+    joined = " ".join(licenses.LICENSE_WORDS.findall(licenses.lower_ascii(text)))
+    found = [(m.start(), m.end(), r.priority, r.label, k) for k, r in enumerate(rules()) for m in r.regex.finditer(joined)]
+
+    def inside(a, b):
+        """``a`` goes because of ``b``"""
+        if not (b[0] <= a[0] and a[1] <= b[1]):
+            return False
+        if a[2] != b[2]:
+            return a[2] < b[2]
+        return a[:2] != b[:2] or b[4] < a[4]
+
+    kept = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in f" {joined} "}
+    order, stay = sorted(found, key=lambda d: (-d[2], d[0], -d[1], d[4])), []
+    for d in order:
+        if not any(inside(d, other) for other in stay):
+            stay.append(d)
+            kept.add(d[3])
+    return ",".join(sorted(kept))
+
+
+def test_license_labels_equal_an_ungated_matcher(spark):
+    from basketlens.llm.license_rules import rules
+    rng, texts = random.Random(39), []
+    for rule in rules():
+        nodes = re._parser.parse(rule.regex.pattern)
+        some = rng.choice(rules())
+        other = re._parser.parse(some.regex.pattern)
+        texts.append(f"{' '.join(random_words(rng, 5))}. {sample(nodes, rng)}; {sample(other, rng)} {' '.join(random_words(rng, 3))}")
+        assert rule.label in plain_labels(sample(nodes, rng)).split(",") or rule.priority < 4
+    texts += ["Licensed under Apache-2.0", "License: MIT", "No part of this book may be reproduced.", "no part of it", "cc by", "", None]
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_labels(t or "") for t in texts]
+    assert [got[len(texts) - k] for k in (7, 6, 5)] == ["apache-2.0", "mit", "proprietary"]
+
+
 def test_secrets_of_a_text_full_of_matches(spark):
     """200,000 matches in one text: their places and the redaction, in seconds."""
     import time
