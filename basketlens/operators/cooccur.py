@@ -18,6 +18,9 @@ Plan (two shuffles of line-sized data for any n):
 5. ``groupBy(keys, members).count()`` with map-side partial aggregation
    (shuffle 2), so a very common set never piles up in one task.
 
+Pairs in very many baskets: those whose hash bucket can't reach the count are
+dropped between 4 and 5 (``pair_filter``).
+
 A condition on the members (a name that matches, different departments) is
 carried as a ``tag`` of each item and tested between 4 and 5, so sets that fail
 it are neither shuffled nor counted.
@@ -44,6 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.config import check_itemset_size
+from basketlens.operators import pair_filter
 from basketlens.session import written
 
 # Engineering limits (not reference values).
@@ -286,12 +290,15 @@ def itemset_counts(lines: DataFrame, n: int, *, basket: str = "order_id",
     member = F.col(item) if tag is None else F.struct(F.col(item).alias("item"), F.col(tag).alias("tag"))
     base = base.select(*keys, basket, member.alias("_item"))
 
-    profile = basket_profile(lines if profile_lines is None else profile_lines, basket, row_items or row_limit(n))
+    sized = lines if profile_lines is None else profile_lines
+    profile = basket_profile(sized, basket, row_items or row_limit(n))
     combos = itemset_combos(base, n, basket, "_item", keys, profile, chunk)
     if tag is not None:
         combos = (combos.where(keep([F.col(f"{m}.tag") for m in member_names(n)]))
                   .select(*keys, *[F.col(f"{m}.item").alias(m) for m in member_names(n)]))
 
+    if n == 2 and min_count > 1 and pair_filter.worth_it(expanded_sets(sized, 2, basket)[0], min_count):
+        combos = pair_filter.possibly_frequent(combos, [*keys, *member_names(2)], expanded_sets(sized, 2, basket)[0], min_count)
     counts = combos.groupBy(*keys, *member_names(n)).agg(F.count(F.lit(1)).alias(count_col))
     if min_count > 1:
         counts = counts.where(F.col(count_col) >= min_count)

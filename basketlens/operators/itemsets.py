@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
+from basketlens.operators import bounds
 from basketlens.operators.cooccur import (basket_profile, expanded_sets, itemset_counts, member_names, pinned,
                                           pinned_supports, top_rows, with_members)
 from basketlens.operators.levelwise import frequent_levels
@@ -38,13 +39,14 @@ def product_columns(n: int) -> List[str]:
 
 
 def counted_sets(ds: Dataset, n: int, min_co: int, count_col: str = "co_occurrence",
-                 pattern: Optional[str] = None, prune: bool = True) -> DataFrame:
+                 pattern: Optional[str] = None, prune: bool = True, items: Optional[DataFrame] = None) -> DataFrame:
     """(item_i, ``_s{i}`` supports, count) of sets of known products.
 
     Lines of products that ``products`` doesn't name are left out first, which
     is what joining the names to the sets would do.  With ``pattern`` only sets
     with a member name ``LIKE '%pattern%'`` are made: names are matched on
-    ``products``, and the match travels with the item.
+    ``products``, and the match travels with the item.  ``items`` (product_id)
+    leaves only sets of these.
 
     Pairs, and larger sets of small baskets, are listed from the baskets.  Where
     that would list more than ``EXPANDED_PER_LINE`` sets a line (baskets of 100
@@ -57,6 +59,8 @@ def counted_sets(ds: Dataset, n: int, min_co: int, count_col: str = "co_occurren
     hit = F.lit(True) if pattern is None else F.coalesce(F.col("product_name").like(f"%{pattern}%"), F.lit(False))
     tagged = pinned(supports.where(F.col("support_count") >= (min_co if prune else 1))
                     .join(known, "product_id").groupBy("product_id").agg(F.max(hit).alias("_hit")))
+    if items is not None:
+        tagged = tagged.join(items, "product_id", "left_semi")
     known_lines = lines.join(tagged, "product_id")
     if n >= 3 and prune and min_co > 1 and _expands(lines, n):
         sets = _by_levels(ds, known_lines, tagged, n, min_co, count_col, pattern is not None)
@@ -89,13 +93,13 @@ def _by_levels(ds: Dataset, lines: DataFrame, tagged: DataFrame, n: int, min_co:
 
 
 def scored_itemsets(ds: Dataset, n: int, min_co: int, digits: Optional[dict] = DEFAULT_DIGITS,
-                    prune: bool = True, pattern: Optional[str] = None) -> DataFrame:
+                    prune: bool = True, pattern: Optional[str] = None, items: Optional[DataFrame] = None) -> DataFrame:
     """Unordered, unlimited O15 rows by product id: item_i, co_occurrence and the metrics."""
     n = check_itemset_size(n)
     digits = digits or {}
     total = F.lit(basket_profile(ds.order_products_prior).baskets)
     s = [f"_s{i}" for i in range(1, n + 1)]
-    return counted_sets(ds, n, min_co, pattern=pattern, prune=prune).select(
+    return counted_sets(ds, n, min_co, pattern=pattern, prune=prune, items=items).select(
         *member_names(n), "co_occurrence",
         M.rounded(M.support("co_occurrence", total), digits.get("support")).alias("support"),
         M.rounded(M.confidence("co_occurrence", s[:-1]), digits.get("confidence")).alias("confidence"),
@@ -163,10 +167,18 @@ def pairs_directed(ds: Dataset, pattern: str, min_co_exclusive: int = 50, limit:
 def top(ds: Dataset, n: int = 2, metric: str = "lift", limit: int = 30, min_co: int = 50,
         pool: Optional[int] = None, digits: Optional[dict] = DEFAULT_DIGITS) -> DataFrame:
     """The ``limit`` best of all sets by ``metric``.  ``pool`` is an explicit
-    pre-selection: only that many sets, the best by lift, are ranked."""
+    pre-selection: only that many sets, the best by lift, are ranked.
+
+    By lift, support and co-occurrence only items that can be in one of those
+    sets are looked at (``bounds``); confidence has no such bound."""
     if metric not in METRICS:
         raise ValueError(f"{metric!r} is none of {', '.join(METRICS)}")
-    sets = scored_itemsets(ds, n, min_co, digits)
+    items = None
+    if pool is None:
+        supports = pinned_supports(ds.order_products_prior).where(F.col("support_count") >= min_co)
+        items = bounds.promising(supports, lambda some: scored_itemsets(ds, n, min_co, digits, items=some), metric, limit, n,
+                                 basket_profile(ds.order_products_prior).baskets, min_co, (digits or {}).get(metric))
+    sets = scored_itemsets(ds, n, min_co, digits, items=items)
     by_lift = [F.desc("lift"), F.desc("co_occurrence")]
     if pool is not None:
         sets = top_rows(sets, [*by_lift, *[F.col(m).asc() for m in member_names(n)]], pool)

@@ -3,6 +3,7 @@ O28 cross-department synergies."""
 
 from __future__ import annotations
 
+import math
 from typing import List, Optional, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,10 +13,13 @@ from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
+from basketlens.operators import bounds
 from basketlens.operators.cooccur import (HOT_LINES, basket_profile, itemset_counts, join_baskets, member_names,
                                           pinned, pinned_supports, top_rows, with_members)
 from basketlens.session import written
 
+RANGES_PER_TASK = 4   # ranges of hot orders per shuffle partition of the session
+
 
 def _dimensions(ds: Dataset) -> DataFrame:
     """product_id, product_name, department_id and department (null when unknown)."""
@@ -64,11 +68,13 @@ def cart_positions(ds: Dataset, max_row_items: int = HOT_LINES) -> DataFrame:
     the product placed right after (``next_product``).
 
     Orders up to ``max_row_items`` lines are ranked with a window per order.
-    Larger orders are never ranked in one task: their lines are cut into
-    ``add_to_cart_order`` ranges of ``max_row_items`` positions; each range is
-    ranked on its own, a per-order table of range sizes (one row per range)
-    gives the offsets, and the first item of the next non-empty range is the
-    successor of a range's last line.
+    The lines of larger orders are dealt by ranges of (order, position, product)
+    whose bounds Spark samples, about ``max_row_items`` lines each (more where
+    that would be over ``RANGES_PER_TASK`` ranges a shuffle partition); every range
+    is ranked on its own, a per-order table of range sizes (one row per range)
+    gives the offsets, and the first item of the next range is the successor of
+    a range's last line.  So no order, and no position that many lines of an
+    order share or lack, is ranked in one task.
     """
     lines = ds.order_products_prior.select("order_id", "product_id", "add_to_cart_order")
     split = basket_profile(ds.order_products_prior, "order_id", max_row_items).oversized
@@ -78,22 +84,25 @@ def cart_positions(ds: Dataset, max_row_items: int = HOT_LINES) -> DataFrame:
                           F.row_number().over(w).alias("position"),
                           F.lead("product_id").over(w).alias("next_product"))
     if split is not None:
+        count = split.agg(F.sum("_k")).first()[0]
+        tasks = RANGES_PER_TASK * int(split.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         steps = steps.unionByName(_ranged_positions(lines.join(split.select("order_id"), "order_id"),
-                                                    max_row_items))
+                                                    min(tasks, math.ceil(count / max_row_items))))
     return steps
 
 
-def _ranged_positions(lines: DataFrame, width: int) -> DataFrame:
-    lowest = F.lit(-(2 ** 62))  # null cart positions sort first, as in the window
-    ranged = lines.withColumn(
-        "_r", F.coalesce(F.floor(F.col("add_to_cart_order") / F.lit(width)), lowest))
-    w_in = Window.partitionBy("order_id", "_r").orderBy("add_to_cart_order", "product_id")
+def _ranged_positions(lines: DataFrame, ranges_wanted: int) -> DataFrame:
+    # a number by chance parts lines that are equal in all columns; which comes first makes no difference
+    keys = ["order_id", "add_to_cart_order", "product_id", "_tie"]
+    ranged = written(lines.withColumn("_tie", F.rand(5)).repartitionByRange(ranges_wanted, *keys)
+                     .withColumn("_r", F.spark_partition_id()), "ranges")
+    w_in = Window.partitionBy("order_id", "_r").orderBy(*keys[1:])
     local = ranged.select("order_id", "_r", "product_id",
                           F.row_number().over(w_in).alias("_lp"),
                           F.lead("product_id").over(w_in).alias("_next"))
     ranges = ranged.groupBy("order_id", "_r").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct("add_to_cart_order", "product_id")).alias("_first"))
+        F.min(F.struct(*keys[1:])).alias("_first"))
     w_r = Window.partitionBy("order_id").orderBy("_r")
     ranges = ranges.select(
         "order_id", "_r", "_n",
@@ -159,21 +168,31 @@ def cross_department(ds: Dataset, min_lift: float = 2.5, min_count: int = 30,
     count >= ``min_count`` and lift rounded to 2 digits > ``min_lift``.
 
     The department id travels with the item, so pairs inside one department
-    are dropped before they are counted."""
+    are dropped before they are counted.  Items too frequent for ``min_lift``,
+    or for the lift of the last of the ``limit`` rows, are left out (``bounds``)."""
     digits = {"confidence": 4, "lift": 2} if digits is None else digits
     prior = ds.order_products_prior
+    total = basket_profile(prior).baskets
+    least = bounds.greatest_support(min_lift - bounds.rounding(min_lift, 2), total, 2, min_count)
     supports = pinned_supports(prior)
-    items = pinned(supports.where(F.col("support_count") >= min_count)
+    items = pinned(supports.where((F.col("support_count") >= min_count) & (F.col("support_count") <= least))
                    .join(ds.products_clean.where(F.col("department_id").isNotNull()), "product_id")
-                   .select("product_id", "department_id"))
-    sets = itemset_counts(prior.join(items, "product_id"), 2, min_count=min_count, prune=False, count_col="pair_count",
-                          profile_lines=prior, tag="department_id", keep=lambda dept: dept[0] != dept[1])
-    sets = with_members(sets, 2, supports, "product_id", {"support_count": "_s{i}"})
-    raw_lift = M.lift("pair_count", F.lit(basket_profile(prior).baskets), ["_s1", "_s2"])
-    sets = sets.where(F.round(raw_lift, 2) > F.lit(min_lift)).select(
-        "item_1", "item_2", "pair_count",
-        M.rounded(M.confidence("pair_count", ["_s1"]), digits.get("confidence")).alias("confidence"),
-        M.rounded(raw_lift, digits.get("lift")).alias("lift"))
-    return _named_top(ds, sets, 2, "lift", [], limit).select(
+                   .select("product_id", "department_id", "support_count"))
+
+    def scored(some: Optional[DataFrame]) -> DataFrame:
+        kept = items if some is None else items.join(some, "product_id", "left_semi")
+        sets = itemset_counts(prior.join(kept.drop("support_count"), "product_id"), 2, min_count=min_count, prune=False,
+                              count_col="pair_count", profile_lines=prior, tag="department_id",
+                              keep=lambda dept: dept[0] != dept[1])
+        sets = with_members(sets, 2, supports, "product_id", {"support_count": "_s{i}"})
+        raw_lift = M.lift("pair_count", F.lit(total), ["_s1", "_s2"])
+        return sets.where(F.round(raw_lift, 2) > F.lit(min_lift)).select(
+            "item_1", "item_2", "pair_count",
+            M.rounded(M.confidence("pair_count", ["_s1"]), digits.get("confidence")).alias("confidence"),
+            M.rounded(raw_lift, digits.get("lift")).alias("lift"))
+
+    able = bounds.promising(items.select("product_id", "support_count"), scored, "lift", limit, 2, total, min_count,
+                            digits.get("lift"))
+    return _named_top(ds, scored(able), 2, "lift", [], limit).select(
         F.col("dept_1").alias("department_1"), F.col("dept_2").alias("department_2"),
         "product_1", "product_2", "pair_count", "confidence", "lift")

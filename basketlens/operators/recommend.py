@@ -24,21 +24,31 @@ from basketlens.operators.cooccur import basket_profile, join_baskets, pinned_su
 from basketlens.operators.levelwise import CHUNK_ROWS, chunk_table
 from basketlens.session import arrow_rows, written
 
+LOOKUP_ORDERS = 1_000     # order ids that a scan is asked for
 # Engineering limits of the many-user form.
 OWNED_ROWS = 1 << 21      # (user, owned item) rows that go to the tasks at a time (32 MB)
 HELD_BYTES = 128 << 20    # bitmaps a task works on together
 SUM_CELLS = 1 << 22       # sums (users x items) a task holds at a time (32 MB)
 
 
-def _orders_of(ds: Dataset, user_id: int) -> DataFrame:
-    """The user's orders as a written table: it is broadcast by its size, so the
-    lines are filtered where they are read."""
-    return written(ds.orders.where(F.col("user_id") == F.lit(user_id)).select("order_id").distinct(), "user")
+def _lines_of(ds: Dataset, user_id: int) -> DataFrame:
+    """The user's prior lines.
+
+    A user has few orders: up to ``LOOKUP_ORDERS`` ids become a filter of the
+    scan, which skips the row groups that can't hold them (tables saved for
+    lookups are sorted and carry Bloom filters); more are a written table that
+    the lines are joined with.
+    """
+    orders = written(ds.orders.where(F.col("user_id") == F.lit(user_id)).select("order_id").distinct(), "user")
+    ids = [r["order_id"] for r in orders.limit(LOOKUP_ORDERS + 1).collect()]
+    if len(ids) > LOOKUP_ORDERS:
+        return ds.order_products_prior.join(orders, "order_id", "left_semi")
+    return ds.order_products_prior.where(F.col("order_id").isin(ids))
 
 
 def history(ds: Dataset, user_id: int) -> DataFrame:
     """The user's prior lines per product, most bought first."""
-    return (ds.order_products_prior.join(_orders_of(ds, user_id), "order_id", "left_semi")
+    return (_lines_of(ds, user_id)
             .groupBy("product_id").agg(F.count(F.lit(1)).alias("purchase_count"))
             .join(ds.products.select("product_id", "product_name"), "product_id")
             .select("product_id", "product_name", "purchase_count")
@@ -61,8 +71,7 @@ def for_user(ds: Dataset, user_id: int, n: int = 10) -> DataFrame:
     """
     lines = ds.order_products_prior.select("order_id", "product_id")
     profile = basket_profile(ds.order_products_prior)
-    owned = written(lines.join(_orders_of(ds, user_id), "order_id", "left_semi").select("product_id")
-                    .where(F.col("product_id").isNotNull()).distinct(), "owned")
+    owned = written(_lines_of(ds, user_id).select("product_id").where(F.col("product_id").isNotNull()).distinct(), "owned")
     touching = lines.join(owned, "product_id", "left_semi").select("order_id").distinct()
     cands = (join_baskets(lines, touching, how="left_semi", profile=profile)
              .join(owned, "product_id", "left_anti")

@@ -2,10 +2,12 @@
 history, empty input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketlens.operators import (baskets, composition, departments, evaluate, explore, itemsets,
                                   patterns, quality, recommend, rules, views)
 from basketlens.config import AnalysisConfig
+from basketlens.dataset import SCHEMAS, conform
 from tests.conftest import make_ds
 
 
@@ -140,3 +142,47 @@ def test_sequential_ranged_path_matches_window(small):
     a = [tuple(r) for r in patterns.sequential(small, 2, None, None).collect()]
     b = [tuple(r) for r in patterns.sequential(small, 2, None, None, max_row_items=2).collect()]
     assert a == b and len(a) > 0
+
+
+def test_one_position_of_a_hot_order_is_split(spark):
+    """An order with 1 M lines on one position, others without a position or equal in all columns: as the window path, in many tasks."""
+    from dataclasses import replace
+
+    from basketlens.operators.patterns import cart_positions
+    many = spark.range(1_000_000).select(F.lit(7).cast("long").alias("order_id"), (F.col("id") % 700_000).alias("product_id"),
+                                         F.lit(5).alias("add_to_cart_order"), F.lit(0).alias("reordered"))
+    nulls = spark.range(30_000).select(F.lit(7).cast("long"), F.col("id") + 5_000_000, F.lit(None).cast("int"), F.lit(0))
+    equal = spark.range(20_000).select(F.lit(7).cast("long"), F.lit(9_000_000).cast("long"), F.lit(9), F.lit(0))
+    small = spark.createDataFrame([(8, 1, 1, 0), (8, 2, 2, 0), (8, 3, None, 0)], SCHEMAS["order_products_prior"])
+    lines = small.union(many).union(nulls).union(equal).repartition(6)
+    ds = replace(make_ds(spark, {1: [1]}), order_products_prior=conform(lines, SCHEMAS["order_products_prior"]))
+    ranged = cart_positions(ds, 50_000)
+    tasks = ranged.where("order_id = 7").groupBy(F.floor(F.col("position") / 100_000)).count().count()
+    assert tasks == 11
+    sums = ["order_id", F.count("*"), F.sum(F.xxhash64("product_id", "position", "next_product").cast("decimal(38,0)")),
+            F.max("position"), F.count("next_product")]
+    summed = lambda df: sorted(map(tuple, df.groupBy("order_id").agg(*sums[1:]).collect()))
+    assert summed(ranged) == summed(cart_positions(ds, 10 ** 9))
+    plan = written_ranges(ds)
+    assert len(plan) >= 12 and max(plan) <= 3 * sum(plan) / len(plan)
+
+
+def written_ranges(ds):
+    """Lines per range of the hot order."""
+    from basketlens.operators import patterns
+    hot = ds.order_products_prior.where("order_id = 7").select("order_id", "product_id", "add_to_cart_order")
+    seen = {}
+    kept = patterns.written
+
+    def spy(df, name):
+        out = kept(df, name)
+        if name == "ranges":
+            seen.update({r["_r"]: r["count"] for r in out.groupBy("_r").count().collect()})
+        return out
+
+    patterns.written = spy
+    try:
+        patterns._ranged_positions(hot, 16)
+    finally:
+        patterns.written = kept
+    return list(seen.values())

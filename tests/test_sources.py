@@ -111,3 +111,134 @@ def test_config_validation():
                 {"min_lift": -1}, {"min_co_occurrence": 0}):
         with pytest.raises(ValueError):
             AnalysisConfig(**bad)
+
+
+# -- load report ------------------------------------------------------------------
+
+def test_load_report_of_a_dirty_csv(spark, monkeypatch):
+    """Counts and rows of what no cast could read, from the pass that writes the tables."""
+    root, out = tempfile.mkdtemp(prefix="bl-csv-"), tempfile.mkdtemp(prefix="bl-load-")
+    _write_csvs(root)
+    with open(os.path.join(root, "orders.csv"), "w") as f:
+        f.write("order_id,user_id,eval_set,order_dow,order_hour_of_day\n2,1,prior,two,8\nx3,1,prior,3,99999999999\n"
+                "4,,prior,,7\n5,2,train,1,1\n")
+    reads = []
+    kept = ingest._raw
+    monkeypatch.setattr(ingest, "_raw", lambda *a: reads.append(a[-1]) or kept(*a))
+    ds, report = ingest.load_csv(spark, root, out)
+    assert sorted(reads) == sorted(TABLES)
+    assert report.counts["orders"] == {"rows": 4, "quarantined": 2, "order_id": 1, "user_id": 0, "order_dow": 1,
+                                       "order_hour_of_day": 1}
+    assert report.counts["order_products_prior"]["rows"] == 5 and not report.clean
+    assert not any(v for k, v in report.counts["products"].items() if k != "rows")      # raw product ids stay text
+    same = ingest.read_csv(spark, root)
+    for name, df in ds.tables().items():
+        assert df.columns == same.tables()[name].columns
+        assert sorted(map(str, df.collect())) == sorted(map(str, same.tables()[name].collect()))
+    bad = {tuple(r["columns"]): (r["_raw"].asDict(), r["order_id"]) for r in report.quarantine("orders").collect()}
+    assert bad.keys() == {("order_dow",), ("order_id", "order_hour_of_day")}
+    assert bad["order_id", "order_hour_of_day"] == ({"order_id": "x3", "user_id": "1", "eval_set": "prior", "order_dow": "3",
+                                                     "order_hour_of_day": "99999999999"}, None)
+    assert report.quarantine("aisles").count() == 0
+    scan = report.quarantine("orders")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_dirty" in scan      # the clean rows are not read
+
+
+# -- table layout -----------------------------------------------------------------
+
+def test_bucketed_tables_need_no_exchange(spark, small):
+    from basketlens.operators import patterns
+    from basketlens.operators.cooccur import join_baskets
+    ingest.save_tables(small, "bl_buckets", order_buckets=4)
+    back = Dataset.from_catalog(spark, "bl_buckets")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_baskets(back.order_products_prior, back.orders)
+        grouped = back.order_products_prior.groupBy("order_id").agg({"product_id": "collect_set"})
+        both = joined.groupBy("order_id", "user_id").count()
+        for df in (joined, grouped, both, patterns.cart_positions(back)):
+            assert "Exchange" not in plan(df) and "Bucketed: true" in plan(df)
+        assert "Exchange" in plan(join_baskets(small.order_products_prior, small.orders))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(joined.collect()) == sorted(join_baskets(small.order_products_prior, small.orders).collect())
+    assert itemsets.pairs(back, 3, None).collect() == itemsets.pairs(small, 3, None).collect()
+
+
+def test_one_user_reads_few_rows(spark, monkeypatch):
+    """Tables saved for lookups: the history of one user reads a small part of orders and lines."""
+    from pyspark.sql import functions as F
+
+    from basketlens.operators import recommend
+    from tests.conftest import make_ds
+    from dataclasses import replace
+    monkeypatch.setattr(ingest, "LOOKUP_ROW_GROUP", 64 << 10)
+    orders = spark.range(300_000).select(F.col("id").alias("order_id"), (F.xxhash64("id") % 5000 + 5000).alias("user_id"),
+                                         F.lit("prior").alias("eval_set"), F.lit(1).alias("order_dow"),
+                                         F.lit(2).alias("order_hour_of_day"))
+    lines = spark.range(900_000).select((F.col("id") / 3).cast("long").alias("order_id"), (F.col("id") % 50 + 1).alias("product_id"),
+                                        F.lit(1).alias("add_to_cart_order"), F.lit(0).alias("reordered"))
+    ds = replace(make_ds(spark, {1: list(range(1, 51))}), orders=orders, order_products_prior=lines)
+    path = ingest.save_parquet(ds, tempfile.mkdtemp(prefix="bl-lookup-"), for_lookups=True)
+    back = Dataset.from_parquet(spark, path)
+
+    def rows_read(df):
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return [leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())]
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mine = back.orders.where("user_id = 7000").select("order_id")
+        assert mine.collect() and sum(rows_read(mine)) < 300_000 / 4
+        found = recommend._lines_of(back, 7000)
+        expected = ds.order_products_prior.join(ds.orders.where("user_id = 7000"), "order_id", "left_semi")
+        assert sorted(found.collect()) == sorted(expected.collect()) and found.count() > 30
+        one = back.order_products_prior.where(F.col("order_id").isin([1234, 200_000]))
+        assert len(one.collect()) == 6 and sum(rows_read(one)) < 900_000 / 10
+        gone = back.order_products_prior.where("order_id = 300001")
+        assert gone.collect() == [] and sum(rows_read(gone)) == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    expected = sorted(map(tuple, recommend.history(ds, 7000).collect()))
+    assert sorted(map(tuple, recommend.history(back, 7000).collect())) == expected
+    monkeypatch.setattr(recommend, "LOOKUP_ORDERS", 3)
+    assert sorted(map(tuple, recommend.history(back, 7000).collect())) == expected
+
+
+# -- staged export -----------------------------------------------------------------
+
+def test_export_continues_after_a_failure(spark, monkeypatch):
+    """Stopped after the third of four results: old tables are whole; a rerun writes only the rest, then publishes."""
+    folder = tempfile.mkdtemp(prefix="bl-stage-") + "/export"
+    names = {f"r{k}": f"stage_{k}" for k in range(4)}
+    spark.sql("CREATE DATABASE IF NOT EXISTS bl_stage")
+    sinks.export_all({f"r{k}": spark.range(2).toDF("old") for k in range(4)}, names, "bl_stage")
+    results = {f"r{k}": spark.range(10 * k + 1).toDF("x") for k in range(4)}
+    made, kept = [], sinks.StagedExport.write
+
+    def failing(self, name, df, stop=True):
+        if stop and name == "r3":
+            df.write.parquet(f"{self.folder}/r3-half")       # files of a result that never got whole
+            raise RuntimeError("lost")
+        made.append(name)
+        return kept(self, name, df)
+
+    monkeypatch.setattr(sinks.StagedExport, "write", failing)
+    with pytest.raises(RuntimeError):
+        sinks.StagedExport(spark, folder).run(results, names, "bl_stage")
+    assert made == ["r0", "r1", "r2"]
+    assert all(spark.table(f"bl_stage.stage_{k}").columns == ["old"] for k in range(4))
+    made.clear()
+    monkeypatch.setattr(sinks.StagedExport, "write", lambda self, name, df: failing(self, name, df, stop=False))
+    csv = tempfile.mkdtemp(prefix="bl-csv-")
+    out = sinks.StagedExport(spark, folder).run(results, names, "bl_stage", csv)
+    assert made == ["r3"]
+    assert [spark.table(out[f"r{k}"]["table"]).count() for k in range(4)] == [1, 11, 21, 31]
+    assert spark.read.option("header", True).csv(out["r2"]["csv"]).count() == 21
+    assert not os.path.exists(folder)
+    with pytest.raises(RuntimeError):       # a new run starts anew
+        monkeypatch.setattr(sinks.StagedExport, "write", failing)
+        sinks.StagedExport(spark, folder).run(results, names, "bl_stage")
+    assert sorted(sinks.StagedExport(spark, folder).finished()) == ["r0", "r1", "r2"]
