@@ -9,8 +9,9 @@ in each bin); one equal entry makes a candidate, and the candidate is verified
 by the exact share of the item's shingles that the document holds.
 
 With a share of 0.8 the similarity to the window is 0.19 at least, so 128 bins
-miss an item with a chance of 1e-11; small partitions get as many bins as
-hashes need to stay apart.
+miss an item with a chance of 1e-11; below 64 shingles that many bins would not keep the
+chance so low, so every hash has a bin of its own there: the signature of an
+item of up to 32 shingles is its whole set.
 
 Defined cases: items without words match nothing; items or documents with
 fewer than n words are one shingle, the whole sequence, and match only an
@@ -20,7 +21,7 @@ empty tables give no pairs.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 from typing import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from basketlens.llm.text import WORDS, WordHashes, distinct, shingle_hashes, tex
 from basketlens.session import written
 
 # Engineering limits.
-SHIPPED_SHINGLES = 2_000_000   # item shingles that go to the tasks (16 MB); more are joined by a shuffle
+SHIPPED_SHINGLES = 2_000_000   # item shingles that go to the tasks (16 MB, 24 MB more as entries); more are joined by a shuffle
 LEAST_PARTITION = 8            # upper size of the smallest partition
 PREFILTER_BITS = 20
 
@@ -73,26 +74,37 @@ def _item_sets(items: DataFrame, n: int) -> DataFrame:
 
 
 class Search:
-    """The items in a task: signature entries by hash, and a bitmap that rules out most hashes."""
-
-    def __init__(self, items: list[tuple[object, np.ndarray]]):
-        self.items = items
-        self.entries: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, grams) in enumerate(items):
-            upper = partition_of(len(grams))
-            for h in signature(grams, upper).tolist():
-                self.entries[h].append((upper, k))
+    """The items in a task, as a few arrays: their sets end to end, and the signature entries sorted by hash."""
+
+    def __init__(self, ids: list, sizes: np.ndarray, grams: np.ndarray):
+        self.ids, self.grams = ids, grams
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        entries, items = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+        for k in range(len(ids)):
+            entries.append(signature(self.item(k), partition_of(int(sizes[k]))))
+            items.append(np.full(len(entries[-1]), k, np.int32))
+        hashes, items = np.concatenate(entries), np.concatenate(items)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.items = hashes[order], items[order]
+        self.uppers = np.array([partition_of(int(n)) for n in sizes], np.int64)
         self.mask = np.uint64((1 << PREFILTER_BITS) - 1)
         self.maybe = np.zeros(1 << PREFILTER_BITS, bool)
-        if self.entries:
-            self.maybe[np.fromiter(self.entries, np.uint64, len(self.entries)) & self.mask] = True
+        self.maybe[self.hashes & self.mask] = True
+
+    def item(self, k: int) -> np.ndarray:
+        return self.grams[self.starts[k]:self.ends[k]]
 
     def candidates(self, grams: np.ndarray) -> set[int]:
         """Items that share a signature entry with a window of their partition."""
-        found = set()
-        for at in np.flatnonzero(self.maybe[grams & self.mask]).tolist():
+        found: set[int] = set()
+        places = np.flatnonzero(self.maybe[grams & self.mask])
+        first, last = (np.searchsorted(self.hashes, grams[places], side) for side in ("left", "right"))
+        some = first < last
+        for at, low, high in zip(places[some].tolist(), first[some].tolist(), last[some].tolist()):
             h = grams[at]
-            for upper, k in self.entries.get(int(h), ()):
+            for k in self.items[low:high].tolist():
+                upper = int(self.uppers[k])
                 if k not in found and any(least_in_bin(grams, start * upper, upper, h)
                                           for start in {max(0, at // upper - 1), at // upper}):
                     found.add(k)
@@ -102,12 +114,23 @@ class Search:
         out, own = [], None
         for k in sorted(self.candidates(grams)):
             own = distinct(grams) if own is None else own
-            row = contained(self.items[k][1], own, percent)
+            row = contained(self.item(k), own, percent)
             if row:
-                out.append((self.items[k][0], *row))
+                out.append((self.ids[k], *row))
         return out
 
 
+_BUILT: dict[str, Search] = {}   # of a Python worker, which serves many tasks: the search of the items it was last sent
+
+
+def built(shipped) -> Search:
+    name, ids, sizes, grams = shipped.value
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Search(ids, sizes, grams)
+    return _BUILT[name]
+
+
 def least_in_bin(grams: np.ndarray, start: int, upper: int, h: np.uint64) -> bool:
     """Whether ``h`` is in the signature of the window that starts at ``start``."""
     window = grams[start:start + 2 * upper]
@@ -130,12 +153,13 @@ def _rows(batch: pa.RecordBatch, hits: list[tuple[int, tuple]], ids: str, out: p
 def _search_shipped(docs: DataFrame, sets: DataFrame, n: int, percent: int, schema: str) -> DataFrame:
     """Every task has all items: one pass over the documents, no shuffle."""
     rows = sets.collect()   # at most SHIPPED_SHINGLES hashes, checked by the caller
-    shipped = docs.sparkSession.sparkContext.broadcast(
-        [(r["item_id"], np.array(r["grams"], np.int64).astype(np.uint64)) for r in rows])
+    sizes = np.array([len(r["grams"]) for r in rows], np.int64)
+    grams = np.fromiter((g for r in rows for g in r["grams"]), np.int64, sizes.sum()).astype(np.uint64)
+    shipped = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [r["item_id"] for r in rows], sizes, grams))
     out = _arrow_schema(docs, sets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, search = WordHashes(), Search(shipped.value)
+        known, search = WordHashes(), built(shipped)
         for batch, values in texts(batches, "text"):
             hits = [(i, row) for i, text in enumerate(values)
                     for row in search.verified(_grams(text, n, known), percent)]
