@@ -3,13 +3,18 @@
 Features are words and the first letters of words (``abcd*``) that labelled
 toxic documents use far more often than others; a document's value is the
 logarithm of one plus the count, and the length of texts that have any is a
-feature, since a long text meets some beginnings by chance.  One weight vector is shared by the ordered
-thresholds: P(grade >= k) = sigmoid(w.x - t_k).  The labels only say toxic or
-not; among toxic documents the grades 1 to 3 are the thirds of the number of
-marked words.  The expected severity is the sum of the P(grade >= k).
-
-The fit reads a bounded sample of labelled rows (``TRAIN_ROWS``); every Newton
-step sums gradients and curvatures by partition.  Every document is scored.
+feature, since a long text meets some beginnings by chance.  One weight vector
+is shared by the ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k), so a
+grade's chance is the difference of two neighbours.  The expected severity is
+the sum of the P(grade >= k).  The labels only say toxic or not; among toxic
+documents the grades 1 to 3 are the thirds of the number of marked words.  So
+what is learnt from labels is the first threshold and the weights; the upper
+grades restate the features on one scale with it.
+
+The fit maximizes the likelihood of the grades (with a ridge on the weights)
+over a bounded sample of labelled rows (``TRAIN_ROWS``) by scoring steps whose
+sums are formed by partition; a step is shortened until the thresholds stay in
+order and the likelihood grows.  Every document is scored.
 
 Defined cases: null and empty texts have no features and the base severity;
 without labels of both kinds, or without a feature that tells them apart,
@@ -35,7 +40,8 @@ MAX_FEATURES = 128
 LEAST_TOXIC, LEAST_LIFT, LEAST_Z = 4, 4.0, 5.0   # a feature's toxic documents, rate ratio and z score
 GRADES = 3
 RIDGE = 0.05
-NEWTON_STEPS = 20
+SCORING_STEPS = 30
+SHARES = 0.5 ** np.arange(9)  # of a scoring step that are tried
 STEMS = (4, 5)
 CUT = 0.5                    # rejected from this chance of any toxicity on
 
@@ -110,26 +116,83 @@ def _select(train: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
             .orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()]
 
 
-def _newton_sums(data: DataFrame, beta: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and curvature of the loss at ``beta``, summed by partition."""
+def chances(eta: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """[row, k]: P(grade >= k) for k from 0 to one above the highest grade."""
+    above = 1 / (1 + np.exp(np.clip(thresholds[None, :] - eta[:, None], -500, 500)))
+    return np.hstack([np.ones((len(eta), 1)), above, np.zeros((len(eta), 1))])
+
+
+def losses(x: np.ndarray, grade: np.ndarray, betas: np.ndarray) -> np.ndarray:
+    """For every parameter vector the negative log-likelihood of the grades (infinite where thresholds are not ordered)."""
+    width, rows, out = x.shape[1], np.arange(len(x)), np.full(len(betas), np.inf)
+    for i, beta in enumerate(betas):
+        if (np.diff(beta[width:]) > 0).all():
+            above = chances(x @ beta[:width], beta[width:])
+            out[i] = -np.log(np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-300)).sum()
+    return out
+
+
+def scoring_sums(x: np.ndarray, grade: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the negative log-likelihood at ``beta`` (weights, thresholds) and its expected curvature."""
+    width, rows = x.shape[1], np.arange(len(x))
+    grades = len(beta) - width
+    above = chances(x @ beta[:width], beta[width:])
+    slope = above * (1 - above)
+    chance = np.maximum(above[:, :-1] - above[:, 1:], 1e-12)             # of every grade
+    # derivatives of a grade's chance: by w.x, and by the thresholds below and above it
+    by_eta = slope[:, :-1] - slope[:, 1:]
+    by_t = np.zeros((len(x), grades + 1, grades))
+    for k in range(1, grades + 1):
+        by_t[:, k, k - 1] = -slope[:, k]
+        by_t[:, k - 1, k - 1] = slope[:, k]
+    own = chance[rows, grade]
+    gradient = -np.concatenate([x.T @ (by_eta[rows, grade] / own), (by_t[rows, grade] / own[:, None]).sum(axis=0)])
+    both = by_t / chance[:, :, None]
+    eta_eta = (by_eta ** 2 / chance).sum(axis=1)
+    eta_t = (by_eta[:, :, None] * both).sum(axis=1)
+    curvature = np.zeros((len(beta), len(beta)))
+    curvature[:width, :width] = (x * eta_eta[:, None]).T @ x
+    curvature[:width, width:] = x.T @ eta_t
+    curvature[width:, :width] = curvature[:width, width:].T
+    curvature[width:, width:] = np.einsum("nki,nkj->ij", by_t, both)
+    return gradient, curvature
+
+
+def _summed(data: DataFrame, width: int, parts) -> list[np.ndarray]:
+    """The arrays that ``parts(x, grade)`` gives, summed over the rows of ``data`` by partition."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = width + GRADES
-        gradient, curvature = np.zeros(size), np.zeros((size, size))
+        total = None
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float64).reshape(-1, width)
-            grade = batch.column("grade").to_numpy(zero_copy_only=False)
-            for k in range(1, GRADES + 1):
-                full = np.hstack([x, np.zeros((len(x), GRADES))])
-                full[:, width + k - 1] = -1
-                p = 1 / (1 + np.exp(-(full @ beta)))
-                gradient += full.T @ (p - (grade >= k))
-                curvature += (full * (p * (1 - p))[:, None]).T @ full
-        yield pa.RecordBatch.from_arrays([pa.array([gradient.tobytes()]), pa.array([curvature.tobytes()])], ["g", "c"])
-
-    parts = data.mapInArrow(run, "g binary, c binary").collect()   # one row per partition of a bounded sample
-    size = width + GRADES
-    return (sum(np.frombuffer(r["g"]) for r in parts),
-            sum(np.frombuffer(r["c"]).reshape(size, size) for r in parts))
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float64).reshape(-1, width)
+                found = parts(x, batch.column("grade").to_numpy(zero_copy_only=False))
+                total = found if total is None else [a + b for a, b in zip(total, found)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([[a.tobytes() for a in total]], pa.list_(pa.binary()))], ["sums"])
+
+    rows = data.mapInArrow(run, "sums array<binary>").collect()   # one row per partition of a bounded sample
+    return [sum(np.frombuffer(r["sums"][i]) for r in rows) for i in range(len(rows[0]["sums"]))]
+
+
+def maximized(data: DataFrame, width: int, grades: int = GRADES) -> np.ndarray:
+    """Weights and ordered thresholds with the greatest penalized likelihood of ``data`` (grade, x)."""
+    counts = np.zeros(grades + 1)
+    for r in data.groupBy("grade").count().collect():
+        counts[r["grade"]] = r["count"]
+    share = np.cumsum((counts + 0.5)[::-1])[::-1][1:] / (counts + 0.5).sum()      # of grade k and above
+    beta = np.concatenate([np.zeros(width), np.log(1 / share - 1)])
+    ridge = np.concatenate([np.full(width, RIDGE), np.full(grades, 1e-3)])
+    penalty = lambda betas: 0.5 * (betas ** 2 * ridge).sum(axis=1)
+    for _ in range(SCORING_STEPS):
+        gradient, curvature = _summed(data, width, lambda x, grade: list(scoring_sums(x, grade, beta)))
+        step = np.linalg.solve(curvature.reshape(len(beta), -1) + np.diag(ridge), gradient + ridge * beta)
+        tried = np.concatenate([beta[None, :], beta - SHARES[:, None] * step])
+        loss = _summed(data, width, lambda x, grade: [losses(x, grade, tried)])[0] + penalty(tried)
+        best = int(np.argmin(loss))
+        if loss[0] - loss[best] < 1e-9 * abs(loss[0]):        # no share of the step is better
+            break
+        beta = tried[best]
+    return beta
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -158,15 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     for cut in cuts:
         grade = grade + (F.col("marks") > cut).cast("int")
     data = written(marked.select(F.when(F.col("toxic") == 1, grade).otherwise(0).alias("grade"), "x").coalesce(12), "grades")
-    beta = np.zeros(width + GRADES)
-    ridge = np.diag([RIDGE] * width + [1e-3] * GRADES)
-    for _ in range(NEWTON_STEPS):
-        gradient, curvature = _newton_sums(data, beta, width)
-        step = np.linalg.solve(curvature + ridge, gradient + ridge @ beta)
-        beta = beta - step
-        if np.abs(step).max() < 1e-6:
-            break
-    return Model(features, beta[:width], np.sort(beta[width:]))
+    beta = maximized(data, width)
+    return Model(features, beta[:width], beta[width:])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
