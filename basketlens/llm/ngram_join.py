@@ -44,6 +44,7 @@ from basketlens.session import written
 # Engineering limits.
 MIN_CELL_BITS, MAX_CELL_BITS = 20, 25   # size of the count sketch (4 bytes a cell in a task, one in the merged ranks)
 PAGE_CELLS = 1 << 16                    # cells of a page of the sketch
+STEP_PAGES = 256                        # pages added in one step; more are added in two
 RUN_ROWS = 50_000                       # classes of one n-gram that one task sees in the star step
 STAR_SHARE = 0.3                        # of the shorter prefix that a class shares with its star's centre
 BLOCK_ROWS = 2_000                      # classes of one side of a trie
@@ -94,7 +95,8 @@ def _census(docs: DataFrame, n: int, cells: int) -> DataFrame:
                  pa.nulls(len(sizes), pa.binary())], ["doc_id", "n_shingles", "fp", "page", "counts"])
         if ids is not None:
             for page in np.flatnonzero(counts.reshape(pages, -1).any(axis=1)).tolist():
-                blob = zlib.compress(counts[page * PAGE_CELLS:(page + 1) * PAGE_CELLS].tobytes(), 1)
+                some = np.minimum(counts[page * PAGE_CELLS:(page + 1) * PAGE_CELLS], 255).astype(np.uint8)
+                blob = zlib.compress(some.tobytes(), 1)      # frequent enough at 255 in one task
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
                      pa.array([page], pa.int32()), pa.array([blob], pa.binary())],
@@ -122,7 +124,8 @@ def _added_pages(rows: DataFrame, *keys: str, ranked: bool = False) -> DataFrame
                     if name is not None:
                         yield answer()
                     name, total = key, np.zeros(PAGE_CELLS, np.uint32)
-                total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
+                cells = zlib.decompress(blob.as_py())
+                total += np.frombuffer(cells, np.uint8 if len(cells) == PAGE_CELLS else np.uint32)
         if name is not None:
             yield answer()
 
@@ -132,14 +135,16 @@ def _added_pages(rows: DataFrame, *keys: str, ranked: bool = False) -> DataFrame
 def _ranks(census: DataFrame, cells: int) -> np.ndarray:
     """The merged sketch as ranks: ``cells`` bytes, whatever the input.
 
-    The tasks' pages are added in Spark, in two steps, so that no task adds
-    more than the root of the number of pages; only the ranks come to the driver.
+    The tasks' pages are added in Spark, those of many tasks in two steps;
+    only the ranks come to the driver.
     """
     pages = census.where(F.col("counts").isNotNull()).select("page", "counts")
-    deal = max(1, math.isqrt(census.rdd.getNumPartitions()))
-    dealt = pages.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(deal)).cast("int"))
+    most = pages.groupBy("page").count().agg(F.max("count")).first()[0] or 0
+    if most > STEP_PAGES:
+        part = F.pmod(F.xxhash64("counts"), F.lit(math.ceil(most / STEP_PAGES))).cast("int")
+        pages = _added_pages(pages.withColumn("part", part), "page", "part")
     out = np.zeros(cells, np.uint8)
-    for row in _added_pages(_added_pages(dealt, "page", "part"), "page", ranked=True).toLocalIterator():
+    for row in _added_pages(pages, "page", ranked=True).toLocalIterator():
         out[row["page"] * PAGE_CELLS:(row["page"] + 1) * PAGE_CELLS] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
     return out
 
