@@ -59,6 +59,35 @@ def test_decontamination_finds_planted_items(spark, shipped):
     assert len(expected) >= 7
 
 
+def test_decontamination_of_long_items_and_memory_of_the_search(spark):
+    """Items of 300 and 5,000 shingles, whole, edited and cut; two million shingles fit into 150 MB of arrays."""
+    import tracemalloc
+    rng = random.Random(44)
+    items = [" ".join(random_words(rng, n, 10 ** 6)) for n in (304, 5004, 304, 5004)]
+    texts = []
+    for item in items:
+        words = item.split()
+        edited = [w if i % 40 else "edit" for i, w in enumerate(words)]          # 7 of 8 shingles are left
+        cut = words[: int(len(words) * 0.83)]
+        for part in (words, edited, cut, words[: len(words) // 2]):
+            around = random_words(rng, rng.randrange(20_000), 10 ** 6)
+            at = rng.randrange(len(around) + 1)
+            texts.append(" ".join(around[:at] + part + around[at:]))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    expected = {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items)
+                if 100 * len(grams(item, 5) & grams(t, 5)) >= 80 * len(grams(item, 5))}
+    assert len(expected) == 12
+    for shipped in (10 ** 9, 0):
+        found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, texts), table, shipped_shingles=shipped).collect()}
+        assert found == expected
+    hashes = np.random.default_rng(1).integers(0, 2 ** 63, 2_000_000).astype(np.uint64)
+    tracemalloc.start()
+    search = decontaminate.Search(list(range(40_000)), np.full(40_000, 50), hashes)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 150e6 and len(search.hashes) == len(search.items) > 1_000_000
+
+
 # -- 2 n-gram join ----------------------------------------------------------------
 
 def brute_components(texts, n, percent):
@@ -339,6 +368,111 @@ def test_toxicity_grades_follow_the_marks(spark):
     assert means == sorted(means) and means[0] < 0.5 < 2 < means[6]
 
 
+def plain_loss(x, grade, beta, ridge):
+    width, total = x.shape[1], 0.0
+    t = [-math.inf, *beta[width:], math.inf]
+    if sorted(t) != t:
+        return math.inf
+    sig = lambda v: 1.0 if v == math.inf else 0.0 if v == -math.inf else 1 / (1 + math.exp(-v))
+    for row, g in zip(x, grade):
+        eta = float(row @ beta[:width])
+        total -= math.log(sig(t[g + 1] - eta) - sig(t[g] - eta))
+    return total + 0.5 * float((ridge * beta ** 2).sum())
+
+
+def graded(spark, n=150, empty=None):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, 2)) * [1.0, 2.0]
+    eta = x @ [1.5, -0.7] + rng.logistic(size=n)
+    grade = (eta[:, None] > np.array([-0.5, 0.8, 2.0])[None, :]).sum(axis=1)
+    if empty is not None:
+        grade[grade == empty] = 0
+    rows = [(int(g), r.tobytes()) for g, r in zip(grade, x)]
+    return x, grade, spark.createDataFrame(rows, "grade int, x binary").repartition(3)
+
+
+@pytest.mark.parametrize("empty", [None, 2])
+def test_toxicity_fit_is_the_maximum_of_the_likelihood(spark, empty):
+    """Equal to a plain descent with numeric gradients, and no direction is better; thresholds stay in order."""
+    x, grade, data = graded(spark, empty=empty)
+    beta = toxicity.maximized(data, 2)
+    ridge = np.array([toxicity.RIDGE] * 2 + [1e-3] * 3)
+    assert (np.diff(beta[2:]) > 0).all()
+    least = plain_loss(x, grade, beta, ridge)
+    slope = lambda b: np.array([(plain_loss(x, grade, b + h, ridge) - plain_loss(x, grade, b - h, ridge)) / 2e-5
+                                for h in 1e-5 * np.eye(5)])
+    if empty is None:
+        assert np.abs(slope(beta)).max() < 1e-2
+        other, rate = np.array([0.0, 0.0, -1.0, 0.0, 1.0]), 0.01
+        for _ in range(600):
+            g = slope(other)
+            while plain_loss(x, grade, other - rate * g, ridge) > plain_loss(x, grade, other, ridge):
+                rate /= 2
+            other, rate = other - rate * g, rate * 1.3
+        assert np.abs(other - beta).max() < 0.02 and abs(plain_loss(x, grade, other, ridge) - least) < 1e-3
+    rng = np.random.default_rng(3)
+    assert all(plain_loss(x, grade, beta + 0.05 * rng.normal(size=5), ridge) >= least - 0.05 for _ in range(100))
+
+
+def test_toxicity_gradient_and_step_control():
+    """The sums equal differences of the loss; parameters out of order have no likelihood."""
+    rng = np.random.default_rng(4)
+    x, grade, beta = rng.normal(size=(40, 3)), rng.integers(0, 4, 40), np.array([0.3, -1.0, 0.5, -1.0, 0.2, 1.5])
+    gradient, curvature = toxicity.scoring_sums(x, grade, beta)
+    for k, h in enumerate(1e-6 * np.eye(6)):
+        up, down = toxicity.losses(x, grade, np.stack([beta + h, beta - h]))
+        assert abs((up - down) / 2e-6 - gradient[k]) < 1e-4
+    assert np.allclose(curvature, curvature.T) and np.linalg.eigvalsh(curvature).min() > 0
+    assert toxicity.losses(x, grade, np.array([[0, 0, 0, 1.0, 0.5, 2.0]])) == [np.inf]
+
+
+def test_toxicity_ties_in_the_choice_of_features(spark, monkeypatch):
+    """Features that mark equally well are chosen by name; a rerun chooses the same."""
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 3)
+    texts = [("aa bb cc dd ee" if k % 2 else "good day") + f" w{k}" for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int")
+    table = docs(spark, texts).select("doc_id", "text")
+    models = [toxicity.fit(table.repartition(n), labels) for n in (1, 5)]
+    assert [list(m.features) for m in models] == [["aa", "bb", "cc"]] * 2
+    assert np.allclose(models[0].weights, models[1].weights) and np.isfinite(models[0].weights).all()
+
+
+def random_features(M, x):
+    rng = np.random.default_rng(22)
+    return M.Model(x.mean(axis=0), x.std(axis=0), rng.normal(0, 1 / M.BANDWIDTH, (x.shape[1], M.FEATURES)),
+                   rng.uniform(0, 2 * np.pi, M.FEATURES), np.zeros(M.FEATURES + 1), np.array([0.0]), np.array([0.5]))
+
+
+def test_quality_fit_is_a_kernel_ridge(monkeypatch, spark):
+    """The partition-summed normal equations are the plain ones; many random features give the scores of the kernel itself."""
+    from basketlens.llm import quality_model as M
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(240, len(M.STATISTICS)))
+    y = ((x[:, 0] * x[:, 1] + np.sin(2 * x[:, 2]) + 0.3 * rng.normal(size=240)) > 0).astype(int)
+    frame = spark.createDataFrame([(int(q), *map(float, row)) for q, row in zip(y, x)],
+                                  "quality int, " + ", ".join(f"{c} double" for c in M.STATISTICS)).repartition(5)
+    model = random_features(M, x)
+    zz, zy = M._normal_equations(frame, model)
+    z = model.mapped(x)
+    assert np.allclose(zz, z.T @ z) and np.allclose(zy, z.T @ y)
+
+    monkeypatch.setattr(M, "FEATURES", 8192)
+    model = random_features(M, x)
+    z = model.mapped(x)
+    penalty = M.RIDGE * np.eye(M.FEATURES + 1)
+    penalty[-1, -1] = 1e-6
+    # (Z'Z + P)^-1 Z'y with fewer unknowns than features
+    inverse = z / np.diag(penalty)
+    model.weights = inverse.T @ np.linalg.solve(np.eye(240) + z @ inverse.T, y)
+    scaled = (x - model.mean) / model.scale
+    far = ((scaled[:, None, :] - scaled[None, :, :]) ** 2).sum(axis=2)
+    kernel = np.exp(-far / (2 * M.BANDWIDTH ** 2))
+    system = np.block([[kernel + M.RIDGE * np.eye(240), np.ones((240, 1))], [np.ones((1, 240)), np.zeros((1, 1))]])
+    solved = np.linalg.solve(system, np.append(y, 0.0))
+    direct = kernel @ solved[:-1] + solved[-1]
+    assert np.abs(model.raw(x) - direct).max() < 0.08 and np.corrcoef(model.raw(x), direct)[0, 1] > 0.99
+
+
 def test_quality_held_out(spark):
     got = Q.op6_quality_model(spark, "/root/testdata/sf0.01")
     rows = got.join(Q.table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out").collect()
