@@ -575,3 +575,28 @@ def recommend_many(n: int = 10) -> str:
         "  JOIN f_departments d ON p.department_id = d.department_id)")
     return with_fixture(body, "SELECT user_id, product_name, product_id, aisle, department, association_strength, rank\n"
                               f"FROM ranked WHERE rn <= {n}")
+
+
+def rule_predictions(min_support: float, min_conf: float) -> str:
+    body = (_rules(min_support, min_conf, 0.0) + ",\n"
+            "carts AS (SELECT order_id, list(DISTINCT CAST(product_id AS VARCHAR)) AS held FROM ti GROUP BY order_id),\n"
+            "ex AS (SELECT order_id, held, UNNEST(held) AS item FROM carts),\n"
+            "said AS (SELECT DISTINCT ex.order_id, r.consequent FROM ex\n"
+            "         JOIN rules r ON list_sort(r.ante)[1] = ex.item\n"
+            "         WHERE list_has_all(ex.held, r.ante) AND NOT list_contains(ex.held, r.consequent))")
+    return with_fixture(body, "SELECT order_id, string_agg(consequent, ',' ORDER BY consequent) AS prediction\n"
+                              "FROM said GROUP BY order_id")
+
+
+def load_quarantine() -> str:
+    dow, hour = "order_id % 10 = 3", "order_id % 15 = 3"
+    return with_fixture("", (
+        f"SELECT order_id, concat_ws(',', CASE WHEN {dow} THEN 'order_dow' END,\n"
+        f"    CASE WHEN {hour} THEN 'order_hour_of_day' END) AS columns,\n"
+        f"  CASE WHEN {dow} THEN 'day' ELSE CAST(order_dow AS VARCHAR) END AS raw_dow,\n"
+        f"  CASE WHEN {hour} THEN '7h' ELSE CAST(order_hour_of_day AS VARCHAR) END AS raw_hour,\n"
+        f"  CASE WHEN NOT {dow} THEN order_dow END AS order_dow,\n"
+        f"  CASE WHEN NOT {hour} THEN order_hour_of_day END AS order_hour_of_day,\n"
+        f"  (SELECT COUNT(*) FROM f_orders WHERE {dow}) AS lost_dow,\n"
+        f"  (SELECT COUNT(*) FROM f_orders WHERE {hour}) AS lost_hour\n"
+        f"FROM f_orders WHERE {dow} OR {hour}"))

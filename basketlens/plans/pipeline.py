@@ -87,7 +87,15 @@ def run(ds: Dataset, cfg: AnalysisConfig = AnalysisConfig(), search: str = "Bana
 
 
 def export(results: Dict[str, DataFrame], database: Optional[str] = None,
-           csv_root: Optional[str] = None) -> Dict[str, dict]:
+           csv_root: Optional[str] = None, staging: Optional[str] = None) -> Dict[str, dict]:
     """The batch export of a run: result tables and rules, as tables and (with
-    ``csv_root``) as CSV folders."""
+    ``csv_root``) as CSV folders.
+
+    With ``staging``, a folder of its own, results are published only when all
+    are written; after a failure the next export with that folder goes on where
+    it stopped.
+    """
+    if staging:
+        spark = next(iter(results.values())).sparkSession
+        return sinks.StagedExport(spark, staging).run(results, EXPORT_TABLES, database, csv_root)
     return sinks.export_all(results, EXPORT_TABLES, database, csv_root)

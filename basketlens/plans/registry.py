@@ -339,6 +339,33 @@ def _csv_temporal(ds):
     return patterns.temporal(ingest.read_csv(ds.orders.sparkSession, root), 2, min_count=10)
 
 
+@register("rule_predictions", O.rule_predictions(FP.min_support, FP.min_confidence))
+def _predictions(ds):
+    """What the rules predict for every transaction that some rule speaks to."""
+    tx = baskets.transactions(ds, FP.max_transactions)
+    _, _, mined = rules.mine_dataset(ds, FP)
+    return (mined.transform(tx).where(F.size("prediction") > 0)
+            .select("order_id", F.array_join("prediction", ",").alias("prediction")))
+
+
+@register("load_quarantine", O.load_quarantine())
+def _load_quarantine(ds):
+    """Orders written as CSV with some unreadable numbers, loaded with a report: the quarantined rows by column."""
+    spark = ds.orders.sparkSession
+    root, target = scratch_path(spark, "csv"), scratch_path(spark, "loaded")
+    spoiled = ds.orders.withColumns({
+        "order_dow": F.when(F.col("order_id") % 10 == 3, F.lit("day")).otherwise(F.col("order_dow").cast("string")),
+        "order_hour_of_day": F.when(F.col("order_id") % 15 == 3, F.lit("7h")).otherwise(F.col("order_hour_of_day").cast("string"))})
+    for name, df in (ds.tables() | {"orders": spoiled}).items():
+        df.write.option("header", True).csv(f"{root}/{ingest.CSV_FILES[name]}")
+    _, report = ingest.load_csv(spark, root, target)
+    rows = report.quarantine("orders")
+    return rows.select("order_id", F.array_join("columns", ",").alias("columns"), F.col("_raw.order_dow").alias("raw_dow"),
+                       F.col("_raw.order_hour_of_day").alias("raw_hour"), "order_dow", "order_hour_of_day",
+                       F.lit(report.counts["orders"]["order_dow"]).cast("long").alias("lost_dow"),
+                       F.lit(report.counts["orders"]["order_hour_of_day"]).cast("long").alias("lost_hour"))
+
+
 def queries() -> Dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 
