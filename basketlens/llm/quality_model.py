@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.quality_rules import measured, without
+from basketlens.llm.quality_rules import measured
 from basketlens.session import written
 
 TRAIN_ROWS = 20_000     # labelled rows the fit reads, by hash of the id
@@ -48,7 +48,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` (with ``text``) with one column per name in ``STATISTICS``; built-in functions only."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    share = lambda characters: (F.length(text) - F.length(without(text, characters))) / size
+    share = lambda characters: F.regexp_count(text, F.lit(f"[{characters}]")) / size
     n = F.greatest(F.col("n_words"), F.lit(1))
     lines = F.greatest(F.col("_n_lines"), F.lit(1))
     return (measured(docs)
@@ -57,9 +57,9 @@ def statistics(docs: DataFrame) -> DataFrame:
             .withColumn("symbol_ratio", F.least(F.col("n_symbols") / n, F.lit(4.0)))
             .withColumn("dup_line_ratio", F.col("n_dup_lines") / lines)
             .withColumn("repeat_ratio", F.col("n_repeat_words") / n)
-            .withColumn("upper_ratio", share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            .withColumn("upper_ratio", share("A-Z"))
             .withColumn("exclaim_ratio", share("!?") * 10)
-            .withColumn("digit_ratio", share("0123456789"))
+            .withColumn("digit_ratio", share("0-9"))
             .withColumn("stop_ratio", share(".,;:") * 10)
             .withColumn("line_words", F.log1p(F.col("n_words") / lines))
             .withColumn("distinct_ratio", F.size(F.array_distinct(F.split(text, " "))) / n))
