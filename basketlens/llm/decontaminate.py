@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.llm.graph import hash_bits, join_hot
 from basketlens.llm.text import WORDS, WordHashes, distinct, shingle_hashes, texts
 from basketlens.session import written
 
@@ -36,6 +37,7 @@ from basketlens.session import written
 SHIPPED_SHINGLES = 2_000_000   # item shingles that go to the tasks (16 MB, 24 MB more as entries); more are joined by a shuffle
 LEAST_PARTITION = 8            # upper size of the smallest partition
 PREFILTER_BITS = 20
+ENTRY_BITS = 25                # of the bitmap of entry hashes that goes to the tasks in the shuffled search: 4 MB
 
 PAIRS = "item_id {item}, n_item_shingles long, n_common long, containment double"
 
@@ -187,22 +189,30 @@ def _search_joined(docs: DataFrame, sets: DataFrame, n: int, percent: int, schem
                  pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())],
                 ["item_id", "upper", "h"])
 
+    entries = written(sets.mapInArrow(of_items, f"item_id {item_type}, upper int, h long"), "entries")
+    known_hashes = docs.sparkSession.sparkContext.broadcast(hash_bits(entries, "h", ENTRY_BITS))   # 4 MB, packed
+
     def of_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, wanted = WordHashes(), np.unpackbits(known_hashes.value, bitorder="little").view(bool)
         for batch, values in texts(batches, "text"):
+            rows, sizes, found = [], [], [np.empty(0, np.uint64)]
             for i, text in enumerate(values):
                 grams = _grams(text, n, known)
                 for upper in uppers:
                     parts = [signature(grams[s:s + 2 * upper], upper) for s in range(0, len(grams), upper)]
-                    entries = np.unique(np.concatenate(parts)) if parts else grams
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array([i] * len(entries), pa.int64())),
-                         pa.array([upper] * len(entries), pa.int32()), pa.array(entries.astype(np.int64))],
-                        ["doc_id", "upper", "h"])
-
-    entries = sets.mapInArrow(of_items, f"item_id {item_type}, upper int, h long")
-    windows = docs.mapInArrow(of_windows, f"doc_id {doc_type}, upper int, h long")
-    pairs = written(windows.join(entries, ["upper", "h"]).select("doc_id", "item_id").distinct(), "candidates")
+                    hashes = np.unique(np.concatenate(parts)) if parts else grams
+                    hashes = hashes[wanted[hashes & np.uint64((1 << ENTRY_BITS) - 1)]]
+                    rows += [i] * len(hashes)
+                    sizes += [upper] * len(hashes)
+                    found.append(hashes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()),
+                 pa.array(np.concatenate(found).astype(np.int64))], ["doc_id", "upper", "h"])
+
+    # few hashes of a text are an item's; what many texts share is split
+    key = F.struct("upper", "h").alias("key")
+    windows = written(docs.mapInArrow(of_windows, f"doc_id {doc_type}, upper int, h long").select("doc_id", key), "windows")
+    pairs = written(join_hot(windows, entries.select("item_id", key), "key").select("doc_id", "item_id").distinct(), "candidates")
     keyed = pairs.withColumnRenamed("doc_id", "_id")
     found = docs.join(keyed, docs["doc_id"].eqNullSafe(keyed["_id"])).drop("_id").withColumnRenamed("item_id", "_item")
     both = found.join(sets, found["_item"].eqNullSafe(sets["item_id"]))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.session import written
 
-HOT_ROWS = 1_000   # rows of one key that a join keeps together
+HOT_ROWS = 1_000      # rows of one key that a join keeps together
+BITMAP_BYTES = 4096   # fixed: what bitmap_construct_agg returns
 
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -31,6 +33,18 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") ->
     return dealt.join(copies, [key, "_part"], how).select(key, *carried, *added)
 
 
+def hash_bits(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Packed bits (little) of the low ``bits`` bits of the hashes in ``column``: ``2**bits / 8`` bytes, whatever the rows."""
+    page = 8 * BITMAP_BYTES
+    spot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    pages = (rows.select(F.floor(spot / page).cast("int").alias("page"), (spot % page).alias("bit"))
+             .groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    out = np.zeros(((1 << bits) // page, BITMAP_BYTES), np.uint8)
+    for row in pages.toLocalIterator():
+        out[row["page"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(fp, component) for the ends of ``links`` (a, b): the smallest reachable fp.
 
