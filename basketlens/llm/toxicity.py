@@ -100,10 +100,12 @@ def _select(train: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     """The features that toxic documents use far more often than others."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in texts(batches, "text"):
+            names, marks = [], []
             for toxic, text in zip(batch.column("toxic").to_pylist(), values):
                 found = {f for w in set(WORDS.findall(text.lower())) for f in word_features(w)}
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()),
-                                                  pa.array([toxic] * len(found), pa.int32())], ["feature", "toxic"])
+                names += found
+                marks += [toxic] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(marks, pa.int32())], ["feature", "toxic"])
 
     seen = (train.mapInArrow(run, "feature string, toxic int").groupBy("feature")
             .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")))

@@ -59,6 +59,20 @@ def test_decontamination_finds_planted_items(spark, shipped):
     assert len(expected) >= 7
 
 
+def test_decontamination_splits_shingles_of_many_texts(spark, monkeypatch):
+    """A passage of 400 texts is an item: its shingles are hot keys of the shuffled search; the pairs are the same."""
+    from basketlens.llm import graph
+    monkeypatch.setattr(graph, "HOT_ROWS", 20)
+    rng = random.Random(45)
+    passage = " ".join(random_words(rng, 30))
+    texts = [f"{' '.join(random_words(rng, rng.randrange(40)))} {passage if k % 4 else ''} w" for k in range(500)]
+    items = spark.createDataFrame([(0, passage), (1, passage + " one more"), (2, " ".join(random_words(rng, 12)))],
+                                  "item_id long, text string")
+    pairs = [sorted((r.doc_id, r.item_id, r.n_common) for r in decontaminate.contaminated(
+        docs(spark, texts), items, shipped_shingles=n).collect()) for n in (10 ** 9, 0)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) == 750
+
+
 def test_decontamination_of_long_items_and_memory_of_the_search(spark):
     """Items of 300 and 5,000 shingles, whole, edited and cut; two million shingles fit into 150 MB of arrays."""
     import tracemalloc
