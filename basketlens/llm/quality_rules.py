@@ -140,18 +140,18 @@ def _thresholds(counts: DataFrame, fence: float, floors: dict[str, float]) -> Da
                            .alias(f"{r}_above") for r, floor in floors.items()]
     named = lambda to: [F.col(f"{r}_{c}").alias(f"{r}_{c}_{to}") for r in floors for c in ("above", "fence")]
     overall = own.agg(*merged).select("*", *above(1))
-    overall = overall.select("*", *[_limit(r, fence, floor, [f"{r}_above"]).alias(f"{r}_fence")
-                                    for r, floor in floors.items()]).select(F.col("n").alias("n_overall"), *named("overall"))
+    overall = overall.select("*", *[F.when(F.col("n") > 0, _limit(r, fence, floor, [f"{r}_above"])).alias(f"{r}_fence")
+                                    for r, floor in floors.items()]).select(*named("overall"))
     by_lang = own.groupBy("lang").agg(*merged).select("*", *above(GROUP_ROWS)).crossJoin(overall)
     by_lang = by_lang.select(
-        F.col("lang").alias("_in"), "n_overall", *[f"{r}_above_overall" for r in floors], *[f"{r}_fence_overall" for r in floors],
+        F.col("lang").alias("_in"), *[f"{r}_above_overall" for r in floors], *[f"{r}_fence_overall" for r in floors],
         *[F.col(f"{r}_above").alias(f"{r}_above_lang") for r in floors],
         *[F.when(F.col("n") >= GROUP_ROWS, _limit(r, fence, floor, [f"{r}_above", f"{r}_above_overall"]))
           .alias(f"{r}_fence_lang") for r, floor in floors.items()])
     rows = own.select("*", *above(GROUP_ROWS)).join(by_lang, F.col("lang").eqNullSafe(F.col("_in")))
     limits = []
     for r, floor in floors.items():
-        usual = F.coalesce(f"{r}_fence_lang", F.when(F.col("n_overall") > 0, F.col(f"{r}_fence_overall")))
+        usual = F.coalesce(f"{r}_fence_lang", f"{r}_fence_overall")
         mine = _limit(r, fence, floor, [f"{r}_above", f"{r}_above_lang", f"{r}_above_overall"])
         limits.append(F.when(F.col("n") < GROUP_ROWS, usual)
                       .when((q(r, MIXED[0]) <= usual) & (q(r, MIXED[1]) > usual), F.least(mine, usual))
