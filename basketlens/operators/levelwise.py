@@ -24,7 +24,7 @@ their C(k, n) subsets is the cost.
 from __future__ import annotations
 
 import math
-from typing import Callable, Iterable, Iterator, List, Optional
+from typing import Callable, Dict, Iterable, Iterator, List, Optional, Union
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +43,24 @@ CHUNK_ROWS = 2              # chunks a task receives at a time
 
 # -- chunks ---------------------------------------------------------------------
 
-def chunk_table(lines: DataFrame, basket: str, item: str, baskets: int, items: int) -> DataFrame:
-    """``(items, words, bitmaps)``, one row per chunk of baskets; ids are longs."""
+def chunk_table(lines: DataFrame, basket: str, item: str, baskets: Union[int, Dict[int, int]], items: int,
+                power: Optional[str] = None) -> DataFrame:
+    """``(items, words, bitmaps, power)``, one row per chunk of baskets; ids are longs.
+
+    ``power`` is a column of the basket: a chunk holds baskets of one value of
+    it, and ``baskets`` is their number by value (without it, just a number).
+    """
     size = max(64, min(CHUNK_BASKETS, 8 * CHUNK_BYTES // max(1, items)))
-    chunk = F.pmod(F.xxhash64(basket), F.lit(max(1, math.ceil(baskets / size))))
-    rows = (lines.select(chunk.alias("chunk"), F.col(basket).cast("long").alias("basket"),
+    groups = sorted(baskets.items()) if power else [(0, baskets)]
+    counts = [max(1, math.ceil(count / size)) for _, count in groups]
+    powers = np.repeat(np.array([value for value, _ in groups], np.int32), counts)
+    chunk = F.pmod(F.xxhash64(basket), F.lit(counts[0]))
+    if power:
+        chunk, start = F.lit(None).cast("long"), 0
+        for (value, _), count in zip(groups, counts):
+            chunk = F.when(F.col(power) == value, start + F.pmod(F.xxhash64(basket), F.lit(count))).otherwise(chunk)
+            start += count
+    rows = (lines.select(chunk.cast("long").alias("chunk"), F.col(basket).cast("long").alias("basket"),
                          F.col(item).cast("long").alias("item"))
             .repartition("chunk").sortWithinPartitions("chunk", "basket"))
 
@@ -60,18 +73,18 @@ def chunk_table(lines: DataFrame, basket: str, item: str, baskets: int, items: i
                 if start == stop:
                     continue
                 if chunks[start] != name and held:
-                    yield _chunk(held)
+                    yield _chunk(held, powers[name])
                     held = []
                 name = chunks[start]
                 held.append((baskets[start:stop], ids[start:stop]))
         if held:
-            yield _chunk(held)
+            yield _chunk(held, powers[name])
 
     with arrow_rows(lines.sparkSession, 10_000):
-        return written(rows.mapInArrow(run, "items binary, words int, bitmaps binary"), "chunks")
+        return written(rows.mapInArrow(run, "items binary, words int, bitmaps binary, power int"), "chunks")
 
 
-def _chunk(held: list) -> pa.RecordBatch:
+def _chunk(held: list, power: int) -> pa.RecordBatch:
     baskets, ids = (np.concatenate(c) for c in zip(*held))
     place = np.concatenate([[0], np.cumsum(baskets[1:] != baskets[:-1])])
     items, row = np.unique(ids, return_inverse=True)
@@ -83,7 +96,7 @@ def _chunk(held: list) -> pa.RecordBatch:
     bitmaps[spots] = np.bitwise_or.reduceat(np.uint64(1) << (place[order] % 64).astype(np.uint64), first)
     return pa.RecordBatch.from_arrays(
         [pa.array([items.astype(np.int64).tobytes()], pa.binary()), pa.array([words], pa.int32()),
-         pa.array([bitmaps.tobytes()], pa.binary())], ["items", "words", "bitmaps"])
+         pa.array([bitmaps.tobytes()], pa.binary()), pa.array([power], pa.int32())], ["items", "words", "bitmaps", "power"])
 
 
 def count_in_chunk(sets: np.ndarray, items: np.ndarray, bitmaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
-from basketlens.operators.cooccur import basket_profile, join_baskets, pinned_supports
+from basketlens.operators.cooccur import BasketProfile, basket_profile, join_baskets, pinned_supports
 from basketlens.operators.levelwise import CHUNK_ROWS, chunk_table
 from basketlens.session import arrow_rows, written
 
 LOOKUP_ORDERS = 1_000     # order ids that a scan is asked for
 # Engineering limits of the many-user form.
-OWNED_ROWS = 1 << 21      # (user, owned item) rows that go to the tasks at a time (32 MB)
+OWNED_ROWS = 1 << 18      # owned items of the classes in a block (2 MB)
 HELD_BYTES = 128 << 20    # bitmaps a task works on together
 SUM_CELLS = 1 << 22       # sums (users x items) a task holds at a time (32 MB)
 
@@ -87,74 +87,126 @@ def for_user(ds: Dataset, user_id: int, n: int = 10) -> DataFrame:
 def for_users(ds: Dataset, users: DataFrame, n: int = 10) -> DataFrame:
     """Many-user form of O22: ``users`` holds a ``user_id`` column (all users will do).
 
-    The orders are dealt into chunks, one row each, with a bitmap of orders for
-    every item (``levelwise.chunk_table``).  The owned items of the users go to
-    the tasks, in parts of ``OWNED_ROWS`` rows.  In a chunk the orders that
-    touch a user are the OR of the bitmaps of the owned items, and the strength
-    of a candidate is the number of those orders in its own bitmap; strengths
-    add up over chunks.  So no (user, order) row exists, and an order that
-    touches every user, or an item in a third of all orders, is one bit or one
-    bitmap as any other.  What is shuffled are sums per (user, candidate) and
-    task; of those a task keeps the ``n`` best of a user before ranking.
+    Users who own the same items get the same answer, so the work is done once
+    for each class of them, named by its smallest user.  Equal orders are
+    counted once too (``_weighted_orders``).  The orders are dealt into chunks,
+    one row each, with a bitmap of orders for every item
+    (``levelwise.chunk_table``), the classes into blocks of ``OWNED_ROWS``
+    owned items, and every block meets every chunk in some task of a grid.  In
+    a chunk the orders that touch a class are the OR of the bitmaps of the
+    owned items, and the strength of a candidate is the number of those orders
+    in its own bitmap; strengths add up over chunks.  So no (user, order) row
+    exists, an order that touches every user, or an item in a third of all
+    orders, is one bit or one bitmap as any other, and nothing that grows with
+    the users or the orders passes the driver.  Where neither owned sets nor
+    orders repeat, the work is one bit operation per class, order and item.
     """
     lines = ds.order_products_prior.select("order_id", "product_id").where(
         F.col("product_id").isNotNull() & F.col("order_id").isNotNull())
     profile = basket_profile(ds.order_products_prior)
     user_orders = (ds.orders.join(users.select("user_id").distinct(), "user_id", "left_semi")
                    .select("order_id", "user_id").distinct())
-    owned = written(join_baskets(lines, user_orders, profile=profile)
-                    .select("user_id", "product_id").distinct(), "owned")
-    items = pinned_supports(ds.order_products_prior).count()
-    chunks = chunk_table(lines, "order_id", "product_id", profile.baskets, items)
-    cands = _strengths(chunks, owned).join(_dims(ds), "product_id")
-    best = Window.partitionBy("user_id").orderBy(F.col("association_strength").desc(), "product_id")
+    sets = written(join_baskets(lines, user_orders, profile=profile).select("user_id", "product_id").distinct()
+                   .groupBy("user_id").agg(F.sort_array(F.collect_list("product_id")).alias("owned")), "owned")
+    classes = written(sets.groupBy("owned").agg(F.min("user_id").alias("class_id")), "classes")
+    members = written(sets.join(classes, "owned").select("user_id", "class_id"), "members")
+    cands = _strengths(_weighted_orders(ds, lines, profile), classes).join(_dims(ds), "product_id")
+    best = Window.partitionBy("class_id").orderBy(F.col("association_strength").desc(), "product_id")
     kept = cands.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= n)
     # the rank of a kept row depends on rows of higher strength only, which are kept too
-    w = Window.partitionBy("user_id").orderBy(F.col("association_strength").desc())
-    return kept.select("user_id", "product_name", "product_id", "aisle", "department",
-                       "association_strength", F.rank().over(w).alias("rank"))
+    w = Window.partitionBy("class_id").orderBy(F.col("association_strength").desc())
+    ranked = written(kept.withColumn("rank", F.rank().over(w)), "ranked")
+    return members.join(ranked, "class_id").select("user_id", "product_name", "product_id", "aisle", "department",
+                                                   "association_strength", "rank")
+
 
+def _weighted_orders(ds: Dataset, lines: DataFrame, profile: BasketProfile) -> DataFrame:
+    """Chunks of the orders, in which a row stands for ``2 ** power`` orders of the same items.
 
-def _strengths(chunks: DataFrame, owned: DataFrame) -> DataFrame:
-    """(user_id, product_id, association_strength) of all items that a user doesn't own."""
-    total = owned.count()
-    parts = max(1, math.ceil(2 * total / OWNED_ROWS)) if total > OWNED_ROWS else 1
-    context, sums = owned.sparkSession.sparkContext, None
-    schema = "user_id long, product_id long, c long"
-    with arrow_rows(owned.sparkSession, CHUNK_ROWS):
-        for part in range(parts):
-            some = owned.where(F.pmod(F.xxhash64("user_id"), F.lit(parts)) == part)
-            table = some.toArrow()                                   # half of OWNED_ROWS on average
-            pairs = np.stack([table.column(c).to_numpy() for c in ("user_id", "product_id")])
-            pairs = pairs[:, np.lexsort(pairs[::-1])]
-            found = chunks.mapInArrow(_touching(context.broadcast(pairs)), schema)
-            sums = found if sums is None else sums.unionByName(found)
-        return written(sums.groupBy("user_id", "product_id").agg(F.sum("c").alias("association_strength")), "sums")
-
-
-def _touching(shipped):
-    """Per task the strengths of all candidates of all users over the chunks it holds."""
+    So many equal orders are as many rows as their number has binary digits 1,
+    never more than there are orders.  Oversized orders are rows of their own.
+    """
+    items = pinned_supports(ds.order_products_prior).count()
+    split = profile.oversized
+    normal = lines if split is None else lines.join(split.select("order_id"), "order_id", "left_anti")
+    equal = (normal.groupBy("order_id").agg(F.sort_array(F.collect_set("product_id")).alias("_items"))
+             .groupBy("_items").agg(F.count(F.lit(1)).alias("_times")))
+    digits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.bit_get("_times", b) == 1)
+    rows = written(equal.select("_items", F.explode(digits).alias("power"))
+                   .withColumn("row", F.monotonically_increasing_id()), "equal-orders")
+    counts = {r["power"]: r["count"] for r in rows.groupBy("power").count().collect()}      # 63 at most
+    chunks = chunk_table(rows.select("power", "row", F.explode("_items").alias("product_id")), "row", "product_id",
+                         counts or {0: 0}, items, "power")
+    if split is None:
+        return chunks
+    large = lines.join(split.select("order_id"), "order_id")
+    return chunks.unionByName(chunk_table(large, "order_id", "product_id", split.count(), items))
+
+
+def _blocks(classes: DataFrame) -> DataFrame:
+    """``(block, classes, sizes, owned)``: about ``OWNED_ROWS`` owned items of some classes in a row; written."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        users, products = shipped.value
-        bounds = np.flatnonzero(np.append(True, users[1:] != users[:-1])) if len(users) else np.empty(0, np.int64)
-        ends = np.append(bounds[1:], len(users))
-        held, size = [], 0
         for batch in batches:
-            for items, words, bitmaps in zip(*(batch.column(c) for c in ("items", "words", "bitmaps"))):
-                held.append(_Orders(items.as_py(), words.as_py(), bitmaps.as_py()))
-                size += len(held[-1].bitmaps) * words.as_py() * 8
-                if size >= HELD_BYTES:
-                    yield from _sums(held, users, products, bounds, ends)
-                    held, size = [], 0
-        if held:
-            yield from _sums(held, users, products, bounds, ends)
-    return run
+            ids, owned = batch.column("class_id").to_numpy(), batch.column("owned")
+            sizes = owned.value_lengths().to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes)
+            flat = owned.flatten().to_numpy()
+            part = (ends - sizes) // OWNED_ROWS
+            bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+            for start, stop in zip(bounds, [*bounds[1:], len(part)]):
+                pieces = (ids[start:stop], sizes[start:stop], flat[ends[start] - sizes[start]:ends[stop - 1]])
+                yield pa.RecordBatch.from_arrays([pa.array([p.astype(np.int64).tobytes()], pa.binary()) for p in pieces],
+                                                 ["classes", "sizes", "owned"])
+
+    with arrow_rows(classes.sparkSession, 10_000):
+        return written(classes.mapInArrow(run, "classes binary, sizes binary, owned binary")
+                       .withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def _strengths(chunks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class_id, product_id, association_strength) of all items that a class doesn't own.
+
+    A cell of the grid is a block and one of ``groups`` parts of the chunks;
+    there are more groups where few blocks would leave tasks idle.
+    """
+    spark, blocks = classes.sparkSession, _blocks(classes)
+    count, tasks = blocks.count(), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, math.ceil(2 * tasks / max(1, count)))
+    every = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    part = F.pmod(F.xxhash64("power", "bitmaps"), F.lit(groups)).cast("int")
+    met = chunks.withColumn("group", part).crossJoin(blocks.select("block"))
+    cells = (every.unionByName(met, allowMissingColumns=True).withColumn("_later", F.col("bitmaps").isNotNull())
+             .repartition(max(tasks, count * groups), "block", "group").sortWithinPartitions("block", "group", "_later"))
+    with arrow_rows(spark, CHUNK_ROWS):
+        sums = cells.mapInArrow(_touching, "class_id long, product_id long, c long")
+        return written(sums.groupBy("class_id", "product_id").agg(F.sum("c").alias("association_strength")), "sums")
+
+
+def _touching(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per cell the strengths of all candidates of the block's classes over its chunks."""
+    block, held, size = None, [], 0
+    for batch in batches:
+        for row in batch.select(["classes", "sizes", "owned", "items", "words", "bitmaps", "power"]).to_pylist():
+            if row["classes"] is not None:
+                if held:
+                    yield from _sums(held, *block)
+                block = [np.frombuffer(row[c], np.int64) for c in ("classes", "sizes", "owned")]
+                held, size = [], 0
+                continue
+            held.append(_Orders(row["items"], row["words"], row["bitmaps"], row["power"]))
+            size += held[-1].bitmaps.nbytes
+            if size >= HELD_BYTES:
+                yield from _sums(held, *block)
+                held, size = [], 0
+    if held:
+        yield from _sums(held, *block)
 
 
 class _Orders:
     """A chunk of orders: bitmaps per item, and the lines by item for items that are in few of them."""
 
-    def __init__(self, items: bytes, words: int, bitmaps: bytes):
+    def __init__(self, items: bytes, words: int, bitmaps: bytes, power: int):
+        self.power = power
         self.items = np.frombuffer(items, np.int64)
         self.bitmaps = np.frombuffer(bitmaps, np.uint64).reshape(len(self.items), words)
         counts = np.bitwise_count(self.bitmaps).sum(axis=1, dtype=np.int64)
@@ -173,18 +225,19 @@ class _Orders:
         touched = np.bitwise_or.reduce(self.bitmaps[place], axis=0)
         if self.by_line:
             bits = np.unpackbits(touched.view(np.uint8), bitorder="little")
-            return np.add.reduceat(bits[self.order], self.starts, dtype=np.int64)
-        return np.bitwise_count(self.bitmaps & touched).sum(axis=1, dtype=np.int64)
+            return np.add.reduceat(bits[self.order], self.starts, dtype=np.int64) << self.power
+        return np.bitwise_count(self.bitmaps & touched).sum(axis=1, dtype=np.int64) << self.power
 
 
-def _sums(held: list, users: np.ndarray, products: np.ndarray, bounds: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sums(held: list, classes: np.ndarray, sizes: np.ndarray, products: np.ndarray) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(sizes)
     every = np.unique(np.concatenate([h.items for h in held]))
     places = [np.searchsorted(every, h.items) for h in held]
     block = max(1, SUM_CELLS // len(every))
-    for first in range(0, len(bounds), block):
-        sums = np.zeros((min(block, len(bounds) - first), len(every)), np.int64)
+    for first in range(0, len(classes), block):
+        sums = np.zeros((min(block, len(classes) - first), len(every)), np.int64)
         for k in range(len(sums)):
-            owned = products[bounds[first + k]:ends[first + k]]
+            owned = products[ends[first + k] - sizes[first + k]:ends[first + k]]
             for orders, place in zip(held, places):
                 found = orders.strengths(owned)
                 if found is not None:
@@ -194,5 +247,5 @@ def _sums(held: list, users: np.ndarray, products: np.ndarray, bounds: np.ndarra
             sums[k, mine] = 0
         row, item = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(users[bounds[first + row]]), pa.array(every[item]), pa.array(sums[row, item])],
-            ["user_id", "product_id", "c"])
+            [pa.array(classes[first + row]), pa.array(every[item]), pa.array(sums[row, item])],
+            ["class_id", "product_id", "c"])

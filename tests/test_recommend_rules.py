@@ -122,3 +122,24 @@ def test_predictions_equal_brute_force_without_a_shuffle(spark, monkeypatch, lim
     if not limits:
         plan = mined.transform(spark.range(9).select(F.array(F.lit("i1")).alias("items")))._jdf.queryExecution().executedPlan()
         assert "Exchange" not in plan.toString() and "Join" not in plan.toString()
+
+
+def test_equal_orders_and_users_count_once_each_and_nothing_passes_the_driver(spark, monkeypatch):
+    """37 equal orders of 41 users: three weighted rows and one class; no table of users or orders is collected."""
+    def orders_of(u):
+        return [(3 * u, {1, 2}), (3 * u + 1, {2, 3, 4})] if u < 37 else [(3 * u, {2, 4, 5}), (3 * u + 1, {u})]
+
+    carts = [(o, u, items) for u in range(41) for o, items in orders_of(u)]
+    lines = {(o, p) for o, _, items in carts for p in items}
+    ds = make_ds(spark, orders=[(o, u, "prior", 0, 0) for o, u, _ in carts], lines=[(o, p, 1, 0) for o, p in lines],
+                 products=[(p, f"p{p}", "1", "1") for p in {p for _, p in lines}])
+    chunks = recommend._weighted_orders(ds, ds.order_products_prior.select("order_id", "product_id"),
+                                        recommend.basket_profile(ds.order_products_prior))
+    rows = sum(r["words"] > 0 and (1 << r["power"]) * bin(int.from_bytes(b"".join(
+        bytes(x) for x in [r["bitmaps"]]), "little")).count("1") for r in chunks.collect())
+    assert rows == len(lines) and {r["power"] for r in chunks.collect()} == {0, 2, 5}
+    monkeypatch.setattr(type(ds.orders), "toArrow", None)
+    got = {}
+    for r in recommend.for_users(ds, ds.orders.select("user_id"), 100).collect():
+        got.setdefault(r.user_id, {})[r.product_id] = r.association_strength
+    assert got == plain_strengths([(u, o) for o, u, _ in carts], lines)
