@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from typing import Optional
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
 from basketlens.functions import labels as L
 from basketlens.functions import metrics as M
+from basketlens.operators.cooccur import pinned
 
 DEFAULT_DIGITS = {"avg_items": 2, "avg_departments": 2, "avg_aisles": 2,
                   "diversity_ratio": 3, "pct_of_total": 2}
@@ -19,19 +20,26 @@ def basket_stats(ds: Dataset) -> DataFrame:
     """Per prior order (products with numeric department and aisle ids only):
     distinct items, departments and aisles.
 
-    One shuffle on ``order_id``: the distinct item count is planned as a
-    partial aggregation on (order, product); the department and aisle sets are
-    bounded by the size of those dimensions.
+    The departments and aisles of a product are one row of a written table, so
+    a line meets one row of it.  The lines are parted by ``order_id`` once, for
+    the join with the orders; the distinct (order, product) and the counts are
+    formed where they lie then.  What is collected per order are sets of
+    departments and aisles, bounded by the size of those dimensions.
     """
-    valid = ds.products.where(
+    valid = pinned(ds.products.where(
         F.col("department_id").try_cast("bigint").isNotNull()
         & F.col("aisle_id").try_cast("bigint").isNotNull()
-    ).select("product_id", "department_id", "aisle_id")
-    lines = ds.prior_lines_of_prior_orders().select("order_id", "product_id").join(valid, "product_id")
+    ).groupBy("product_id").agg(F.sort_array(F.collect_set("department_id")).alias("_departments"),
+                                F.sort_array(F.collect_set("aisle_id")).alias("_aisles")))
+    lines = ds.prior_lines_of_prior_orders().select("order_id", "product_id").join(valid, "product_id").distinct()
+
+    def different(sets: str) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.collect_set(sets))))
+
     return lines.groupBy("order_id").agg(
-        F.count_distinct("product_id").alias("total_items"),
-        F.size(F.collect_set("department_id")).alias("unique_departments"),
-        F.size(F.collect_set("aisle_id")).alias("unique_aisles"),
+        F.count(F.lit(1)).alias("total_items"),
+        different("_departments").alias("unique_departments"),
+        different("_aisles").alias("unique_aisles"),
     )
 
 

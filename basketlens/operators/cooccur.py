@@ -19,7 +19,7 @@ Plan (two shuffles of line-sized data for any n):
    (shuffle 2), so a very common set never piles up in one task.
 
 Pairs in very many baskets: those whose hash bucket can't reach the count are
-dropped between 4 and 5 (``pair_filter``).
+dropped between 4 and 5 (``pair_filter``), if there are too many different ones.
 
 A condition on the members (a name that matches, different departments) is
 carried as a ``tag`` of each item and tested between 4 and 5, so sets that fail
@@ -272,7 +272,8 @@ def itemset_counts(lines: DataFrame, n: int, *, basket: str = "order_id",
                    count_col: str = "count", row_items: Optional[int] = None,
                    chunk: Optional[int] = None, profile_lines: Optional[DataFrame] = None,
                    item_counts: Optional[DataFrame] = None, tag: Optional[str] = None,
-                   keep: Optional[Callable[[List[Column]], Column]] = None) -> DataFrame:
+                   keep: Optional[Callable[[List[Column]], Column]] = None,
+                   known: Optional[DataFrame] = None) -> DataFrame:
     """``(keys..., item_1 < ... < item_n, count_col)``: distinct baskets per set.
 
     ``keys`` must be functions of the basket (e.g. its time slot); counts are
@@ -281,12 +282,17 @@ def itemset_counts(lines: DataFrame, n: int, *, basket: str = "order_id",
     (these lines or a superset, default these); ``item_counts`` -- (keys, item,
     count) over these lines, reused for pruning.  ``tag`` is a column that
     depends on the item; only sets whose member tags satisfy ``keep`` count.
+    ``known`` -- a small table with a row for every item of lines that are not
+    pruned here; it tells how many different pairs there can be.
     """
     n = check_itemset_size(n)
     keys = list(keys)
     base = lines.where(F.col(item).isNotNull())
     if prune and min_count > 1:
-        base = frequent_only(base, basket, item, keys, min_count, item_counts)
+        if item_counts is None:
+            item_counts = pinned(item_supports(base, basket, item, keys=keys))
+        count = [c for c in item_counts.columns if c not in (*keys, item)][0]
+        base, known = frequent_only(base, basket, item, keys, min_count, item_counts), item_counts.where(F.col(count) >= min_count)
     member = F.col(item) if tag is None else F.struct(F.col(item).alias("item"), F.col(tag).alias("tag"))
     base = base.select(*keys, basket, member.alias("_item"))
 
@@ -297,7 +303,9 @@ def itemset_counts(lines: DataFrame, n: int, *, basket: str = "order_id",
         combos = (combos.where(keep([F.col(f"{m}.tag") for m in member_names(n)]))
                   .select(*keys, *[F.col(f"{m}.item").alias(m) for m in member_names(n)]))
 
-    if n == 2 and min_count > 1 and pair_filter.worth_it(expanded_sets(sized, 2, basket)[0], min_count):
+    if (n == 2 and min_count > 1 and pair_filter.worth_it(expanded_sets(sized, 2, basket)[0], min_count)
+            and (known is None or pair_filter.different_pairs(known, [k for k in keys if k in known.columns])
+                 > pair_filter.COUNTED_PAIRS)):
         combos = pair_filter.possibly_frequent(combos, [*keys, *member_names(2)], expanded_sets(sized, 2, basket)[0], min_count)
     counts = combos.groupBy(*keys, *member_names(n)).agg(F.count(F.lit(1)).alias(count_col))
     if min_count > 1:

@@ -66,7 +66,8 @@ def counted_sets(ds: Dataset, n: int, min_co: int, count_col: str = "co_occurren
         sets = _by_levels(ds, known_lines, tagged, n, min_co, count_col, pattern is not None)
     else:
         sets = itemset_counts(known_lines, n, min_count=min_co, prune=False, count_col=count_col,
-                              profile_lines=lines, tag="_hit", keep=lambda hits: reduce(or_, hits))
+                              profile_lines=lines, tag="_hit", keep=lambda hits: reduce(or_, hits),
+                              known=tagged)
     return with_members(sets, n, supports, "product_id", {"support_count": "_s{i}"})
 
 

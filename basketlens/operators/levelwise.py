@@ -217,7 +217,7 @@ def frequent_levels(lines: DataFrame, min_count: int, max_size: Optional[int] =
         return levels
     frequent = lines.join(single.select(F.col("item_1").alias(item)), item, "left_semi")
     pairs = itemset_counts(frequent, 2, basket=basket, item=item, min_count=min_count, prune=False, count_col=count_col,
-                           profile_lines=lines if profile_lines is None else profile_lines)
+                           profile_lines=lines if profile_lines is None else profile_lines, known=single)
     if max_size == 2 and last:
         pairs = last(pairs, member_names(2))
     levels.append(written(pairs, "level-2"))

@@ -8,6 +8,9 @@ bucket whose sum over the tasks stays below ``min_count`` holds no frequent
 pair.  The buckets that reach it become a bitmap of bounded size, and pairs of
 other buckets are dropped where they are made.  The rows that remain, and the
 counts, are those of all pairs that can be frequent, so results are the same.
+
+Few items make few different pairs, which a task counts without handing on more
+than one row for each: up to ``COUNTED_PAIRS`` there is no first pass.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from basketlens.session import written
 
 # Engineering limits.
 FILTER_FROM = 20_000_000                      # pairs of all baskets from which on a first pass pays
+COUNTED_PAIRS = 1 << 20                       # different pairs that a task counts and hands on without one
 LEAST_BUCKET_BITS, MOST_BUCKET_BITS = 16, 24  # of a task's counters: 64 MB at most; the bitmap has 2 MB at most
 PAGE_BUCKETS = 1 << 15                        # fixed: what a bitmap page holds
 
@@ -34,6 +38,12 @@ def bucket_bits(pairs: float, min_count: int) -> int:
     return min(MOST_BUCKET_BITS, max(LEAST_BUCKET_BITS, math.ceil(math.log2(max(1.0, 4 * pairs / min_count)))))
 
 
+def different_pairs(items: DataFrame, keys: Sequence[str]) -> float:
+    """How many pairs the items of (keys, item) can make, each key group for itself."""
+    groups = items.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+
+
 def worth_it(pairs: float, min_count: int) -> bool:
     """Enough pairs, and buckets that are not full of pairs that have nothing in common."""
     return min_count > 1 and pairs >= FILTER_FROM and pairs / (1 << bucket_bits(pairs, min_count)) < min_count
@@ -49,8 +59,11 @@ def frequent_buckets(pairs: DataFrame, columns: Sequence[str], bits: int, min_co
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             np.add.at(counts, batch.column("bucket").to_numpy(), 1)
-        pages = np.minimum(counts, min_count).astype("<u4").reshape(-1, PAGE_BUCKETS)
-        for page in np.flatnonzero(pages.any(axis=1)).tolist():
+        np.minimum(counts, min_count, out=counts)                  # in place: the counters are most of a task's memory
+        pages = counts.astype("<u4", copy=False).reshape(-1, PAGE_BUCKETS)
+        for page in range(len(pages)):
+            if not pages[page].any():
+                continue
             yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([zlib.compress(pages[page].tobytes(), 1)])],
                                              ["page", "counts"])
 

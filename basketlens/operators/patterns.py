@@ -183,7 +183,7 @@ def cross_department(ds: Dataset, min_lift: float = 2.5, min_count: int = 30,
         kept = items if some is None else items.join(some, "product_id", "left_semi")
         sets = itemset_counts(prior.join(kept.drop("support_count"), "product_id"), 2, min_count=min_count, prune=False,
                               count_col="pair_count", profile_lines=prior, tag="department_id",
-                              keep=lambda dept: dept[0] != dept[1])
+                              keep=lambda dept: dept[0] != dept[1], known=kept)
         sets = with_members(sets, 2, supports, "product_id", {"support_count": "_s{i}"})
         raw_lift = M.lift("pair_count", F.lit(total), ["_s1", "_s2"])
         return sets.where(F.round(raw_lift, 2) > F.lit(min_lift)).select(

@@ -186,3 +186,19 @@ def written_ranges(ds):
     finally:
         patterns.written = kept
     return list(seen.values())
+
+
+def test_basket_stats_part_the_lines_once(spark):
+    """Lines and product rows that come twice, products of two departments; no sets per (order, product)."""
+    ds = make_ds(spark, orders=[(o, 1, "prior", 0, 0) for o in (1, 2, 3)] + [(4, 1, "train", 0, 0)],
+                 lines=[(1, 1, 1, 0), (1, 1, 2, 0), (1, 2, 3, 0), (2, 3, 1, 0), (2, None, 2, 0), (3, 4, 1, 0), (4, 1, 1, 0)],
+                 products=[(1, "a", "1", "1"), (1, "a", "1", "1"), (1, "b", "2", "1"), (2, "c", "2", "2"), (3, "d", "x", "1"),
+                           (3, "e", "3", "3"), (4, "f", "x", "1"), (None, "g", "1", "1")])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stats = composition.basket_stats(ds)
+        assert {tuple(r) for r in stats.collect()} == {(1, 2, 2, 2), (2, 1, 1, 1)}
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ObjectHashAggregate(") <= 2      # sets are merged once, not per (order, product) too
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -80,3 +80,29 @@ def test_when_it_pays():
     assert pair_filter.worth_it(3 * 10 ** 8, 50)
     assert not pair_filter.worth_it(3 * 10 ** 8, 2)            # buckets would be full of rare pairs
     assert pair_filter.bucket_bits(10, 5) == 16 and pair_filter.bucket_bits(10 ** 12, 5) == 24
+
+
+def test_no_first_pass_for_few_items(spark, monkeypatch):
+    """However many pairs there are: few items make few different ones, counted per key group."""
+    monkeypatch.setattr(pair_filter, "FILTER_FROM", 1)
+    passes = []
+    real = pair_filter.possibly_frequent
+    monkeypatch.setattr(pair_filter, "possibly_frequent", lambda *a: passes.append(1) or real(*a))
+    baskets = sparse_baskets(4, 200)
+    runs = {"pairs": lambda ds: itemsets.pairs(ds, 4, None, digits=None),
+            "directed": lambda ds: itemsets.pairs_directed(ds, "item1", 3, None),
+            "cross": lambda ds: patterns.cross_department(ds, 0.1, 2),
+            "temporal": lambda ds: patterns.temporal(ds, 2, 2, None, "Morning (6-11am)")}
+    for name, run in runs.items():
+        found = []
+        for most in (1 << 20, 0):
+            monkeypatch.setattr(pair_filter, "COUNTED_PAIRS", most)
+            ds = make_ds(spark, baskets, orders=[(b, 1, "prior", b % 7, b % 24) for b in baskets],
+                         products=[(p, f"item{p}", "1", str(p % 2)) for p in range(4000)],
+                         departments=[(0, "zero"), (1, "one")])
+            passes.clear()
+            found.append(sorted(map(str, run(ds).collect())))
+            assert bool(passes) == (most == 0), name
+        assert found[0] == found[1], name
+    items = spark.createDataFrame([(1, i) for i in range(5)] + [(2, i) for i in range(3)], "slot int, product_id long")
+    assert pair_filter.different_pairs(items, ["slot"]) == 13 and pair_filter.different_pairs(items.limit(0), []) == 0
