@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from basketlens.config import check_itemset_size
 from basketlens.dataset import Dataset
 from basketlens.functions import metrics as M
-from basketlens.operators.cooccur import (basket_profile, item_supports, itemset_counts,
-                                          member_names, pinned, top_rows, with_members)
+from basketlens.operators.cooccur import (basket_profile, itemset_counts, member_names,
+                                          pinned, top_rows, with_members)
 from basketlens.session import written
 
 
@@ -34,12 +34,19 @@ def department_baskets(ds: Dataset) -> DataFrame:
                    .select("order_id", "department").distinct(), "departments")
 
 
+def _holding(lines: DataFrame) -> DataFrame:
+    """(department, _holding): the baskets of each department; the lines of ``department_baskets`` are distinct."""
+    return pinned(lines.where(F.col("department").isNotNull()).groupBy("department")
+                  .agg(F.count("order_id").alias("_holding")))
+
+
 def associations(ds: Dataset, n: int = 2, min_co: int = 1000, limit: Optional[int] = 50,
                  digits: Optional[int] = 2) -> DataFrame:
     """Department n-sets with co >= ``min_co``; ``support_pct`` = co * 100 / baskets."""
     n = check_itemset_size(n)
     lines = department_baskets(ds)
-    sets = itemset_counts(lines, n, item="department", min_count=min_co, count_col="co_occurrence")
+    sets = itemset_counts(lines, n, item="department", min_count=min_co, count_col="co_occurrence",
+                          item_counts=_holding(lines) if min_co > 1 else None)
     depts = [f"dept_{i}" for i in range(1, n + 1)]
     out = sets.select(
         *[F.col(m).alias(d) for m, d in zip(member_names(n), depts)], "co_occurrence",
@@ -54,7 +61,7 @@ def pairs_with_confidence(ds: Dataset, min_co_exclusive: int = 1000, limit: Opti
     co / baskets holding dept1."""
     digits = digits or {}
     lines = department_baskets(ds)
-    per_dept = pinned(item_supports(lines, item="department", name="_holding"))
+    per_dept = _holding(lines)
     sets = itemset_counts(lines, 2, item="department", min_count=min_co_exclusive + 1,
                           count_col="co_occurrence", item_counts=per_dept)
     sets = with_members(sets, 1, per_dept, "department", {"_holding": "_holding"})

@@ -14,7 +14,8 @@ window -- and therefore splits across the cluster however skewed the keys are:
 * lines: one row per (order, item); ``add_to_cart_order`` = the smallest
   ``l_linenumber`` of the item in the order (ties between items are possible,
   as in dirty cart data); ``reordered`` = 1 when the user bought the item in an
-  earlier order, found with ``min(struct)`` per (user, item)
+  earlier order: the rank of the order among those of (user, item) is above 1.
+  A window holds what one user did with one item: a row for each order at most
 
 ``dirty=True`` replaces the department id of products whose id is a multiple
 of 10, and the aisle id of multiples of 15, with the product name (text that is
@@ -24,14 +25,13 @@ not a number) to exercise the ``try_cast`` paths.
 department ``p_type``, aisle ``p_brand``): sparse baskets, and names that many
 items share.
 
-The lines are computed once and written, parted by ``eval_set``; both line
-tables read that.  So are the lines without ``reordered``, which both sides of
-the last join read.
+The orders are computed once and written, as their lines and many analyses meet
+them again.  So are the lines, parted by ``eval_set``; both line tables read that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
@@ -85,25 +85,22 @@ def from_tpch(spark: SparkSession, sf_dir: str, dirty: bool = False, grain: str
     )
     last = raw_orders.groupBy("user_id").agg(
         F.max(F.struct("order_ts", "order_id")).alias("_last"))
-    seq_orders = raw_orders.join(last, "user_id").select(
+    seq_orders = written(raw_orders.join(last, "user_id").select(
         "order_id", "user_id", "order_ts",
         F.when(F.struct("order_ts", "order_id") == F.col("_last"), F.lit("train"))
         .otherwise(F.lit("prior")).alias("eval_set"),
         (F.dayofweek("order_ts") - 1).alias("order_dow"),
         (F.col("order_id") % 24).cast("int").alias("order_hour_of_day"),
-    )
+    ), "orders")
 
-    lines = written(
+    earlier = Window.partitionBy("user_id", "product_id").orderBy("order_ts", "order_id")
+    lines = (
         _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
         .join(part_item, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_orderkey").alias("order_id"), "product_id")
         .agg(F.min("l_linenumber").cast("int").alias("add_to_cart_order"))
-        .join(seq_orders.select("order_id", "user_id", "order_ts", "eval_set"), "order_id"),
-        "order-items")
-    first = lines.groupBy("user_id", "product_id").agg(
-        F.min(F.struct("order_ts", "order_id")).alias("_first"))
-    lines = lines.join(first, ["user_id", "product_id"]).withColumn(
-        "reordered", (F.struct("order_ts", "order_id") > F.col("_first")).cast("int"))
+        .join(seq_orders.select("order_id", "user_id", "order_ts", "eval_set"), "order_id")
+        .withColumn("reordered", (F.rank().over(earlier) > 1).cast("int")))
 
     columns = ["order_id", "product_id", "add_to_cart_order", "reordered"]
     path = scratch_path(spark, "order-lines")

@@ -202,3 +202,19 @@ def test_basket_stats_part_the_lines_once(spark):
         assert plan.count("ObjectHashAggregate(") <= 2      # sets are merged once, not per (order, product) too
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_department_supports_count_distinct_lines_once(spark):
+    """The baskets of a department: its rows, as the table is distinct; no rows parted by (order, department) again."""
+    ds = make_ds(spark, {1: [1, 1, 2, 3], 2: [1, 2], 3: [3]}, products=[(1, "a", "1", "1"), (2, "b", "1", "2"), (3, "c", "2", "2")],
+                 departments=[(1, "one"), (2, "two"), (3, None)])
+    lines = departments.department_baskets(ds)
+    assert {tuple(r) for r in departments._holding(lines).collect()} == {("one", 2), ("two", 3)}
+    kept, departments.itemset_counts, seen = departments.itemset_counts, None, {}
+    departments.itemset_counts = lambda *a, **k: seen.update(k) or kept(*a, **k)
+    try:
+        rows = departments.associations(ds, 2, min_co=1).collect()
+        assert [(r.dept_1, r.dept_2, r.co_occurrence) for r in rows] == [("one", "two", 2)]
+        assert departments.associations(ds, 2, min_co=3).count() == 0 and seen["item_counts"] is not None
+    finally:
+        departments.itemset_counts = kept

@@ -242,3 +242,37 @@ def test_export_continues_after_a_failure(spark, monkeypatch):
         monkeypatch.setattr(sinks.StagedExport, "write", failing)
         sinks.StagedExport(spark, folder).run(results, names, "bl_stage")
     assert sorted(sinks.StagedExport(spark, folder).finished()) == ["r0", "r1", "r2"]
+
+
+def test_tpch_orders_are_written_and_reordered_is_exact(spark, tmp_path):
+    """Orders at the same moment or at none, repeated rows, null keys; orders are read from the written table."""
+    from datetime import datetime
+    from basketlens.sources.tpch import from_tpch
+    day = lambda n: datetime(2024, 1, n) if n else None
+    part = [(i, f"w{i} v{i}", "t", "b") for i in range(1, 4)] + [(4, "w1 v1", "t", "b"), (None, "w5 v5", "t", "b")]
+    orders = [(1, 7, day(3)), (2, 7, day(3)), (3, 7, day(1)), (4, 7, day(9)), (5, 8, None), (6, 8, None), (7, 8, day(2)),
+              (8, 8, day(5)), (8, 8, day(5)), (9, None, day(1)), (10, 9, day(1))]
+    lines = [(o, p, n) for o, _, _ in set(orders) for n, p in enumerate((1, 1 + o % 3, 4, 2 + o % 2), 1)] + [(1, None, 9), (1, 99, 9)]
+    for name, rows, schema in (("part", part, "p_partkey long, p_name string, p_type string, p_brand string"),
+                               ("orders", orders, "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+                               ("lineitem", lines, "l_orderkey long, l_partkey long, l_linenumber int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    ds = from_tpch(spark, str(tmp_path))
+    assert not any(str(tmp_path) in file for file in ds.orders.inputFiles())
+
+    item = {1: 1, 2: 2, 3: 3, 4: 1}
+    when = {o: (u, (d is not None, d or day(1), o)) for o, u, d in orders if u is not None}
+    bought = {}
+    for o, p, _ in lines:
+        if p in item and o in when:
+            bought.setdefault((when[o][0], item[p]), set()).add(when[o][1])
+    last = {u: max(w for x, w in when.values() if x == u) for u in (7, 8, 9)}
+    want = {"prior": [], "train": []}
+    for o, u, d in orders:
+        for p in sorted({item[p] for x, p, _ in lines if x == o and p in item}):
+            if u is not None:
+                cart = min(n for x, q, n in lines if x == o and item.get(q) == p)
+                want["train" if when[o][1] == last[u] else "prior"].append((o, p, cart, int(when[o][1] > min(bought[u, p]))))
+    assert sorted(tuple(r) for r in ds.order_products_prior.collect()) == sorted(want["prior"])
+    assert sorted(tuple(r) for r in ds.order_products_train.collect()) == sorted(want["train"])
+    assert {r[3] for r in want["prior"]} == {0, 1}
