@@ -56,7 +56,9 @@ def temporal(ds: Dataset, n: int = 2, min_count: int = 50, limit: Optional[int]
                     .join(ds.products.select("product_id"), "product_id", "left_semi")
                     .select("order_id", "product_id", "time_period", "day_type"), "slots")
     keys = ["time_period", "day_type"]
-    sets = itemset_counts(lines, n, keys=keys, min_count=min_count, count_col="pattern_count", profile_lines=prior)
+    # the lines of one slot are few of all: how many pairs they make is read from them
+    sets = itemset_counts(lines, n, keys=keys, min_count=min_count, count_col="pattern_count",
+                          profile_lines=prior if time_period is None and day_type is None else lines)
     return _named_top(ds, sets, n, "pattern_count", keys, limit).select(
         *keys, *[f"product_{i}" for i in range(1, n + 1)], "pattern_count",
         *[f"dept_{i}" for i in range(1, n + 1)],

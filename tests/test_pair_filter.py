@@ -106,3 +106,18 @@ def test_no_first_pass_for_few_items(spark, monkeypatch):
         assert found[0] == found[1], name
     items = spark.createDataFrame([(1, i) for i in range(5)] + [(2, i) for i in range(3)], "slot int, product_id long")
     assert pair_filter.different_pairs(items, ["slot"]) == 13 and pair_filter.different_pairs(items.limit(0), []) == 0
+
+
+def test_a_slot_is_sized_by_its_own_pairs(spark, monkeypatch):
+    """Many pairs outside a time slot bring no first pass, and no Python, into the analysis of the slot."""
+    monkeypatch.setattr(pair_filter, "FILTER_FROM", 50)
+    monkeypatch.setattr(pair_filter, "COUNTED_PAIRS", 0)
+    passes = []
+    real = pair_filter.possibly_frequent
+    monkeypatch.setattr(pair_filter, "possibly_frequent", lambda *a: passes.append(1) or real(*a))
+    baskets = {o: list(range(1, 9)) if o > 2 else [1, 2, 3] for o in range(1, 9)}
+    ds = make_ds(spark, baskets, orders=[(o, 1, "prior", 6 if o <= 2 else 3, 19) for o in baskets])
+    rows = patterns.temporal(ds, 2, 2, None, "Evening (6-9pm)", "Weekend").collect()
+    assert [(r.product_1, r.product_2, r.pattern_count) for r in rows] == [
+        ("item1", "item2", 2), ("item1", "item3", 2), ("item2", "item3", 2)] and not passes
+    assert patterns.temporal(ds, 2, 2, None).count() == 3 + 28 and passes     # all slots: as many as there are
