@@ -204,6 +204,20 @@ def test_basket_stats_part_the_lines_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_basket_stats_by_bits_and_by_sets(spark, monkeypatch):
+    """More than 64 departments; bits and sets count alike, and bits need no object per order."""
+    ids = range(1, 151)
+    ds = make_ds(spark, {1: list(ids), 2: [1, 65, 129], 3: [5, 5, 70], 4: [150]},
+                 products=[(p, f"p{p}", str(p % 7), str(p % 130)) for p in ids] + [(5, "again", "900", " 5 "), (70, "x", "1", "no")])
+    want = {(1, 150, 131, 8), (2, 3, 3, 3), (3, 2, 3, 3), (4, 1, 1, 1)}
+    for most, objects in ((1024, False), (100, True), (0, True)):
+        monkeypatch.setattr(composition, "BITMAP_VALUES", most)
+        stats = composition.basket_stats(ds)
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+        assert ("ObjectHashAggregate(" in plan) == objects
+        assert {tuple(r) for r in stats.collect()} == want, most
+
+
 def test_department_supports_count_distinct_lines_once(spark):
     """The baskets of a department: its rows, as the table is distinct; no rows parted by (order, department) again."""
     ds = make_ds(spark, {1: [1, 1, 2, 3], 2: [1, 2], 3: [3]}, products=[(1, "a", "1", "1"), (2, "b", "1", "2"), (3, "c", "2", "2")],
