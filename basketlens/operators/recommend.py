@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Dataset
+from basketlens.operators import levelwise
 from basketlens.operators.cooccur import BasketProfile, basket_profile, join_baskets, pinned_supports
 from basketlens.operators.levelwise import CHUNK_ROWS, chunk_table
 from basketlens.session import arrow_rows, written
@@ -89,20 +90,24 @@ def for_users(ds: Dataset, users: DataFrame, n: int = 10) -> DataFrame:
 
     Users who own the same items get the same answer, so the work is done once
     for each class of them, named by its smallest user.  Equal orders are
-    counted once too (``_weighted_orders``).  The orders are dealt into chunks,
-    one row each, with a bitmap of orders for every item
-    (``levelwise.chunk_table``), the classes into blocks of ``OWNED_ROWS``
-    owned items, and every block meets every chunk in some task of a grid.  In
-    a chunk the orders that touch a class are the OR of the bitmaps of the
-    owned items, and the strength of a candidate is the number of those orders
-    in its own bitmap; strengths add up over chunks.  So no (user, order) row
-    exists, an order that touches every user, or an item in a third of all
-    orders, is one bit or one bitmap as any other, and nothing that grows with
-    the users or the orders passes the driver.  Where neither owned sets nor
-    orders repeat, the work is one bit operation per class, order and item.
+    counted once too (``_weighted_orders``).  Items are coded by their support,
+    the most bought first, and the orders are sorted by their codes and cut into
+    chunks, one row each, with a bitmap of orders for every item; the classes
+    are dealt into blocks of ``OWNED_ROWS`` owned items, and every block meets
+    every chunk in some task of a grid.  In a chunk the orders that touch a
+    class are the OR of the bitmaps of the owned items, and the strength of a
+    candidate is the number of those orders in its own bitmap; strengths add up
+    over chunks.  Neighbours in a chunk share their first items, so a class that
+    owns one of these touches them all: only the words of orders it doesn't
+    touch (or only those it touches, if these are fewer) are counted.  So no
+    (user, order) row exists, an order that touches every user, or an item in a
+    third of all orders, is one bit or one bitmap as any other, and nothing that
+    grows with the users or the orders passes the driver.  Where neither owned
+    sets nor orders repeat, the work still grows with classes times orders.
     """
-    lines = ds.order_products_prior.select("order_id", "product_id").where(
-        F.col("product_id").isNotNull() & F.col("order_id").isNotNull())
+    codes = _codes(ds)
+    lines = (ds.order_products_prior.select("order_id", "product_id").where(F.col("order_id").isNotNull())
+             .join(codes, "product_id").select("order_id", F.col("code").alias("product_id")))
     profile = basket_profile(ds.order_products_prior)
     user_orders = (ds.orders.join(users.select("user_id").distinct(), "user_id", "left_semi")
                    .select("order_id", "user_id").distinct())
@@ -110,7 +115,8 @@ def for_users(ds: Dataset, users: DataFrame, n: int = 10) -> DataFrame:
                    .groupBy("user_id").agg(F.sort_array(F.collect_list("product_id")).alias("owned")), "owned")
     classes = written(sets.groupBy("owned").agg(F.min("user_id").alias("class_id")), "classes")
     members = written(sets.join(classes, "owned").select("user_id", "class_id"), "members")
-    cands = _strengths(_weighted_orders(ds, lines, profile), classes).join(_dims(ds), "product_id")
+    cands = (_strengths(_weighted_orders(ds, lines, profile), classes).withColumnRenamed("product_id", "code")
+             .join(codes, "code").join(_dims(ds), "product_id"))
     best = Window.partitionBy("class_id").orderBy(F.col("association_strength").desc(), "product_id")
     kept = cands.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= n)
     # the rank of a kept row depends on rows of higher strength only, which are kept too
@@ -120,6 +126,13 @@ def for_users(ds: Dataset, users: DataFrame, n: int = 10) -> DataFrame:
                                                    "association_strength", "rank")
 
 
+def _codes(ds: Dataset) -> DataFrame:
+    """(product_id, code): items by falling support have rising codes; written."""
+    supports = pinned_supports(ds.order_products_prior)
+    return written(supports.orderBy(F.col("support_count").desc(), "product_id")
+                   .select("product_id", F.monotonically_increasing_id().alias("code")), "codes")
+
+
 def _weighted_orders(ds: Dataset, lines: DataFrame, profile: BasketProfile) -> DataFrame:
     """Chunks of the orders, in which a row stands for ``2 ** power`` orders of the same items.
 
@@ -132,17 +145,40 @@ def _weighted_orders(ds: Dataset, lines: DataFrame, profile: BasketProfile) -> D
     equal = (normal.groupBy("order_id").agg(F.sort_array(F.collect_set("product_id")).alias("_items"))
              .groupBy("_items").agg(F.count(F.lit(1)).alias("_times")))
     digits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.bit_get("_times", b) == 1)
-    rows = written(equal.select("_items", F.explode(digits).alias("power"))
-                   .withColumn("row", F.monotonically_increasing_id()), "equal-orders")
-    counts = {r["power"]: r["count"] for r in rows.groupBy("power").count().collect()}      # 63 at most
-    chunks = chunk_table(rows.select("power", "row", F.explode("_items").alias("product_id")), "row", "product_id",
-                         counts or {0: 0}, items, "power")
+    chunks = _sorted_chunks(written(equal.select(F.explode(digits).alias("power"), "_items"), "equal-orders"), items)
     if split is None:
         return chunks
     large = lines.join(split.select("order_id"), "order_id")
     return chunks.unionByName(chunk_table(large, "order_id", "product_id", split.count(), items))
 
 
+def _sorted_chunks(rows: DataFrame, items: int) -> DataFrame:
+    """``levelwise.chunk_table`` of ``(power, _items)`` rows, whose chunks are runs of the sorted rows."""
+    size = max(64, min(2 * levelwise.CHUNK_BASKETS, 8 * levelwise.CHUNK_BYTES // max(1, items)))
+    parts = max(1, math.ceil(rows.count() / (0.8 * size)))      # ranges come from a sample: room for uneven ones
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, count = None, [], 0
+        for batch in batches:
+            powers, lists = batch.column("power").to_numpy(), batch.column("_items")
+            bounds = [0, *(np.flatnonzero(powers[1:] != powers[:-1]) + 1).tolist(), len(powers)]
+            for start, stop in zip(bounds, bounds[1:]):
+                while start < stop:
+                    if held and (powers[start] != name or count == size):
+                        yield levelwise._chunk(held, name)
+                        held, count = [], 0
+                    name, part = powers[start], lists.slice(start, min(stop - start, size - count))
+                    rows_ = np.repeat(np.arange(count, count + len(part)), part.value_lengths().to_numpy())
+                    held.append((rows_, part.flatten().to_numpy()))
+                    start, count = start + len(part), count + len(part)
+        if held:
+            yield levelwise._chunk(held, name)
+
+    ranges = rows.repartitionByRange(parts, "power", "_items").sortWithinPartitions("power", "_items")
+    with arrow_rows(rows.sparkSession, 10_000):
+        return written(ranges.mapInArrow(run, "items binary, words int, bitmaps binary, power int"), "chunks")
+
+
 def _blocks(classes: DataFrame) -> DataFrame:
     """``(block, classes, sizes, owned)``: about ``OWNED_ROWS`` owned items of some classes in a row; written."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,15 +207,16 @@ def _strengths(chunks: DataFrame, classes: DataFrame) -> DataFrame:
     """
     spark, blocks = classes.sparkSession, _blocks(classes)
     count, tasks = blocks.count(), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(1, math.ceil(2 * tasks / max(1, count)))
+    groups = max(1, math.ceil(tasks / max(1, count)))
     every = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     part = F.pmod(F.xxhash64("power", "bitmaps"), F.lit(groups)).cast("int")
     met = chunks.withColumn("group", part).crossJoin(blocks.select("block"))
     cells = (every.unionByName(met, allowMissingColumns=True).withColumn("_later", F.col("bitmaps").isNotNull())
              .repartition(max(tasks, count * groups), "block", "group").sortWithinPartitions("block", "group", "_later"))
     with arrow_rows(spark, CHUNK_ROWS):
-        sums = cells.mapInArrow(_touching, "class_id long, product_id long, c long")
-        return written(sums.groupBy("class_id", "product_id").agg(F.sum("c").alias("association_strength")), "sums")
+        sums = written(cells.mapInArrow(_touching, "class_id long, product_id long, c long"), "sums")
+    # dealt by the class alone, as the ranking needs them next
+    return sums.repartition("class_id").groupBy("class_id", "product_id").agg(F.sum("c").alias("association_strength"))
 
 
 def _touching(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,48 +240,78 @@ def _touching(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Orders:
-    """A chunk of orders: bitmaps per item, and the lines by item for items that are in few of them."""
+    """A chunk of orders: bitmaps per item, or lists of its lines where they are shorter."""
 
     def __init__(self, items: bytes, words: int, bitmaps: bytes, power: int):
         self.power = power
         self.items = np.frombuffer(items, np.int64)
         self.bitmaps = np.frombuffer(bitmaps, np.uint64).reshape(len(self.items), words)
-        counts = np.bitwise_count(self.bitmaps).sum(axis=1, dtype=np.int64)
-        self.by_line = counts.sum() < self.bitmaps.size          # fewer lines than words: look at the lines
+        self.counts = np.bitwise_count(self.bitmaps).sum(axis=1, dtype=np.int64)
+        self.every = np.bitwise_or.reduce(self.bitmaps, axis=0)     # the bits that are orders
+        self.orders = int(np.bitwise_count(self.every).sum(dtype=np.int64))
+        self.by_line = self.counts.sum() < self.bitmaps.size        # fewer lines than words: look at the lines
         if self.by_line:
-            self.order = np.concatenate([np.flatnonzero(np.unpackbits(row.view(np.uint8), bitorder="little"))
-                                         for row in self.bitmaps])
-            self.starts = np.cumsum(counts) - counts
-
-    def strengths(self, owned: np.ndarray) -> np.ndarray | None:
-        """For every item the orders that hold it and an owned item; None if no order is touched."""
-        place = np.searchsorted(self.items, owned)
-        place = place[(place < len(self.items)) & (self.items[np.minimum(place, len(self.items) - 1)] == owned)]
-        if not len(place):
-            return None
-        touched = np.bitwise_or.reduce(self.bitmaps[place], axis=0)
+            self.line_order = np.concatenate([np.flatnonzero(np.unpackbits(row.view(np.uint8), bitorder="little"))
+                                              for row in self.bitmaps])
+            self.item_ends = np.cumsum(self.counts)
+            self.line_item = np.repeat(np.arange(len(self.items)), self.counts)[np.argsort(self.line_order, kind="stable")]
+            self.sizes = np.bincount(self.line_order, minlength=self.orders)
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        else:
+            self.by_word = np.ascontiguousarray(self.bitmaps.T)
+
+    def add(self, sums: np.ndarray, place: np.ndarray, sizes: np.ndarray, owned: np.ndarray) -> None:
+        """Adds for every class (a row of ``sums``) and item the orders that hold it and an owned item.
+
+        ``place`` are the columns of the chunk's items, ``sizes`` and ``owned`` the classes' items.
+        """
+        at = np.searchsorted(self.items, owned)
+        here = self.items[np.minimum(at, len(self.items) - 1)] == owned
+        at, row = at[here], np.repeat(np.arange(len(sizes)), sizes)[here]
+        every = np.zeros(len(sizes), bool)                          # classes that own an item of all orders
+        every[row[self.counts[at] == self.orders]] = True
+        sums[np.ix_(every, place)] += self.counts << self.power
+        ends = np.searchsorted(row, np.arange(len(sizes)), side="right").tolist()
+        where = slice(None) if len(place) == sums.shape[1] else place
+        for k in np.setdiff1d(row, np.flatnonzero(every)).tolist():
+            sums[k, where] += self._lines(at[ends[k - 1] if k else 0:ends[k]]) << self.power
+
+    def _lines(self, owned: np.ndarray) -> np.ndarray:
+        """For every item the orders that hold it and one of the items at ``owned``."""
         if self.by_line:
-            bits = np.unpackbits(touched.view(np.uint8), bitorder="little")
-            return np.add.reduceat(bits[self.order], self.starts, dtype=np.int64) << self.power
-        return np.bitwise_count(self.bitmaps & touched).sum(axis=1, dtype=np.int64) << self.power
+            touched = np.zeros(self.orders, bool)
+            for i in owned.tolist():
+                touched[self.line_order[self.item_ends[i] - self.counts[i]:self.item_ends[i]]] = True
+            less = 2 * np.count_nonzero(touched) > self.orders      # there are fewer orders that it doesn't touch
+            some = np.flatnonzero(~touched if less else touched)
+            sizes = self.sizes[some]
+            lines = np.repeat(self.starts[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            found = np.bincount(self.line_item[lines], minlength=len(self.items))
+        else:
+            touched = np.bitwise_or.reduce(self.bitmaps.take(owned, axis=0), axis=0)
+            left, less = self.every ^ touched, True
+            some = left.nonzero()[0]
+            if 2 * len(some) > len(left) and np.count_nonzero(touched) < len(some):
+                left, some, less = touched, touched.nonzero()[0], False
+            both = self.by_word.take(some, axis=0)
+            both &= left.take(some)[:, None]
+            found = np.add.reduce(np.bitwise_count(both), axis=0, dtype=np.uint32).astype(np.int64)
+        return self.counts - found if less else found
 
 
 def _sums(held: list, classes: np.ndarray, sizes: np.ndarray, products: np.ndarray) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum(sizes)
     every = np.unique(np.concatenate([h.items for h in held]))
-    places = [np.searchsorted(every, h.items) for h in held]
     block = max(1, SUM_CELLS // len(every))
     for first in range(0, len(classes), block):
-        sums = np.zeros((min(block, len(classes) - first), len(every)), np.int64)
-        for k in range(len(sums)):
-            owned = products[ends[first + k] - sizes[first + k]:ends[first + k]]
-            for orders, place in zip(held, places):
-                found = orders.strengths(owned)
-                if found is not None:
-                    sums[k, place] += found
-            mine = np.searchsorted(every, owned)
-            mine = mine[(mine < len(every)) & (every[np.minimum(mine, len(every) - 1)] == owned)]
-            sums[k, mine] = 0
+        some = sizes[first:first + block]
+        owned = products[ends[first] - sizes[first]:ends[first + len(some) - 1]]
+        sums = np.zeros((len(some), len(every)), np.int64)
+        for orders in held:                                         # one chunk at a time stays in the cache
+            orders.add(sums, np.searchsorted(every, orders.items), some, owned)
+        mine = np.searchsorted(every, owned)
+        here = every[np.minimum(mine, len(every) - 1)] == owned
+        sums[np.repeat(np.arange(len(some)), some)[here], mine[here]] = 0
         row, item = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(classes[first + row]), pa.array(every[item]), pa.array(sums[row, item])],

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,41 @@ def test_equal_orders_and_users_count_once_each_and_nothing_passes_the_driver(sp
     for r in recommend.for_users(ds, ds.orders.select("user_id"), 100).collect():
         got.setdefault(r.user_id, {})[r.product_id] = r.association_strength
     assert got == plain_strengths([(u, o) for o, u, _ in carts], lines)
+
+
+def test_orders_lie_sorted_in_chunks(spark):
+    """Orders of the first item are one run of bits in a chunk: owners of it have no word of these to count."""
+    rng = random.Random(7)
+    carts = {o: ({1} if o % 2 else set()) | {rng.randrange(2, 60) for _ in range(5)} for o in range(1, 2000)}
+    ds = make_ds(spark, carts)
+    chunks = recommend._weighted_orders(ds, ds.order_products_prior.select("order_id", "product_id"),
+                                        recommend.basket_profile(ds.order_products_prior)).collect()
+    assert max(r["words"] for r in chunks) > 20
+    for orders in (recommend._Orders(r["items"], r["words"], r["bitmaps"], r["power"]) for r in chunks):
+        mixed = (orders.bitmaps[0] != 0) & (orders.bitmaps[0] != orders.every)
+        assert mixed.sum() <= 1
+
+
+@pytest.mark.parametrize("items, per_order", [(30, 4), (3000, 6)])
+def test_sums_of_a_chunk_equal_brute_force(items, per_order):
+    """Bitmaps and lists of lines; classes that touch no order, few, most or all of them."""
+    rng = random.Random(items)
+    carts = sorted({tuple(sorted({3} | {rng.randrange(items) for _ in range(per_order)})) for _ in range(300)})
+    carts = [c for c in carts if c != (3,)]
+    for shared in (True, False):
+        held = [c if shared else tuple(p for p in c if p != 3) for c in carts]
+        chunk = levelwise._chunk([(np.repeat(np.arange(len(held)), [len(c) for c in held]),
+                                   np.array([p for c in held for p in c], np.int64))], 2)
+        row = chunk.to_pylist()[0]
+        orders = recommend._Orders(row["items"], row["words"], row["bitmaps"], row["power"])
+        assert orders.by_line == (items == 3000)
+        owned = [[items + 5], [3], sorted(rng.sample(range(items), items // 2)), sorted(rng.sample(range(items), 3)),
+                 list(range(items)), [held[0][0], items + 5]]
+        (out,) = recommend._sums([orders], np.arange(len(owned)), np.array([len(o) for o in owned]),
+                                 np.array([p for o in owned for p in o]))
+        got = {}
+        for k, p, c in zip(*(column.to_pylist() for column in out.columns)):
+            got.setdefault(k, {})[p] = c
+        for k, mine in enumerate(owned):
+            expected = Counter(p for c in held if set(c) & set(mine) for p in c if p not in mine)
+            assert got.get(k, {}) == {p: 4 * c for p, c in expected.items()}
