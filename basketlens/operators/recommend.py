@@ -29,6 +29,9 @@ LOOKUP_ORDERS = 1_000     # order ids that a scan is asked for
 # Engineering limits of the many-user form.
 OWNED_ROWS = 1 << 18      # owned items of the classes in a block (2 MB)
 HELD_BYTES = 128 << 20    # bitmaps a task works on together
+RUN_WORDS = 16            # shorter runs of words are not cut
+PASSED_WORDS = 1 << 16    # words (of classes x orders) that are counted together: what the cache holds
+SHARED_ITEMS = 2          # items of all orders of a run that are looked at
 SUM_CELLS = 1 << 22       # sums (users x items) a task holds at a time (32 MB)
 
 
@@ -258,7 +261,7 @@ class _Orders:
             self.sizes = np.bincount(self.line_order, minlength=self.orders)
             self.starts = np.cumsum(self.sizes) - self.sizes
         else:
-            self.by_word = np.ascontiguousarray(self.bitmaps.T)
+            self.runs = self._runs()
 
     def add(self, sums: np.ndarray, place: np.ndarray, sizes: np.ndarray, owned: np.ndarray) -> None:
         """Adds for every class (a row of ``sums``) and item the orders that hold it and an owned item.
@@ -268,36 +271,86 @@ class _Orders:
         at = np.searchsorted(self.items, owned)
         here = self.items[np.minimum(at, len(self.items) - 1)] == owned
         at, row = at[here], np.repeat(np.arange(len(sizes)), sizes)[here]
-        every = np.zeros(len(sizes), bool)                          # classes that own an item of all orders
-        every[row[self.counts[at] == self.orders]] = True
-        sums[np.ix_(every, place)] += self.counts << self.power
+        if not self.by_line:
+            some, row = np.unique(row, return_inverse=True)
+            found = self._words(len(some), at, row)
+            sums[np.ix_(some, place)] += found << self.power
+            return
         ends = np.searchsorted(row, np.arange(len(sizes)), side="right").tolist()
-        where = slice(None) if len(place) == sums.shape[1] else place
-        for k in np.setdiff1d(row, np.flatnonzero(every)).tolist():
-            sums[k, where] += self._lines(at[ends[k - 1] if k else 0:ends[k]]) << self.power
+        for k in np.unique(row).tolist():
+            sums[k, place] += self._lines(at[ends[k - 1] if k else 0:ends[k]]) << self.power
 
     def _lines(self, owned: np.ndarray) -> np.ndarray:
         """For every item the orders that hold it and one of the items at ``owned``."""
-        if self.by_line:
-            touched = np.zeros(self.orders, bool)
-            for i in owned.tolist():
-                touched[self.line_order[self.item_ends[i] - self.counts[i]:self.item_ends[i]]] = True
-            less = 2 * np.count_nonzero(touched) > self.orders      # there are fewer orders that it doesn't touch
-            some = np.flatnonzero(~touched if less else touched)
-            sizes = self.sizes[some]
-            lines = np.repeat(self.starts[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            found = np.bincount(self.line_item[lines], minlength=len(self.items))
-        else:
-            touched = np.bitwise_or.reduce(self.bitmaps.take(owned, axis=0), axis=0)
-            left, less = self.every ^ touched, True
-            some = left.nonzero()[0]
-            if 2 * len(some) > len(left) and np.count_nonzero(touched) < len(some):
-                left, some, less = touched, touched.nonzero()[0], False
-            both = self.by_word.take(some, axis=0)
-            both &= left.take(some)[:, None]
-            found = np.add.reduce(np.bitwise_count(both), axis=0, dtype=np.uint32).astype(np.int64)
+        touched = np.zeros(self.orders, bool)
+        for i in owned.tolist():
+            touched[self.line_order[self.item_ends[i] - self.counts[i]:self.item_ends[i]]] = True
+        less = 2 * np.count_nonzero(touched) > self.orders          # there are fewer orders that it doesn't touch
+        some = np.flatnonzero(~touched if less else touched)
+        sizes = self.sizes[some]
+        lines = np.repeat(self.starts[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        found = np.bincount(self.line_item[lines], minlength=len(self.items))
         return self.counts - found if less else found
 
+    def _words(self, classes: int, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """``_lines`` of many classes at once: class ``row[i]`` owns the item at ``at[i]``.
+
+        Of a run of words, left are the classes that own none of the items which
+        all its orders share.  A table of the ORs of eight items' words gives the
+        orders that such a class touches; of the others the bits are counted,
+        item by item.
+        """
+        items = len(self.items)
+        own = np.zeros((-(-items // 8) * 8, classes), bool)
+        own[at, row] = True
+        eights = np.packbits(own, axis=0, bitorder="little")
+        untouched = np.zeros((classes, items), np.int32)
+        for start, stop, shared in self.runs:
+            left = np.flatnonzero(~own[shared].any(axis=0))
+            if not len(left):
+                continue
+            held = np.flatnonzero(self.bitmaps[:, start:stop].any(axis=1))
+            found = np.zeros((items, len(left)), np.int32)
+            owned = [(eight, eights[eight].take(left)) for eight in np.unique(held // 8).tolist()]
+            step = max(1, PASSED_WORDS // len(left))
+            for first in range(start, stop, step):
+                last = min(stop, first + step)
+                words, touched = self.bitmaps[:, first:last], np.zeros((len(left), last - first), np.uint64)
+                for eight, pattern in owned:
+                    table = np.zeros((256, last - first), np.uint64)
+                    for j, of_item in enumerate(words[8 * eight:8 * eight + 8]):
+                        np.bitwise_or(table[:1 << j], of_item, out=table[1 << j:2 << j])
+                    touched |= table.take(pattern, axis=0)
+                others = np.ascontiguousarray((self.every[first:last] & ~touched).T)
+                both, bits = np.empty_like(others), np.empty(others.shape, np.uint8)
+                for i in held.tolist():
+                    np.bitwise_and(others, words[i, :, None], out=both)
+                    np.bitwise_count(both, out=bits)
+                    found[i] += np.add.reduce(bits, axis=0, dtype=np.uint16)
+            untouched[left] += np.ascontiguousarray(found.T)
+        return self.counts - untouched
+
+    def _runs(self) -> list:
+        """``(start, stop, items)``: runs of words, cut where the items that their orders share change."""
+        shared, firsts = self.bitmaps == self.every, []
+        for _ in range(SHARED_ITEMS):
+            firsts.append(np.where(shared.any(axis=0), shared.argmax(axis=0), -1))
+            shared[firsts[-1], np.arange(shared.shape[1])] = False
+
+        def cut(start: int, stop: int, depth: int) -> Iterator[tuple]:
+            if depth == SHARED_ITEMS or stop - start <= RUN_WORDS // 2 or (firsts[depth][start:stop] < 0).all():
+                yield start, stop, [int(f[start]) for f in firsts[:depth]]
+                return
+            of = firsts[depth][start:stop]
+            bounds = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(bounds, bounds[1:]):
+                if of[a] < 0:
+                    yield start + a, start + b, [int(f[start]) for f in firsts[:depth]]
+                else:
+                    yield from cut(start + a, start + b, depth + 1)
+
+        return list(cut(0, len(self.every), 0))
+
 
 def _sums(held: list, classes: np.ndarray, sizes: np.ndarray, products: np.ndarray) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum(sizes)
