@@ -101,9 +101,9 @@ def for_users(ds: Dataset, users: DataFrame, n: int = 10) -> DataFrame:
     class are the OR of the bitmaps of the owned items, and the strength of a
     candidate is the number of those orders in its own bitmap; strengths add up
     over chunks.  Neighbours in a chunk share their first items, so a class that
-    owns one of these touches them all: only the words of orders it doesn't
-    touch (or only those it touches, if these are fewer) are counted.  So no
-    (user, order) row exists, an order that touches every user, or an item in a
+    owns one of these touches them all and is left out there; of the others the
+    orders that they don't touch are counted (``_Orders``).  So no (user, order)
+    row exists, an order that touches every user, or an item in a
     third of all orders, is one bit or one bitmap as any other, and nothing that
     grows with the users or the orders passes the driver.  Where neither owned
     sets nor orders repeat, the work still grows with classes times orders.
@@ -312,7 +312,7 @@ class _Orders:
             held = np.flatnonzero(self.bitmaps[:, start:stop].any(axis=1))
             found = np.zeros((items, len(left)), np.int32)
             owned = [(eight, eights[eight].take(left)) for eight in np.unique(held // 8).tolist()]
-            step = max(1, PASSED_WORDS // len(left))
+            step = max(1, min(512, PASSED_WORDS // len(left)))      # so that a count fits into 16 bits
             for first in range(start, stop, step):
                 last = min(stop, first + step)
                 words, touched = self.bitmaps[:, first:last], np.zeros((len(left), last - first), np.uint64)
